@@ -32,7 +32,7 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = materialise(docs.select(F.col(id_col).alias("doc_id"), digest(text_col).alias("digest"), F.monotonically_increasing_id().alias("row_id")), "digests")
     place = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row_id")
     # as text: the summary tells binary values apart by identity, not by content
-    frequent = rows.select(F.hex("digest").alias("d")).stat.freqItems(["d"], support).select(F.unhex(F.explode("d_freqItems")).alias("digest"))
+    frequent = rows.select(F.hex("digest").alias("d")).stat.freqItems(["d"], support).select(F.explode("d_freqItems").alias("d")).select(F.unhex("d").alias("digest"))
     frequent = materialise(frequent, "frequent")
     winners = materialise(rows.join(F.broadcast(frequent), "digest").groupBy("digest").agg(F.min(place).alias("winner"), F.count(F.lit(1)).alias("group_size")), "winners")
     settled = rows.join(F.broadcast(winners), "digest").select(
