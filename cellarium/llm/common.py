@@ -47,3 +47,23 @@ def with_columns(docs: DataFrame, new: dict[str, Column]) -> list[Column]:
     """docs' columns followed by new ones; a column of docs that has a new one's name gives way to it."""
     names = {n.lower() for n in new}
     return [F.col(f"`{c}`") for c in docs.columns if c.lower() not in names] + [c.alias(n) for n, c in new.items()]
+
+
+#: A table of at most so many narrow rows (some tens of bytes each) may be broadcast.
+SMALL_ROWS = 100_000
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """df, marked for broadcast only if a count shows that it has at most `rows` rows. df should be a written table."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def permuted(x: Column, n: Column, *key: Column, rounds: int = 32) -> Column:
+    """A pseudorandom permutation of 0 .. n-1 at x (the swap-or-not shuffle of Hoang, Morris and Rogaway): each round pairs x with k - x modulo n, and a hashed bit of the pair's larger member says whether they swap."""
+    n = F.greatest(n, F.lit(1))
+
+    def step(at: Column, r: Column) -> Column:
+        other = F.pmod(F.pmod(F.xxhash64(*key, r), n) - at, n)
+        return F.when(F.xxhash64(*key, r, F.greatest(at, other), F.lit("swap")).bitwiseAND(F.lit(1)) == 1, other).otherwise(at)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), x.cast("long"), step)
