@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .exact_dedup import OP8_SQL, op8
+from .language_id import op3
 from .line_dedup import OP1_SQL, op1
 from .mixing import op2
 
 QUERIES = {
     "op1_line_dedup": op1,
     "op2_mixing": op2,
+    "op3_language_id": op3,
     "op8_exact_dedup": op8,
 }
 SQL = {
