@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .decontamination import op4
 from .exact_dedup import OP8_SQL, op8
 from .language_id import op3
+from .license_scan import op5
 from .line_dedup import OP1_SQL, op1
 from .mixing import op2
 
@@ -11,6 +13,8 @@ QUERIES = {
     "op1_line_dedup": op1,
     "op2_mixing": op2,
     "op3_language_id": op3,
+    "op4_decontamination": op4,
+    "op5_license_scan": op5,
     "op8_exact_dedup": op8,
 }
 SQL = {
