@@ -14,6 +14,7 @@ overlap in the text, the one with the highest coverage stays, then the one with
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -131,11 +132,14 @@ class Templates:
                 if pairs and len(pairs) >= self.min_coverage * len(template):
                     start, end = places[pairs[0][1]][0], places[pairs[-1][1]][1]
                     found[t, start, end] = {"license": self.names[t], "coverage": len(pairs) / len(template), "n_matched": len(pairs), "start": start, "end": end}
-        kept: list[dict] = []  # of matches that overlap, the best stays
+        kept: list[tuple[int, int]] = []  # disjoint spans by start; of matches that overlap, the best stays
         for k in sorted(found, key=lambda k: (-found[k]["coverage"], -found[k]["n_matched"], k)):
-            if all(k[2] <= x["start"] or k[1] >= x["end"] for x in kept):
-                kept.append(found[k])
-        return sorted(kept, key=lambda x: x["start"])
+            i = bisect_left(kept, (k[2], -1))
+            if not i or kept[i - 1][1] <= k[1]:
+                kept.insert(i, (k[1], k[2]))
+            else:
+                del found[k]
+        return sorted(found.values(), key=lambda x: x["start"])
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, min_coverage: float = 0.8) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontamination import op4
 from .exact_dedup import OP8_SQL, op8
+from .html_extraction import op6
 from .language_id import op3
 from .license_scan import op5
 from .line_dedup import OP1_SQL, op1
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_language_id": op3,
     "op4_decontamination": op4,
     "op5_license_scan": op5,
+    "op6_html_extraction": op6,
     "op8_exact_dedup": op8,
 }
 SQL = {
