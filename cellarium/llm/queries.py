@@ -9,6 +9,7 @@ from .language_id import op3
 from .license_scan import op5
 from .line_dedup import OP1_SQL, op1
 from .mixing import op2
+from .near_dedup import op7
 
 QUERIES = {
     "op1_line_dedup": op1,
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_decontamination": op4,
     "op5_license_scan": op5,
     "op6_html_extraction": op6,
+    "op7_near_dedup": op7,
     "op8_exact_dedup": op8,
 }
 SQL = {
