@@ -10,6 +10,8 @@ from .license_scan import op5
 from .line_dedup import OP1_SQL, op1
 from .mixing import op2
 from .near_dedup import op7
+from .token_counts import op9
+from .url_filter import OP10_SQL, op10
 
 QUERIES = {
     "op1_line_dedup": op1,
@@ -20,8 +22,11 @@ QUERIES = {
     "op6_html_extraction": op6,
     "op7_near_dedup": op7,
     "op8_exact_dedup": op8,
+    "op9_token_counts": op9,
+    "op10_url_filter": op10,
 }
 SQL = {
     "op1_line_dedup": OP1_SQL,
     "op8_exact_dedup": OP8_SQL,
+    "op10_url_filter": OP10_SQL,
 }
