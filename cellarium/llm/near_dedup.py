@@ -13,11 +13,14 @@ Sampling. The variates of a shingle come from a table of 2^16 rows by the shingl
 whole hash and its quantised weight. For weight 1 the quantised weight is 0 and the score is a constant of the table.
 
 Links. Documents with the same shingles and counts are one text. In a bucket, one text is the leader and the others are
-verified against it by their exact weighted Jaccard similarity: never all pairs. As 1 - similarity is a metric, two
-texts whose distances from a leader differ by more than 1 - threshold cannot be similar. Buckets whose texts are not yet all
-in one class get further leaders; texts that still stand apart are compared with all texts of other classes in their bucket
-that the leaders' distances do not rule out. So classes are those of all links within buckets, and links are only left out
-where both texts are in one class already.
+verified against it by their exact weighted Jaccard similarity: never all pairs. The leader is the most central
+text, whose buckets hold most texts: in a group of near copies that is the original or what is closest to it. As
+1 - similarity is a metric, two texts whose distances from the first leader differ by more than 1 - threshold cannot be
+similar, which settles the texts that share a bucket by chance. Buckets whose texts are then not all in one class get further
+leaders, in up to ROUNDS rounds, the most central of the texts outside the bucket's largest class, each verified against all texts
+of other classes that the distances leave. Pairs so grow with the buckets' sizes and not with their squares; buckets of up to
+ROUNDS + 2 texts are settled exactly. In larger ones a link between two texts that no leader is similar to can be
+missed in every bucket that they share; README.md has the measured recall.
 
 Classes are connected components. Everything is in tables in the shared folder; texts move once (those that share a bucket),
 then only those of pairs. Edge cases. Texts without words (null, empty) are each a class of their own. Repeated rows fall into one class,
@@ -41,11 +44,23 @@ from .tokens import words
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 3
+#: Leaders per bucket after the first, see above.
+ROUNDS = 4
 RARE, FLOOR = 1e-2, 0.95
 SKETCH = 1 << 18
 _U = np.uint64
 _ODD = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-_seen: dict[str, int] = {}
+
+
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
+
+
+_seen = _Hashes()
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -57,16 +72,9 @@ def _mix(h: np.ndarray) -> np.ndarray:
 def shingles(text: str | None, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of a text's shingles, and how often each occurs."""
     ws = words(text or "")
-    if len(_seen) > 1_000_000:
-        _seen.clear()
-    ids = []
-    for w in ws:
-        if (h := _seen.get(w)) is None:
-            h = _seen[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-        ids.append(h)
-    if not ids:
+    if not ws:
         return np.zeros(0, _U), np.zeros(0, np.int64)
-    h, n = np.array(ids, _U), min(size, len(ids))
+    h, n = np.fromiter(map(_seen.__getitem__, ws), _U, len(ws)), min(size, len(ws))
     out = np.full(len(h) - n + 1, n, _U)
     for i in range(n):
         out = (out ^ h[i : len(h) - n + 1 + i]) * _ODD[i % 5]
@@ -143,13 +151,24 @@ _CHUNKS = 64
 
 
 def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    counts, n = np.zeros((2, SKETCH), np.int64), 0
+    counts, n, held, size = np.zeros((2, SKETCH), np.int64), 0, [], 0
+
+    def add() -> None:
+        h = np.concatenate(held)
+        counts[0] += np.bincount((h & _U(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+        counts[1] += np.bincount(((h >> _U(20)) & _U(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+
     for batch in batches:
         for text in batch["text"]:
             h, _ = shingles(text)
             n += len(h) > 0
-            np.add.at(counts[0], (h & _U(SKETCH - 1)).astype(np.int64), 1)
-            np.add.at(counts[1], ((h >> _U(20)) & _U(SKETCH - 1)).astype(np.int64), 1)
+            held.append(h)
+            size += len(h)
+            if size > 1 << 19:
+                add()
+                held, size = [], 0
+    if held:
+        add()
     if n:
         parts = counts.reshape(2 * _CHUNKS, -1)
         yield pd.DataFrame({"chunk": range(2 * _CHUNKS), "counts": [x.tobytes() for x in parts], "n": n})
@@ -215,8 +234,8 @@ def _verifier(idf):
 # --- links ---------------------------------------------------------------------------------------------------------
 
 
-def _links(members: DataFrame, texts: DataFrame, idf, threshold: float, rounds: int) -> tuple[DataFrame | None, DataFrame]:
-    """Classes of the texts in members(key, node), as (node, label) of those that have a link, and all verified pairs (a, b, similarity)."""
+def _links(members: DataFrame, texts: DataFrame, idf, threshold: float, rounds: int) -> DataFrame | None:
+    """Classes of the texts in members(key, node, popular), as (node, label) of those that have a link."""
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -234,37 +253,38 @@ def _links(members: DataFrame, texts: DataFrame, idf, threshold: float, rounds:
             return df.withColumn("label", F.col("node"))
         return df.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
-    done = None
-    first = materialise(members.groupBy("key").agg(F.min("node").alias("leader")), "leaders")
-    done = verified(members.join(first, "key").filter("node <> leader").select(F.col("node").alias("x"), F.col("leader").alias("y")))
+    done, label = None, None
+    central = F.struct("popular", "node")
+    first = materialise(members.groupBy("key").agg(F.max(central)["node"].alias("leader")), "leaders")
+    met = materialise(members.join(first, "key"), "met")
+    done = verified(met.filter("node <> leader").select(F.col("node").alias("x"), F.col("leader").alias("y")))
     label = classes()
     reach = 1 - threshold + 1e-9
-    for turn in range(1, rounds + 1):
-        known = with_class(members.join(first, "key"))
-        open_keys = materialise(known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi and n > 2").select("key", "n"), "open")
-        if not open_keys.limit(1).count():
-            break
-        # the distance from the first leader tells which pairs can be similar at all
-        apart = known.join(open_keys, "key").withColumns({"a": F.least("node", "leader"), "b": F.greatest("node", "leader")}).join(done, ["a", "b"], "left")
-        apart = materialise(apart.select("key", "node", "label", "n", F.when(F.col("node") == F.col("leader"), 0.0).otherwise(1 - F.col("similarity")).alias("far")), "apart")
-        if turn < rounds:
-            next_leader = materialise(apart.groupBy("key").agg(F.min_by(F.struct("node", "label", "far"), F.xxhash64("node", F.lit(turn))).alias("l")), "leaders")
-            pairs = apart.join(next_leader, "key").filter((F.col("label") != F.col("l.label")) & (F.abs(F.col("far") - F.col("l.far")) <= reach)).select(F.col("node").alias("x"), F.col("l.node").alias("y"))
-        else:
-            by_class = apart.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
-            largest = materialise(by_class.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("largest")), "largest")
-            rest = materialise(apart.join(largest, "key").filter("label <> largest").select("key", F.col("node").alias("x"), F.col("label").alias("x_label"), F.col("far").alias("x_far")), "rest")
-            pairs = rest.join(apart.select("key", F.col("node").alias("y"), "label", "far"), "key").filter((F.col("x_label") != F.col("label")) & (F.abs(F.col("x_far") - F.col("far")) <= reach)).select("x", "y")
+    # the distance from the first leader tells which pairs can be similar at all
+    ordered = met.withColumns({"a": F.least("node", "leader"), "b": F.greatest("node", "leader")})
+    far = F.when(F.col("node") == F.col("leader"), 0.0).otherwise(1 - F.col("similarity"))
+    met = materialise(ordered.join(done, ["a", "b"], "left").select("key", "node", "popular", far.alias("far"), (F.col("node") == F.col("leader")).alias("led")), "apart")
+    for _ in range(rounds):
+        now = materialise(with_class(met), "labelled")
+        sizes = now.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"), F.count_if(~F.col("led")).alias("open"))
+        # a bucket is done when it is one class, or all but one class have led entirely
+        largest = sizes.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("largest"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("m")).filter("n > 1 and m > 2")
+        now = materialise(now.join(materialise(largest.select("key", "largest"), "open"), "key"), "open-members")
+        who = F.when(~F.col("led") & (F.col("label") != F.col("largest")), F.struct("popular", "node", "label", "far"))
+        leader = materialise(now.groupBy("key").agg(F.max(who).alias("l")).filter("l is not null"), "leaders")
+        turn = now.join(leader, "key")
+        pairs = turn.filter((F.col("label") != F.col("l.label")) & (F.abs(F.col("far") - F.col("l.far")) <= reach)).select(F.col("node").alias("x"), F.col("l.node").alias("y"))
         new = verified(pairs)
-        done = done.union(new)
+        if not leader.limit(1).count():
+            break
+        done = materialise(done.union(new), "done")
+        met = materialise(turn.select("key", "node", "popular", "far", (F.col("led") | (F.col("node") == F.col("l.node"))).alias("led")), "met")
         if new.filter(F.col("similarity") >= threshold).limit(1).count():
             label = classes()
-        elif turn < rounds and not new.limit(1).count():
-            continue
-    return label, done
+    return label
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, rounds: int = ROUNDS) -> DataFrame:
     """One row per row of docs: doc_id, text_id (a hash of the text), class_id (the smallest doc_id in its class), class_size and kept."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row_id"), F.xxhash64(text_of(text_col)).alias("text_id"), text_of(text_col).alias("text"))
@@ -274,15 +294,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     place = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row_id", "text_id")
     nodes = materialise(signed.filter("node is not null").groupBy("node").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")), "nodes")
     keyed = materialise(nodes.select("node", F.explode("bands").alias("key")), "keys")
-    shared = materialise(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "shared")
-    members = materialise(keyed.join(shared, "key"), "members")
+    shared = materialise(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared")
+    buckets = materialise(keyed.join(shared, "key"), "buckets")
+    members = materialise(buckets.join(materialise(buckets.groupBy("node").agg(F.sum("n").alias("popular")), "popular"), "node").select("key", "node", "popular"), "members")
     label = None
     if members.limit(1).count():
         wanted = members.select("node").distinct().join(nodes.select("node", "first"), "node").select("node", F.col("first.doc_id").alias("d"), F.col("first.text_id").alias("t"))
         source = rows.select(F.col("doc_id").alias("d"), F.col("text_id").alias("t"), "text")
         texts = wanted.hint("shuffle_hash").join(source, wanted["d"].eqNullSafe(source["d"]) & (wanted["t"] == source["t"])).select("node", "text")
         texts = materialise(texts.dropDuplicates(["node"]), "texts")  # rows may repeat
-        label, _ = _links(members, texts, idf, threshold, rounds)
+        label = _links(members, texts, idf, threshold, rounds)
     classes = nodes.select("node", "first", "copies")
     classes = classes.withColumn("label", F.col("node")) if label is None else classes.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = materialise(classes, "classes")
