@@ -9,7 +9,7 @@ IDF. How many documents hold a shingle is estimated for all documents by a count
 `FLOOR` at most: with a free range, the shared (frequent) shingles of a large group of near copies would weigh so
 little against each copy's own edits that the copies would not count as similar.
 
-Sampling. The variates of a shingle come from a table of 2^16 rows by the shingle's hash; the sample is the shingle's
+Sampling. The variates of a shingle come from a table of 2^15 rows by the shingle's hash; the sample is the shingle's
 whole hash and its quantised weight. For weight 1 the quantised weight is 0 and the score is a constant of the table.
 
 Links. Documents with the same shingles and counts are one text. In a bucket, one text is the leader and the others are
@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, text_of, with_columns
+from .common import materialise, small_batches, text_of, with_columns
 from .graph import components
 from .tokens import words
 
@@ -54,7 +54,7 @@ _ODD = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779
 
 class _Hashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
         return h
@@ -108,11 +108,17 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return both / (float(a[1].sum() + b[1].sum()) - both)
 
 
+#: Rows of the table of variates, a power of two.
+VARIATES = 1 << 15
+
+
 @cache
 def _variates(samples: int) -> tuple[np.ndarray, ...]:
-    g = np.random.Generator(np.random.PCG64(20240229))
-    r, c, beta = g.gamma(2, 1, (1 << 16, samples)), g.gamma(2, 1, (1 << 16, samples)), g.random((1 << 16, samples))
-    return tuple(x.astype(np.float32) for x in (r, np.log(c), beta, np.log(c) + r * beta - r))
+    g, shape = np.random.Generator(np.random.PCG64(20240229)), (VARIATES, samples)
+    r, c = g.standard_gamma(2, shape, np.float32), g.standard_gamma(2, shape, np.float32)
+    beta = g.random(shape, np.float32)
+    np.log(c, out=c)
+    return r, c, beta, c + r * beta - r
 
 
 def band_keys(h: np.ndarray, w: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
@@ -122,7 +128,7 @@ def band_keys(h: np.ndarray, w: np.ndarray, bands: int = BANDS, rows: int = ROWS
     least, sample = np.full(bands * rows, np.inf, np.float32), np.zeros(bands * rows, _U)
     for k in range(0, len(h), 1 << 14):
         hs, ws = h[k : k + (1 << 14)], w[k : k + (1 << 14)]
-        row = (hs >> _U(48)).astype(np.int64)
+        row = (hs >> _U(40) & _U(VARIATES - 1)).astype(np.int64)
         score, other = at_one[row], np.flatnonzero(ws != 1)
         level = None
         if len(other):
@@ -190,7 +196,9 @@ def corpus_idf(docs: DataFrame, text_col: str = "text") -> Idf:
     schema = "chunk int, counts binary, n long"
     parts = docs.select(F.col(text_col).alias("text")).mapInPandas(_sketch, schema)
     counts, n = np.zeros((2 * _CHUNKS, SKETCH // _CHUNKS), np.int64), 0
-    for row in parts.repartition(2 * _CHUNKS, "chunk").mapInPandas(_sum, schema).collect():
+    with small_batches(docs.sparkSession):
+        rows = parts.repartition(2 * _CHUNKS, "chunk").mapInPandas(_sum, schema).collect()
+    for row in rows:
         counts[row["chunk"]], n = np.frombuffer(bytes(row["counts"]), np.int64), row["n"]
     return Idf(counts.reshape(2, SKETCH), n)
 
@@ -242,7 +250,8 @@ def _links(members: DataFrame, texts: DataFrame, idf, threshold: float, rounds:
         if done is not None:
             pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
         both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        return materialise(both.mapInPandas(_verifier(idf), "a binary, b binary, similarity double"), "pairs")
+        with small_batches(both.sparkSession):
+            return materialise(both.mapInPandas(_verifier(idf), "a binary, b binary, similarity double"), "pairs")
 
     def classes() -> DataFrame | None:
         edges = done.filter(F.col("similarity") >= threshold)
@@ -290,7 +299,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row_id"), F.xxhash64(text_of(text_col)).alias("text_id"), text_of(text_col).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
     idf = spark.sparkContext.broadcast(corpus_idf(docs, text_col))
-    signed = materialise(rows.mapInPandas(_signer(idf), f"doc_id {kind}, row_id long, text_id long, node binary, bands array<long>"), "signed")
+    with small_batches(spark):
+        signed = materialise(rows.mapInPandas(_signer(idf), f"doc_id {kind}, row_id long, text_id long, node binary, bands array<long>"), "signed")
     place = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row_id", "text_id")
     nodes = materialise(signed.filter("node is not null").groupBy("node").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")), "nodes")
     keyed = materialise(nodes.select("node", F.explode("bands").alias("key")), "keys")
