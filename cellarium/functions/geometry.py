@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .mapping import Index, cell_at, div, indices_of, level_of
+from .mapping import Index, cell_at, div, indices_of, level_of, shl
 from .meta import Cartesian, GridMeta, Stretched
 
 Point = tuple[Column, Column, Column]
@@ -19,6 +19,10 @@ def _edge(edges: tuple[float, ...], k: Column) -> Column:
     return F.lit([float(e) for e in edges])[k.cast("int")]
 
 
+def _up_to(edges: tuple[float, ...], c: Column) -> Column:
+    return F.filter(F.lit([float(x) for x in edges]), lambda x: x <= c)
+
+
 def _start_of(meta: GridMeta, index: Index) -> tuple[list[Column], list[Column]]:
     """Coordinate of the indices, and how long a cell of level 0 is there."""
     m = 1 << meta.max_level
@@ -34,8 +38,14 @@ def _start_of(meta: GridMeta, index: Index) -> tuple[list[Column], list[Column]]
 
 
 def length_at(meta: GridMeta, index: Index, level: Column) -> Point:
-    scale = F.element_at(F.lit([1.0 / (1 << k) for k in range(meta.max_level + 1)]), level + 1)
-    return tuple(d * scale for d in _start_of(meta, index)[1])
+    """Length of the cell of a level (null: none) at given indices."""
+    return tuple(d / shl(1, level) for d in _start_of(meta, index)[1])
+
+
+def middle_at(meta: GridMeta, index: Index, level: Column) -> Point:
+    """Center of a cell known to be in the grid."""
+    at, size = _start_of(meta, index)
+    return tuple(a + d / shl(2, level) for a, d in zip(at, size))
 
 
 def center_at(meta: GridMeta, level: Column, index: Index) -> Point:
@@ -43,14 +53,12 @@ def center_at(meta: GridMeta, level: Column, index: Index) -> Point:
     ok = (level >= 0) & (level <= meta.max_level)
     for i, n in zip(index, meta.extent):
         ok = ok & (i >= 0) & (i < n)
-    level = F.when(ok, level)
-    index = tuple(F.when(ok, i) for i in index)
-    at, _ = _start_of(meta, index)
-    return tuple(a + d / 2 for a, d in zip(at, length_at(meta, index, level)))
+    return tuple(F.when(ok, c) for c in middle_at(meta, index, level))
 
 
 def _known(meta: GridMeta, cell: Column) -> tuple[Column, Index]:
-    level = F.when(level_of(meta, cell) >= 0, level_of(meta, cell))
+    level = level_of(meta, cell)
+    level = F.when(level >= 0, level)
     return level, indices_of(meta, cell, level)
 
 
@@ -61,8 +69,7 @@ def length(meta: GridMeta, cell: Column) -> Point:
 
 def center(meta: GridMeta, cell: Column) -> Point:
     level, index = _known(meta, cell)
-    at, _ = _start_of(meta, index)
-    return tuple(a + d / 2 for a, d in zip(at, length_at(meta, index, level)))
+    return middle_at(meta, index, level)
 
 
 def minimum(meta: GridMeta, cell: Column) -> Point:
@@ -92,7 +99,7 @@ def indices_at(meta: GridMeta, point: Point) -> Index:
     for d, c in enumerate(real_coordinate(meta, point)):
         if isinstance(meta.geometry, Stretched):
             e = meta.geometry.edges[d]
-            k = F.size(F.filter(F.lit([float(x) for x in e]), lambda x, c=c: x <= c)) - 1
+            k = F.size(_up_to(e, c)) - 1
             low = _edge(e, k)
             inside = F.least(F.floor((c - low) / (_edge(e, k + 1) - low) * m), F.lit(m - 1).cast("long"))
             out.append(F.when(c.isNotNull(), F.when(k < len(e) - 1, k.cast("long") * m + inside).otherwise(F.lit((len(e) - 1) * m).cast("long"))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .meta import GridMeta
@@ -27,15 +27,20 @@ def shr(a, b) -> Column:
     return F.call_function("shiftright", _long(a), (b if isinstance(b, Column) else F.lit(b)).cast("int"))
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once where it would be repeated many times over."""
+    return F.transform(F.array(value), use)[0]
+
+
 def cells_before(meta: GridMeta, level: Column) -> Column:
-    """Number of possible cells of smaller levels."""
-    return F.element_at(F.array(*[_long(meta.cells_before(k)) for k in range(meta.max_level + 1)]), level + 1)
+    """Number of possible cells of smaller levels; null for other levels."""
+    return F.get(F.array(*[_long(meta.cells_before(k)) for k in range(meta.max_level + 1)]), level)
 
 
 def level_of(meta: GridMeta, cell: Column) -> Column:
     """Refinement level, -1 for ids that are no cell's."""
-    level = sum((F.when(cell > meta.cells_before(k), 1).otherwise(0) for k in range(1, meta.max_level + 1)), F.lit(0))
-    return F.when((cell < 1) | (cell > meta.last_cell) | cell.isNull(), -1).otherwise(level).cast("int")
+    level = sum(((cell > meta.cells_before(k)).cast("int") for k in range(1, meta.max_level + 1)), F.lit(0))
+    return F.when((cell >= 1) & (cell <= meta.last_cell), level).otherwise(-1)
 
 
 def length_in_indices(meta: GridMeta, level: Column) -> Column:
@@ -43,13 +48,11 @@ def length_in_indices(meta: GridMeta, level: Column) -> Column:
 
 
 def indices_of(meta: GridMeta, cell: Column, level: Column | None = None) -> Index:
-    """Indices of the cell's corner nearest the origin; null for ids that are no cell's."""
+    """Indices of the cell's corner nearest the origin; null for ids that are no cell's. level: the cell's, if it is at hand as a column."""
     level = level_of(meta, cell) if level is None else level
     x, y, _ = meta.length
-    at = F.when(level >= 0, level)
-    rest, step = cell - 1 - cells_before(meta, at), F.lit(meta.max_level) - at
-    wide, deep = shl(x, at), shl(y, at)
-    return shl(rest % wide, step), shl(div(rest, wide) % deep, step), shl(div(rest, wide * deep), step)
+    rest, step = cell - 1 - cells_before(meta, level), F.lit(meta.max_level) - level
+    return shl(rest % shl(x, level), step), shl(div(rest, shl(x, level)) % shl(y, level), step), shl(div(rest, shl(x * y, level * 2)), step)
 
 
 def cell_at(meta: GridMeta, index: Index, level: Column) -> Column:
@@ -58,50 +61,85 @@ def cell_at(meta: GridMeta, index: Index, level: Column) -> Column:
     inside = (level >= 0) & (level <= meta.max_level)
     for i, n in zip(index, meta.extent):
         inside = inside & (i >= 0) & (i < n)
-    at = F.when(inside, level)
-    step = F.lit(meta.max_level) - at
-    i, j, k = (shr(c, step) for c in index)
-    wide = shl(x, at)
-    return F.coalesce(F.lit(1).cast("long") + cells_before(meta, at) + i + j * wide + k * wide * shl(y, at), F.lit(0).cast("long"))
+    i, j, k = (shr(c, F.lit(meta.max_level) - level) for c in index)
+    return F.when(inside, cells_before(meta, level) + 1 + i + j * shl(x, level) + k * shl(x * y, level * 2)).otherwise(F.lit(0).cast("long"))
+
+
+def cell_inside(meta: GridMeta, index: Index, level: Column) -> Column:
+    """cell_at for indices and a level known to be in the grid."""
+    x, y, _ = meta.length
+    i, j, k = (shr(c, F.lit(meta.max_level) - level) for c in index)
+    return cells_before(meta, level) + 1 + i + j * shl(x, level) + k * shl(x * y, level * 2)
+
 
+def children_inside(meta: GridMeta, first: Column, level: Column) -> list[Column]:
+    """The eight children of a cell of a level below the largest, from the first: a step in y is a row, one in z a plane of the next level."""
+    x, y, _ = meta.length
+    wide, plane = shl(2 * x, level), shl(4 * x * y, level * 2)
+    return [first, first + 1, first + wide, first + wide + 1, first + plane, first + plane + 1, first + plane + wide, first + plane + wide + 1]
+
+
+def parent_at(meta: GridMeta, cell: Column, level: Column, index: Index) -> Column:
+    """The parent of a cell whose level and indices are at hand; the cell itself at level 0."""
+    return F.when(level > 0, cell_at(meta, index, level - 1)).otherwise(cell)
 
-def parent(meta: GridMeta, cell: Column, level: Column | None = None, index: Index | None = None) -> Column:
+
+def parent(meta: GridMeta, cell: Column) -> Column:
     """The cell itself at level 0, 0 for no cell."""
-    level = level_of(meta, cell) if level is None else level
-    return F.when(level > 0, cell_at(meta, index or indices_of(meta, cell, level), level - 1)).when(level == 0, cell).otherwise(0)
+    return let(_place(meta, cell), lambda p: F.when(p["lvl"] >= 0, parent_at(meta, p["cell"], p["lvl"], _index(p))).otherwise(F.lit(0).cast("long")))
 
 
-def first_child(meta: GridMeta, cell: Column, level: Column | None = None) -> Column:
+def first_child(meta: GridMeta, cell: Column) -> Column:
     """The cell itself at the largest level, 0 for no cell."""
-    level = level_of(meta, cell) if level is None else level
-    return F.when((level >= 0) & (level < meta.max_level), cell_at(meta, indices_of(meta, cell, level), level + 1)).when(level == meta.max_level, cell).otherwise(0)
+    return let(_place(meta, cell), lambda p: F.when(p["lvl"] == meta.max_level, p["cell"]).when(p["lvl"] >= 0, cell_at(meta, _index(p), p["lvl"] + 1)).otherwise(F.lit(0).cast("long")))
 
 
 def children_at(meta: GridMeta, index: Index, level: Column) -> list[Column]:
-    """The eight children of the cell of a level at given indices, x fastest, then y, z."""
-    half = shl(1, F.lit(meta.max_level - 1) - F.least(level, F.lit(meta.max_level - 1)))
+    """The eight children of the cell of a level at given indices, x fastest, then y, z; zeros at the largest level."""
+    half = shr(1 << meta.max_level, level + 1)
     return [cell_at(meta, tuple(c + half if k >> d & 1 else c for d, c in enumerate(index)), level + 1) for k in range(8)]
 
 
-def children(meta: GridMeta, cell: Column, level: Column | None = None) -> Column:
+def children(meta: GridMeta, cell: Column) -> Column:
     """Array of the eight children; zeros where there are none."""
-    if meta.max_level == 0:
-        return F.array(*[_long(0)] * 8)
-    level = level_of(meta, cell) if level is None else level
-    ids = F.array(*children_at(meta, indices_of(meta, cell, level), level))
-    return F.when((level >= 0) & (level < meta.max_level), ids).otherwise(F.array(*[_long(0)] * 8))
+    return let(_place(meta, cell), lambda p: F.array(*children_at(meta, _index(p), F.when(p["lvl"] >= 0, p["lvl"]).otherwise(F.lit(meta.max_level)))))
 
 
 def siblings(meta: GridMeta, cell: Column) -> Column:
     """Array of the parent's children; at level 0 the cell and zeros."""
-    level = level_of(meta, cell)
-    alone = F.array(F.when(level == 0, cell).otherwise(0), *[_long(0)] * 7)
-    return F.when(level > 0, children(meta, parent(meta, cell, level), level - 1)).otherwise(alone)
 
+    def of(p: Column) -> Column:
+        two = shr(2 << meta.max_level, p["lvl"])  # length of the parent
+        corner = tuple(c - c % two for c in _index(p))
+        none = [_long(0)] * 7
+        return F.when(p["lvl"] > 0, F.array(*children_at(meta, corner, p["lvl"] - 1))).otherwise(F.array(F.when(p["lvl"] == 0, p["cell"]).otherwise(F.lit(0).cast("long")), *none))
 
-def level0_parent(meta: GridMeta, cell: Column, level: Column | None = None) -> Column:
-    level = level_of(meta, cell) if level is None else level
-    return F.when(level > 0, cell_at(meta, indices_of(meta, cell, level), F.lit(0))).when(level == 0, cell).otherwise(0)
+    return let(_place(meta, cell), of)
+
+
+def level0_parent(meta: GridMeta, cell: Column) -> Column:
+    return let(_place(meta, cell), lambda p: cell_at(meta, _index(p), F.when(p["lvl"] >= 0, F.lit(0)).otherwise(-1)))
+
+
+def _place(meta: GridMeta, cell: Column) -> Column:
+    """cell, lvl, ix, iy, iz."""
+
+    def of(p: Column) -> Column:
+        at = F.when(p["lvl"] >= 0, p["lvl"])
+        return F.struct(p["cell"].alias("cell"), p["lvl"].alias("lvl"), *[i.alias(n) for i, n in zip(indices_of(meta, p["cell"], at), ("ix", "iy", "iz"))])
+
+    return let(F.struct(_long(cell).alias("cell"), level_of(meta, cell).alias("lvl")), of)
+
+
+def _index(p: Column) -> Index:
+    return p["ix"], p["iy"], p["iz"]
+
+
+def with_place(df: DataFrame, meta: GridMeta, cell: str = "cell", prefix: str = "") -> DataFrame:
+    """df with lvl, ix, iy, iz, len of its cells as columns, each computed once and in generated code: what plans over many rows use. Indices and length are null for ids that are no cell's."""
+    df = df.withColumn(prefix + "lvl", level_of(meta, F.col(cell)))
+    at = F.when(F.col(prefix + "lvl") >= 0, F.col(prefix + "lvl"))
+    return df.withColumns({**{prefix + n: i for n, i in zip(("ix", "iy", "iz"), indices_of(meta, F.col(cell), at))}, prefix + "len": length_in_indices(meta, F.col(prefix + "lvl"))})
 
 
 def ancestor(meta: GridMeta, index: Index, level: int | Column) -> Column:

@@ -67,7 +67,7 @@ def blocked_boxes(grid: Grid, refined: DataFrame) -> DataFrame:
     index = tuple(F.col(c) for c in _INDEX)
     ups = F.array(*[F.when(F.col("lvl") >= k + 2, mapping.ancestor(meta, index, k)) for k in range(max(0, meta.max_level - 1))] or [F.lit(None).cast("long")])
     deep = grid.cells.filter("lvl >= 2").select(F.explode(ups).alias("box")).filter("box is not null")
-    near = refined.filter("lvl >= 1").select(mapping.parent(meta, F.col("cell")).alias("box"))
+    near = refined.filter("lvl >= 1").select(mapping.cell_at(meta, index, F.col("lvl") - 1).alias("box"))
     return deep.union(near).distinct()
 
 
@@ -101,22 +101,21 @@ def adapt(
 
     # one request for any sibling is enough; groups are named by their parent
     def group(ids: DataFrame) -> DataFrame:
-        return ids.select(mapping.parent(meta, F.col("cell")).alias("group"), mapping.level_of(meta, F.col("cell")).alias("lvl")).filter("lvl > 0").select("group").distinct()
+        placed = mapping.with_place(ids.select("cell"), meta).filter("lvl > 0")
+        return placed.select(mapping.cell_at(meta, tuple(F.col(c) for c in _INDEX), F.col("lvl") - 1).alias("group")).distinct()
 
     groups = group(cells.join(_ids(grid, unrefine), "cell", "left_semi").select("cell"))
     for against in (chosen, _ids(grid, dont_unrefine), at_limit):
         groups = groups.join(group(against), "group", "left_anti")
-    members = cells.filter("lvl > 0").withColumn("group", mapping.parent(meta, F.col("cell"), F.col("lvl"), tuple(F.col(c) for c in _INDEX))).join(groups, "group")
+    members = cells.filter("lvl > 0").withColumn("group", mapping.parent_at(meta, F.col("cell"), F.col("lvl"), tuple(F.col(c) for c in _INDEX))).join(groups, "group")
     whole = members.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n = 8").select("group")
-    level = mapping.level_of(meta, F.col("group"))
-    ix, iy, iz = mapping.indices_of(meta, F.col("group"), level)
-    boxes = whole.select(F.col("group").alias("cell"), level.alias("lvl"), ix.alias("ix"), iy.alias("iy"), iz.alias("iz"), mapping.length_in_indices(meta, level).alias("len"))
+    boxes = mapping.with_place(whole.withColumnRenamed("group", "cell"), meta)
     around = probes(grid, boxes, grid.offsets()).select("cell", mapping.cell_at(meta, (F.col("wx"), F.col("wy"), F.col("wz")), F.col("lvl")).alias("box"))
     stopped = around.join(blocked_boxes(grid, refined), "box", "left_semi").select(F.col("cell").alias("group")).distinct()
     merged = settle(whole.join(stopped, "group", "left_anti"))
     gone = settle(members.join(merged, "group", "left_semi"))
 
-    born = refined.withColumn("__child", F.explode(mapping.children(meta, F.col("cell"), F.col("lvl"))))
+    born = refined.withColumn("__first", mapping.cell_inside(meta, tuple(F.col(c) for c in _INDEX), F.col("lvl") + 1)).withColumn("__child", F.explode(F.array(*mapping.children_inside(meta, F.col("__first"), F.col("lvl")))))
     values = {c: (prolong or {}).get(c, F.col(c)) for c in user}
     born = born.select(F.col("__child").alias("cell"), "part", "weight", "pin", *[v.alias(c) for c, v in values.items()])
     first = F.min_by("part", "cell").alias("part")
@@ -132,9 +131,7 @@ def adapt(
 def load_cells(grid: Grid, wanted: DataFrame | list[int]) -> Grid:
     """From a grid of level 0, refine until the listed cells exist. Ids that are no cell's are passed over."""
     meta = grid.meta
-    ids = _ids(grid, wanted).withColumn("lvl", mapping.level_of(meta, F.col("cell"))).filter("lvl >= 0")
-    ix, iy, iz = mapping.indices_of(meta, F.col("cell"), F.col("lvl"))
-    ids = settle(ids.withColumns({"ix": ix, "iy": iy, "iz": iz}))
+    ids = settle(mapping.with_place(_ids(grid, wanted), meta).filter("lvl >= 0"))
     for k in range(ids.agg(F.max("lvl")).first()[0] or 0):
         ups = ids.filter(F.col("lvl") > k).select(mapping.ancestor(meta, (F.col("ix"), F.col("iy"), F.col("iz")), k).alias("cell")).distinct()
         grid = adapt(grid, refine=ups).grid

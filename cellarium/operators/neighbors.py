@@ -21,7 +21,7 @@ _AXES = ("ix", "iy", "iz")
 def probes(grid: Grid, cells: DataFrame, offsets, keep: tuple[str, ...] = ()) -> DataFrame:
     """A row per cell and offset whose box is inside the grid: tx.. (target relative to the cell's corner, unwrapped) and wx.. (its corner, wrapped)."""
     hood = F.array(*[F.struct(F.lit(i).alias("ord"), *[F.lit(h).cast("long").alias(n) for h, n in zip(o, ("hx", "hy", "hz"))]) for i, o in enumerate(offsets)])
-    rows = cells.select(*keep, "cell", "lvl", *_AXES, "len", F.explode(hood).alias("h")).select(*keep, "cell", "lvl", *_AXES, "len", "h.*")
+    rows = cells.select(*keep, "cell", "lvl", *_AXES, "len", F.explode(hood).alias("__h")).select(*keep, "cell", "lvl", *_AXES, "len", "__h.*")
     for axis, h, n, around in zip(_AXES, ("hx", "hy", "hz"), grid.meta.extent, grid.meta.periodic):
         target = F.col(axis) + F.col(h) * F.col("len")
         if not around:
@@ -41,11 +41,12 @@ def neighbors_of(grid: Grid, hood=DEFAULT, cells: DataFrame | None = None, keep:
     rows = probes(grid, source, offsets, keep)
     corner = tuple(F.col("w" + a) for a in "xyz")
     away = [F.col("t" + a) for a in "xyz"]
-    rows = rows.withColumn("same", mapping.cell_at(meta, corner, F.col("lvl")))
+    rows = rows.withColumn("same", mapping.cell_inside(meta, corner, F.col("lvl")))
     if grid.uniform:
         return rows.select(*keep, "cell", "ord", F.col("same").alias("nbr"), *[a.alias("o" + n) for a, n in zip(away, "xyz")])
     big = F.col("len") * 2
-    rows = rows.withColumn("coarse", mapping.cell_at(meta, corner, F.col("lvl") - 1))
+    up, down = F.greatest(F.col("lvl") - 1, F.lit(0)), F.least(F.col("lvl") + 1, F.lit(meta.max_level))
+    rows = rows.withColumns({"coarse": F.when(F.col("lvl") > 0, mapping.cell_inside(meta, corner, up)), "down": mapping.cell_inside(meta, corner, down)})
     leaf = grid.ids
     rows = rows.join(leaf.withColumnRenamed("cell", "is_same"), F.col("same") == F.col("is_same"), "left")
     rows = rows.join(leaf.withColumnRenamed("cell", "is_coarse"), F.when(F.col("is_same").isNull(), F.col("coarse")) == F.col("is_coarse"), "left")
@@ -56,9 +57,9 @@ def neighbors_of(grid: Grid, hood=DEFAULT, cells: DataFrame | None = None, keep:
     zero, half = F.lit(0).cast("long"), mapping.div(F.col("len"), 2)
     same = F.array(entry(F.col("same"), (zero, zero, zero)))
     coarse = F.array(entry(F.col("coarse"), tuple(-(c % big) for c in corner)))
-    fine = F.array(*[entry(c, tuple(half if k >> d & 1 else zero for d in range(3))) for k, c in enumerate(mapping.children_at(meta, corner, F.col("lvl")))])
+    fine = F.array(*[entry(c, tuple(half if k >> d & 1 else zero for d in range(3))) for k, c in enumerate(mapping.children_inside(meta, F.col("down"), F.col("lvl")))])
     found = F.when(F.col("is_same").isNotNull(), same).when(F.col("is_coarse").isNotNull(), coarse).when(F.col("lvl") < meta.max_level, fine).otherwise(same)
-    return rows.select(*keep, "cell", "ord", F.explode(found).alias("n")).select(*keep, "cell", "ord", "n.*").select(*out)
+    return rows.select(*keep, "cell", "ord", F.explode(found).alias("__n")).select(*keep, "cell", "ord", "__n.*").select(*out)
 
 
 def neighbors_to(grid: Grid, hood=DEFAULT) -> DataFrame:

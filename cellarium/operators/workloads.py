@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import geometry
+from ..functions import geometry, mapping
 from ..functions.meta import GridMeta
 from ..plans.grid import DEFAULT, Grid
 from ..plans.shared import settle
@@ -33,8 +33,6 @@ def life_step(grid: Grid, alive: str = "alive", hood=DEFAULT) -> Grid:
 
 def life_step_refined(grid: Grid, alive: str = "alive", hood=DEFAULT) -> Grid:
     """A step on a refined grid that gives each leaf what its ancestor of level 0 gets on the unrefined one."""
-    from ..functions import mapping
-
     counts = level0_stencil(grid, {"__around": F.sum(f"n_{alive}")}, (alive,), hood)
     cells = grid.cells.withColumn("l0", mapping.level0_parent(grid.meta, F.col("cell"))).join(counts, "l0", "left")
     return grid.with_cells(cells.withColumn(alive, born_or_kept(F.col(alive), F.coalesce("__around", F.lit(0)))).drop("l0", "__around"))
@@ -232,6 +230,7 @@ def propagate(grid: Grid, particles: DataFrame, velocity: tuple[float, float, fl
 
 def geometry_averages(spark, meta: GridMeta, cells: int) -> DataFrame:
     """Mean length and center of the first `cells` ids: one projection over a range, no shuffle but the last sum."""
-    df = spark.range(1, cells + 1).withColumnRenamed("id", "cell")
-    lengths, centers = geometry.length(meta, F.col("cell")), geometry.center(meta, F.col("cell"))
+    df = mapping.with_place(spark.range(1, cells + 1).withColumnRenamed("id", "cell"), meta)
+    index = (F.col("ix"), F.col("iy"), F.col("iz"))
+    lengths, centers = geometry.length_at(meta, index, F.col("lvl")), geometry.middle_at(meta, index, F.col("lvl"))
     return df.agg(*[F.avg(v).alias(f"length_{a}") for a, v in zip("xyz", lengths)], *[F.avg(v).alias(f"center_{a}") for a, v in zip("xyz", centers)])

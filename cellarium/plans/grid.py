@@ -22,12 +22,6 @@ DEFAULT = None
 Offset = tuple[int, int, int]
 
 
-def place_columns(meta: GridMeta, cell: Column) -> dict[str, Column]:
-    level = mapping.level_of(meta, cell)
-    ix, iy, iz = mapping.indices_of(meta, cell, level)
-    return {"lvl": level, "ix": ix, "iy": iy, "iz": iz, "len": mapping.length_in_indices(meta, level)}
-
-
 @dataclass(frozen=True)
 class Grid:
     meta: GridMeta
@@ -56,10 +50,10 @@ class Grid:
     def of(meta: GridMeta, cells: DataFrame, leaves: int | None = None, uniform: bool = False) -> Grid:
         """A grid of existing cells; cells has at least a column cell. Missing owners are part 0, missing weights 1."""
         have, names = set(cells.columns), cells.columns
-        new = place_columns(meta, F.col("cell"))
-        new |= {"part": F.col("part").cast("int") if "part" in have else F.lit(0), "weight": F.col("weight").cast("double") if "weight" in have else F.lit(1.0), "pin": F.col("pin").cast("int") if "pin" in have else F.lit(None).cast("int")}
+        new = {"part": F.col("part").cast("int") if "part" in have else F.lit(0), "weight": F.col("weight").cast("double") if "weight" in have else F.lit(1.0), "pin": F.col("pin").cast("int") if "pin" in have else F.lit(None).cast("int")}
         user = [c for c in names if c not in CORE]
-        return Grid(meta, cells.select(F.col("cell").cast("long").alias("cell"), *[v.alias(k) for k, v in new.items()], *user), leaves=leaves, uniform=uniform or meta.max_level == 0)
+        placed = mapping.with_place(cells.select(F.col("cell").cast("long").alias("cell"), *[v.alias(k) for k, v in new.items()], *user), meta)
+        return Grid(meta, placed.select(*CORE, *user), leaves=leaves, uniform=uniform or meta.max_level == 0)
 
     def with_cells(self, cells: DataFrame, **changes) -> Grid:
         return _replace(self, cells=cells, **changes)

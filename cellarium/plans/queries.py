@@ -258,7 +258,7 @@ def box_query(spark, sf_dir):
 
 
 @query(
-    f"WITH {leaves_sql()}, i AS (SELECT range AS cell FROM range(0, 1100)), p AS (SELECT cell, {O.level(M1, 'cell')} AS lvl FROM i) SELECT p.cell, CAST(CASE WHEN p.lvl = 1 AND {O.ancestor(M1, 'p.cell', '0')} IN (SELECT cell FROM ids) THEN {O.ancestor(M1, 'p.cell', '0')} WHEN p.cell IN (SELECT cell FROM ids) THEN p.cell ELSE 0 END AS BIGINT) AS parent, CAST(CASE WHEN p.lvl = 0 AND {O.cell(M1, O.index(M1, 'p.cell', '0'), '1')} IN (SELECT cell FROM ids) THEN {O.cell(M1, O.index(M1, 'p.cell', '0'), '1')} WHEN p.cell IN (SELECT cell FROM ids) THEN p.cell ELSE 0 END AS BIGINT) AS child, CAST(coalesce((SELECT part FROM leaf WHERE leaf.cell = p.cell), -1) AS INTEGER) AS part FROM p"
+    f"WITH {leaves_sql()}, i AS (SELECT range AS cell FROM range(0, 1100)), p AS (SELECT cell, nullif({O.level(M1, 'cell')}, -1) AS lvl FROM i) SELECT p.cell, CAST(CASE WHEN p.lvl = 1 AND {O.cell(M1, O.index(M1, 'p.cell', 'p.lvl'), '0')} IN (SELECT cell FROM ids) THEN {O.cell(M1, O.index(M1, 'p.cell', 'p.lvl'), '0')} WHEN p.cell IN (SELECT cell FROM ids) THEN p.cell ELSE 0 END AS BIGINT) AS parent, CAST(CASE WHEN p.lvl = 0 AND {O.cell(M1, O.index(M1, 'p.cell', '0'), '1')} IN (SELECT cell FROM ids) THEN {O.cell(M1, O.index(M1, 'p.cell', '0'), '1')} WHEN p.cell IN (SELECT cell FROM ids) THEN p.cell ELSE 0 END AS BIGINT) AS child, CAST(coalesce((SELECT part FROM leaf WHERE leaf.cell = p.cell), -1) AS INTEGER) AS part FROM p"
 )
 def existing_parent_child_owner(spark, sf_dir):
     grid = one_level(spark, sf_dir)
@@ -306,7 +306,7 @@ def neighbors_user_hood(spark, sf_dir):
     return N.neighbors_of(one_level(spark, sf_dir).add_hood("cross", CROSS), "cross")
 
 
-FACES_SQL = f"n AS ({O.near(M1, offsets=[(0, 0, -1), (0, -1, 0), (-1, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, 1)])}), f AS (SELECT DISTINCT n.cell, n.nbr, n.ox, n.oy, n.oz, a.len AS len, b.len AS nlen, CASE WHEN ox = a.len THEN 1 WHEN ox = -b.len THEN -1 WHEN oy = a.len THEN 2 WHEN oy = -b.len THEN -2 WHEN oz = a.len THEN 3 ELSE -3 END AS direction FROM n JOIN leaf a ON a.cell = n.cell JOIN leaf b ON b.cell = n.nbr WHERE CAST(ox > -b.len AND ox < a.len AS INTEGER) + CAST(oy > -b.len AND oy < a.len AS INTEGER) + CAST(oz > -b.len AND oz < a.len AS INTEGER) = 2)"
+FACES_SQL = f"n AS ({O.near(M1, offsets=[(0, 0, -1), (0, -1, 0), (-1, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, 1)])}), f AS (SELECT DISTINCT n.cell, n.nbr, n.ox, n.oy, n.oz, a.len AS len, b.len AS nlen, CASE WHEN ox = a.len THEN 1 WHEN ox = -b.len THEN -1 WHEN oy = a.len THEN 2 WHEN oy = -b.len THEN -2 WHEN oz = a.len THEN 3 WHEN oz = -b.len THEN -3 END AS direction FROM n JOIN leaf a ON a.cell = n.cell JOIN leaf b ON b.cell = n.nbr WHERE CAST(ox > -b.len AND ox < a.len AS INTEGER) + CAST(oy > -b.len AND oy < a.len AS INTEGER) + CAST(oz > -b.len AND oz < a.len AS INTEGER) = 2 AND (ox IN (a.len, -b.len) OR oy IN (a.len, -b.len) OR oz IN (a.len, -b.len)))"
 
 
 @query(f"WITH {leaves_sql()}, {FACES_SQL} SELECT cell, nbr, direction FROM f")
@@ -342,12 +342,13 @@ def boundary_local(spark, sf_dir):
     return B.boundary_local(one_level(spark, sf_dir)).select("cell", "part")
 
 
-THIRDS = f"WITH leaf AS (SELECT *, CAST(CASE WHEN cell - 1 < 39 THEN 0 WHEN cell - 1 < 78 THEN 1 ELSE 2 END AS INTEGER) AS part FROM ({O.placed(FLAT, 'SELECT range AS cell FROM range(1, 118)')})), n AS ({O.near(FLAT, offsets=hood)})" if (hood := [(0, 0, 1)]) else ""
+ALONG = [(1, 0, 0)]
+BLOCKS = f"WITH leaf AS (SELECT *, CAST(CASE WHEN cell - 1 < 32 THEN (cell - 1) // 16 ELSE 2 + (cell - 33) // 17 END AS INTEGER) AS part FROM ({O.placed(FLAT, 'SELECT range AS cell FROM range(1, 118)')})), n AS (SELECT n.cell, n.nbr FROM ({O.near(FLAT, offsets=ALONG)}) n JOIN leaf a ON a.cell = n.cell JOIN leaf b ON b.cell = n.nbr WHERE a.part <> b.part)"
 
 
-@query(f"{THIRDS} SELECT cell, part FROM leaf WHERE cell NOT IN (SELECT n.cell FROM n JOIN leaf a ON a.cell = n.cell JOIN leaf b ON b.cell = n.nbr WHERE a.part <> b.part UNION SELECT n.nbr FROM n JOIN leaf a ON a.cell = n.cell JOIN leaf b ON b.cell = n.nbr WHERE a.part <> b.part)")
+@query(f"{BLOCKS} SELECT cell, part FROM leaf WHERE cell NOT IN (SELECT cell FROM n UNION SELECT nbr FROM n)")
 def boundary_inner(spark, sf_dir):
-    return B.inner_cells(Grid.level0(spark, FLAT, 3).add_hood("up", [(0, 0, 1)]), "up").select("cell", "part")
+    return B.inner_cells(Grid.level0(spark, FLAT, 7).add_hood("along", ALONG), "along").select("cell", "part")
 
 
 @query(f"{NEAR_PARTS} SELECT DISTINCT to_part, cell FROM (SELECT part AS to_part, nbr AS cell FROM x UNION SELECT n_part, cell FROM x)")
@@ -487,17 +488,17 @@ def neighbors_of_two_levels(spark, sf_dir):
 
 
 @query(
-    f"WITH {_P0}, {_NEAR1}, v0 AS (SELECT cell FROM g1 WHERE cell IN (2, 21, 59)), v1 AS (SELECT cell FROM v0 UNION SELECT n1.nbr FROM n1 JOIN g1 a ON a.cell = n1.cell JOIN g1 b ON b.cell = n1.nbr WHERE n1.cell IN (SELECT cell FROM v0) AND b.lvl > a.lvl), w AS (SELECT cell FROM c1 WHERE cell NOT IN (SELECT cell FROM v1)), w2 AS (SELECT cell FROM w UNION SELECT n1.nbr FROM n1 JOIN g1 a ON a.cell = n1.cell JOIN g1 b ON b.cell = n1.nbr WHERE n1.cell IN (SELECT cell FROM w) AND b.lvl < a.lvl) SELECT cell FROM ({O.children(M2, 'SELECT cell FROM w2')})"
+    f"WITH {_P0}, {_NEAR1}, v0 AS (SELECT cell FROM g1 WHERE cell IN (2, 14)), v1 AS (SELECT cell FROM v0 UNION SELECT n1.nbr FROM n1 JOIN g1 a ON a.cell = n1.cell JOIN g1 b ON b.cell = n1.nbr WHERE n1.cell IN (SELECT cell FROM v0) AND b.lvl > a.lvl), w AS (SELECT cell FROM c1 WHERE cell NOT IN (SELECT cell FROM v1)), w2 AS (SELECT cell FROM w UNION SELECT n1.nbr FROM n1 JOIN g1 a ON a.cell = n1.cell JOIN g1 b ON b.cell = n1.nbr WHERE n1.cell IN (SELECT cell FROM w) AND b.lvl < a.lvl) SELECT cell FROM ({O.children(M2, 'SELECT cell FROM w2')})"
 )
 def refine_vetoed(spark, sf_dir):
     """New cells where refining some cells is vetoed: finer neighbors of vetoed cells stay whole too."""
     grid = A.adapt(Grid.level0(spark, M2), refine=[1, 20, 60, 61]).grid
     chosen = grid.cells.filter("lvl = 1 and (ix + iy + iz) % 3 = 0").select("cell")
-    return A.adapt(grid, refine=chosen, dont_refine=[2, 21, 59]).new
+    return A.adapt(grid, refine=chosen, dont_refine=[2, 14]).new
 
 
 _MERGE = (
-    f"WITH {_TWO}, leaf AS ({O.placed(M2, 'SELECT cell FROM a2')}), u AS (SELECT cell, lvl, {O.ancestor(M2, 'cell', 'lvl - 1')} AS grp FROM leaf WHERE lvl > 0), g AS (SELECT grp FROM u GROUP BY grp HAVING count(*) = 8 AND count(*) FILTER (cell % 5 = 0) > 0 AND count(*) FILTER (cell % 11 = 3) = 0), "
+    f"WITH {_TWO}, leaf AS ({O.placed(M2, 'SELECT cell FROM a2')}), u AS (SELECT cell, lvl, {O.ancestor(M2, 'cell', 'greatest(lvl - 1, 0)')} AS grp FROM leaf WHERE lvl > 0), g AS (SELECT grp FROM u GROUP BY grp HAVING count(*) = 8 AND count(*) FILTER (cell % 5 = 0) > 0 AND count(*) FILTER (cell % 11 = 3) = 0), "
     f"gp AS ({O.placed(M2, 'SELECT grp AS cell FROM g')}), boxes AS (SELECT gp.cell, gp.lvl, gp.len, gp.ix + hx * gp.len AS bx, gp.iy + hy * gp.len AS bby, gp.iz + hz * gp.len AS bz FROM gp CROSS JOIN (VALUES {', '.join(str((x, y, z)) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1) if (x, y, z) != (0, 0, 0))}) h(hx, hy, hz)), "
     "bad AS (SELECT DISTINCT boxes.cell FROM boxes JOIN leaf ON leaf.ix < bx + boxes.len AND leaf.ix + leaf.len > bx AND leaf.iy < bby + boxes.len AND leaf.iy + leaf.len > bby AND leaf.iz < bz + boxes.len AND leaf.iz + leaf.len > bz WHERE leaf.lvl > boxes.lvl + 1)"
 )
