@@ -16,7 +16,7 @@ def _level0(meta: GridMeta) -> tuple[float, float, float]:
 
 
 def _edge(edges: tuple[float, ...], k: Column) -> Column:
-    return F.lit([float(e) for e in edges])[k.cast("int")]
+    return F.get(F.lit([float(e) for e in edges]), k.cast("int"))
 
 
 def _up_to(edges: tuple[float, ...], c: Column) -> Column:

@@ -8,7 +8,7 @@ and no search; a uniform grid needs none. Offsets become rows by exploding a lit
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import mapping
@@ -34,10 +34,9 @@ def neighbors_of(grid: Grid, hood=DEFAULT, cells: DataFrame | None = None, keep:
     """cell, ord (place of the offset in the neighborhood), nbr and its offset ox, oy, oz in indices, for each of cells (default: all). A larger neighbor is listed once for each offset that reaches it."""
     meta = grid.meta
     offsets = grid.offsets(hood)
-    out = (*keep, "cell", "ord", "nbr", "ox", "oy", "oz")
     source = grid.cells if cells is None else cells
     if not offsets:
-        return source.select(*keep, "cell", F.lit(0).alias("ord"), *[F.lit(0).cast("long").alias(c) for c in out[-4:]]).limit(0)
+        return source.select(*keep, "cell", F.lit(0).alias("ord"), *[F.lit(0).cast("long").alias(c) for c in ("nbr", "ox", "oy", "oz")]).limit(0)
     rows = probes(grid, source, offsets, keep)
     corner = tuple(F.col("w" + a) for a in "xyz")
     away = [F.col("t" + a) for a in "xyz"]
@@ -51,15 +50,18 @@ def neighbors_of(grid: Grid, hood=DEFAULT, cells: DataFrame | None = None, keep:
     rows = rows.join(leaf.withColumnRenamed("cell", "is_same"), F.col("same") == F.col("is_same"), "left")
     rows = rows.join(leaf.withColumnRenamed("cell", "is_coarse"), F.when(F.col("is_same").isNull(), F.col("coarse")) == F.col("is_coarse"), "left")
 
-    def entry(nbr: Column, shift: tuple[Column, Column, Column]) -> Column:
-        return F.struct(nbr.alias("nbr"), *[(a + s).alias("o" + n) for a, s, n in zip(away, shift, "xyz")])
-
-    zero, half = F.lit(0).cast("long"), mapping.div(F.col("len"), 2)
-    same = F.array(entry(F.col("same"), (zero, zero, zero)))
-    coarse = F.array(entry(F.col("coarse"), tuple(-(c % big) for c in corner)))
-    fine = F.array(*[entry(c, tuple(half if k >> d & 1 else zero for d in range(3))) for k, c in enumerate(mapping.children_inside(meta, F.col("down"), F.col("lvl")))])
-    found = F.when(F.col("is_same").isNotNull(), same).when(F.col("is_coarse").isNotNull(), coarse).when(F.col("lvl") < meta.max_level, fine).otherwise(same)
-    return rows.select(*keep, "cell", "ord", F.explode(found).alias("__n")).select(*keep, "cell", "ord", "__n.*").select(*out)
+    same, coarse = F.col("is_same").isNotNull(), F.col("is_coarse").isNotNull()
+    whole = same | coarse | (F.col("lvl") >= meta.max_level)
+    zero = F.lit(0).cast("long")
+    base = F.when(coarse, F.col("coarse")).when(whole, F.col("same")).otherwise(F.col("down"))
+    shift = [F.when(coarse, a - c % big).otherwise(a) for a, c in zip(away, corner)]
+    half = F.when(whole, zero).otherwise(mapping.div(F.col("len"), 2))
+    kids = F.when(whole, F.lit([0])).otherwise(F.lit(list(range(8))))
+    rows = rows.select(*keep, "cell", "ord", "lvl", base.alias("base"), *[v.alias("s" + n) for v, n in zip(shift, "xyz")], half.alias("half"), F.explode(kids).alias("k"))
+    bits = [F.col("k").bitwiseAND(F.lit(1)), mapping.shr(F.col("k"), 1).bitwiseAND(F.lit(1).cast("long")), mapping.shr(F.col("k"), 2)]
+    x, y, _ = meta.length
+    nbr = F.col("base") + bits[0] + bits[1] * mapping.shl(2 * x, F.col("lvl")) + bits[2] * mapping.shl(4 * x * y, F.col("lvl") * 2)
+    return rows.select(*keep, "cell", "ord", nbr.alias("nbr"), *[(F.col("s" + n) + b * F.col("half")).alias("o" + n) for n, b in zip("xyz", bits)])
 
 
 def neighbors_to(grid: Grid, hood=DEFAULT) -> DataFrame:

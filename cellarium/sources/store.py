@@ -148,7 +148,7 @@ def vtk_lines(grid: Grid, scalars: tuple[str, ...] = ()) -> DataFrame:
     low, high = geometry.minimum(grid.meta, F.col("cell")), geometry.maximum(grid.meta, F.col("cell"))
     cells = cells.withColumns({**{"a" + c: v for c, v in zip("xyz", low)}, **{"b" + c: v for c, v in zip("xyz", high)}})
     total = cells.count()
-    number = lambda c: F.format_string("%.6g", F.col(c))
+    number = lambda c: F.regexp_replace(F.col(c).cast("string"), r"\.0$", "")
     points = F.array(*[F.concat_ws(" ", *[number(("b" if k >> d & 1 else "a") + c) for d, c in enumerate("xyz")]) for k in range(8)])
     sections = [
         cells.select(F.lit(1).alias("section"), "n", F.posexplode(points).alias("k", "line")),
