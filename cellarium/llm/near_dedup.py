@@ -16,11 +16,11 @@ Links. Documents with the same shingles and counts are one text. In a bucket, on
 verified against it by their exact weighted Jaccard similarity: never all pairs. The leader is the most central
 text, whose buckets hold most texts: in a group of near copies that is the original or what is closest to it. As
 1 - similarity is a metric, two texts whose distances from the first leader differ by more than 1 - threshold cannot be
-similar, which settles the texts that share a bucket by chance. Buckets whose texts are then not all in one class get further
-leaders, in up to ROUNDS rounds, the most central of the texts outside the bucket's largest class, each verified against all texts
-of other classes that the distances leave. Pairs so grow with the buckets' sizes and not with their squares; buckets of up to
-ROUNDS + 2 texts are settled exactly. In larger ones a link between two texts that no leader is similar to can be
-missed in every bucket that they share; README.md has the measured recall.
+similar, which settles the texts that share a bucket by chance. In buckets with texts that no leader is similar to, the most
+central of these leads next, in up to ROUNDS rounds, and is verified against all texts of the bucket that the distances leave.
+Pairs so grow with the buckets' sizes and not with their squares; buckets of up to ROUNDS + 2 texts are settled
+exactly. In larger ones a link between a text that is similar to no leader and another can be missed in every bucket that
+they share; README.md has the measured recall.
 
 Classes are connected components. Everything is in tables in the shared folder; texts move once (those that share a bucket),
 then only those of pairs. Edge cases. Texts without words (null, empty) are each a class of their own. Repeated rows fall into one class,
@@ -253,44 +253,28 @@ def _links(members: DataFrame, texts: DataFrame, idf, threshold: float, rounds:
         with small_batches(both.sparkSession):
             return materialise(both.mapInPandas(_verifier(idf), "a binary, b binary, similarity double"), "pairs")
 
-    def classes() -> DataFrame | None:
-        edges = done.filter(F.col("similarity") >= threshold)
-        return components(edges) if edges.limit(1).count() else None
-
-    def with_class(df: DataFrame) -> DataFrame:
-        if label is None:
-            return df.withColumn("label", F.col("node"))
-        return df.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-
-    done, label = None, None
+    done = None
     central = F.struct("popular", "node")
     first = materialise(members.groupBy("key").agg(F.max(central)["node"].alias("leader")), "leaders")
-    met = materialise(members.join(first, "key"), "met")
+    met = members.join(first, "key").withColumns({"a": F.least("node", "leader"), "b": F.greatest("node", "leader")})
     done = verified(met.filter("node <> leader").select(F.col("node").alias("x"), F.col("leader").alias("y")))
-    label = classes()
-    reach = 1 - threshold + 1e-9
     # the distance from the first leader tells which pairs can be similar at all
-    ordered = met.withColumns({"a": F.least("node", "leader"), "b": F.greatest("node", "leader")})
-    far = F.when(F.col("node") == F.col("leader"), 0.0).otherwise(1 - F.col("similarity"))
-    met = materialise(ordered.join(done, ["a", "b"], "left").select("key", "node", "popular", far.alias("far"), (F.col("node") == F.col("leader")).alias("led")), "apart")
+    far, reach = F.when(F.col("node") == F.col("leader"), 0.0).otherwise(1 - F.col("similarity")), 1 - threshold + 1e-9
+    met = met.join(done, ["a", "b"], "left").select("key", "node", "popular", far.alias("far")).withColumn("settled", F.col("far") <= reach)
+    left = materialise(met, "met")
     for _ in range(rounds):
-        now = materialise(with_class(met), "labelled")
-        sizes = now.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"), F.count_if(~F.col("led")).alias("open"))
-        # a bucket is done when it is one class, or all but one class have led entirely
-        largest = sizes.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("largest"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("m")).filter("n > 1 and m > 2")
-        now = materialise(now.join(materialise(largest.select("key", "largest"), "open"), "key"), "open-members")
-        who = F.when(~F.col("led") & (F.col("label") != F.col("largest")), F.struct("popular", "node", "label", "far"))
-        leader = materialise(now.groupBy("key").agg(F.max(who).alias("l")).filter("l is not null"), "leaders")
-        turn = now.join(leader, "key")
-        pairs = turn.filter((F.col("label") != F.col("l.label")) & (F.abs(F.col("far") - F.col("l.far")) <= reach)).select(F.col("node").alias("x"), F.col("l.node").alias("y"))
-        new = verified(pairs)
+        who = F.when(~F.col("settled"), F.struct("popular", "node", "far"))
+        leader = materialise(left.groupBy("key").agg(F.max(who).alias("l"), F.count(F.lit(1)).alias("n")).filter("l is not null and n > 2").select("key", "l"), "leaders")
         if not leader.limit(1).count():
             break
-        done = materialise(done.union(new), "done")
-        met = materialise(turn.select("key", "node", "popular", "far", (F.col("led") | (F.col("node") == F.col("l.node"))).alias("led")), "met")
-        if new.filter(F.col("similarity") >= threshold).limit(1).count():
-            label = classes()
-    return label
+        near = left.join(leader, "key").withColumn("may", (F.col("node") != F.col("l.node")) & (F.abs(F.col("far") - F.col("l.far")) <= reach))
+        near = near.withColumns({"a": F.least("node", "l.node"), "b": F.greatest("node", "l.node")})
+        done = materialise(done.union(verified(near.filter("may").select(F.col("node").alias("x"), F.col("l.node").alias("y")))), "done")
+        now = near.join(done, ["a", "b"], "left")
+        settled = F.col("settled") | (F.col("node") == F.col("l.node")) | F.coalesce(F.col("similarity") >= threshold, F.lit(False))
+        left = materialise(now.select("key", "node", "popular", "far", settled.alias("settled")), "met")
+    edges = done.filter(F.col("similarity") >= threshold)
+    return components(edges) if edges.limit(1).count() else None
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, rounds: int = ROUNDS) -> DataFrame:
