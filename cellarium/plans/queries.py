@@ -661,6 +661,10 @@ def particle_rehome(spark, sf_dir):
 SPEED = GridMeta((100, 200, 300), 13, geometry=Cartesian((0.0, 0.0, 0.0), (1.0, 1.1, 1.2)))
 
 
+#: The same cells with every edge given.
+EVEN = SPEED.with_(geometry=Stretched.of(SPEED.geometry, SPEED.length))
+
+
 @query()
 def geometry_averages(spark, sf_dir):
     return W.geometry_averages(spark, SPEED, 1_000_000)
