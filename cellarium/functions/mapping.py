@@ -143,7 +143,8 @@ def with_place(df: DataFrame, meta: GridMeta, cell: str = "cell", prefix: str =
 
 
 def ancestor(meta: GridMeta, index: Index, level: int | Column) -> Column:
-    return cell_at(meta, index, F.lit(level) if isinstance(level, int) else level)
+    """The cell of a level around indices known to be in the grid."""
+    return cell_inside(meta, index, F.lit(level) if isinstance(level, int) else level)
 
 
 def overlap_1d(a: Column, a_len: Column, b: Column, b_len: Column) -> Column:

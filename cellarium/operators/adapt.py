@@ -67,7 +67,7 @@ def blocked_boxes(grid: Grid, refined: DataFrame) -> DataFrame:
     index = tuple(F.col(c) for c in _INDEX)
     ups = F.array(*[F.when(F.col("lvl") >= k + 2, mapping.ancestor(meta, index, k)) for k in range(max(0, meta.max_level - 1))] or [F.lit(None).cast("long")])
     deep = grid.cells.filter("lvl >= 2").select(F.explode(ups).alias("box")).filter("box is not null")
-    near = refined.filter("lvl >= 1").select(mapping.cell_at(meta, index, F.col("lvl") - 1).alias("box"))
+    near = refined.filter("lvl >= 1").select(mapping.ancestor(meta, index, F.greatest(F.col("lvl") - 1, F.lit(0))).alias("box"))
     return deep.union(near).distinct()
 
 
@@ -102,7 +102,7 @@ def adapt(
     # one request for any sibling is enough; groups are named by their parent
     def group(ids: DataFrame) -> DataFrame:
         placed = mapping.with_place(ids.select("cell"), meta).filter("lvl > 0")
-        return placed.select(mapping.cell_at(meta, tuple(F.col(c) for c in _INDEX), F.col("lvl") - 1).alias("group")).distinct()
+        return placed.select(mapping.ancestor(meta, tuple(F.col(c) for c in _INDEX), F.greatest(F.col("lvl") - 1, F.lit(0))).alias("group")).distinct()
 
     groups = group(cells.join(_ids(grid, unrefine), "cell", "left_semi").select("cell"))
     for against in (chosen, _ids(grid, dont_unrefine), at_limit):
@@ -110,7 +110,7 @@ def adapt(
     members = cells.filter("lvl > 0").withColumn("group", mapping.parent_at(meta, F.col("cell"), F.col("lvl"), tuple(F.col(c) for c in _INDEX))).join(groups, "group")
     whole = members.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n = 8").select("group")
     boxes = mapping.with_place(whole.withColumnRenamed("group", "cell"), meta)
-    around = probes(grid, boxes, grid.offsets()).select("cell", mapping.cell_at(meta, (F.col("wx"), F.col("wy"), F.col("wz")), F.col("lvl")).alias("box"))
+    around = probes(grid, boxes, grid.offsets()).select("cell", mapping.cell_inside(meta, (F.col("wx"), F.col("wy"), F.col("wz")), F.col("lvl")).alias("box"))
     stopped = around.join(blocked_boxes(grid, refined), "box", "left_semi").select(F.col("cell").alias("group")).distinct()
     merged = settle(whole.join(stopped, "group", "left_anti"))
     gone = settle(members.join(merged, "group", "left_semi"))
