@@ -33,8 +33,9 @@ def let(value: Column, use) -> Column:
 
 
 def cells_before(meta: GridMeta, level: Column) -> Column:
-    """Number of possible cells of smaller levels; null for other levels."""
-    return F.get(F.array(*[_long(meta.cells_before(k)) for k in range(meta.max_level + 1)]), level)
+    """Number of possible cells of smaller levels than one from 0 to the largest: n (8^level - 1) / 7."""
+    n = meta.level0_cells
+    return div(shl(n, level * 3) - n, 7)
 
 
 def level_of(meta: GridMeta, cell: Column) -> Column:
@@ -51,7 +52,7 @@ def indices_of(meta: GridMeta, cell: Column, level: Column | None = None) -> Ind
     """Indices of the cell's corner nearest the origin; null for ids that are no cell's. level: the cell's, if it is at hand as a column."""
     level = level_of(meta, cell) if level is None else level
     x, y, _ = meta.length
-    rest, step = cell - 1 - cells_before(meta, level), F.lit(meta.max_level) - level
+    rest, step = F.when(level >= 0, cell - 1 - cells_before(meta, level)), F.lit(meta.max_level) - level
     return shl(rest % shl(x, level), step), shl(div(rest, shl(x, level)) % shl(y, level), step), shl(div(rest, shl(x * y, level * 2)), step)
 
 
