@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import os
 import tempfile
 import uuid
 
@@ -601,7 +600,7 @@ def parquet_round_trip(spark, sf_dir):
 
 @query(f"{leaf_counts_sql()} SELECT cell, lvl, n, qty FROM cells")
 def binary_round_trip(spark, sf_dir):
-    path = os.path.join(tempfile.mkdtemp(prefix="cellarium-"), "grid.bin")
+    path = f"{_folder(spark)}.bin"
     grid = with_counts(one_level(spark, sf_dir), items(spark, sf_dir, M1))
     store.write_binary(grid, path, {"n": "q", "qty": "q"}, header=b"step 1  ")
     return store.read_binary(spark, path, {"n": "q", "qty": "q"}, 8)[0].cells.select("cell", "lvl", "n", "qty")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import os
 import struct
+import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -89,11 +91,15 @@ def packed(columns: dict[str, str]) -> Column:
 
 
 def write_binary(grid: Grid, path: str, columns: dict[str, str] | None = None, data: Column | None = None, header: bytes = b"") -> None:
-    """One file at a path of this machine: preamble, number of cells, (id, offset) of each, data. Cells ascend. Data is columns, packed, or a binary expression of any length per cell. The format is one stream, so rows pass through the driver partition by partition; Parquet is the parallel way."""
+    """One file at a path (of this machine, or with a scheme, where a local copy is moved to): preamble, number of cells, (id, offset) of each, data. Cells ascend. Data is columns, packed, or a binary expression of any length per cell. The format is one stream, so rows pass through the driver partition by partition; Parquet is the parallel way."""
     body = data if data is not None else packed(columns or {}) if columns else F.lit(b"")
     rows = settle(grid.cells.select("cell", body.alias("data")).orderBy("cell"))
     n = rows.count()
-    with open(path, "wb") as f:
+    local = path
+    if "://" in path:
+        handle, local = tempfile.mkstemp()
+        os.close(handle)
+    with open(local, "wb") as f:
         f.write(preamble(grid.meta, header))
         f.write(struct.pack("<Q", n))
         at = f.tell() + 16 * n
@@ -102,6 +108,10 @@ def write_binary(grid: Grid, path: str, columns: dict[str, str] | None = None, d
             at += r["n"]
         for r in rows.select("data").toLocalIterator():
             f.write(r["data"])
+    if local != path:
+        spark = grid.cells.sparkSession
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).copyFromLocalFile(True, True, spark._jvm.org.apache.hadoop.fs.Path(f"file://{local}"), target)
 
 
 def read_binary(spark: SparkSession, path: str, columns: dict[str, str] | None = None, header_length: int = 0) -> tuple[Grid, bytes]:
