@@ -12,15 +12,16 @@ little against each copy's own edits that the copies would not count as similar.
 Sampling. The variates of a shingle come from a table of 2^15 rows by the shingle's hash; the sample is the shingle's
 whole hash and its quantised weight. For weight 1 the quantised weight is 0 and the score is a constant of the table.
 
-Links. Documents with the same shingles and counts are one text. In a bucket, one text is the leader and the others are
-verified against it by their exact weighted Jaccard similarity: never all pairs. The leader is the most central
-text, whose buckets hold most texts: in a group of near copies that is the original or what is closest to it. As
-1 - similarity is a metric, two texts whose distances from the first leader differ by more than 1 - threshold cannot be
-similar, which settles the texts that share a bucket by chance. In buckets with texts that no leader is similar to, the most
-central of these leads next, in up to ROUNDS rounds, and is verified against all texts of the bucket that the distances leave.
-Pairs so grow with the buckets' sizes and not with their squares; buckets of up to ROUNDS + 2 texts are settled
-exactly. In larger ones a link between a text that is similar to no leader and another can be missed in every bucket that
-they share; README.md has the measured recall.
+Links. Documents with the same shingles and counts are one text. In a bucket, the most central text leads: that whose
+buckets hold most texts, in a group of near copies the original or what is closest to it. The others are verified against
+it by their exact weighted Jaccard similarity, never all pairs; ROUNDS more leaders follow, each the most central of the texts
+that no leader is similar to. Two exact bounds spare comparisons: total weights that differ by more than the threshold, and
+distances from the first leader that do (1 - similarity is a metric). What is then still open is settled exactly.
+Buckets of up to SMALL texts compare their open texts with all. In larger ones `_items` writes every text as its difference from
+the leader (what it lacks and what it adds), and `_bounded` joins texts on rare shared items: a pair can only be similar if
+it shares more of its differences than a bound, so items that no other text has, and texts with too little to
+share, drop out, and the rest need only meet on the rarest items that exceed the bound (prefix filtering). No link
+between texts that share a bucket is lost, up to those that the links of a common leader imply.
 
 Classes are connected components. Everything is in tables in the shared folder; texts move once (those that share a bucket),
 then only those of pairs. Edge cases. Texts without words (null, empty) are each a class of their own. Repeated rows fall into one class,
@@ -45,7 +46,11 @@ from .tokens import words
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 3
 #: Leaders per bucket after the first, see above.
-ROUNDS = 4
+ROUNDS = 1
+#: Texts of a bucket up to which open texts are compared with all of it.
+SMALL = 8
+#: Texts farther than FAR from a leader are written as a whole, those up to FAR + 1 - threshold as their differences, those between in both ways: so similar texts always meet in one of them.
+FAR = 0.4
 RARE, FLOOR = 1e-2, 0.95
 SKETCH = 1 << 18
 _U = np.uint64
@@ -206,44 +211,112 @@ def corpus_idf(docs: DataFrame, text_col: str = "text") -> Idf:
 def _signer(idf):
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            content, bands = [], []
+            content, bands, size = [], [], []
             for text in batch["text"]:
                 h, n = shingles(text)
                 if len(h):
                     content.append(xxhash.xxh3_128_digest(h.tobytes() + n.tobytes()))
-                    bands.append(band_keys(h, n * idf.value(h)))
+                    w = n * idf.value(h)
+                    bands.append(band_keys(h, w))
+                    size.append(float(w.sum()))
                 else:
                     content.append(None)
                     bands.append(None)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "row_id": batch["row_id"], "text_id": batch["text_id"], "node": content, "bands": bands})
+                    size.append(0.0)
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "row_id": batch["row_id"], "text_id": batch["text_id"], "node": content, "bands": bands, "size": size})
 
     return sign
 
 
+class _Weights(dict):
+    """Of the texts seen last."""
+
+    def __init__(self, idf):
+        self.idf = idf
+
+    def of(self, node, text: str) -> tuple[np.ndarray, np.ndarray]:
+        node = bytes(node)
+        if node not in self:
+            if len(self) > 64:
+                self.clear()
+            self[node] = weights(text, self.idf)
+        return self[node]
+
+
 def _verifier(idf):
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: dict[bytes, tuple] = {}
+        seen = _Weights(idf.value)
         for batch in batches:
-            out = []
-            for a, b, x, y in zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"]):
-                pair = []
-                for node, text in ((bytes(a), x), (bytes(b), y)):
-                    if node not in last:
-                        if len(last) > 64:
-                            last.clear()
-                        last[node] = weights(text, idf.value)
-                    pair.append(last[node])
-                out.append(weighted_jaccard(*pair))
+            out = [weighted_jaccard(seen.of(a, x), seen.of(b, y)) for a, b, x, y in zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"])]
             yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "similarity": out})
 
     return verify
 
 
+def differences(v: tuple[np.ndarray, np.ndarray], base: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """Items and amounts by which v differs from base, and the weights that v lacks and adds in all. What it lacks and what it adds of one shingle are different items."""
+    h = np.union1d(v[0], base[0])
+    more = np.zeros(len(h))
+    more[np.searchsorted(h, v[0])] += v[1]
+    more[np.searchsorted(h, base[0])] -= base[1]
+    at = np.abs(more) > 1e-9
+    h, more = h[at], more[at]
+    return np.where(more > 0, h, _mix(h ^ _ODD[4])), np.abs(more), float(-more[more < 0].sum()), float(more[more > 0].sum())
+
+
+def _items(idf, threshold: float):
+    """Per text and leader: the text's items, how much it must share with an open text to be similar, and the same for itself if it is open.
+
+    With a = t / (1 + t), lacks m and adds e against a leader of weight w, texts u and v are similar if and only if they share
+    at least cost(u) + cost(v) - (1 - 2a) w of their differences, where cost = (1 - a) m + a e. An open text u is not similar to the leader,
+    that is cost(u) > (1 - 2a) w. Without a leader, a similar text shares at least t times the text's own weight.
+    """
+    a, reach = threshold / (1 + threshold), 1 - threshold
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen, none = _Weights(idf.value), (np.zeros(0, _U), np.zeros(0))
+        for batch in batches:
+            held, n = [], 0
+            for node, leader, open_, text, led in zip(batch["node"], batch["leader"], batch["open"], batch["text"], batch["text_l"]):
+                v, base = seen.of(node, text), seen.of(leader, led)
+                far, own = 1 - weighted_jaccard(v, base), xxhash.xxh3_64_intdigest(bytes(leader)) >> 1
+                found = []
+                if far <= FAR + reach + 1e-9:
+                    h, x, lacks, adds = differences(v, base)
+                    cost = (1 - a) * lacks + a * adds
+                    found.append((own, h, x, cost, cost - (1 - 2 * a) * float(base[1].sum())))
+                if far > FAR - 1e-9:
+                    h, x, _, adds = differences(v, none)
+                    found.append((own ^ 1, h, x, threshold * adds, threshold * adds))
+                for group, h, x, bound, bound_open in found:
+                    held.append(pd.DataFrame({"group": group, "node": node, "item": h.view(np.int64), "amount": x, "bound": bound, "bound_open": bound_open, "open": bool(open_)}))
+                    n += len(h)
+                if n > 1 << 17:
+                    yield pd.concat(held)
+                    held, n = [], 0
+            if held:
+                yield pd.concat(held)
+
+    return write
+
+
 # --- links ---------------------------------------------------------------------------------------------------------
 
 
+def _bounded(items: DataFrame) -> DataFrame:
+    """Pairs (x, y) of an open text and another of its group that share enough items by the bounds of `_items`; see above."""
+    often = items.groupBy("group", "item").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("wanted")).filter("n > 1 and wanted").drop("wanted")
+    by = Window.partitionBy("group", "node")
+    # a text's amounts from the most frequent item on: while they are within the bound, the items can be passed over
+    common = by.orderBy(F.desc("n"), "item").rowsBetween(Window.unboundedPreceding, 0)
+    shared = items.join(often, ["group", "item"]).withColumns({"upto": F.sum("amount").over(common), "all": F.sum("amount").over(by)})
+    shared = materialise(shared.select("group", "item", "node", "open", (F.col("upto") > F.col("bound") - 1e-6).alias("rare"), (F.col("all") > F.col("bound_open") - 1e-6).alias("can")), "shared-items")
+    x = shared.filter("open and can").select("group", "item", F.col("node").alias("x"))
+    return x.join(shared.filter("rare").select("group", "item", F.col("node").alias("y")), ["group", "item"]).filter("x <> y").select("x", "y").distinct()
+
+
 def _links(members: DataFrame, texts: DataFrame, idf, threshold: float, rounds: int) -> DataFrame | None:
-    """Classes of the texts in members(key, node, popular), as (node, label) of those that have a link."""
+    """Classes of the texts in members(key, node, size, popular), as (node, label) of those that have a link."""
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -253,26 +326,42 @@ def _links(members: DataFrame, texts: DataFrame, idf, threshold: float, rounds:
         with small_batches(both.sparkSession):
             return materialise(both.mapInPandas(_verifier(idf), "a binary, b binary, similarity double"), "pairs")
 
-    done = None
-    central = F.struct("popular", "node")
-    first = materialise(members.groupBy("key").agg(F.max(central)["node"].alias("leader")), "leaders")
-    met = members.join(first, "key").withColumns({"a": F.least("node", "leader"), "b": F.greatest("node", "leader")})
-    done = verified(met.filter("node <> leader").select(F.col("node").alias("x"), F.col("leader").alias("y")))
-    # the distance from the first leader tells which pairs can be similar at all
-    far, reach = F.when(F.col("node") == F.col("leader"), 0.0).otherwise(1 - F.col("similarity")), 1 - threshold + 1e-9
-    met = met.join(done, ["a", "b"], "left").select("key", "node", "popular", far.alias("far")).withColumn("settled", F.col("far") <= reach)
-    left = materialise(met, "met")
+    def alike(x: str, y: str):
+        """Whether the sizes of two texts allow similarity."""
+        return F.least(x, y) >= (threshold - 1e-9) * F.greatest(x, y)
+
+    done, reach = None, 1 - threshold + 1e-9
+    first = materialise(members.groupBy("key").agg(F.max(F.struct("popular", "node", "size")).alias("f"), F.count(F.lit(1)).alias("n")), "leaders")
+    met = members.join(first, "key").withColumns({"leader": F.col("f.node"), "a": F.least("node", "f.node"), "b": F.greatest("node", "f.node")})
+    done = verified(met.filter((F.col("node") != F.col("leader")) & alike("size", "f.size")).select(F.col("node").alias("x"), F.col("leader").alias("y")))
+    # the distance from the first leader (null: over reach) tells which pairs can be similar at all
+    far = F.when(F.col("node") == F.col("leader"), 0.0).otherwise(1 - F.col("similarity"))
+    met = met.join(done, ["a", "b"], "left").select("key", "n", "leader", "node", "size", "popular", far.alias("far"))
+    left = materialise(met.withColumn("settled", F.coalesce(F.col("far") <= reach, F.lit(False))), "met")
     for _ in range(rounds):
-        who = F.when(~F.col("settled"), F.struct("popular", "node", "far"))
-        leader = materialise(left.groupBy("key").agg(F.max(who).alias("l"), F.count(F.lit(1)).alias("n")).filter("l is not null and n > 2").select("key", "l"), "leaders")
-        if not leader.limit(1).count():
-            break
-        near = left.join(leader, "key").withColumn("may", (F.col("node") != F.col("l.node")) & (F.abs(F.col("far") - F.col("l.far")) <= reach))
-        near = near.withColumns({"a": F.least("node", "l.node"), "b": F.greatest("node", "l.node")})
+        who = F.when(~F.col("settled"), F.struct("popular", "node", "far", "size"))
+        leader = materialise(left.filter("n > 2").groupBy("key").agg(F.max(who).alias("l")).filter("l is not null"), "leaders")
+        near = left.join(leader, "key", "left")
+        may = (F.col("node") != F.col("l.node")) & alike("size", "l.size") & F.coalesce(F.abs(F.col("far") - F.col("l.far")) <= reach, F.lit(True))
+        near = near.withColumns({"may": may, "a": F.least("node", "l.node"), "b": F.greatest("node", "l.node")})
         done = materialise(done.union(verified(near.filter("may").select(F.col("node").alias("x"), F.col("l.node").alias("y")))), "done")
         now = near.join(done, ["a", "b"], "left")
-        settled = F.col("settled") | (F.col("node") == F.col("l.node")) | F.coalesce(F.col("similarity") >= threshold, F.lit(False))
-        left = materialise(now.select("key", "node", "popular", "far", settled.alias("settled")), "met")
+        settled = F.col("settled") | F.coalesce((F.col("node") == F.col("l.node")) | (F.col("similarity") >= threshold), F.lit(False))
+        left = materialise(now.select("key", "n", "leader", "node", "size", "far", "popular", settled.alias("settled")), "met")
+    left = left.filter("n > 2").select("key", "n", "leader", "node", "size", "far", "settled")
+    few = left.filter(F.col("n") <= SMALL)
+    x, y = few.filter("not settled").select("key", F.struct("node", "size", "far").alias("x")), few.select("key", F.struct("node", "size", "far").alias("y"))
+    may = (F.col("x.node") != F.col("y.node")) & alike("x.size", "y.size") & F.coalesce(F.abs(F.col("x.far") - F.col("y.far")) <= reach, F.lit(True))
+    pairs = x.join(y, "key").filter(may).select(F.col("x.node").alias("x"), F.col("y.node").alias("y"))
+    many = materialise(left.filter((F.col("n") > SMALL) & (F.col("node") != F.col("leader"))).groupBy("leader", "node").agg((~F.min("settled")).alias("open")), "led")
+    opened = materialise(many.groupBy("leader").agg(F.max("open").alias("any"), F.count(F.lit(1)).alias("n")).filter("any and n > 1").select("leader"), "open-leaders")
+    if opened.limit(1).count():
+        led = many.join(opened, "leader").join(texts.select("node", "text"), "node").join(texts.select(F.col("node").alias("leader"), F.col("text").alias("text_l")), "leader")
+        with small_batches(led.sparkSession):
+            written = led.mapInPandas(_items(idf, threshold), "group long, node binary, item long, amount double, bound double, bound_open double, open boolean")
+            written = materialise(written, "items")
+        pairs = pairs.union(_bounded(written))
+    done = done.union(verified(pairs))
     edges = done.filter(F.col("similarity") >= threshold)
     return components(edges) if edges.limit(1).count() else None
 
@@ -284,13 +373,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = dict(rows.dtypes)["doc_id"]
     idf = spark.sparkContext.broadcast(corpus_idf(docs, text_col))
     with small_batches(spark):
-        signed = materialise(rows.mapInPandas(_signer(idf), f"doc_id {kind}, row_id long, text_id long, node binary, bands array<long>"), "signed")
+        signed = materialise(rows.mapInPandas(_signer(idf), f"doc_id {kind}, row_id long, text_id long, node binary, bands array<long>, size double"), "signed")
     place = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row_id", "text_id")
-    nodes = materialise(signed.filter("node is not null").groupBy("node").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")), "nodes")
-    keyed = materialise(nodes.select("node", F.explode("bands").alias("key")), "keys")
+    nodes = materialise(signed.filter("node is not null").groupBy("node").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("size").alias("size")), "nodes")
+    keyed = materialise(nodes.select("node", "size", F.explode("bands").alias("key")), "keys")
     shared = materialise(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared")
     buckets = materialise(keyed.join(shared, "key"), "buckets")
-    members = materialise(buckets.join(materialise(buckets.groupBy("node").agg(F.sum("n").alias("popular")), "popular"), "node").select("key", "node", "popular"), "members")
+    members = materialise(buckets.join(materialise(buckets.groupBy("node").agg(F.sum("n").alias("popular")), "popular"), "node").select("key", "node", "size", "popular"), "members")
     label = None
     if members.limit(1).count():
         wanted = members.select("node").distinct().join(nodes.select("node", "first"), "node").select("node", F.col("first.doc_id").alias("d"), F.col("first.text_id").alias("t"))

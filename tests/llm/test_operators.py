@@ -239,6 +239,54 @@ def test_near_duplicates_against_brute_force(spark):
     assert got == {i: root(i) for i in range(len(rows))}
 
 
+@pytest.mark.parametrize("rounds", [0, 1])
+def test_no_link_of_a_large_bucket_is_lost(spark, rounds):
+    """One bucket with everything in it: copies of one text in chains and families at, above and below the threshold, short texts beside long ones, and strangers."""
+    r, texts = random.Random(8), []
+    base = words_of(900, 120).split()
+
+    def edited(words, n, tag):
+        out = words[:]
+        for i in r.sample(range(len(out)), min(n, len(out))):
+            out[i] = f"{tag}x{i}"
+        return out
+
+    for k in range(30):
+        texts.append(edited(base, k % 6, f"c{k}"))
+    for k in range(6):  # families that are not similar to the first text
+        head = edited(base, 4 + k, f"f{k}")
+        texts += [edited(head, n, f"f{k}n{n}{j}") for n in (0, 1, 2) for j in range(2)]
+    chain = base
+    for k in range(8):
+        chain = edited(chain, 2, f"s{k}")
+        texts.append(chain)
+    for k in range(8):
+        short = words_of(950 + k // 3, 20).split()
+        texts += [short[: 20 - k % 3], words_of(980 + k, 80).split()]
+    texts = [" ".join(t) for t in texts]
+    df = documents(spark, [(i, t, "a") for i, t in enumerate(texts)])
+    idf = near_dedup.corpus_idf(df)
+    weigh = [near_dedup.weights(t, idf) for t in texts]
+    nodes = [hashlib.md5(t.encode()).digest() for t in texts]
+    up = {n: n for n in nodes}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if near_dedup.weighted_jaccard(weigh[a], weigh[b]) >= 0.8:
+                x, y = root(nodes[a]), root(nodes[b])
+                up[max(x, y)] = min(x, y)
+    at = {n: k for k, n in enumerate(nodes)}
+    members = spark.createDataFrame([(1, n, float(weigh[k][1].sum()), 1) for n, k in at.items()], "key long, node binary, size double, popular long")
+    held = spark.createDataFrame([(n, texts[k]) for n, k in at.items()], "node binary, text string")
+    got = {bytes(x["node"]): bytes(x["label"]) for x in near_dedup._links(members, held, spark.sparkContext.broadcast(idf), 0.8, rounds).collect()}
+    assert len({root(n) for n in nodes}) > 10 and {n: got.get(n, n) for n in at} == {n: root(n) for n in at}
+
+
 def test_sampling_estimates_similarity():
     class One:
         documents = 10
