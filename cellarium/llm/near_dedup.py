@@ -20,7 +20,7 @@ distances from the first leader that do (1 - similarity is a metric). What is th
 Buckets of up to SMALL texts compare their open texts with all. In larger ones `_items` writes every text as its difference from
 the leader (what it lacks and what it adds), and `_bounded` joins texts on rare shared items: a pair can only be similar if
 it shares more of its differences than a bound, so items that no other text has, and texts with too little to
-share, drop out, and the rest need only meet on the rarest items that exceed the bound (prefix filtering). No link
+share, drop out, and the rest need only meet on rare items before which enough is left (prefix and positional filtering). No link
 between texts that share a bucket is lost, up to those that the links of a common leader imply.
 
 Classes are connected components. Everything is in tables in the shared folder; texts move once (those that share a bucket),
@@ -265,11 +265,11 @@ def differences(v: tuple[np.ndarray, np.ndarray], base: tuple[np.ndarray, np.nda
 
 
 def _items(idf, threshold: float):
-    """Per text and leader: the text's items, how much it must share with an open text to be similar, and the same for itself if it is open.
+    """Per text and leader: the text's items, and by what they bound similarity.
 
     With a = t / (1 + t), lacks m and adds e against a leader of weight w, texts u and v are similar if and only if they share
     at least cost(u) + cost(v) - (1 - 2a) w of their differences, where cost = (1 - a) m + a e. An open text u is not similar to the leader,
-    that is cost(u) > (1 - 2a) w. Without a leader, a similar text shares at least t times the text's own weight.
+    that is over(u) = cost(u) - (1 - 2a) w > 0. Without a leader (w = 0), a similar text also shares at least own = t times the text's own weight.
     """
     a, reach = threshold / (1 + threshold), 1 - threshold
 
@@ -284,12 +284,12 @@ def _items(idf, threshold: float):
                 if far <= FAR + reach + 1e-9:
                     h, x, lacks, adds = differences(v, base)
                     cost = (1 - a) * lacks + a * adds
-                    found.append((own, h, x, cost, cost - (1 - 2 * a) * float(base[1].sum())))
+                    found.append((own, h, x, cost, cost - (1 - 2 * a) * float(base[1].sum()), 0.0))
                 if far > FAR - 1e-9:
                     h, x, _, adds = differences(v, none)
-                    found.append((own ^ 1, h, x, threshold * adds, threshold * adds))
-                for group, h, x, bound, bound_open in found:
-                    held.append(pd.DataFrame({"group": group, "node": node, "item": h.view(np.int64), "amount": x, "bound": bound, "bound_open": bound_open, "open": bool(open_)}))
+                    found.append((own ^ 1, h, x, a * adds, a * adds, threshold * adds))
+                for group, h, x, cost, over, least in found:
+                    held.append(pd.DataFrame({"group": group, "node": node, "item": h.view(np.int64), "amount": x, "cost": cost, "over": over, "own": least, "open": bool(open_)}))
                     n += len(h)
                 if n > 1 << 17:
                     yield pd.concat(held)
@@ -304,15 +304,19 @@ def _items(idf, threshold: float):
 
 
 def _bounded(items: DataFrame) -> DataFrame:
-    """Pairs (x, y) of an open text and another of its group that share enough items by the bounds of `_items`; see above."""
+    """Pairs (x, y) of an open text and another of its group that can share enough by the bounds of `_items`; see above.
+
+    All texts have their items in one order, the most frequent first, and `upto` adds the amounts up to an item. At the rarest item
+    of a pair, neither has more in common with the other than its own `upto`: a match counts only if both are enough.
+    """
     often = items.groupBy("group", "item").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("wanted")).filter("n > 1 and wanted").drop("wanted")
-    by = Window.partitionBy("group", "node")
-    # a text's amounts from the most frequent item on: while they are within the bound, the items can be passed over
-    common = by.orderBy(F.desc("n"), "item").rowsBetween(Window.unboundedPreceding, 0)
-    shared = items.join(often, ["group", "item"]).withColumns({"upto": F.sum("amount").over(common), "all": F.sum("amount").over(by)})
-    shared = materialise(shared.select("group", "item", "node", "open", (F.col("upto") > F.col("bound") - 1e-6).alias("rare"), (F.col("all") > F.col("bound_open") - 1e-6).alias("can")), "shared-items")
-    x = shared.filter("open and can").select("group", "item", F.col("node").alias("x"))
-    return x.join(shared.filter("rare").select("group", "item", F.col("node").alias("y")), ["group", "item"]).filter("x <> y").select("x", "y").distinct()
+    order = Window.partitionBy("group", "node").orderBy(F.desc("n"), "item").rowsBetween(Window.unboundedPreceding, 0)
+    shared = items.join(often, ["group", "item"]).withColumn("upto", F.sum("amount").over(order) + 1e-6)
+    shared = materialise(shared.filter((F.col("upto") >= F.greatest("cost", "own")) | (F.col("open") & (F.col("upto") >= F.greatest("over", "own")))).drop("amount", "n"), "shared-items")
+    x = shared.filter(F.col("open") & (F.col("upto") >= F.greatest("over", "own"))).select("group", "item", F.col("node").alias("x"), "over", F.col("upto").alias("upto_x"))
+    y = shared.filter(F.col("upto") >= F.greatest("cost", "own")).select(F.col("group").alias("g"), F.col("item").alias("i"), F.col("node").alias("y"), "cost", F.col("upto").alias("upto_y"))
+    enough = F.least("upto_x", "upto_y") >= F.col("over") + F.col("cost")
+    return x.join(y, (F.col("group") == F.col("g")) & (F.col("item") == F.col("i")) & (F.col("x") != F.col("y")) & enough).select("x", "y").distinct()
 
 
 def _links(members: DataFrame, texts: DataFrame, idf, threshold: float, rounds: int) -> DataFrame | None:
@@ -358,7 +362,7 @@ def _links(members: DataFrame, texts: DataFrame, idf, threshold: float, rounds:
     if opened.limit(1).count():
         led = many.join(opened, "leader").join(texts.select("node", "text"), "node").join(texts.select(F.col("node").alias("leader"), F.col("text").alias("text_l")), "leader")
         with small_batches(led.sparkSession):
-            written = led.mapInPandas(_items(idf, threshold), "group long, node binary, item long, amount double, bound double, bound_open double, open boolean")
+            written = led.mapInPandas(_items(idf, threshold), "group long, node binary, item long, amount double, cost double, over double, own double, open boolean")
             written = materialise(written, "items")
         pairs = pairs.union(_bounded(written))
     done = done.union(verified(pairs))
