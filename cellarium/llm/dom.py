@@ -2,7 +2,8 @@
 
 Elements that are not closed end where HTML ends them (a paragraph at the next block, an item at the next item, everything at
 the end of the page); end tags without a start are passed over. Inline elements belong to the block around them. Scripts,
-styles, heads, templates, comments and other markup never give text; a quoted > does not end a tag.
+styles, heads, templates, comments and other markup never give text; a quoted > does not end a tag. Raw elements go by their whole name
+(<svg-icon> is no <svg>), and a self-closed svg or math is empty.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ INLINE = frozenset(
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tr", "td", "th"), "body": ("head",)}
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(?P<empty>svg|math)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<=/)>|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
@@ -104,7 +105,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
         at = m.end()
         tag = m["tag"]
         if not tag:
-            if m["raw"]:
+            if m["raw"] or m["empty"]:
                 held.append(" ")
             continue
         tag = tag.lower()

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from cellarium.llm import decontamination, exact_dedup, html_extraction, language_id, license_scan, line_dedup, mixing, near_dedup, queries, token_counts, tokens, url_filter
+from cellarium.llm import decontamination, dom, exact_dedup, html_extraction, language_id, license_scan, line_dedup, mixing, near_dedup, queries, token_counts, tokens, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WS = re.compile(r"[\x20\x09-\x0D]+")
@@ -211,6 +211,23 @@ def test_html_extraction(spark, sf_dir):
     assert html_extraction.extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet").limit(0)).count() == 0
 
 
+RAW_TAGS = ("script", "style", "template", "noscript", "iframe", "svg", "math", "title", "textarea", "object")
+
+
+@pytest.mark.parametrize("inner", [f"<{t}-x class='i'></{t}-x>" for t in RAW_TAGS] + [f"<{t.upper()}-x/>" for t in RAW_TAGS] + ['<svg class="i"/>', "<svg/>", "<SVG\n/>", '<math title="a>b" />', "<svg/><svg><text>no</text></svg><svg/>", "<svg><text>no</text></svg foo>", '<svg d="M0/">no</svg>', "<svg><path d='/'/>no</svg\n>", "<script/>no</script>"])
+def test_raw_elements_end_where_they_end(inner):
+    """Custom elements that start like a raw one, and icons that close themselves, take nothing of the page with them."""
+    page = f"<p>One of them</p>{inner}<p>Two of them</p><div>{inner}</div><p>Three of them</p>"
+    assert [t for _, t in dom.parse(page)[1]] == ["One of them", "Two of them", "Three of them"]
+
+
+def test_pages_with_icons_are_whole():
+    model = html_extraction.trained()
+    page = "<html><head><title>no</title></head><body><nav><a href=/>Menu</a></nav><article><h1>A title</h1>{0}<p>First and main text, with some words.</p>{0}<p>Second part, it goes on for a while.</p></article><footer>&copy; 2024 all of it"
+    want = "A title First and main text, with some words. Second part, it goes on for a while."
+    assert html_extraction.extract([page.format(x) for x in ("", "<svg-icon></svg-icon>", '<svg class="i"/>', "<title-bar></title-bar>")], model) == [want] * 4
+
+
 def test_near_duplicates_against_brute_force(spark):
     r, rows = random.Random(5), []
     for g in range(12):
