@@ -1,7 +1,7 @@
 """A tolerant reader of HTML: block elements as a tree, and the text that stands directly in each of them.
 
 Elements that are not closed end where HTML ends them (a paragraph at the next block, an item at the next item, everything at
-the end of the page); end tags without a start are passed over. Inline elements belong to the block around them. Scripts,
+the end of the page, a head at the first thing that cannot stand in one); end tags without a start are passed over. Inline elements belong to the block around them. Scripts,
 styles, heads, templates, comments and other markup never give text; a quoted > does not end a tag. Raw elements go by their whole name
 (<svg-icon> is no <svg>), and a self-closed svg or math is empty.
 """
@@ -14,6 +14,8 @@ from html import unescape
 
 # fixed values: HTML's element names
 RAW = ("script", "style", "template", "noscript", "iframe", "svg", "math", "title", "textarea", "object")
+#: What a head can hold; any other start tag, and text, ends it.
+HEAD = frozenset(("base", "link", "meta", "title", "style", "script", "noscript", "noframes", "template"))
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 INLINE = frozenset(
     ("a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "picture")
@@ -96,19 +98,32 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 links -= 1
         del stack[k:]
 
+    def end_head() -> None:
+        if in_head and stack[-1][0] == "head":
+            close(len(stack) - 1)
+
+    def hold(text: str) -> None:
+        if in_head and text.strip(" \t\n\f\r"):
+            end_head()
+        held.append(text)
+
     at = 0
     for m in _TOKEN.finditer(html):
         if m.start() > at:
-            held.append(html[at : m.start()])
+            hold(html[at : m.start()])
             if links:
                 linked += m.start() - at
         at = m.end()
         tag = m["tag"]
         if not tag:
-            if m["raw"] or m["empty"]:
+            if raw := m["raw"] or m["empty"]:
+                if raw.lower() not in HEAD:
+                    end_head()
                 held.append(" ")
             continue
         tag = tag.lower()
+        if not m["end"] and tag not in HEAD:
+            end_head()
         if tag in VOID:
             if tag not in ("wbr", "img", "input"):
                 held.append(" ")
@@ -149,6 +164,6 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
         stack.append((tag, len(nodes) - 1))
         in_head += tag == "head"
     if at < len(html):
-        held.append(html[at:])
+        hold(html[at:])
     flush()
     return nodes, out

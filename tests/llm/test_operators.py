@@ -228,6 +228,26 @@ def test_pages_with_icons_are_whole():
     assert html_extraction.extract([page.format(x) for x in ("", "<svg-icon></svg-icon>", '<svg class="i"/>', "<title-bar></title-bar>")], model) == [want] * 4
 
 
+@pytest.mark.parametrize("first", ["<div>{}</div>", "<p>{}", "{}", "<b>{}</b>", "&nbsp;{}", "<svg></svg>{}", "<br>{}", "<img src=i>{}", "<x-card>{}</x-card>", "<body>{}", "</head>{}", "<head>{}", "<noframes>no</noframes>{}"])
+def test_heads_end_without_end_tags(first):
+    """Minified pages leave out </head> and <body>."""
+    for start in ("<html><head>", "<head>"):
+        page = f"{start}\n<meta charset=utf-8><link rel=x> <title>no</title><style>no</style><!-- no -->\n{first.format('First text.')}<p>Second text.<script>no</script></head><body><p>Third text."
+        got = " ".join(t for _, t in dom.parse(page)[1])
+        assert got == "First text. Second text. Third text."
+    assert dom.parse("<head><title>no</title><noscript>no</noscript>\n<base href=/></head>\n")[1] == []
+
+
+def test_pages_without_optional_tags_are_whole():
+    model, r, lost = html_extraction.trained(), random.Random(77), []
+    for _ in range(60):
+        page = html_extraction._page(r).translate({1: None, 2: None})
+        whole, bare = html_extraction.extract([page, page.replace("</head><body>", "")], model)
+        want, got = Counter(whole.split()), Counter(bare.split())
+        lost.append(1 - 2 * sum((want & got).values()) / max(1, want.total() + got.total()))
+    assert sum(lost) / len(lost) < 0.05
+
+
 def test_near_duplicates_against_brute_force(spark):
     r, rows = random.Random(5), []
     for g in range(12):
