@@ -16,12 +16,13 @@ Links. Documents with the same shingles and counts are one text. In a bucket, th
 buckets hold most texts, in a group of near copies the original or what is closest to it. The others are verified against
 it by their exact weighted Jaccard similarity, never all pairs; ROUNDS more leaders follow, each the most central of the texts
 that no leader is similar to. Two exact bounds spare comparisons: total weights that differ by more than the threshold, and
-distances from the first leader that do (1 - similarity is a metric). What is then still open is settled exactly.
-Buckets of up to SMALL texts compare their open texts with all. In larger ones `_items` writes every text as its difference from
+distances from the first leader that do (1 - similarity is a metric). What these links join is a class for now, and only links between
+classes are still sought, exactly: a text is open in a bucket if it is not of the first leader's class.
+Buckets of up to SMALL texts compare their open texts with all of other classes. In larger ones `_items` writes every text as its difference from
 the leader (what it lacks and what it adds), and `_bounded` joins texts on rare shared items: a pair can only be similar if
 it shares more of its differences than a bound, so items that no other text has, and texts with too little to
 share, drop out, and the rest need only meet on rare items before which enough is left (prefix and positional filtering). No link
-between texts that share a bucket is lost, up to those that the links of a common leader imply.
+between texts that share a bucket is lost, up to those within what other links join.
 
 Classes are connected components. Everything is in tables in the shared folder; texts move once (those that share a bucket),
 then only those of pairs. Edge cases. Texts without words (null, empty) are each a class of their own. Repeated rows fall into one class,
@@ -277,7 +278,7 @@ def _items(idf, threshold: float):
         seen, none = _Weights(idf.value), (np.zeros(0, _U), np.zeros(0))
         for batch in batches:
             held, n = [], 0
-            for node, leader, open_, text, led in zip(batch["node"], batch["leader"], batch["open"], batch["text"], batch["text_l"]):
+            for node, class_, leader, open_, text, led in zip(batch["node"], batch["class"], batch["leader"], batch["open"], batch["text"], batch["text_l"]):
                 v, base = seen.of(node, text), seen.of(leader, led)
                 far, own = 1 - weighted_jaccard(v, base), xxhash.xxh3_64_intdigest(bytes(leader)) >> 1
                 found = []
@@ -289,7 +290,7 @@ def _items(idf, threshold: float):
                     h, x, _, adds = differences(v, none)
                     found.append((own ^ 1, h, x, a * adds, a * adds, threshold * adds))
                 for group, h, x, cost, over, least in found:
-                    held.append(pd.DataFrame({"group": group, "node": node, "item": h.view(np.int64), "amount": x, "cost": cost, "over": over, "own": least, "open": bool(open_)}))
+                    held.append(pd.DataFrame({"group": group, "node": node, "class": class_, "item": h.view(np.int64), "amount": x, "cost": cost, "over": over, "own": least, "open": bool(open_)}))
                     n += len(h)
                 if n > 1 << 17:
                     yield pd.concat(held)
@@ -304,19 +305,20 @@ def _items(idf, threshold: float):
 
 
 def _bounded(items: DataFrame) -> DataFrame:
-    """Pairs (x, y) of an open text and another of its group that can share enough by the bounds of `_items`; see above.
+    """Pairs (x, y) of an open text and another of its group and not of its class that can share enough by the bounds of `_items`; see above.
 
+    Items that only one class of the group has are passed over: no such pair shares them.
     All texts have their items in one order, the most frequent first, and `upto` adds the amounts up to an item. At the rarest item
     of a pair, neither has more in common with the other than its own `upto`: a match counts only if both are enough.
     """
-    often = items.groupBy("group", "item").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("wanted")).filter("n > 1 and wanted").drop("wanted")
+    often = items.groupBy("group", "item").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("c"), F.max("class").alias("d")).filter("c <> d").drop("c", "d")
     order = Window.partitionBy("group", "node").orderBy(F.desc("n"), "item").rowsBetween(Window.unboundedPreceding, 0)
     shared = items.join(often, ["group", "item"]).withColumn("upto", F.sum("amount").over(order) + 1e-6)
     shared = materialise(shared.filter((F.col("upto") >= F.greatest("cost", "own")) | (F.col("open") & (F.col("upto") >= F.greatest("over", "own")))).drop("amount", "n"), "shared-items")
-    x = shared.filter(F.col("open") & (F.col("upto") >= F.greatest("over", "own"))).select("group", "item", F.col("node").alias("x"), "over", F.col("upto").alias("upto_x"))
-    y = shared.filter(F.col("upto") >= F.greatest("cost", "own")).select(F.col("group").alias("g"), F.col("item").alias("i"), F.col("node").alias("y"), "cost", F.col("upto").alias("upto_y"))
+    x = shared.filter(F.col("open") & (F.col("upto") >= F.greatest("over", "own"))).select("group", "item", F.col("node").alias("x"), F.col("class").alias("class_x"), "over", F.col("upto").alias("upto_x"))
+    y = shared.filter(F.col("upto") >= F.greatest("cost", "own")).select(F.col("group").alias("g"), F.col("item").alias("i"), F.col("node").alias("y"), F.col("class").alias("class_y"), "cost", F.col("upto").alias("upto_y"))
     enough = F.least("upto_x", "upto_y") >= F.col("over") + F.col("cost")
-    return x.join(y, (F.col("group") == F.col("g")) & (F.col("item") == F.col("i")) & (F.col("x") != F.col("y")) & enough).select("x", "y").distinct()
+    return x.join(y, (F.col("group") == F.col("g")) & (F.col("item") == F.col("i")) & (F.col("class_x") != F.col("class_y")) & enough).select("x", "y").distinct()
 
 
 def _links(members: DataFrame, texts: DataFrame, idf, threshold: float, rounds: int) -> DataFrame | None:
@@ -352,17 +354,23 @@ def _links(members: DataFrame, texts: DataFrame, idf, threshold: float, rounds:
         now = near.join(done, ["a", "b"], "left")
         settled = F.col("settled") | F.coalesce((F.col("node") == F.col("l.node")) | (F.col("similarity") >= threshold), F.lit(False))
         left = materialise(now.select("key", "n", "leader", "node", "size", "far", "popular", settled.alias("settled")), "met")
-    left = left.filter("n > 2").select("key", "n", "leader", "node", "size", "far", "settled")
+    # what links so far make one class needs no more links; a text that is not of its first leader's class is open
+    linked = done.filter(F.col("similarity") >= threshold)
+    label = components(linked) if linked.limit(1).count() else linked.select(F.col("a").alias("node"), F.col("a").alias("label"))
+    own = F.coalesce("label", "node")
+    left = left.filter("n > 2").select("key", "n", "leader", "node", "size", "far").join(label, "node", "left").withColumn("class", own).drop("label")
+    left = left.join(label.withColumnRenamed("node", "leader"), "leader", "left").withColumn("open", F.col("class") != F.coalesce("label", "leader")).drop("label")
+    left = materialise(left, "classed")
     few = left.filter(F.col("n") <= SMALL)
-    x, y = few.filter("not settled").select("key", F.struct("node", "size", "far").alias("x")), few.select("key", F.struct("node", "size", "far").alias("y"))
-    may = (F.col("x.node") != F.col("y.node")) & alike("x.size", "y.size") & F.coalesce(F.abs(F.col("x.far") - F.col("y.far")) <= reach, F.lit(True))
+    x, y = few.filter("open").select("key", F.struct("node", "size", "far", "class").alias("x")), few.select("key", F.struct("node", "size", "far", "class").alias("y"))
+    may = (F.col("x.class") != F.col("y.class")) & alike("x.size", "y.size") & F.coalesce(F.abs(F.col("x.far") - F.col("y.far")) <= reach, F.lit(True))
     pairs = x.join(y, "key").filter(may).select(F.col("x.node").alias("x"), F.col("y.node").alias("y"))
-    many = materialise(left.filter((F.col("n") > SMALL) & (F.col("node") != F.col("leader"))).groupBy("leader", "node").agg((~F.min("settled")).alias("open")), "led")
-    opened = materialise(many.groupBy("leader").agg(F.max("open").alias("any"), F.count(F.lit(1)).alias("n")).filter("any and n > 1").select("leader"), "open-leaders")
+    many = materialise(left.filter((F.col("n") > SMALL) & (F.col("node") != F.col("leader"))).select("leader", "node", "class", "open").distinct(), "led")
+    opened = materialise(many.groupBy("leader").agg(F.min("class").alias("c"), F.max("class").alias("d")).filter("c <> d").select("leader"), "open-leaders")
     if opened.limit(1).count():
         led = many.join(opened, "leader").join(texts.select("node", "text"), "node").join(texts.select(F.col("node").alias("leader"), F.col("text").alias("text_l")), "leader")
         with small_batches(led.sparkSession):
-            written = led.mapInPandas(_items(idf, threshold), "group long, node binary, item long, amount double, cost double, over double, own double, open boolean")
+            written = led.mapInPandas(_items(idf, threshold), "group long, node binary, class binary, item long, amount double, cost double, over double, own double, open boolean")
             written = materialise(written, "items")
         pairs = pairs.union(_bounded(written))
     done = done.union(verified(pairs))

@@ -324,6 +324,24 @@ def test_no_link_of_a_large_bucket_is_lost(spark, rounds):
     assert len({root(n) for n in nodes}) > 10 and {n: got.get(n, n) for n in at} == {n: root(n) for n in at}
 
 
+@pytest.mark.parametrize("strangers", [0, 12])
+@pytest.mark.parametrize("rounds", [0, 1, 2])
+def test_link_between_texts_of_two_leaders(spark, strangers, rounds):
+    """One bucket with the chain L1 ~ y ~ x ~ L2 and no other similar pair: y is settled by the first leader, x by the second."""
+    chain = [words_of(700, 120).split()]
+    for step in range(3):
+        chain.append([f"s{step}x{i}" if i in (10 + 30 * step, 25 + 30 * step) else w for i, w in enumerate(chain[-1])])
+    texts = [" ".join(c) for c in chain] + [words_of(701 + k, 120) for k in range(strangers)]
+    idf = near_dedup.corpus_idf(documents(spark, [(i, t, "a") for i, t in enumerate(texts)]))
+    weigh = [near_dedup.weights(t, idf) for t in texts]
+    assert {(a, b) for b in range(len(texts)) for a in range(b) if near_dedup.weighted_jaccard(weigh[a], weigh[b]) >= 0.8} == {(0, 1), (1, 2), (2, 3)}
+    nodes = [hashlib.md5(t.encode()).digest() for t in texts]
+    members = spark.createDataFrame([(1, n, float(w[1].sum()), {0: 9, 3: 8}.get(k, 1)) for k, (n, w) in enumerate(zip(nodes, weigh))], "key long, node binary, size double, popular long")
+    held = spark.createDataFrame(list(zip(nodes, texts)), "node binary, text string")
+    got = {bytes(r["node"]): bytes(r["label"]) for r in near_dedup._links(members, held, spark.sparkContext.broadcast(idf), 0.8, rounds).collect()}
+    assert len({got.get(n, n) for n in nodes[:4]}) == 1 and len({got.get(n, n) for n in nodes}) == 1 + strangers
+
+
 def test_sampling_estimates_similarity():
     class One:
         documents = 10
