@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -27,8 +28,10 @@ from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from .tokens import SeedIndex, Vocabulary, seed_hashes, words
 
-#: 1: the word counts, 0: it is ignored. Substitutions at every fifth word, the densest that the default identity lets through, leave a seed of each of them.
+#: 1: the word counts, 0: it is ignored. Substitutions at every fifth word, the densest that the default identity lets through, leave a seed of each of them in items of over SHORT words.
 MASKS = ("11111", "1111011", "1101101", "110010011")
+#: Items of up to so many words have masks of their own besides, for the overlaps that leave no seed of those.
+SHORT = 10
 HIT = ArrayType(StructType([StructField(n, IntegerType()) for n in ("item", "doc_start", "item_start", "n_words", "n_matched")]))
 
 
@@ -51,6 +54,21 @@ def best_stretch(match: np.ndarray, identity: float) -> tuple[int, int]:
     return (start + int(inside[0]), start + int(inside[-1]) + 1) if len(inside) else (0, 0)
 
 
+def short_masks(n: int, need: int, identity: float) -> set[tuple[int, ...]]:
+    """The patterns of matches, from match to match, of overlaps of at most n words that count, without those that hold another."""
+    out: list[set[int]] = []
+    for k in range(need, n + 1):
+        for width in range(k, n + 1):
+            ends = {0, width - 1}
+            if k < identity * width - 1e-9 or k < len(ends):
+                continue
+            for inner in combinations(range(1, width - 1), k - len(ends)):
+                mask = ends.union(inner)
+                if not any({x + at for x in held} <= mask for held in out for at in range(width - max(held))):
+                    out.append(mask)
+    return {tuple(sorted(m)) for m in out}
+
+
 class Block:
     """The seeds of some benchmark items."""
 
@@ -61,10 +79,11 @@ class Block:
         self.items = [self.vocabulary.of(w) for w in items]
         self.need = [max(least, min(min_words, int(np.ceil(identity * len(w))))) for w in items]
         masks = [tuple(i for i, c in enumerate(m) if c == "1") for m in MASKS]
-        short = sorted({len(w) for w in items if least <= len(w) < len(MASKS[0])})  # too short for any mask: all their words in a row
+        # an item's own masks, where the fixed ones are not enough: one for every overlap that counts
+        own = {n: short_masks(n, k, identity) for n, k in {(len(w), k) for w, k in zip(items, self.need) if least <= len(w) <= SHORT}}
         self.index = []
-        for mask in masks + [tuple(range(n)) for n in short]:
-            found = [(i, *seed_hashes(ids, mask)) for i, ids in enumerate(self.items) if len(ids) >= least and (mask in masks or len(ids) == len(mask))]
+        for mask in sorted({*masks, *(m for ms in own.values() for m in ms)}):
+            found = [(i, *seed_hashes(ids, mask)) for i, ids in enumerate(self.items) if len(ids) >= least and (mask in masks or mask in own.get(len(ids), ()))]
             if found:
                 self.index.append((mask, SeedIndex(np.concatenate([h for _, _, h in found]), np.concatenate([np.full(len(at), i) for i, at, _ in found]), np.concatenate([at for _, at, _ in found]))))
 

@@ -172,6 +172,21 @@ def test_decontamination_against_brute_force(spark, sf_dir):
     assert want and {(r["doc_id"], r["item_id"]) for r in queries.QUERIES["op4_decontamination"](spark, sf_dir).collect()} == want
 
 
+@pytest.mark.parametrize("n", range(5, 13))
+def test_every_substitution_pattern_of_short_items(n):
+    """All patterns with enough matches, by enumeration, in items of n words."""
+    item, missed = [f"w{i}" for i in range(n)], []
+    block = decontamination.Block([" ".join(item)], 13, 5, 0.8)
+    for bits in range(1 << n):
+        match = [bits >> i & 1 for i in range(n)]
+        start, end = decontamination.best_stretch(decontamination.np.array(match, bool), 0.8)
+        wanted = sum(match[start:end]) >= block.need[0]
+        got = block.overlaps("a b " + " ".join(w if m else "other" for w, m in zip(item, match)) + " c d")
+        if bool(got) != wanted:
+            missed.append(match)
+    assert not missed
+
+
 def test_scans_edges(spark, odd, none):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "too short"), (4, "same text here for all of us"), (4, "same text here for all of us")], "item_id long, text string")
     got = decontamination.contaminated(odd, bench).collect()
