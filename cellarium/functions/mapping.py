@@ -11,7 +11,11 @@ Index = tuple[Column, Column, Column]
 
 
 def _long(x) -> Column:
-    return (x if isinstance(x, Column) else F.lit(x)).cast("long")
+    return x.cast("long") if isinstance(x, Column) else F.expr(f"{x}L")
+
+
+def _int(x) -> Column:
+    return x.cast("int") if isinstance(x, Column) else F.lit(x)
 
 
 def div(a: Column, b) -> Column:
@@ -20,11 +24,11 @@ def div(a: Column, b) -> Column:
 
 
 def shl(a, b) -> Column:
-    return F.call_function("shiftleft", _long(a), (b if isinstance(b, Column) else F.lit(b)).cast("int"))
+    return F.call_function("shiftleft", _long(a), _int(b))
 
 
 def shr(a, b) -> Column:
-    return F.call_function("shiftright", _long(a), (b if isinstance(b, Column) else F.lit(b)).cast("int"))
+    return F.call_function("shiftright", _long(a), _int(b))
 
 
 def let(value: Column, use) -> Column:
@@ -58,18 +62,17 @@ def indices_of(meta: GridMeta, cell: Column, level: Column | None = None) -> Ind
 
 def cell_at(meta: GridMeta, index: Index, level: Column) -> Column:
     """The cell of a level at given indices; 0 outside the grid or its levels."""
-    x, y, _ = meta.length
     inside = (level >= 0) & (level <= meta.max_level)
     for i, n in zip(index, meta.extent):
         inside = inside & (i >= 0) & (i < n)
-    i, j, k = (shr(c, F.lit(meta.max_level) - level) for c in index)
-    return F.when(inside, cells_before(meta, level) + 1 + i + j * shl(x, level) + k * shl(x * y, level * 2)).otherwise(F.lit(0).cast("long"))
+    return F.when(inside, cell_inside(meta, index, level)).otherwise(_long(0))
 
 
 def cell_inside(meta: GridMeta, index: Index, level: Column) -> Column:
     """cell_at for indices and a level known to be in the grid."""
     x, y, _ = meta.length
-    i, j, k = (shr(c, F.lit(meta.max_level) - level) for c in index)
+    level, down = _int(level), _int(F.lit(meta.max_level) - level)
+    i, j, k = (F.call_function("shiftright", c, down) for c in index)
     return cells_before(meta, level) + 1 + i + j * shl(x, level) + k * shl(x * y, level * 2)
 
 

@@ -61,16 +61,46 @@ def _spread(start: DataFrame, pairs: DataFrame, source: str, target: str, rounds
     return reached
 
 
-def blocked_boxes(grid: Grid, refined: DataFrame) -> DataFrame:
+def blocked_boxes(grid: Grid, refined: DataFrame | None) -> DataFrame:
     """Cells that hold leaves too fine for a merged neighbor of the same size: more than one level finer, or one level finer and about to be refined."""
     meta = grid.meta
     index = tuple(F.col(c) for c in _INDEX)
     ups = F.array(*[F.when(F.col("lvl") >= k + 2, mapping.ancestor(meta, index, k)) for k in range(max(0, meta.max_level - 1))] or [F.lit(None).cast("long")])
     deep = grid.cells.filter("lvl >= 2").select(F.explode(ups).alias("box")).filter("box is not null")
+    if refined is None:
+        return deep.distinct()
     near = refined.filter("lvl >= 1").select(mapping.ancestor(meta, index, F.greatest(F.col("lvl") - 1, F.lit(0))).alias("box"))
     return deep.union(near).distinct()
 
 
+def _asked(grid: Grid, ids: DataFrame | list[int] | None) -> DataFrame | None:
+    """Distinct requested ids, counted and marked for broadcast if they are few; None if there are none."""
+    if ids is None:
+        return None
+    found = settle(_ids(grid, ids).filter("cell is not null").distinct())
+    n = found.count()
+    return small(found, n) if n else None
+
+
+def _merged(grid: Grid, refined: DataFrame | None, unrefine: DataFrame, against: list[DataFrame]) -> DataFrame:
+    """Rows of the cells that merge, with their parent as group. One request for any sibling is enough."""
+    meta, cells = grid.meta, grid.cells
+
+    def group(ids: DataFrame) -> DataFrame:
+        placed = mapping.with_place(ids.select("cell"), meta).filter("lvl > 0")
+        return placed.select(mapping.ancestor(meta, tuple(F.col(c) for c in _INDEX), F.greatest(F.col("lvl") - 1, F.lit(0))).alias("group")).distinct()
+
+    groups = group(cells.join(unrefine, "cell", "left_semi").select("cell"))
+    for ids in against:
+        groups = groups.join(group(ids), "group", "left_anti")
+    members = cells.filter("lvl > 0").withColumn("group", mapping.parent_at(meta, F.col("cell"), F.col("lvl"), tuple(F.col(c) for c in _INDEX))).join(groups, "group")
+    whole = settle(members.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n = 8").select("group"))
+    boxes = mapping.with_place(whole.withColumnRenamed("group", "cell"), meta)
+    around = probes(grid, boxes, grid.offsets()).select("cell", mapping.cell_inside(meta, (F.col("wx"), F.col("wy"), F.col("wz")), F.col("lvl")).alias("box"))
+    stopped = around.join(blocked_boxes(grid, refined), "box", "left_semi").select(F.col("cell").alias("group")).distinct()
+    return settle(members.join(whole.join(stopped, "group", "left_anti"), "group", "left_semi"))
+
+
 def adapt(
     grid: Grid,
     refine: DataFrame | list[int] | None = None,
@@ -80,52 +110,59 @@ def adapt(
     prolong: dict[str, Column] | None = None,
     restrict: dict[str, Column] | None = None,
 ) -> Adapted:
-    """prolong: values of new cells as expressions over their parent's row (default: the parent's). restrict: values of merged cells as aggregates over their children's rows (default: null). Children inherit owner, pin and weight; a merged cell gets the owner of its first child and loses pin and weight. Requests for cells that don't exist are passed over; refining at the largest level counts as a veto against merging."""
+    """prolong: values of new cells as expressions over their parent's row (default: the parent's). restrict: values of merged cells as aggregates over their children's rows (default: null). Children inherit owner, pin and weight; a merged cell gets the owner of its first child and loses pin and weight. Requests for cells that don't exist are passed over; refining at the largest level counts as a veto against merging. What nobody asks for is not planned."""
     meta = grid.meta
     user = [c for c in grid.cells.columns if c not in CORE]
     cells = grid.cells
-    asked = cells.join(small(_ids(grid, refine).distinct(), None), "cell", "left_semi")
-    at_limit = asked.filter(F.col("lvl") == meta.max_level).select("cell")
-    wanted = asked.filter(F.col("lvl") < meta.max_level).select("cell")
-    if meta.max_level == 0:
-        none = cells.limit(0)
+    none = cells.limit(0)
+    ask = {n: _asked(grid, ids) for n, ids in (("unrefine", unrefine), ("dont_refine", dont_refine), ("dont_unrefine", dont_unrefine))} if meta.max_level else {"unrefine": None}
+    if not meta.max_level or refine is None and (ask["unrefine"] is None or grid.uniform):
         return Adapted(grid, none.select("cell"), none.select("cell"), none, none)
-    if grid.uniform:
-        veto, chosen = _ids(grid, dont_refine).distinct(), settle(wanted.join(_ids(grid, dont_refine), "cell", "left_anti"))
-    else:
-        pairs = settle(level_pairs(grid))
-        veto = _spread(cells.join(_ids(grid, dont_refine), "cell", "left_semi").select("cell"), pairs, "coarse", "fine", meta.max_level)
-        allowed = wanted.join(veto, "cell", "left_anti")
-        chosen = settle(_spread(allowed, pairs, "fine", "coarse", meta.max_level))
-    refined = settle(cells.join(chosen, "cell", "left_semi"))
-
-    # one request for any sibling is enough; groups are named by their parent
-    def group(ids: DataFrame) -> DataFrame:
-        placed = mapping.with_place(ids.select("cell"), meta).filter("lvl > 0")
-        return placed.select(mapping.ancestor(meta, tuple(F.col(c) for c in _INDEX), F.greatest(F.col("lvl") - 1, F.lit(0))).alias("group")).distinct()
-
-    groups = group(cells.join(_ids(grid, unrefine), "cell", "left_semi").select("cell"))
-    for against in (chosen, _ids(grid, dont_unrefine), at_limit):
-        groups = groups.join(group(against), "group", "left_anti")
-    members = cells.filter("lvl > 0").withColumn("group", mapping.parent_at(meta, F.col("cell"), F.col("lvl"), tuple(F.col(c) for c in _INDEX))).join(groups, "group")
-    whole = members.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n = 8").select("group")
-    boxes = mapping.with_place(whole.withColumnRenamed("group", "cell"), meta)
-    around = probes(grid, boxes, grid.offsets()).select("cell", mapping.cell_inside(meta, (F.col("wx"), F.col("wy"), F.col("wz")), F.col("lvl")).alias("box"))
-    stopped = around.join(blocked_boxes(grid, refined), "box", "left_semi").select(F.col("cell").alias("group")).distinct()
-    merged = settle(whole.join(stopped, "group", "left_anti"))
-    gone = settle(members.join(merged, "group", "left_semi"))
-
-    born = refined.withColumn("__first", mapping.cell_inside(meta, tuple(F.col(c) for c in _INDEX), F.col("lvl") + 1)).withColumn("__child", F.explode(F.array(*mapping.children_inside(meta, F.col("__first"), F.col("lvl")))))
-    values = {c: (prolong or {}).get(c, F.col(c)) for c in user}
-    born = born.select(F.col("__child").alias("cell"), "part", "weight", "pin", *[v.alias(c) for c, v in values.items()])
-    first = F.min_by("part", "cell").alias("part")
-    up = gone.groupBy("group").agg(first, *[(restrict or {}).get(c, F.lit(None).cast(dict(cells.dtypes)[c])).alias(c) for c in user])
-    up = up.select(F.col("group").alias("cell"), "part", F.lit(1.0).alias("weight"), F.lit(None).cast("int").alias("pin"), *user)
-    made = Grid.of(meta, born.unionByName(up)).cells
-    kept = cells.join(refined.select("cell"), "cell", "left_anti").join(gone.select("cell"), "cell", "left_anti")
-    after = settle(kept.unionByName(made))
-    new = Grid(meta, after, grid.hoods, grid.cell_items, grid.neighbor_items, after.count())
-    return Adapted(new, born.select("cell"), gone.select("cell"), refined, gone.drop("group"))
+    refined = at_limit = None
+    if refine is not None:
+        wanted = cells.join(_ids(grid, refine).distinct(), "cell", "left_semi").select("cell", "lvl")
+        at_limit = wanted.filter(F.col("lvl") == meta.max_level).select("cell")
+        wanted = wanted.filter(F.col("lvl") < meta.max_level).select("cell")
+        veto = ask["dont_refine"]
+        if grid.uniform:
+            chosen = wanted if veto is None else wanted.join(veto, "cell", "left_anti")
+        else:
+            pairs = settle(level_pairs(grid))
+            if veto is not None:
+                wanted = wanted.join(_spread(cells.join(veto, "cell", "left_semi").select("cell"), pairs, "coarse", "fine", meta.max_level), "cell", "left_anti")
+            chosen = _spread(wanted, pairs, "fine", "coarse", meta.max_level)
+        chosen = settle(chosen)
+        n = chosen.count()
+        chosen = small(chosen, n)
+        refined = cells.join(chosen, "cell", "left_semi")
+    gone = None
+    if ask["unrefine"] is not None and not grid.uniform:
+        gone = _merged(grid, refined, ask["unrefine"], [x for x in (None if refined is None else chosen, at_limit, ask["dont_unrefine"]) if x is not None])
+
+    kept, made = cells, []
+    born = none.select("cell")
+    if refined is not None:
+        # the first child stands at the corner of its parent, so only the level changes
+        first = mapping.cell_inside(meta, tuple(F.col(c) for c in _INDEX), F.col("lvl") + 1)
+        half = mapping.div(F.col("len"), 2)
+        kids = refined.withColumns({"__first": first, "__half": half}).select("*", F.posexplode(F.array(*mapping.children_inside(meta, F.col("__first"), F.col("lvl")))).alias("__k", "__kid"))
+        values = {c: (prolong or {}).get(c, F.col(c)) for c in user}
+        at = [(F.col(c) + F.when(F.col("__k").bitwiseAND(F.lit(1 << d)) > 0, F.col("__half")).otherwise(0)).alias(c) for d, c in enumerate(_INDEX)]
+        made.append(kids.select(F.col("__kid").alias("cell"), (F.col("lvl") + 1).alias("lvl"), *at, F.col("__half").alias("len"), "part", "weight", "pin", *[v.alias(c) for c, v in values.items()]))
+        born = refined.select(F.explode(F.array(*mapping.children_inside(meta, first, F.col("lvl")))).alias("cell"))
+        kept = kept.join(chosen, "cell", "left_anti")
+    if gone is not None:
+        up = gone.groupBy("group").agg(F.min_by("part", "cell").alias("part"), *[(restrict or {}).get(c, F.lit(None).cast(dict(cells.dtypes)[c])).alias(c) for c in user])
+        up = up.select(F.col("group").alias("cell"), "part", F.lit(1.0).alias("weight"), F.lit(None).cast("int").alias("pin"), *user)
+        made.append(Grid.of(meta, up).cells)
+        kept = kept.join(gone.select("cell"), "cell", "left_anti")
+    after = kept
+    for rows in made:
+        after = after.unionByName(rows)
+    after = settle(after)
+    leaves = grid.leaves + 7 * n if grid.leaves is not None and refined is not None and gone is None else after.count()
+    new = Grid(meta, after, grid.hoods, grid.cell_items, grid.neighbor_items, leaves)
+    return Adapted(new, born, none.select("cell") if gone is None else gone.select("cell"), none if refined is None else refined, none if gone is None else gone.drop("group"))
 
 
 def load_cells(grid: Grid, wanted: DataFrame | list[int]) -> Grid:

@@ -29,10 +29,11 @@ def existing_at_indices(grid: Grid, points: DataFrame, index: tuple[Column, Colu
         return points.withColumn(name, ids[0] if lo == 0 else F.lit(0).cast("long"))
     leaf = grid.ids
     if tiled and lo == 0 and hi == grid.meta.max_level:
-        each = points.withColumn("__try", F.array(*ids.values()))
-        inside = each.filter(F.col("__try")[0] > 0).withColumn("__try", F.explode("__try")).join(leaf.withColumnRenamed("cell", "__leaf"), F.col("__try") == F.col("__leaf"))
-        outside = each.filter(F.col("__try")[0] <= 0).withColumn(name, F.lit(0).cast("long")).drop("__try")
-        return inside.withColumn(name, F.col("__leaf")).drop("__try", "__leaf").unionByName(outside)
+        # one more candidate, 0, stands for points outside the grid, so they need no branch of their own
+        each = points.withColumn("__try", F.explode(F.when(ids[0] > 0, F.array(*ids.values())).otherwise(F.array(F.lit(0).cast("long")))))
+        some = grid.cells.select("cell").unionByName(points.sparkSession.range(1).withColumnRenamed("id", "cell"))
+        leaf = small(some, None if grid.leaves is None else grid.leaves + 1)
+        return each.join(leaf.withColumnRenamed("cell", "__leaf"), F.col("__try") == F.col("__leaf")).withColumn(name, F.col("__leaf")).drop("__try", "__leaf")
     found = []
     for k in range(hi, lo - 1, -1):
         points = points.withColumn(f"__try{k}", ids[k]).join(leaf.withColumnRenamed("cell", f"__leaf{k}"), F.col(f"__try{k}") == F.col(f"__leaf{k}"), "left")

@@ -20,7 +20,7 @@ from ..operators import partition as P
 from ..operators import stencil as S
 from ..operators import workloads as W
 from ..sources import store
-from ..sources.binning import binned, refined_by_count, to_leaves
+from ..sources.binning import binned, refined_by_count, sums_per_leaf
 from . import oracle as O
 from .grid import Grid
 from .shared import settle
@@ -84,9 +84,9 @@ def leaves_sql(meta: GridMeta = M1) -> str:
 
 def with_counts(grid: Grid, df: DataFrame) -> Grid:
     """Rows and quantity per leaf, 0 where there are none."""
-    sums = to_leaves(grid, df, at()).groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum("qty").alias("qty"))
+    sums = sums_per_leaf(grid, df, at(), {"n": F.lit(1), "qty": F.col("qty")})
     joined = grid.cells.join(sums, "cell", "left")
-    return grid.with_cells(joined.withColumns({"n": F.coalesce("n", F.lit(0)), "qty": F.coalesce("qty", F.lit(0))}))
+    return grid.with_cells(settle(joined.withColumns({"n": F.coalesce("n", F.lit(0)), "qty": F.coalesce("qty", F.lit(0))})))
 
 
 COUNTS = "sums AS (SELECT l.cell, count(*) AS n, sum(p.qty)::BIGINT AS qty FROM pts p JOIN leaf l ON p.ix >= l.ix AND p.ix < l.ix + l.len AND p.iy >= l.iy AND p.iy < l.iy + l.len AND p.iz >= l.iz AND p.iz < l.iz + l.len GROUP BY l.cell), cells AS (SELECT leaf.*, coalesce(n, 0) AS n, coalesce(qty, 0) AS qty FROM leaf LEFT JOIN sums USING (cell))"

@@ -10,6 +10,7 @@ from ..functions.meta import GridMeta
 from ..operators.adapt import adapt
 from ..operators.lookup import existing_at_indices
 from ..plans.grid import Grid
+from ..plans.shared import settle
 
 
 def binned(df: DataFrame, meta: GridMeta, index: tuple[Column, Column, Column], level: int | None = None, name: str = "cell") -> DataFrame:
@@ -21,8 +22,15 @@ def to_leaves(grid: Grid, df: DataFrame, index: tuple[Column, Column, Column], n
     return existing_at_indices(grid, df, index, name=name)
 
 
+def sums_per_leaf(grid: Grid, df: DataFrame, index: tuple[Column, Column, Column], sums: dict[str, Column]) -> DataFrame:
+    """cell and sums over the rows of each leaf (cell 0: rows outside the grid). Rows are summed by lattice point before they are looked up, so what is joined does not grow with the table."""
+    names = ("ix", "iy", "iz")
+    points = df.groupBy(*[i.alias(n) for n, i in zip(names, index)]).agg(*[F.sum(v).alias(k) for k, v in sums.items()])
+    return to_leaves(grid, points, tuple(F.col(n) for n in names)).groupBy("cell").agg(*[F.sum(k).alias(k) for k in sums])
+
+
 def refined_by_count(grid: Grid, df: DataFrame, index: tuple[Column, Column, Column], dense: Column) -> Grid:
     """grid with those leaves refined whose rows meet dense, a condition on n (rows of the leaf) and total."""
-    counts = to_leaves(grid, df.select(*[i.alias(n) for i, n in zip(index, ("ix", "iy", "iz"))]), (F.col("ix"), F.col("iy"), F.col("iz"))).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    total = df.count()
+    counts = settle(sums_per_leaf(grid, df, index, {"n": F.lit(1)}))
+    total = counts.agg(F.sum("n")).first()[0] or 0
     return adapt(grid, refine=counts.withColumn("total", F.lit(total)).filter(dense).select("cell")).grid
