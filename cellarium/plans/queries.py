@@ -403,19 +403,20 @@ def stencil_max_diff(spark, sf_dir):
 LIFE = GridMeta(LENGTH, 1)
 
 
-@query(f"{FLAT_LEAF}, a AS (SELECT leaf.*, CAST(cell IN (SELECT 1 + p_partkey * 7 % 117 FROM part WHERE p_partkey % 3 = 0 AND p_partkey < 120) AS INTEGER) AS alive FROM leaf), n AS ({O.near(FLAT)}), s AS (SELECT n.cell, sum(b.alive) AS around FROM n JOIN a b ON b.cell = n.nbr GROUP BY n.cell) SELECT a.cell, CASE WHEN around = 3 THEN 1 WHEN around = 2 THEN alive ELSE 0 END AS alive FROM a JOIN s USING (cell)")
+@query(f"{FLAT_LEAF}, a AS (SELECT leaf.*, CAST(cell IN (SELECT 1 + p_partkey * 7 % 117 FROM part GROUP BY 1 HAVING count(*) % 2 = 1) AS INTEGER) AS alive FROM leaf), n AS ({O.near(FLAT)}), s AS (SELECT n.cell, sum(b.alive) AS around FROM n JOIN a b ON b.cell = n.nbr GROUP BY n.cell) SELECT a.cell, CASE WHEN around = 3 THEN 1 WHEN around = 2 THEN alive ELSE 0 END AS alive FROM a JOIN s USING (cell)")
 def life_step(spark, sf_dir):
     return W.life_step(_alive(spark, sf_dir, Grid.level0(spark, FLAT))).cells.select("cell", "alive")
 
 
 def _alive(spark, sf_dir: str, grid: Grid) -> Grid:
-    on = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_partkey % 3 = 0 and p_partkey < 120").select((1 + F.col("p_partkey") * 7 % 117).alias("l0")).distinct().withColumn("on", F.lit(1))
+    """Alive is a cell that an odd number of parts falls into."""
+    on = spark.read.parquet(f"{sf_dir}/part.parquet").groupBy((1 + F.col("p_partkey") * 7 % 117).alias("l0")).agg(F.count(F.lit(1)).alias("n")).filter("n % 2 = 1").select("l0", F.lit(1).alias("on"))
     cells = grid.cells.withColumn("l0", mapping.level0_parent(grid.meta, F.col("cell"))).join(on, "l0", "left")
     return grid.with_cells(cells.withColumn("alive", F.coalesce("on", F.lit(0))).drop("l0", "on"))
 
 
 @query(
-    f"WITH flat AS ({O.placed(FLAT, 'SELECT range AS cell FROM range(1, 118)')}), a AS (SELECT flat.*, CAST(cell IN (SELECT 1 + p_partkey * 7 % 117 FROM part WHERE p_partkey % 3 = 0 AND p_partkey < 120) AS INTEGER) AS alive FROM flat), n AS ({O.near(FLAT, 'flat')}), s AS (SELECT n.cell, sum(b.alive) AS around FROM n JOIN a b ON b.cell = n.nbr GROUP BY n.cell), r AS (SELECT a.cell, CASE WHEN around = 3 THEN 1 WHEN around = 2 THEN alive ELSE 0 END AS alive FROM a JOIN s USING (cell)), {leaves_sql()} SELECT leaf.cell, r.alive FROM leaf JOIN r ON r.cell = {O.ancestor(M1, 'leaf.cell', '0')}"
+    f"WITH flat AS ({O.placed(FLAT, 'SELECT range AS cell FROM range(1, 118)')}), a AS (SELECT flat.*, CAST(cell IN (SELECT 1 + p_partkey * 7 % 117 FROM part GROUP BY 1 HAVING count(*) % 2 = 1) AS INTEGER) AS alive FROM flat), n AS ({O.near(FLAT, 'flat')}), s AS (SELECT n.cell, sum(b.alive) AS around FROM n JOIN a b ON b.cell = n.nbr GROUP BY n.cell), r AS (SELECT a.cell, CASE WHEN around = 3 THEN 1 WHEN around = 2 THEN alive ELSE 0 END AS alive FROM a JOIN s USING (cell)), {leaves_sql()} SELECT leaf.cell, r.alive FROM leaf JOIN r ON r.cell = {O.ancestor(M1, 'leaf.cell', '0')}"
 )
 def life_step_amr(spark, sf_dir):
     """Each leaf of a refined grid gets what its ancestor gets on the unrefined one."""
@@ -578,9 +579,9 @@ def balance_moves(spark, sf_dir):
 # --- H, I: files and workloads ---------------------------------------------------------------------------------------
 
 
-@query(f"WITH leaf AS (SELECT *, row_number() OVER (ORDER BY cell) - 1 AS n FROM ({O.placed(M0, 'SELECT range AS cell FROM range(1, 118)')})) SELECT 1 AS section, n, k, concat_ws(' ', ix + (k & 1), iy + (k >> 1 & 1), iz + (k >> 2)) AS line FROM leaf CROSS JOIN (SELECT CAST(range AS INTEGER) AS k FROM range(8)) UNION ALL SELECT 3, n, 0, concat_ws(' ', 8, n*8, n*8+1, n*8+2, n*8+3, n*8+4, n*8+5, n*8+6, n*8+7) FROM leaf UNION ALL SELECT 5, n, 0, '11' FROM leaf")
+@query(f"WITH leaf AS (SELECT *, row_number() OVER (ORDER BY cell) - 1 AS n FROM ({O.placed(M0, 'SELECT range AS cell FROM range(1, 118)')})) SELECT 1 AS section, n, k, concat_ws(' ', ix + (k & 1), iy + (k >> 1 & 1), iz + (k >> 2)) AS line FROM leaf CROSS JOIN (SELECT CAST(range AS INTEGER) AS k FROM range(8)) UNION ALL SELECT 3, n, 0, concat_ws(' ', 8, n*8, n*8+1, n*8+2, n*8+3, n*8+4, n*8+5, n*8+6, n*8+7) FROM leaf UNION ALL SELECT 5, n, 0, '11' FROM leaf UNION ALL SELECT * FROM (VALUES (0, 0, 0, '# vtk DataFile Version 2.0'), (0, 0, 1, 'leaf cells as voxels'), (0, 0, 2, 'ASCII'), (0, 0, 3, 'DATASET UNSTRUCTURED_GRID'), (0, 0, 4, 'POINTS 936 float'), (2, 0, 0, 'CELLS 117 1053'), (4, 0, 0, 'CELL_TYPES 117')) h")
 def vtk_rows(spark, sf_dir):
-    lines = store.vtk_lines(Grid.level0(spark, M0)).filter("section % 2 = 1")
+    lines = store.vtk_lines(Grid.level0(spark, M0))
     split = F.split("line", " ")
     whole = F.when(F.col("section") == 1, F.concat_ws(" ", *[F.element_at(split, i).cast("double").cast("long").cast("string") for i in (1, 2, 3)])).otherwise(F.col("line"))
     return lines.select("section", "n", "k", whole.alias("line"))

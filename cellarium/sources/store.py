@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
-import os
+import re
 import struct
-import tempfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -78,6 +80,12 @@ def parse_preamble(data: bytes, at: int = 0) -> tuple[GridMeta, int]:
     return GridMeta((x, y, z), level, (bool(px), bool(py), bool(pz)), hood, shape), at
 
 
+#: Struct codes of cell data by Spark type.
+_KIND = {"q": "long", "d": "double", "i": "int"}
+#: Bytes of one piece that passes the driver, and cells of one range that a task reads.
+PIECE, RANGE = 1 << 20, 1 << 17
+
+
 def _packer(code: str):
     def pack(*columns: pd.Series) -> pd.Series:
         return pd.Series([struct.pack("<" + code, *row) for row in zip(*columns)])
@@ -90,54 +98,143 @@ def packed(columns: dict[str, str]) -> Column:
     return _packer("".join(columns.values()))(*[F.col(c) for c in columns])
 
 
-def write_binary(grid: Grid, path: str, columns: dict[str, str] | None = None, data: Column | None = None, header: bytes = b"") -> None:
-    """One file at a path (of this machine, or with a scheme, where a local copy is moved to): preamble, number of cells, (id, offset) of each, data. Cells ascend. Data is columns, packed, or a binary expression of any length per cell. The format is one stream, so rows pass through the driver partition by partition; Parquet is the parallel way."""
-    body = data if data is not None else packed(columns or {}) if columns else F.lit(b"")
-    rows = settle(grid.cells.select("cell", body.alias("data")).orderBy("cell"))
-    n = rows.count()
-    local = path
-    if "://" in path:
-        handle, local = tempfile.mkstemp()
-        os.close(handle)
-    with open(local, "wb") as f:
-        f.write(preamble(grid.meta, header))
-        f.write(struct.pack("<Q", n))
-        at = f.tell() + 16 * n
-        for r in rows.select("cell", F.length("data").alias("n")).toLocalIterator():
-            f.write(struct.pack("<2Q", r["cell"], at))
-            at += r["n"]
-        for r in rows.select("data").toLocalIterator():
-            f.write(r["data"])
-    if local != path:
-        spark = grid.cells.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).copyFromLocalFile(True, True, spark._jvm.org.apache.hadoop.fs.Path(f"file://{local}"), target)
+def _file(spark: SparkSession, path: str):
+    """Hadoop's file system and path of a name; one without a scheme is of the default file system, for reading as for writing."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs, fs.makeQualified(at)
 
 
-def read_binary(spark: SparkSession, path: str, columns: dict[str, str] | None = None, header_length: int = 0) -> tuple[Grid, bytes]:
-    """The grid of a binary file, with columns unpacked or, without them, data as bytes. Read by Spark's reader for whole files, so the path may be in any store."""
-    head = spark.read.format("binaryFile").load(path)
-    content = bytes(head.select(F.substring("content", 1, 1 << 20).alias("c")).first()["c"])
-    meta, at = parse_preamble(content, header_length)
-    code = "<" + "".join((columns or {}).values())
-    schema = "cell long" + ("".join(f", {c} {'double' if k == 'd' else 'int' if k == 'i' else 'long'}" for c, k in columns.items()) if columns else ", data binary")
-
-    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _joined(rows: DataFrame, body: Column) -> DataFrame:
+    """piece: the bytes of many rows in one, in the order of the rows' partitions; each task joins its own rows."""
+
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for batch in batches:
-            for content in batch["content"]:
-                (n,) = struct.unpack_from("<Q", content, at)
-                table = struct.unpack_from(f"<{2 * n}Q", content, at + 8)
-                ids, offsets = table[::2], [*table[1::2], len(content)]
-                for a in range(0, n, 50_000):
-                    rows = range(a, min(n, a + 50_000))
-                    if columns:
-                        values = [struct.unpack_from(code, content, offsets[i]) for i in rows]
-                        yield pd.DataFrame({"cell": [ids[i] for i in rows], **{c: [v[k] for v in values] for k, c in enumerate(columns)}})
-                    else:
-                        yield pd.DataFrame({"cell": [ids[i] for i in rows], "data": [bytes(content[offsets[i] : offsets[i + 1]]) for i in rows]})
-
-    rows = head.select("content").mapInPandas(cells, schema)
-    return Grid.of(meta, rows.repartition("cell")), content[:header_length]
+            for x in batch["b"]:
+                held.append(bytes(x))
+                size += len(held[-1])
+                if size >= PIECE:
+                    yield pd.DataFrame({"piece": [b"".join(held)]})
+                    held, size = [], 0
+        if held:
+            yield pd.DataFrame({"piece": [b"".join(held)]})
+
+    return rows.select(body.alias("b")).mapInPandas(join, "piece binary")
+
+
+def write_binary(grid: Grid, path: str, columns: dict[str, str] | None = None, data: Column | None = None, header: bytes = b"", cells: DataFrame | None = None, offset: int = 0) -> None:
+    """One file at a path of any file system that Spark writes: preamble, number of cells, (id, offset) of each, data. Cells ascend. Data is columns, packed, or a binary expression of any length per cell. cells: write only these. offset: where the grid starts at least; a shorter header is padded with zeros.
+
+    Offsets come from a prefix sum in two steps, and tasks join the bytes of their rows into pieces of about a megabyte. The format is one stream, so the pieces pass the driver one by one; Parquet is the parallel way."""
+    spark = grid.cells.sparkSession
+    source = grid.cells if cells is None else grid.cells.join(cells.select("cell").distinct(), "cell", "left_semi")
+    body = data if data is not None else packed(columns) if columns else F.lit(b"")
+    rows = settle(source.select("cell", F.coalesce(body, F.lit(b"")).alias("data")).repartitionByRange("cell").sortWithinPartitions("cell").withColumn("__p", F.spark_partition_id()))
+    sums = rows.groupBy("__p").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("data")).alias("bytes"))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select("__p", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("base"))
+    n = sums.agg(F.sum("n")).first()[0] or 0
+    start = preamble(grid.meta, header.ljust(offset, b"\0"))
+    first = len(start) + 8 + 16 * n
+    own = Window.partitionBy("__p").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    # a row per partition is broadcast; partitions stay where they are
+    table = rows.join(F.broadcast(base), "__p").select("__p", "cell", (F.lit(first) + F.col("base") + F.coalesce(F.sum(F.length("data")).over(own), F.lit(0))).alias("at"))
+    table = settle(table.repartitionByRange("cell").sortWithinPartitions("cell"))
+    little = lambda c: F.unhex(F.concat(*[F.substring(F.lpad(F.hex(F.col(c)), 16, "0"), 15 - 2 * i, 2) for i in range(8)]))
+    fs, target = _file(spark, path)
+    out = fs.create(target, True)
+    try:
+        out.write(bytearray(start + struct.pack("<Q", n)))
+        for pieces in (_joined(table, F.concat(little("cell"), little("at"))), _joined(rows, F.col("data"))):
+            for r in pieces.toLocalIterator():
+                out.write(r["piece"])
+    finally:
+        out.close()
+
+
+@dataclass(frozen=True)
+class BinaryFile:
+    """An opened binary file: what its preamble says. Cells and data are read by tasks, range by range, when a plan asks for them."""
+
+    spark: SparkSession
+    path: str
+    meta: GridMeta
+    header: bytes
+    #: Cells in the file, where their table starts, and the file's length.
+    cells: int
+    table: int
+    length: int
+
+    def _rows(self, schema: str, read) -> DataFrame:
+        n, table, length, path = self.cells, self.table, self.length, self.path
+        starts = self.spark.range(0, n, RANGE, max(1, -(-n // RANGE))).select("id")
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            fs, name = FileSystem.from_uri(path)
+            with fs.open_input_file(name) as f:
+                for batch in batches:
+                    for a in batch["id"]:
+                        b = min(n, int(a) + RANGE)
+                        more = 1 if b < n else 0  # where the next cell's data starts
+                        index = np.frombuffer(f.read_at(16 * (b - int(a) + more), table + 16 * int(a)), "<u8").reshape(-1, 2).astype(np.int64)
+                        yield read(f, index[: b - int(a), 0], np.append(index[:, 1], [] if more else [length]).astype(np.int64))
+
+        return starts.mapInPandas(run, schema)
+
+    def structure(self) -> Grid:
+        """The grid without data, from the table of cells alone."""
+        return Grid.of(self.meta, self._rows("cell long", lambda f, ids, at: pd.DataFrame({"cell": ids})), self.cells)
+
+    def load(self, columns: dict[str, str] | None = None) -> Grid:
+        """The grid with columns unpacked or, without them, data as bytes."""
+        code = "<" + "".join((columns or {}).values())
+        schema = "cell long" + ("".join(f", {c} {_KIND[k]}" for c, k in columns.items()) if columns else ", data binary")
+
+        def read(f, ids: np.ndarray, at: np.ndarray) -> pd.DataFrame:
+            if not columns:
+                return pd.DataFrame({"cell": ids, "data": [f.read_at(int(b - a), int(a)) for a, b in zip(at, at[1:])]})
+            size = struct.calcsize(code)
+            low, high = int(at[:-1].min()), int(at[:-1].max()) + size
+            content = f.read_at(high - low, low)
+            values = [struct.unpack_from(code, content, int(a) - low) for a in at[:-1]]
+            return pd.DataFrame({"cell": ids, **{c: [v[k] for v in values] for k, c in enumerate(columns)}})
+
+        return Grid.of(self.meta, self._rows(schema, read), self.cells)
+
+
+def open_binary(spark: SparkSession, path: str, header_length: int = 0) -> BinaryFile:
+    """Reads the preamble, however many edges a stretched geometry has; cells and data stay in the file. Tasks open the file by its qualified name, so it must be in a store that all executors reach."""
+    fs, at = _file(spark, path)
+    length, stream = fs.getFileStatus(at).getLen(), fs.open(at)
+    to_bytes = spark._jvm.org.apache.commons.io.IOUtils.toByteArray
+    held = bytearray()
+
+    def upto(n: int) -> bytes:
+        if n > length:
+            raise ValueError("the file ends within its preamble")
+        while len(held) < n:
+            held.extend(to_bytes(stream, min(PIECE, n - len(held))))
+        return bytes(held)
+
+    try:
+        fixed = header_length + 47
+        (kind,) = struct.unpack_from("<i", upto(fixed), fixed - 4)
+        whole = fixed + (48 if kind == GEOMETRY_ID["cartesian"] else 0)
+        if kind == GEOMETRY_ID["stretched"]:
+            whole = fixed + 24 + 8 * sum(struct.unpack_from("<3Q", upto(fixed + 24), fixed))
+        content = upto(whole + 8)
+    finally:
+        stream.close()
+    meta, end = parse_preamble(content, header_length)
+    (n,) = struct.unpack_from("<Q", content, end)
+    return BinaryFile(spark, re.sub("^file:/+", "file:///", at.toUri().toString()), meta, content[:header_length], n, end + 8, length)
+
+
+def read_binary(spark: SparkSession, path: str, columns: dict[str, str] | None = None, header_length: int = 0) -> tuple[Grid, bytes]:
+    """The grid of a binary file and the header before it."""
+    file = open_binary(spark, path, header_length)
+    return file.load(columns), file.header
 
 
 # --- VTK -----------------------------------------------------------------------------------------------------------
@@ -165,7 +262,7 @@ def vtk_lines(grid: Grid, scalars: tuple[str, ...] = ()) -> DataFrame:
         cells.select(F.lit(3).alias("section"), "n", F.lit(0).alias("k"), F.concat_ws(" ", F.lit("8"), *[(F.col("n") * 8 + i).cast("string") for i in range(8)]).alias("line")),
         cells.select(F.lit(5).alias("section"), "n", F.lit(0).alias("k"), F.lit("11").alias("line")),
     ]
-    heads = [(0, f"# vtk DataFile Version 2.0\nCartesian cell refinable grid\nASCII\nDATASET UNSTRUCTURED_GRID\nPOINTS {total * 8} float"), (2, f"CELLS {total} {total * 9}"), (4, f"CELL_TYPES {total}")]
+    heads = [(0, f"# vtk DataFile Version 2.0\nleaf cells as voxels\nASCII\nDATASET UNSTRUCTURED_GRID\nPOINTS {total * 8} float"), (2, f"CELLS {total} {total * 9}"), (4, f"CELL_TYPES {total}")]
     for i, s in enumerate(scalars):
         heads.append((6 + 2 * i, (f"CELL_DATA {total}\n" if i == 0 else "") + f"SCALARS {s} float 1\nLOOKUP_TABLE default"))
         sections.append(cells.select(F.lit(7 + 2 * i).alias("section"), "n", F.lit(0).alias("k"), F.col(s).cast("string").alias("line")))

@@ -172,6 +172,12 @@ def test_files(spark, tmp_path):
     data = F.encode(F.repeat(F.lit("x"), (F.col("cell") % 5).cast("int")), "UTF-8")
     store.write_binary(grid, str(tmp_path / "v"), data=data)
     assert {r["cell"]: len(r["data"]) for r in store.read_binary(spark, str(tmp_path / "v"))[0].cells.collect()} == {c: c % 5 for c, _, _ in want}
+    some = grid.cells.filter("cell % 2 = 0")
+    store.write_binary(grid, f"file://{tmp_path}/s", {"a": "q"}, header=b"abc", cells=some, offset=40)
+    file = store.open_binary(spark, f"file://{tmp_path}/s", 40)
+    assert file.header == b"abc".ljust(40, b"\0") and file.cells == some.count()
+    assert {r["cell"] for r in file.structure().cells.collect()} == {c for c, _, _ in want if c % 2 == 0}
+    assert {(r["cell"], r["a"]) for r in file.load({"a": "q"}).cells.collect()} == {(c, a) for c, a, _ in want if c % 2 == 0}
     store.binary_to_vtk(spark, str(tmp_path / "b"), str(tmp_path / "vtk"), {"a": "q", "d": "d"}, 8)
     lines = spark.read.text(str(tmp_path / "vtk")).collect()
     n = len(want)
