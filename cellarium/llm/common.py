@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space as the contracts define it: space and U+0009 to U+000D.
@@ -72,6 +72,27 @@ def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def drop_rows(docs: DataFrame, verdicts: DataFrame, id_col: str, digest: Column) -> DataFrame:
+    """docs without the rows that verdicts (doc_id, digest, kept; a row per row of docs) rejects, found by id and digest. Where the rejected are few by a count, they are broadcast and no text moves; otherwise they build the hash tables of one shuffle, and texts are not sorted. Of rows that repeat an id and a digest, and of which one stays, any one stays."""
+    verdicts = materialise(verdicts.groupBy("doc_id", "digest").agg(F.max("kept").alias("some"), F.min("kept").alias("all")).filter("not all"), "rejected")
+    count = verdicts.count()
+    rows = docs.select(*with_columns(docs, {"__digest": digest}))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+
+    def met(lost: DataFrame, how: str) -> DataFrame:
+        lost = lost.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__of"))
+        lost = F.broadcast(lost) if count <= SMALL_ROWS else lost.hint("shuffle_hash")
+        return rows.join(lost, rows[f"`{id_col}`"].eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__of")), how)
+
+    out = met(verdicts, "left_anti").select(*own)
+    repeated = verdicts.filter("some")
+    if repeated.limit(1).count():
+        first = Window.partitionBy(f"`{id_col}`", "__digest").orderBy("__digest")
+        again = met(repeated, "left_semi").withColumn("__n", F.row_number().over(first)).filter("__n = 1")
+        out = out.unionByName(again.select(*own))
+    return out
+
+
 def permuted(x: Column, n: Column, *key: Column, rounds: int = 32) -> Column:
     """A pseudorandom permutation of 0 .. n-1 at x (the swap-or-not shuffle of Hoang, Morris and Rogaway): each round pairs x with k - x modulo n, and a hashed bit of the pair's larger member says whether they swap."""
     n = F.greatest(n, F.lit(1))

@@ -5,7 +5,8 @@ summary (DataFrame.stat.freqItems) over that table names every digest that more
 have, and at most 1/support digests in all. Their winners are verified by an exact partial aggregation and
 broadcast: at most 1/support rows of under 100 bytes, whatever the size of the corpus. Rows with
 such a digest are settled on the map side; no other digest has more than support * rows, so the rest goes
-through an ordinary shuffle on the digest without a hot key. Only ids and digests are shuffled, never texts.
+through an ordinary shuffle on the digest without a hot key. Only ids and digests are shuffled; texts move once, and only
+where rows are to be dropped (`exact_dedup`) of which there are too many to broadcast.
 
 Edge cases. A null text equals an empty one. A null doc_id loses against any other. Rows that repeat an id
 and a text tie; exactly one of them stays. An empty table gives an empty result. Columns of the input with the
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WS, materialise, text_of, with_columns
+from .common import WS, drop_rows, materialise, text_of
 
 #: Share of the rows from which a digest must count as frequent; 1/SUPPORT rows at most are broadcast.
 SUPPORT = 1 / 1024
@@ -48,12 +49,8 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
-    """The rows of docs that stay, with docs' columns. Ids and digests pick them by one join; of rows that repeat an id and a text the join's own order lets one through."""
-    stay = duplicate_groups(docs, id_col, text_col, support).filter("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__of"))
-    rows = docs.select(*with_columns(docs, {"__digest": digest(text_col)}))
-    found = rows.join(stay, rows[f"`{id_col}`"].eqNullSafe(stay["__id"]) & (F.col("__digest") == F.col("__of")))
-    by = Window.partitionBy("__id", "__of").orderBy("__of")
-    return found.withColumn("__n", F.row_number().over(by)).filter("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs that stay, with docs' columns."""
+    return drop_rows(docs, duplicate_groups(docs, id_col, text_col, support).select("doc_id", "digest", "kept"), id_col, digest(text_col))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -5,9 +5,11 @@ the text times its IDF. The signature has BANDS * ROWS samples; texts that agree
 similarity of 0.8, a pair shares one of the 12 buckets of 3 with a probability of 0.9998.
 
 IDF. How many documents hold a shingle is estimated for all documents by a count-min sketch of fixed size, less the sketch's mean
-(its noise): 4 MB whatever the corpus. A shingle in under `RARE` of the documents weighs 1, and log-frequency lowers that to
-`FLOOR` at most: with a free range, the shared (frequent) shingles of a large group of near copies would weigh so
-little against each copy's own edits that the copies would not count as similar.
+(its noise): 4 MB whatever the corpus. A shingle in under `RARE` of the documents weighs 1. For the frequent ones a second pass counts
+again, without the documents of which frequent shingles are more than half: these are copies of frequent texts (a group of
+copies may hold a third of all rows), and a group must not lower the weight of what its own members share. What is left are
+passages that documents of different content share, and from RARE to all documents their weight falls with log-frequency from 1
+to FLOOR, which is above 0 only so that every text has some weight.
 
 Sampling. The variates of a shingle come from a table of 2^15 rows by the shingle's hash; the sample is the shingle's
 whole hash and its quantised weight. For weight 1 the quantised weight is 0 and the score is a constant of the table.
@@ -26,7 +28,8 @@ between texts that share a bucket is lost, up to those within what other links j
 
 Classes are connected components. Everything is in tables in the shared folder; texts move once (those that share a bucket),
 then only those of pairs. Edge cases. Texts without words (null, empty) are each a class of their own. Repeated rows fall into one class,
-of which exactly one row stays: that with the smallest doc_id (null last). Empty tables give empty results.
+of which exactly one row stays: that with the smallest doc_id (null last). Very long texts are read whole. Empty tables give empty results.
+Columns of the input beside id and text are not read, so their names may clash with the results'.
 """
 
 from __future__ import annotations
@@ -40,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches, text_of, with_columns
+from .common import drop_rows, materialise, small_batches, text_of
 from .graph import components
 from .tokens import words
 
@@ -52,7 +55,7 @@ ROUNDS = 1
 SMALL = 8
 #: Texts farther than FAR from a leader are written as a whole, those up to FAR + 1 - threshold as their differences, those between in both ways: so similar texts always meet in one of them.
 FAR = 0.4
-RARE, FLOOR = 1e-2, 0.95
+RARE, FLOOR = 1e-2, 0.01
 SKETCH = 1 << 18
 _U = np.uint64
 _ODD = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -88,16 +91,33 @@ def shingles(text: str | None, size: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     return np.unique(_mix(out), return_counts=True)
 
 
-class Idf:
-    """counts: two rows of SKETCH counters; documents: how many were counted."""
+def _estimate(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return np.minimum(table[0][(h & _U(SKETCH - 1)).astype(np.int64)], table[1][((h >> _U(20)) & _U(SKETCH - 1)).astype(np.int64)])
+
+
+class Frequent:
+    """Which shingles at least RARE of the documents, and two of them, hold. counts: two rows of SKETCH counters."""
 
     def __init__(self, counts: np.ndarray, documents: int):
-        self.documents = documents
-        self.table = np.maximum(0, counts - counts.mean(1, keepdims=True)).astype(np.float32)
+        self.documents, self.least = max(1, documents), max(1.0, RARE * documents)
+        self.table = counts - counts.mean(1, keepdims=True) >= max(1.5, self.least)
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        return _estimate(self.table, h)
+
+
+class Idf:
+    """counts: of frequent shingles, in documents that are no copies of frequent texts."""
+
+    def __init__(self, frequent: Frequent, counts: np.ndarray):
+        self.frequent, self.table = frequent, counts.astype(np.float32)
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
-        df = np.minimum(self.table[0][(h & _U(SKETCH - 1)).astype(np.int64)], self.table[1][((h >> _U(20)) & _U(SKETCH - 1)).astype(np.int64)])
-        return np.clip(np.log(max(1, self.documents) / np.maximum(df, 1)) / np.log(1 / RARE), FLOOR, 1)
+        out, at = np.ones(len(h)), np.flatnonzero(self.frequent(h))
+        if len(at):
+            held, n = np.maximum(_estimate(self.table, h[at]), self.frequent.least), self.frequent.documents
+            out[at] = np.clip(np.log(n / held) / np.log(n / self.frequent.least), FLOOR, 1) if n > 1 else 1
+        return out
 
 
 def weights(text: str | None, idf: Idf, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -162,28 +182,36 @@ def band_keys(h: np.ndarray, w: np.ndarray, bands: int = BANDS, rows: int = ROWS
 _CHUNKS = 64
 
 
-def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    counts, n, held, size = np.zeros((2, SKETCH), np.int64), 0, [], 0
+def _sketcher(frequent):
+    """Sketches of a task's documents: of all shingles or, with frequent, of those in documents that are no copies of frequent texts."""
 
-    def add() -> None:
-        h = np.concatenate(held)
-        counts[0] += np.bincount((h & _U(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-        counts[1] += np.bincount(((h >> _U(20)) & _U(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts, n, held, size = np.zeros((2, SKETCH), np.int64), 0, [], 0
 
-    for batch in batches:
-        for text in batch["text"]:
-            h, _ = shingles(text)
-            n += len(h) > 0
-            held.append(h)
-            size += len(h)
-            if size > 1 << 19:
-                add()
-                held, size = [], 0
-    if held:
-        add()
-    if n:
-        parts = counts.reshape(2 * _CHUNKS, -1)
-        yield pd.DataFrame({"chunk": range(2 * _CHUNKS), "counts": [x.tobytes() for x in parts], "n": n})
+        def add() -> None:
+            h = np.concatenate(held)
+            counts[0] += np.bincount((h & _U(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+            counts[1] += np.bincount(((h >> _U(20)) & _U(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+
+        for batch in batches:
+            for text in batch["text"]:
+                h, _ = shingles(text)
+                n += len(h) > 0
+                if frequent is not None:
+                    often = h[frequent.value(h)]
+                    h = often if 2 * len(often) <= len(h) else often[:0]
+                held.append(h)
+                size += len(h)
+                if size > 1 << 19:
+                    add()
+                    held, size = [], 0
+        if held:
+            add()
+        if n:
+            parts = counts.reshape(2 * _CHUNKS, -1)
+            yield pd.DataFrame({"chunk": range(2 * _CHUNKS), "counts": [x.tobytes() for x in parts], "n": n})
+
+    return sketch
 
 
 def _sum(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -197,16 +225,23 @@ def _sum(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"chunk": list(held), "counts": [v[0].tobytes() for v in held.values()], "n": [v[1] for v in held.values()]})
 
 
-def corpus_idf(docs: DataFrame, text_col: str = "text") -> Idf:
-    """Over all documents. Each task sends one sketch; sums are by chunk of the sketch, in a stream."""
+def _counted(docs: DataFrame, text_col: str, frequent=None) -> tuple[np.ndarray, int]:
+    """Each task sends one sketch; sums are by chunk of the sketch, in a stream."""
     schema = "chunk int, counts binary, n long"
-    parts = docs.select(F.col(text_col).alias("text")).mapInPandas(_sketch, schema)
+    parts = docs.select(F.col(text_col).alias("text")).mapInPandas(_sketcher(frequent), schema)
     counts, n = np.zeros((2 * _CHUNKS, SKETCH // _CHUNKS), np.int64), 0
     with small_batches(docs.sparkSession):
         rows = parts.repartition(2 * _CHUNKS, "chunk").mapInPandas(_sum, schema).collect()
     for row in rows:
         counts[row["chunk"]], n = np.frombuffer(bytes(row["counts"]), np.int64), row["n"]
-    return Idf(counts.reshape(2, SKETCH), n)
+    return counts.reshape(2, SKETCH), n
+
+
+def corpus_idf(docs: DataFrame, text_col: str = "text") -> Idf:
+    """Over all documents, in two passes."""
+    frequent = Frequent(*_counted(docs, text_col))
+    counts, _ = _counted(docs, text_col, docs.sparkSession.sparkContext.broadcast(frequent))
+    return Idf(frequent, counts)
 
 
 def _signer(idf):
@@ -412,11 +447,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that stay: one of each class, with docs' columns."""
-    stay = near_duplicates(docs, id_col, text_col, threshold).filter("kept").groupBy(F.col("doc_id").alias("__id"), F.col("text_id").alias("__of")).agg(F.count(F.lit(1)).alias("__stay"))
-    rows = docs.select(*with_columns(docs, {"__text": F.xxhash64(text_of(text_col))}))
-    found = rows.join(stay, rows[f"`{id_col}`"].eqNullSafe(stay["__id"]) & (F.col("__text") == F.col("__of")))
-    by = Window.partitionBy("__id", "__of").orderBy("__of")  # rows may repeat
-    return found.withColumn("__n", F.row_number().over(by)).filter("__n <= __stay").select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = near_duplicates(docs, id_col, text_col, threshold)
+    return drop_rows(docs, found.select("doc_id", F.col("text_id").alias("digest"), "kept"), id_col, F.xxhash64(text_of(text_col)))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -371,6 +371,54 @@ def test_sampling_estimates_similarity():
     assert abs(match - near_dedup.weighted_jaccard(x, y)) < 0.05
 
 
+def similar_pairs(weigh, threshold=0.8):
+    """All pairs of a similarity of at least threshold, exactly: such pairs share one of the rarest shingles that make up over 1 - threshold of either's weight."""
+    often = Counter(x for h, _ in weigh for x in h.tolist())
+    index, out = defaultdict(list), set()
+    for k, (h, w) in enumerate(weigh):
+        met, left = set(), (1 - threshold) * float(w.sum()) + 1e-9
+        for x, v in sorted(zip(h.tolist(), w.tolist()), key=lambda a: (often[a[0]], a[0])):
+            met.update(index[x])
+            index[x].append(k)
+            left -= v
+            if left < 0:
+                break
+        out.update((j, k) for j in met if near_dedup.weighted_jaccard(weigh[j], weigh[k]) >= threshold)
+    return out
+
+
+def test_recall_against_all_pairs(spark, sf_dir):
+    """Of all pairs of similar texts, the share that ends in one class, by weighted similarity and by plain counts (TEST_SF_DIR chooses the tables)."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    idf = near_dedup.corpus_idf(docs)
+    texts = {r["text"]: r["doc_id"] for r in docs.collect() if tokens.words(r["text"] or "")}
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()}
+    for weigh in (lambda t: near_dedup.weights(t, idf), lambda t: (lambda h, n: (h, n.astype(float)))(*near_dedup.shingles(t))):
+        pairs = similar_pairs([weigh(t) for t in texts])
+        of = [got[d] for d in texts.values()]
+        met = sum(of[a] == of[b] for a, b in pairs)
+        print(f"pairs {len(pairs)}, in one class {met}")
+        assert met >= 0.98 * len(pairs)
+
+
+def test_idf_range(spark):
+    """What documents of different content share weighs less the more of them share it; what copies share weighs 1 however many they are."""
+    passage, half = words_of(50, 40), words_of(51, 40)
+    rows = [(i, f"{words_of(2000 + i, 60)} {passage}" + (f" {half} {words_of(4000 + i, 60)}" if i % 2 else ""), "a") for i in range(300)]
+    base = words_of(52, 200).split()
+    for k in range(150):
+        copy = base[:]
+        copy[k] = f"c{k}"
+        rows.append((len(rows), " ".join(copy), "a"))
+    idf = near_dedup.corpus_idf(documents(spark, rows))
+    weight = {n: idf(near_dedup.shingles(t)[0]) for n, t in (("all", passage), ("half", half), ("copies", " ".join(base)), ("own", words_of(2000, 60)))}
+    n = 450
+    assert (abs(weight["all"] - near_dedup.np.log(n / 300) / near_dedup.np.log(n / 4.5)) < 0.02).all() and (abs(weight["half"] - near_dedup.np.log(n / 150) / near_dedup.np.log(n / 4.5)) < 0.02).all()
+    assert (weight["copies"] == 1).all() and (weight["own"] == 1).all()
+    got = near_dedup.near_duplicates(documents(spark, rows)).collect()
+    assert {r["class_size"] for r in got if r["doc_id"] < 300} == {1} and {r["class_id"] for r in got if r["doc_id"] >= 300} == {300}
+
+
 def test_dedup_edges(odd, none):
     got = near_dedup.near_duplicates(odd).collect()
     assert len(got) == odd.count() and sum(r["kept"] for r in got if r["class_id"] == 4) == 1 and sum(r["class_size"] == 4 for r in got) == 4 and {r["class_id"] for r in got if r["doc_id"] in (6, 7)} == {6}
