@@ -101,6 +101,30 @@ def test_mix_text_round_trip(spark):
     assert any(len(v) == 2 for v in per_shard.values())
 
 
+def test_shard_counts_are_draws(spark):
+    """Each shard's counts follow the sources' slots with the spread of a multinomial draw; over all shards they are exact; reruns agree."""
+    have = {"=a": 9000, "=b": 2500, "=c": 480, "=d": 20}
+    rows, before = [], 0
+    for k, n in have.items():
+        rows.append((k, n, before))
+        before += n
+    sources = spark.createDataFrame(rows, "__key string, slots long, __before long")
+    counts = lambda seed: {(r["shard"], r["__key"], r["first"]): r["n"] for r in mixing.shard_counts(mixing.draws(sources, before, 100, seed), sources, before, 100, seed).collect()}
+    got, total, by_shard, ranges = counts(3), Counter(), defaultdict(Counter), defaultdict(list)
+    for (shard, key, first), n in got.items():
+        total[key] += n
+        by_shard[shard][key] += n
+        ranges[key].append((first, first + n))
+    assert dict(total) == have and all(sum(c.values()) == 100 for c in by_shard.values()) and len(by_shard) == 120
+    for key, r in ranges.items():
+        assert [a for a, _ in sorted(r)] == [0, *[b for _, b in sorted(r)][:-1]]
+    shares = [by_shard[s]["=a"] for s in by_shard]
+    mean = sum(shares) / 120
+    variance = sum((x - mean) ** 2 for x in shares) / 119
+    assert mean == 75 and 10 < variance < 32  # 100 draws at 0.75: 18.75
+    assert counts(3) == got != counts(4)
+
+
 def test_mixing_edges(odd, none):
     got = mixing.mix(odd).collect()
     assert len(got) == odd.count() and all(r["taken"] <= 2 * r["size"] for r in got) and all(r["taken"] == 0 for r in got if not r["size"])
