@@ -1,8 +1,12 @@
 """From raw documents to a training mix: language ID, exact dedup, near dedup, benchmark decontamination, mixing.
 
 STAGES are (name, function) pairs. A function takes (spark, docs, sf_dir) and returns a DataFrame that is written
-as Parquet and read again as the next one's docs; all but the last return the columns of documents. Nothing below catches
-errors of what it imports.
+as Parquet and read again as the next one's docs; all but the last return the columns of documents, the last a row per document with how many
+words the mix takes of it and these words with their places in the mix's shards. Nothing below catches errors of what it imports.
+
+Edge cases. Null texts and texts without letters go at the first stage; null ids, languages and sources stay (a null source is a source of
+its own). Of rows that repeat, one stays. An empty table gives an empty result. Further columns pass through all stages but the last,
+which reads id, text and source only, so their names may clash with the results'. Very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from cellarium.llm.common import materialise
 from cellarium.llm.decontamination import decontaminate
 from cellarium.llm.exact_dedup import exact_dedup
 from cellarium.llm.language_id import predictor, train_on_documents
-from cellarium.llm.mixing import mix
+from cellarium.llm.mixing import mix_documents
 from cellarium.llm.near_dedup import near_dedup
 
 #: Texts of which a smaller share of n-grams is of the predicted language are rejected, as are those without letters.
@@ -38,7 +42,7 @@ def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mix(docs)
+    return mix_documents(docs)
 
 
 STAGES = [("language_id", languages), ("exact_dedup", exact), ("near_dedup", near), ("decontamination", benchmarks), ("mixing", mixture)]
