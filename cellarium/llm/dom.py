@@ -3,12 +3,17 @@
 Elements that are not closed end where HTML ends them (a paragraph at the next block, an item at the next item, everything at
 the end of the page, a head at the first thing that cannot stand in one); end tags without a start are passed over. Inline elements belong to the block around them. Scripts,
 styles, heads, templates, comments and other markup never give text; a quoted > does not end a tag. Raw elements go by their whole name
-(<svg-icon> is no <svg>), and a self-closed svg or math is empty.
+(<svg-icon> is no <svg>), and a self-closed svg or math is empty. A quote that is never closed counts as a letter; so do all quotes after a tag
+whose end would lie beyond the page. A tag that the page ends in gives no text.
+
+The page is read in one forward pass: every search either ends what it looks at or finds that the rest of the page has no such end,
+which is kept in mind, so broken pages take time in proportion to their length.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -23,16 +28,76 @@ INLINE = frozenset(
 #: An element that such a start tag ends if it is open and no other block stands between.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tr", "td", "th"), "body": ("head",)}
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(?P<empty>svg|math)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<=/)>|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_MARK = re.compile(r"[>\"']")
+_RAW_END = {t: re.compile(f"</{t}(?=[\\s/>])", re.I) for t in RAW}
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _PART = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
 
 
+@dataclass(slots=True)
+class Token:
+    """Markup from start to end. kind: start, end, raw (with all that it holds) or other (comments, declarations)."""
+
+    kind: str
+    start: int
+    end: int
+    name: str = ""
+    attrs: str = ""
+
+
+def tokens(html: str) -> Iterator[Token]:
+    last = {c: html.rfind(c) for c in ">\"'"}
+    quoted, at = True, html.find("<")
+
+    def tag_end(p: int) -> int:
+        """Place of the > that ends a tag whose attributes start at p; there is a > somewhere after p."""
+        nonlocal quoted
+        plain = html.find(">", p)
+        while quoted:
+            m = _MARK.search(html, p)
+            if m is None:
+                quoted = False  # a quoted > was the last one
+            elif m[0] == ">":
+                return m.start()
+            elif last[m[0]] > m.start():
+                p = html.find(m[0], m.end()) + 1
+            else:
+                p = m.end()
+        return plain
+
+    while at >= 0:
+        first = html[at + 1 : at + 2]
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 4)
+            end = len(html) if end < 0 else end + 3
+            yield Token("other", at, end)
+        elif first in ("!", "?"):
+            end = html.find(">", at) + 1 if last[">"] > at else len(html)
+            yield Token("other", at, end)
+        elif m := _NAME.match(html, at + 1 + (first == "/")):
+            if last[">"] < m.end():  # the page ends in a tag
+                yield Token("other", at, len(html))
+                return
+            name, close = m[0].lower(), tag_end(m.end())
+            attrs, end = html[m.end() : close], close + 1
+            if first == "/":
+                yield Token("end", at, end, name, attrs)
+            elif name in _RAW_END and not (name in ("svg", "math") and attrs.endswith("/")):
+                shut = _RAW_END[name].search(html, end)
+                end = len(html) if shut is None or last[">"] < shut.end() else html.find(">", shut.end()) + 1
+                yield Token("raw", at, end, name)
+            elif name in _RAW_END:
+                yield Token("raw", at, end, name)
+            else:
+                yield Token("start", at, end, name, attrs)
+        else:
+            end = at + 1  # a < that stands for itself
+        at = html.find("<", end)
+
+
 @dataclass(slots=True)
 class Node:
     tag: str
@@ -68,7 +133,8 @@ def _attribute_tokens(attrs: str) -> frozenset[str]:
 def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Blocks in page order (a root first), and (block, text) in page order: decoded, with single spaces, never empty."""
     nodes, out = [Node("#root", -1, 0)], []
-    stack: list[tuple[str, int]] = [("#root", 0)]  # open elements, each with the block that it is or stands in
+    stack: list[tuple[str, int, dict[str, int]]] = [("#root", 0, {})]  # open blocks, each with its node and how many inline elements are open right in it
+    opened: dict[str, int] = {}  # how many blocks of a name are open, so that no end tag is looked for in vain
     held: list[str] = []
     in_head = links = 0
     linked = 0
@@ -91,11 +157,10 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
         """End the open elements from place k of the stack."""
         nonlocal in_head, links
         flush()
-        for tag, _ in stack[k:]:
-            if tag == "head":
-                in_head -= 1
-            elif tag == "a":
-                links -= 1
+        for tag, _, inside in stack[k:]:
+            opened[tag] -= 1
+            in_head -= tag == "head"
+            links -= inside.get("a", 0)
         del stack[k:]
 
     def end_head() -> None:
@@ -108,60 +173,54 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
         held.append(text)
 
     at = 0
-    for m in _TOKEN.finditer(html):
-        if m.start() > at:
-            hold(html[at : m.start()])
+    for token in tokens(html):
+        if token.start > at:
+            hold(html[at : token.start])
             if links:
-                linked += m.start() - at
-        at = m.end()
-        tag = m["tag"]
-        if not tag:
-            if raw := m["raw"] or m["empty"]:
-                if raw.lower() not in HEAD:
+                linked += token.start - at
+        at, tag = token.end, token.name
+        if token.kind in ("raw", "other"):
+            if token.kind == "raw":
+                if tag not in HEAD:
                     end_head()
                 held.append(" ")
             continue
-        tag = tag.lower()
-        if not m["end"] and tag not in HEAD:
+        if token.kind == "start" and tag not in HEAD:
             end_head()
         if tag in VOID:
             if tag not in ("wbr", "img", "input"):
                 held.append(" ")
             continue
-        if m["end"]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    if tag in INLINE:
-                        if tag == "a":
-                            links -= 1
-                        del stack[k]
-                    else:
-                        close(k)
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break
-            continue
+        inside = stack[-1][2]
         if tag in INLINE:
-            if not m["attrs"].endswith("/"):
-                stack.append((tag, stack[-1][1]))
+            if token.kind == "end":
+                if inside.get(tag):
+                    inside[tag] -= 1
+                    links -= tag == "a"
+            elif not token.attrs.endswith("/"):
+                inside[tag] = inside.get(tag, 0) + 1
                 links += tag == "a"
             continue
+        if token.kind == "end":
+            if opened.get(tag):
+                k = len(stack) - 1
+                while stack[k][0] != tag:
+                    k -= 1
+                close(k)
+            continue
         flush()
         ends = ENDS.get(tag, ())
-        for k in range(len(stack) - 1, 0, -1):
-            open_tag = stack[k][0]
-            if open_tag == "p" or open_tag in ends:
-                close(k)
-                if open_tag == "p" and not ends:
-                    break
-            elif open_tag not in INLINE:
+        while (open_tag := stack[-1][0]) == "p" or open_tag in ends:
+            close(len(stack) - 1)
+            if open_tag == "p" and not ends:
                 break
-        if m["attrs"].endswith("/"):
+        if token.attrs.endswith("/"):
             continue
         parent = stack[-1][1]
-        nodes.append(Node(tag, parent, nodes[parent].depth + 1, _attribute_tokens(m["attrs"])))
+        nodes.append(Node(tag, parent, nodes[parent].depth + 1, _attribute_tokens(token.attrs)))
         nodes[parent].children.append(len(nodes) - 1)
-        stack.append((tag, len(nodes) - 1))
+        stack.append((tag, len(nodes) - 1, {}))
+        opened[tag] = opened.get(tag, 0) + 1
         in_head += tag == "head"
     if at < len(html):
         hold(html[at:])

@@ -11,7 +11,8 @@ styles, with the truth known. Training is the same on every machine, takes secon
 result (some tens of kB) is broadcast. Pages are extracted in place; nothing is shuffled.
 
 Edge cases. Null or empty html gives an empty text. Pages cut off anywhere are read to their end. A page of plain text
-without tags is one block. Very long and deep pages are read whole. Repeated rows give repeated results.
+without tags is one block. Very long and deep pages are read whole. Repeated rows give repeated results. Columns of the input
+named text or n_chars give way to the results.
 """
 
 from __future__ import annotations

@@ -260,6 +260,76 @@ def test_raw_elements_end_where_they_end(inner):
     assert [t for _, t in dom.parse(page)[1]] == ["One of them", "Two of them", "Three of them"]
 
 
+@pytest.mark.parametrize("piece", ["<script ", '<p class="', "<a b=\"1\" c='", "<a '>'", "<a '\">\"'", "<!--", "<svg ", "< <", "<a href='x>'>t", "<b>x", "<title/"])
+def test_broken_pages_take_time_in_proportion(piece):
+    import time
+
+    for before, after in (("", ""), ("<p>ok</p>", "<p>end</p>")):
+        began = time.time()
+        dom.parse(before + piece * (1_000_000 // len(piece)) + after)
+        assert time.time() - began < 4
+    assert dom.parse("<p>ok</p>" + piece)[1][0] == (1, "ok")
+
+
+@pytest.mark.parametrize("many", [("<b>", "</i>"), ("<a><b>", "</a>"), ("<li><ul><b>", "<li></li>"), ("<div>", "</p>"), ("<td>", "</tr>")])
+def test_unmatched_tags_take_time_in_proportion(many):
+    import time
+
+    began = time.time()
+    dom.parse(many[0] * 50_000 + many[1] * 50_000)
+    assert time.time() - began < 4
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<p>One <a href='x>y'>two</a> three<p>Four", ["One two three", "Four"]),
+        ("<p>Cut off in a tag <a href='x", ["Cut off in a tag"]),
+        ("<p class=\"x>One<p>Two it's", ["One", "Two it's"]),
+        ("<p>1 < 2 and 3 > 2<br>a<b", ["1 < 2 and 3 > 2 a"]),
+        ("<ul><li>One<li>Two <b>and</i> more</ul>Three", ["One", "Two and more", "Three"]),
+        ("<!doctype html><body><!-- <p>no</p> --><p>One<!-- never closed <p>no", ["One"]),
+        ("<p>One</div></section> still one</p>two", ["One still one", "two"]),
+        ("<p>&lt;b&gt; &amp;amp; &copy;&#8364;\n\t x", ["<b> &amp; ©€ x"]),
+    ],
+)
+def test_texts_of_pages(page, want):
+    assert [t for _, t in dom.parse(page)[1]] == want
+
+
+#: Pages written by hand in the manner of real ones, each with the text that belongs to the article.
+PAGES = [
+    (
+        """<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>Bridge reopens | Daily</title><link rel="stylesheet" href="/a.css"><script>window.x="<p>no</p>";</script></head>
+<body class="post-template"><div id="cookie-banner" class="cookie-consent"><p>We use cookies to improve your visit.</p><button>Accept all</button></div>
+<header class="site-header"><a class="logo" href="/">The Daily</a><nav class="main-nav"><ul><li><a href="/n">News</a></li><li><a href="/s">Sport</a></li><li><a href="/c">Culture</a></li></ul></nav></header>
+<main><article class="post"><h1>Old bridge reopens after repairs</h1><p>The stone bridge over the river was opened to traffic on Monday, eleven months after engineers had found cracks in two of its piers.</p>
+<p>Work cost less than planned, the council said, and the footpath below the bridge will follow in <a href="/spring">spring</a>.</p><h2>What comes next</h2><p>A second survey is due in two years&rsquo; time. Until then lorries over 7.5&nbsp;tonnes must take the ring road.</p></article>
+<aside class="sidebar"><h3>Most read</h3><ul><li><a href="/1">Ten walks near the river</a></li><li><a href="/2">Market moves to Friday</a></li></ul></aside></main>
+<section id="comments" class="comments"><h3>3 comments</h3><div class="comment"><b>Ann</b><p>About time too, I say.</p></div></section><footer class="site-footer"><p>&copy; 2023 The Daily. All rights reserved.</p></footer></body></html>""",
+        "Old bridge reopens after repairs The stone bridge over the river was opened to traffic on Monday, eleven months after engineers had found cracks in two of its piers. Work cost less than planned, the council said, and the footpath below the bridge will follow in spring. What comes next A second survey is due in two years’ time. Until then lorries over 7.5 tonnes must take the ring road.",
+    ),
+    (
+        """<html><body><div id="wrapper"><div id="header"><h1><a href="/">Garden notes</a></h1></div><div id="menu" class="menu"><a href="/">Home</a> | <a href="/about">About</a> | <a href="/rss">RSS</a></div>
+<div id="content" class="entry-content"><h2>Sowing beans</h2><p>Sow broad beans as soon as the soil can be worked, two inches deep and a hand apart.<p>Firm the row with the back of a rake, and keep mice away with a little holly.<ul><li>Choose a sheltered bed.<li>Water once, then wait.</ul></div>
+<div class="related"><h3>Related posts</h3><a href="/p">Pruning in March</a></div><div id="footer">Powered by Notes</div></div></body></html>""",
+        "Sowing beans Sow broad beans as soon as the soil can be worked, two inches deep and a hand apart. Firm the row with the back of a rake, and keep mice away with a little holly. Choose a sheltered bed. Water once, then wait.",
+    ),
+]
+
+
+@pytest.mark.parametrize("page,want", PAGES)
+def test_pages_written_by_hand(page, want):
+    assert html_extraction.extract([page], html_extraction.trained()) == [want]
+
+
+def test_html_extraction_edges(spark):
+    """Repeated rows, nulls, and columns that clash with results."""
+    rows = [(1, "u", "<p>One of the pages.</p>", "x", "y"), (1, "u", "<p>One of the pages.</p>", "x", "y"), (None, None, None, None, None), (2, "v", "", "x", "y")]
+    got = html_extraction.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string, N_CHARS string")).collect()
+    assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in got) == [(0, "", 0), (1, "One of the pages.", 17), (1, "One of the pages.", 17), (2, "", 0)]
+
+
 def test_pages_with_icons_are_whole():
     model = html_extraction.trained()
     page = "<html><head><title>no</title></head><body><nav><a href=/>Menu</a></nav><article><h1>A title</h1>{0}<p>First and main text, with some words.</p>{0}<p>Second part, it goes on for a while.</p></article><footer>&copy; 2024 all of it"
