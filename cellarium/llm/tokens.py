@@ -15,11 +15,6 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def spans(text: str) -> list[tuple[int, int]]:
-    """Where the words stand in text.lower(); its length differs from text's only for a few letters, then spans are of the lower-case text."""
-    return [m.span() for m in WORD.finditer(text.lower())]
-
-
 class Vocabulary:
     """Ids from 1 for the words of the known texts; any other word is 0 and matches nothing."""
 

@@ -179,7 +179,8 @@ def test_decontamination_finds_what_was_planted(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
     split = decontamination.contaminated(docs, bench, block_words=50)
     assert sorted(split.collect()) == sorted(got.collect())
-    assert {r["doc_id"] for r in decontamination.decontaminate(docs, bench).collect()} == {d for d in range(120)} - {d for d, _ in want}
+    for block_words in (1_000_000, 50):
+        assert {r["doc_id"] for r in decontamination.decontaminate(docs, bench, block_words=block_words).collect()} == {d for d in range(120)} - {d for d, _ in want}
 
 
 def test_decontamination_against_brute_force(spark, sf_dir):
@@ -211,10 +212,33 @@ def test_every_substitution_pattern_of_short_items(n):
     assert not missed
 
 
+@pytest.mark.parametrize("n", [*range(5, 33), 40, 50])
+def test_no_overlap_avoids_all_masks(n):
+    """Of all patterns of matches over n words, ends matched, that hold no mask of items of n words: even the densest has too few matches to count."""
+    masks = decontamination.masks_of(n, 13, 5, 0.8)
+    width = max(m[-1] for m in masks) + 1
+    wanted = [(m[-1] + 1, sum(1 << (m[-1] - i) for i in m)) for m in masks]
+    best = {(1, 1): 1}  # (length up to width, bits) -> matches
+    for length in range(1, n + 1):
+        if length > 1:
+            new = {}
+            for (k, bits), count in best.items():
+                for bit in (0, 1):
+                    k2, b2 = min(width, k + 1), (bits << 1 | bit) & ((1 << width) - 1)
+                    if not any(k2 >= w and b2 & m == m for w, m in wanted):
+                        new[k2, b2] = max(new.get((k2, b2), 0), count + bit)
+            best = new
+        most = max((count for (_, bits), count in best.items() if bits & 1), default=0)
+        assert most < max(decontamination.needed(n, 13, 5, 0.8), 0.8 * length - 1e-9), (length, most)
+
+
 def test_scans_edges(spark, odd, none):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "too short"), (4, "same text here for all of us"), (4, "same text here for all of us")], "item_id long, text string")
     got = decontamination.contaminated(odd, bench).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(4, 4), (5, 4), (None, 4)} and len(got) == 8
+    assert sorted(map(repr, decontamination.contaminated(odd, bench, block_words=3).collect())) == sorted(map(repr, got))
+    assert sorted(map(repr, decontamination.decontaminate(odd, bench, block_words=3).collect())) == sorted(map(repr, decontamination.decontaminate(odd, bench).collect()))
+    assert decontamination.contaminated(none, bench, block_words=3).count() == 0 and decontamination.unchecked(bench).count() == 3
     assert decontamination.contaminated(odd, bench.limit(0)).count() == 0 and decontamination.decontaminate(odd, bench.limit(0)).count() == odd.count()
     assert decontamination.contaminated(none, bench).count() == 0
     assert license_scan.license_scan(odd).count() == 0 and license_scan.license_scan(none).count() == 0
