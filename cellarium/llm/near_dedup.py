@@ -6,7 +6,7 @@ similarity of 0.8, a pair shares one of the 12 buckets of 3 with a probability o
 
 IDF. How many documents hold a shingle is estimated for all documents by a count-min sketch of fixed size, less the sketch's mean
 (its noise): 4 MB whatever the corpus. A shingle in under `RARE` of the documents weighs 1. For the frequent ones a second pass counts
-again, without the documents of which frequent shingles are more than half: these are copies of frequent texts (a group of
+again, without the documents of which frequent shingles (repeats counted) are more than half: these are copies of frequent texts (a group of
 copies may hold a third of all rows), and a group must not lower the weight of what its own members share. What is left are
 passages that documents of different content share, and from RARE to all documents their weight falls with log-frequency from 1
 to FLOOR, which is above 0 only so that every text has some weight.
@@ -78,17 +78,22 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-def shingles(text: str | None, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of a text's shingles, and how often each occurs."""
+def occurrences(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """Hashes of a text's shingles in their order, repeats included."""
     ws = words(text or "")
     if not ws:
-        return np.zeros(0, _U), np.zeros(0, np.int64)
+        return np.zeros(0, _U)
     h, n = np.fromiter(map(_seen.__getitem__, ws), _U, len(ws)), min(size, len(ws))
     out = np.full(len(h) - n + 1, n, _U)
     for i in range(n):
         out = (out ^ h[i : len(h) - n + 1 + i]) * _ODD[i % 5]
         out ^= out >> _U(29)
-    return np.unique(_mix(out), return_counts=True)
+    return _mix(out)
+
+
+def shingles(text: str | None, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of a text's shingles, and how often each occurs."""
+    return np.unique(occurrences(text, size), return_counts=True)
 
 
 def _estimate(table: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -195,11 +200,12 @@ def _sketcher(frequent):
 
         for batch in batches:
             for text in batch["text"]:
-                h, _ = shingles(text)
+                h = occurrences(text)
                 n += len(h) > 0
                 if frequent is not None:
                     often = h[frequent.value(h)]
                     h = often if 2 * len(often) <= len(h) else often[:0]
+                h = np.unique(h)
                 held.append(h)
                 size += len(h)
                 if size > 1 << 19:
