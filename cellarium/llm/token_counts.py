@@ -2,17 +2,22 @@
 
 Totals by source, language and tokenizer version are never recounted: every batch of changes becomes signed
 sums (an insert adds, a delete subtracts, a revision adds the difference), and totals are the sums over all committed
-batches. A batch is written to a staging folder and committed by one rename of that folder to a name made of the batch's
-id: a batch that is sent again finds its name taken and changes nothing, and one that died halfway left nothing
-that is read. Compaction writes the sums of all committed batches as one, under a name that replaces theirs in the
-same way.
+batches. A batch's sums are written to a folder of their own, which nobody reads until a marker named by the batch's id is created
+(`create` without overwriting, which one of several writers wins) and names that folder. A batch that is sent again finds its marker
+and changes nothing; one that died before its marker was whole left nothing that is read, and `recover` clears its marker. This needs a file system on
+which creating a file without overwriting is atomic, as on HDFS; nothing is renamed.
+
+Compaction takes the list of markers once, sums exactly these, and writes the sums under the marker of the next generation, which
+lists what it folds. A batch committed meanwhile is in no list and stays as it is; of two compactions of one generation one wins, and the other's sums are
+dropped.
 
 Changes carry the counts (new ones and, for deletes and revisions, those that go), so a batch costs what it holds and
 the store holds a row per group and batch. Hot groups cost nothing: sums are made before the shuffle.
 
 Edge cases. Null sources, languages and texts are groups and values of their own (a null text has 0 tokens, the group is kept
 apart from the empty string). An empty batch commits and adds nothing. Groups whose documents and tokens are all 0 are
-not in the totals. Repeated rows count each.
+not in the totals. Repeated rows count each. Very long texts are counted whole. Further columns of documents and changes are not read, so their
+names may clash with anything.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,38 +69,53 @@ class Rollup:
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._path(f"{self.path}/batches"))
-
-    def _name(self, batch: str) -> str:
-        return f"{self.path}/batches/b-{base64.urlsafe_b64encode(batch.encode()).decode().rstrip('=')}"
+        for folder in ("markers", "data"):
+            self._fs.mkdirs(self._path(f"{self.path}/{folder}"))
+
+    def _marker(self, batch: str) -> str:
+        return "b-" + base64.urlsafe_b64encode(batch.encode()).decode().rstrip("=")
+
+    def _read(self, name: str) -> list[str] | None:
+        """Lines of a marker without its last, which says that it is whole; None if it isn't there or isn't whole."""
+        at = self._path(f"{self.path}/markers/{name}")
+        if not self._fs.exists(at):
+            return None
+        stream = self._fs.open(at)
+        lines = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split("\n")
+        stream.close()
+        return lines[:-1] if lines[-1] == "end" else None
+
+    def listing(self) -> dict[str, list[str]]:
+        """Whole markers that no compaction has folded: name -> its folder and, for compactions, what it folds."""
+        names = sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.path}/markers")))
+        whole = {n: lines for n in names if not n.startswith(".") and (lines := self._read(n)) is not None}
+        folded = {x for n, lines in whole.items() if n.startswith("c-") for x in lines[1:]}
+        return {n: lines for n, lines in whole.items() if n not in folded}
 
     def batches(self) -> list[str]:
-        """Folders of committed batches that no compaction has replaced."""
-        names = sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.path}/batches")))
-        folded: set[str] = set()
-        for n in names:
-            mark = self._path(f"{self.path}/batches/{n}/_folds")
-            if n.startswith("c-") and self._fs.exists(mark):
-                stream = self._fs.open(mark)
-                folded.update(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split("\n"))
-                stream.close()
-        return [f"{self.path}/batches/{n}" for n in names if n not in folded]
+        """Folders whose sums make the totals."""
+        return [f"{self.path}/data/{lines[0]}" for lines in self.listing().values()]
 
     def committed(self, batch: str) -> bool:
-        return self._fs.exists(self._path(self._name(batch)))
+        return self._read(self._marker(batch)) is not None
+
+    def recover(self, batch: str) -> bool:
+        """Clear the marker of a batch whose writer died while it wrote it. Only to be called when that writer is known to be gone."""
+        name = self._marker(batch)
+        return self._read(name) is None and self._fs.delete(self._path(f"{self.path}/markers/{name}"), False)
 
     def _put(self, sums: DataFrame, name: str, folds: list[str] | None = None) -> bool:
-        staged = f"{self.path}/staging/{uuid.uuid4().hex}"
-        sums.write.parquet(staged)
-        if folds is not None:
-            out = self._fs.create(self._path(f"{staged}/_folds"))
-            out.write(bytearray("\n".join(folds).encode()))
-            out.close()
-        target = self._path(name)
-        # a rename onto an existing folder would move into it; the check and the rename are made by one driver at a time
-        if self._fs.exists(target) or not self._fs.rename(self._path(staged), target):
-            self._fs.delete(self._path(staged), True)
+        data = uuid.uuid4().hex
+        sums.write.parquet(f"{self.path}/data/{data}")
+        try:
+            out = self._fs.create(self._path(f"{self.path}/markers/{name}"), False)
+        except Py4JJavaError as e:
+            if "AlreadyExists" not in e.java_exception.getClass().getName() and not self._fs.exists(self._path(f"{self.path}/markers/{name}")):
+                raise
+            self._fs.delete(self._path(f"{self.path}/data/{data}"), True)
             return False
+        out.write(bytearray("\n".join([data, *(folds or []), "end"]).encode()))
+        out.close()
         return True
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
@@ -105,21 +126,25 @@ class Rollup:
         sign = F.coalesce(sign, F.raise_error(F.concat(F.lit("unknown op "), F.coalesce(F.col("op"), F.lit("null")))).cast("int"))
         delta = F.when(F.col("op") == "delete", -F.coalesce("old_tokens", F.lit(0))).otherwise(F.coalesce("tokens", F.lit(0)) - F.when(F.col("op") == "revise", F.coalesce("old_tokens", F.lit(0))).otherwise(0))
         signed = changes.select(*KEYS, sign.cast("long").alias("documents"), delta.cast("long").alias("tokens"))
-        return self._put(signed.groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")), self._name(batch))
+        return self._put(signed.groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")), self._marker(batch))
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, documents, tokens."""
+        return self._sums(self.batches())
+
+    def _sums(self, folders: list[str]) -> DataFrame:
         schema = "source string, lang string, tokenizer string, documents long, tokens long"
-        folders = self.batches()
         rows = self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
         sums = rows.groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
         return sums.filter("documents <> 0 or tokens <> 0")
 
-    def compact(self) -> None:
-        """Fold all committed batches into one. Their folders stay as names that are taken."""
-        folders = self.batches()
-        if len(folders) > 1:
-            self._put(self.totals().coalesce(1), f"{self.path}/batches/c-{uuid.uuid4().hex}", [f.rsplit("/", 1)[-1] for f in folders])
+    def compact(self) -> bool:
+        """Fold what is committed now into one. The markers stay as names that are taken. False if another compaction of the same state was first, or there is nothing to fold."""
+        listed = self.listing()
+        if len(listed) < 2:
+            return False
+        generation = 1 + max((int(n[2:]) for n in listed if n.startswith("c-")), default=0)
+        return self._put(self._sums([f"{self.path}/data/{x[0]}" for x in listed.values()]).coalesce(1), f"c-{generation:012d}", list(listed))
 
 
 def counted(docs: DataFrame, tokenizers: str = TOKENIZERS, text_col: str = "text") -> DataFrame:
