@@ -1,18 +1,20 @@
 r"""URL filters by a temporal list join (operator 10).
 
-List entries are dated: from `since` on, a pattern (a host, which covers its subdomains, or a host with a path prefix) is
-`block`, `allow` or `off`. Sorted by date, the entries of a list and pattern become validity intervals, open at the end.
-A capture is looked up under every pattern that can cover it (its host and parent domains, and each of these
-with each path prefix that ends at a slash): an equi-join on the pattern, in which the interval must hold the capture's time. Of
-the entries active then, the most specific decides (longest path, then longest host; of equals, allow before block, then the list's name).
-
-Intervals are broadcast if a count shows that they are few; otherwise the join is a shuffle. Captures only take
-part as distinct (url, time), and each pattern of a capture is a row of its own, so a popular host's key
-is large only by its captures: joins of two written tables, which adaptive execution splits.
-
-Edge cases. A null, empty or hostless url matches nothing and has verdict none; so has a null time. Hosts are compared in lower case without
-port, user and a final dot. Entries with a null pattern or date are passed over; of two entries of one list, pattern and date the later
-action in code point order holds. Repeated captures each get their row.
+List entries are dated: from `since` on, a pattern (a host, which covers its subdomains, or a host with a path: the page itself and, in
+whole segments, all below it; with a final slash only what is below it) is `block`, `allow` or `off`. Sorted by date, the entries of a list and
+pattern become validity intervals, open at the end. A capture is looked up under every pattern that can cover it (its host and parent domains, and
+each of these with each prefix of its path, as deep as any listed path): an equi-join on the pattern, in which the interval must hold
+the capture's time. Of the entries active then, the most specific decides (longest path, then longest host; of equals, allow before
+block, then the list's name).
+
+Captures take part as distinct (url, time), and only with those of their patterns that are listed at all: distinct asked patterns, which partial
+aggregation makes few even for a host with a third of all captures, are matched with the lists first. Listed patterns and intervals are
+broadcast if a count shows that they are few; otherwise joins are shuffles of written tables, which adaptive execution splits.
+
+Edge cases. A null, empty or hostless url matches nothing and has verdict none; so has a null time. Hosts, of patterns too, are compared in lower
+case without port, user and a final dot; paths as they are. Entries with a null date or a pattern without a host (`bad_patterns` lists them) are passed over;
+of two entries of one list, pattern and date the later action in code point order holds. Repeated captures each get their row. Very long urls are
+read whole. Columns of the captures named verdict, pattern or list give way to the results.
 """
 
 from __future__ import annotations
@@ -22,10 +24,6 @@ from pyspark.sql import functions as F
 
 from .common import materialise, small
 
-#: Path prefixes beyond so many segments are not patterns; lists with deeper ones are refused.
-DEPTH = 8
-
-
 def host_of(url: Column) -> Column:
     rest = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
     return F.lower(F.regexp_replace(rest, r"\.$", ""))
@@ -35,30 +33,50 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^?#]*)", 1)
 
 
-def patterns_of(url: Column) -> Column:
-    """All patterns that cover a url: host suffixes, alone and with the path's prefixes."""
+def patterns_of(url: Column, depth: int) -> Column:
+    """All patterns of up to depth path segments that cover a url: host suffixes, alone and with the path's prefixes, with and without a final slash."""
     labels, parts = F.split(host_of(url), r"\."), F.split(path_of(url), "/")
-    hosts = F.when(host_of(url) != "", F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).otherwise(F.array().cast("array<string>"))
-    # "/a/b/c" has the prefixes "/a/" and "/a/b/"; what follows the last slash is no folder
-    depth = F.least(F.lit(DEPTH), F.size(parts) - 2)
-    paths = F.when(depth >= 1, F.transform(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), lambda i: F.concat(F.array_join(F.slice(parts, 1, i + 1), "/"), F.lit("/")))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    hosts = F.when(host_of(url) != "", F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).otherwise(none)
+    # "/a/b" has the parts "", "a" and "b": i of them make a prefix of i - 1 segments
+    steps = F.sequence(F.lit(1), F.least(F.size(parts), F.lit(depth + 1)))
+    each = F.transform(steps, lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    below = F.transform(F.filter(steps, lambda i: i < F.size(parts)), lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/")))
+    paths = F.when(path_of(url) != "", F.filter(F.array_distinct(F.concat(each, below)), lambda p: p != "")).otherwise(none)
     return F.flatten(F.transform(hosts, lambda h: F.concat(F.array(h), F.transform(paths, lambda p: F.concat(h, p)))))
 
 
+def normal_pattern(pattern: Column) -> Column:
+    """Host in lower case without a final dot, path as it is; null if there is no host."""
+    host = F.lower(F.regexp_extract(pattern, r"^([^/:?#@\s]+?)\.?(?:/|$)", 1))
+    return F.when(host != "", F.concat(host, F.regexp_extract(pattern, r"^[^/]*(/.*)?$", 1)))
+
+
+def bad_patterns(entries: DataFrame) -> DataFrame:
+    """Entries that can match nothing: without a date, or whose pattern has no host (schemes, ports and users are no part of patterns)."""
+    return entries.filter(F.col("since").isNull() | normal_pattern(F.col("pattern")).isNull())
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """Dated entries (list, pattern, since, action) as list, pattern, action, since, until (null: still)."""
-    clean = entries.filter("pattern is not null and since is not null").groupBy("list", "pattern", "since").agg(F.max("action").alias("action"))
+    clean = entries.withColumn("pattern", normal_pattern(F.col("pattern"))).filter("pattern is not null and since is not null").groupBy("list", "pattern", "since").agg(F.max("action").alias("action"))
     by = Window.partitionBy("list", "pattern").orderBy("since")
     return clean.withColumn("until", F.lead("since").over(by)).filter("action in ('block', 'allow')")
 
 
 def filter_urls(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_col: str = "fetched") -> DataFrame:
     """captures with verdict (block, allow, none), pattern and list of the entry that decides."""
-    deep = F.size(F.split("pattern", "/")) - 2 > DEPTH
-    listed = materialise(intervals(entries.withColumn("pattern", F.when(deep, F.raise_error(F.lit("a pattern has too many path segments")).cast("string")).otherwise(F.col("pattern")))), "intervals")
-    asked = captures.select(F.col(url_col).alias("__url"), F.col(time_col).alias("__time")).filter("__url is not null and __time is not null").distinct()
-    asked = materialise(asked.select("__url", "__time", F.explode(patterns_of(F.col("__url"))).alias("pattern")), "asked")
-    active = asked.join(small(listed), "pattern").filter((F.col("since") <= F.col("__time")) & (F.col("until").isNull() | (F.col("__time") < F.col("until"))))
+    spark = captures.sparkSession
+    listed = materialise(intervals(entries), "intervals")
+    # no deeper than the deepest listed path
+    depth = listed.agg(F.max(F.length("pattern") - F.length(F.replace("pattern", F.lit("/"))))).first()[0] or 0
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = captures.select(F.col(url_col).alias("__url"), F.col(time_col).alias("__time")).filter("__url is not null and __time is not null")
+    asked = materialise(asked.repartition(tasks, "__url", "__time").distinct(), "asked")
+    each = asked.select("__url", "__time", F.explode(patterns_of(F.col("__url"), depth)).alias("pattern"))
+    known = each.select("pattern").distinct().join(listed.select("pattern").distinct(), "pattern", "left_semi")
+    known = materialise(listed.join(known, "pattern", "left_semi"), "known")
+    active = each.join(small(known), "pattern").filter((F.col("since") <= F.col("__time")) & (F.col("until").isNull() | (F.col("__time") < F.col("until"))))
     slash = F.instr("pattern", "/")
     rank = F.struct(F.when(slash > 0, F.length("pattern") - slash).otherwise(-1).alias("path"), F.length("pattern").alias("host"), (F.col("action") == "allow").alias("allow"), F.col("list"), F.col("pattern"), F.col("action"))
     best = active.groupBy("__url", "__time").agg(F.max(rank).alias("__best"))

@@ -596,6 +596,42 @@ def test_rollup_batches(spark, tmp_path):
     assert not store.committed("bad")
 
 
+def test_rollup_writers_at_once(spark, tmp_path):
+    """Two writers of one batch, a batch between a compaction's listing and its sums, two compactions of one state, and a marker that was cut off."""
+    path, schema = f"file://{tmp_path}/rollup", "op string, source string, lang string, tokenizer string, tokens long, old_tokens long, documents string"
+    one, two = token_counts.Rollup(spark, path), token_counts.Rollup(spark, path)
+    batch = lambda n: spark.createDataFrame([("insert", "a", "en", "t", n, None, "clash")], schema)
+    put, late = one._put, []
+
+    def raced(sums, name, folds=None):  # the other commits first
+        late.append(two.commit("x", batch(5)) if name.startswith("b-") else two.commit("y", batch(7)))
+        return put(sums, name, folds)
+
+    assert one.commit("w", batch(1))
+    one._put = raced
+    assert not one.commit("x", batch(5)) and late == [True]
+    assert one.compact() and late == [True, True]
+    one._put = put
+    total = lambda: [(r["documents"], r["tokens"]) for r in one.totals().collect()]
+    assert total() == [(3, 13)] and len(one.batches()) == 2
+    listed = two.listing()
+    two.listing = lambda: listed
+    assert one.compact() and not two.compact() and total() == [(3, 13)]
+    name = f"{path}/markers/{one._marker('z')}"
+    one._fs.create(one._path(name)).close()
+    assert not one.committed("z") and not one.commit("z", batch(2)) and total() == [(3, 13)]
+    assert one.recover("z") and not one.recover("w") and one.commit("z", batch(2)) and total() == [(4, 15)]
+
+
+def test_url_patterns_of_any_depth(spark):
+    deep = "/".join("abcdefghijkl")
+    entries = spark.createDataFrame([("l", f"Deep.org/{deep}/", "2024-01-01", "block"), ("l", "page.org/a/x.html", "2024-01-01", "block"), ("l", "root.org/", "2024-01-01", "block"), ("l", "seg.org/a", "2024-01-01", "block"), ("l", "http://no.org", "2024-01-01", "block"), ("l", "/only", "2024-01-01", "block")], "list string, pattern string, since string, action string")
+    asks = [(f"http://deep.org/{deep}/x", "block"), (f"http://deep.org/{deep}", "none"), ("http://deep.org/a/b/c/d/e/f/g/h/i", "none"), ("http://page.org/a/x.html?q", "block"), ("http://page.org/a/x.htm", "none"), ("http://root.org/z", "block"), ("http://root.org", "none"), ("http://seg.org/a", "block"), ("http://seg.org/a/b", "block"), ("http://seg.org/ab", "none"), ("http://no.org/", "none"), (f"http://long.org/{'s/' * 3000}", "none")]
+    got = url_filter.filter_urls(spark.createDataFrame([(i, u, "2024-02-01") for i, (u, _) in enumerate(asks)], "page_id long, url string, fetched string"), entries)
+    assert {r["page_id"]: r["verdict"] for r in got.collect()} == {i: v for i, (_, v) in enumerate(asks)}
+    assert url_filter.bad_patterns(entries).count() == 2
+
+
 def test_url_filter(spark):
     day = lambda d: f"2024-01-{d:02d}"
     entries = spark.createDataFrame([("l", "example.com", day(5), "block"), ("l", "example.com", day(10), "off"), ("l", "example.com/a/", day(1), "allow"), ("m", "sub.example.com", day(7), "allow"), ("l", None, day(1), "block"), ("l", "late.org", None, "block"), ("l", "tie.org", day(3), "allow"), ("l", "tie.org", day(3), "block")], "list string, pattern string, since string, action string")
