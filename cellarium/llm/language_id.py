@@ -10,11 +10,12 @@ decides (ties: the language with more training documents), and its share of the
 A language contains a gram if the gram's rate in its training texts is at least `RATIO` times the highest rate in
 any language. The model is learned from a bounded sample of labelled documents: about `per_language` documents of each
 language, chosen by a hash of the id, whole texts, counted on the executors. At most `max_grams` grams (the
-most frequent) reach the driver, so what is broadcast is fixed: CELLS * 8 bytes per 64 languages.
+most frequent; those seen once in the sample tell nothing and are left out) reach the driver, so what is broadcast is fixed: CELLS * 8 bytes per 64 languages.
 
 Edge cases. A null text or one without letters gives und and score 0. If nothing was learned, everything is und. A text
 whose grams no language contains gets the language with most training documents and score 0. A null doc_id
-is not held out. Very long texts are read whole, in slices that overlap by a gram.
+is not held out. Very long texts are read whole, in slices that overlap by a gram. Repeated rows get the same result each. Columns named
+lang_pred or score in the input give way to the results.
 """
 
 from __future__ import annotations
