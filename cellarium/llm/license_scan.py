@@ -3,13 +3,14 @@
 Templates are lower-case words. Hashes of their runs of `K` words are winnowed (the least of every `WINDOW`
 neighbouring hashes is a fingerprint) into an inverted index: fingerprint -> template and position. All runs of a
 document are looked up, so any run of K + WINDOW - 1 words that it shares with a template is found. Hits of one template
-whose diagonals lie within the band and that stand close together are one candidate; a banded alignment of the whole
-template (match 1, mismatch and gap -1) gives the matched words, their share of the template (coverage) and the
+whose diagonals lie within the band, that stand close together and go forward in the template are one candidate; where the template begins again, another
+does. A banded alignment of the whole template (match 1, mismatch and gap -1), row by row for all of the band at once, gives the matched words, their share of the template (coverage) and the
 span in the text. Candidates below `min_coverage` are dropped; each occurrence is a row.
 
-Templates are a small parameter that is broadcast; documents are scanned in place and never shuffled.
+Templates are a parameter, a tuple or a DataFrame of license and text; they are broadcast, and of over `most_words` words refused. Documents are scanned in place and never shuffled.
 Edge cases. Null and empty texts have no match; templates of under K words match nothing. Of matches that
-overlap in the text, the one with the highest coverage stays, then the one with most words, then the first template. Very long texts are read whole; repeated rows are each reported.
+overlap in the text, the one with the highest coverage stays, then the one with most words, then the first template. Very long texts are read whole; repeated rows are each reported. Columns beside id and text are not read, so their names may
+clash with the results'.
 """
 
 from __future__ import annotations
@@ -28,31 +29,39 @@ from .tokens import WORD, SeedIndex, Vocabulary, seed_hashes, words
 K, WINDOW, BAND = 3, 2, 8
 MATCH = ArrayType(StructType([StructField("license", StringType()), StructField("coverage", DoubleType()), StructField("n_matched", IntegerType()), StructField("start", IntegerType()), StructField("end", IntegerType())]))
 
-#: Well-known notices: name, text. One license may have several.
+# fixed values: the public texts of short licenses, whole, and the notices by which long ones are applied
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_BSD_HEAD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_NAMES = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+_BSD_TAIL = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+_MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+_UNLICENSE = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""
+_GNU = """This {0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2}General Public License as published by the Free Software Foundation{3} either version {4} of the License, or (at your option) any later version. This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {2}General Public License for more details."""
+_GNU_SHORT = """under the terms of the GNU {0}General Public License as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version."""
+_CC = {"CC-BY-4.0": "Attribution", "CC-BY-SA-4.0": "Attribution-ShareAlike", "CC-BY-NC-4.0": "Attribution-NonCommercial", "CC-BY-ND-4.0": "Attribution-NoDerivatives"}
+_GNUS = {"GPL-2.0": ("", "2"), "GPL-3.0": ("", "3"), "LGPL-2.1": ("Lesser ", "2.1"), "LGPL-3.0": ("Lesser ", "3"), "AGPL-3.0": ("Affero ", "3")}
+
+#: Well-known licenses: name, text. One may have several, a line that names it, its notice or its whole text.
 TEMPLATES = (
+    ("MIT", _MIT),
+    ("ISC", _ISC),
+    ("BSD-2-Clause", f"{_BSD_HEAD} {_BSD_TAIL}"),
+    ("BSD-3-Clause", f"{_BSD_HEAD} {_BSD_NAMES} {_BSD_TAIL}"),
+    ("Apache-2.0", _APACHE),
+    ("MPL-2.0", _MPL),
+    ("Unlicense", _UNLICENSE),
+    *[(name, _GNU.format("program" if kind != "Lesser " else "library", ":" if n == "3" else ";", kind, "," if n == "3" else ";", n)) for name, (kind, n) in _GNUS.items()],
+    *[(name, _GNU_SHORT.format(kind, n)) for name, (kind, n) in _GNUS.items()],
+    *[(name, f"This work is licensed under the GNU {kind}General Public License, version {n}.") for name, (kind, n) in _GNUS.items()],
+    *[(name, f"This work is licensed under a Creative Commons {kind} 4.0 International License.") for name, kind in _CC.items()],
+    *[(name, f"Licensed under {name.replace('CC-', 'CC ').replace('-4.0', ' 4.0')}.") for name in _CC],
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-2.0", "it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
-    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
-    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("all-rights-reserved", "All rights reserved."),
 )
 
@@ -68,20 +77,23 @@ def winnow(h: np.ndarray, window: int = WINDOW) -> np.ndarray:
 def align(template: np.ndarray, doc: np.ndarray, diagonal: int, band: int) -> list[tuple[int, int]]:
     """Matched (template, document) positions of the best alignment of the whole template near a diagonal (document minus template position). Words before and after it in the document are free."""
     width, n = 2 * band + 1, len(template)
-    score, moves = [0] * width, []
+    at = np.arange(width)
+    near = np.full(n + width, -1, np.int64)  # the document's words along the band, -1 outside
+    low = diagonal - band
+    a, b = max(0, -low), min(len(near), len(doc) - low)
+    if a < b:
+        near[a:b] = doc[low + a : low + b]
+    score, moves = np.zeros(width, np.int64), np.zeros((n, width), np.int8)
     for i in range(n):
-        new, move = [0] * width, [0] * width
-        for b in range(width):
-            j = i + diagonal + b - band
-            inside = 0 <= j < len(doc)
-            best, how = score[b] + (1 if inside and template[i] == doc[j] else -1), 1 if inside and template[i] == doc[j] else 2
-            if b + 1 < width and score[b + 1] - 1 > best:  # a word of the template is left out
-                best, how = score[b + 1] - 1, 3
-            if b and new[b - 1] - 1 > best:  # a word of the document is left out
-                best, how = new[b - 1] - 1, 4
-            new[b], move[b] = best, how
-        score = new
-        moves.append(move)
+        same = near[i : i + width] == template[i]
+        new, move = score + np.where(same, 1, -1), np.where(same, 1, 2)
+        left = np.append(score[1:] - 1, -(1 << 40))  # a word of the template is left out
+        better = left > new
+        new, move = np.where(better, left, new), np.where(better, 3, move)
+        # words of the document are left out: each costs 1, so the best start for b is a running maximum
+        reach = np.maximum.accumulate(new + at) - at
+        move[reach > new] = 4
+        score, moves[i] = reach, move
     i, b, out = n - 1, max(range(width), key=lambda x: (score[x], -abs(x - band))), []
     while i >= 0:
         how = moves[i][b]
@@ -109,7 +121,7 @@ class Templates:
             at, h = seed_hashes(ids, self.mask)
             keep = winnow(h)
             found.append((h[keep], np.full(len(keep), i), at[keep]))
-        self.index = SeedIndex(*(np.concatenate(x) for x in zip(*found)))
+        self.index = SeedIndex(*(np.concatenate(x) for x in zip(*found))) if found else SeedIndex(*[np.zeros(0, k) for k in (np.uint64, np.int64, np.int64)])
 
     def scan(self, text: str | None) -> list[dict]:
         if not text or not len(self.index.hits(*seed_hashes(self.vocabulary.of(words(text)), self.mask))[0]):
@@ -120,15 +132,20 @@ class Templates:
         found: dict[tuple[int, int, int], dict] = {}
         for t in np.unique(which).tolist():
             template = self.templates[t]
-            own = sorted(zip((at[which == t] - there[which == t]).tolist(), at[which == t].tolist()), key=lambda x: x[1])
-            groups: list[list[tuple[int, int]]] = []
-            for d, p in own:
-                if groups and abs(d - groups[-1][0][0]) <= BAND and p - groups[-1][-1][1] <= len(template) + BAND:
-                    groups[-1].append((d, p))
+            own = sorted(zip(at[which == t].tolist(), there[which == t].tolist()))
+            groups: list[int] = []  # diagonals; their number follows the text's length
+            open_: list[list[int]] = []  # of groups that may go on: diagonal, last place in the document and in the template
+            for p, q in own:
+                open_ = [g for g in open_ if p - g[1] <= len(template) + BAND]
+                for g in reversed(open_):
+                    if abs(p - q - g[0]) <= BAND and q > g[2]:
+                        g[1:] = p, q
+                        break
                 else:
-                    groups.append([(d, p)])
-            for g in groups:  # their number follows the text's length
-                pairs = align(template, ids, g[0][0], BAND)
+                    groups.append(p - q)
+                    open_.append([p - q, p, q])
+            for diagonal in groups:
+                pairs = align(template, ids, diagonal, BAND)
                 if pairs and len(pairs) >= self.min_coverage * len(template):
                     start, end = places[pairs[0][1]][0], places[pairs[-1][1]][1]
                     found[t, start, end] = {"license": self.names[t], "coverage": len(pairs) / len(template), "n_matched": len(pairs), "start": start, "end": end}
@@ -142,9 +159,19 @@ class Templates:
         return sorted(found.values(), key=lambda x: x["start"])
 
 
-def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, min_coverage: float = 0.8) -> DataFrame:
+def template_rows(templates: tuple[tuple[str, str], ...] | DataFrame, most_words: int) -> tuple[tuple[str, str], ...]:
+    if isinstance(templates, DataFrame):
+        known = templates.filter("license is not null and text is not null")
+        n = known.agg(F.sum(F.regexp_count("text", F.lit(r"\S+")))).first()[0] or 0
+        if n > most_words:
+            raise ValueError(f"the templates have {n} words; at most {most_words} are broadcast")
+        return tuple(sorted((r["license"], r["text"]) for r in known.select("license", "text").collect()))
+    return templates
+
+
+def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[tuple[str, str], ...] | DataFrame = TEMPLATES, min_coverage: float = 0.8, most_words: int = 2_000_000) -> DataFrame:
     """A row per match: doc_id, license, coverage, n_matched (words), start and end (code points of the text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(Templates(templates, min_coverage))
+    shared = docs.sparkSession.sparkContext.broadcast(Templates(template_rows(templates, most_words), min_coverage))
 
     @F.pandas_udf(MATCH)
     def scan(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -256,6 +256,81 @@ def test_licenses(spark):
     assert [x[0] for x in got[2]] == ["MIT"] and got[2][0][1].startswith("Permission is hereby") and next(r["coverage"] for r in rows if r["doc_id"] == 2) > 0.9
 
 
+def test_alignment_against_whole_table():
+    """Banded alignment against one of the whole table, document words before and after the template being free."""
+    r, np = random.Random(9), license_scan.np
+
+    def best(template, doc):
+        score = [0] * (len(doc) + 1)
+        for i, t in enumerate(template):
+            new = [score[0] - 1]
+            for j, d in enumerate(doc):
+                new.append(max(score[j] + (1 if t == d else -1), score[j + 1] - 1, new[j] - 1))
+            score = new
+        return max(score)
+
+    for _ in range(60):
+        template = [r.randint(1, 30) for _ in range(r.randint(5, 60))]
+        copy = []
+        for w in template:
+            kind = r.random()
+            copy += [] if kind < 0.04 else [r.randint(31, 40)] if kind < 0.08 else [w, 41] if kind < 0.1 else [w]
+        before = [r.randint(31, 40) for _ in range(r.randint(0, 20))]
+        doc = before + copy + [r.randint(31, 40) for _ in range(r.randint(0, 20))]
+        pairs = license_scan.align(np.array(template), np.array(doc), len(before), 8)
+        assert all(template[a] == doc[b] for a, b in pairs) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:]))
+        skipped, last = 0, None
+        for a, b in pairs:
+            if last is not None:
+                da, db = a - last[0] - 1, b - last[1] - 1
+                skipped += max(da, db)
+            last = (a, b)
+        ends = (pairs[0][0] + len(template) - 1 - pairs[-1][0]) if pairs else len(template)
+        assert len(pairs) - skipped - ends == best(template, doc)
+
+
+def test_whole_licenses_and_repeats(spark):
+    whole = {n: next(t for m, t in license_scan.TEMPLATES if m == n and len(t) > 600) for n in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause")}
+    texts = {i: f"{words_of(i, 30)}\n{t}\n{words_of(50 + i, 30)}" for i, t in enumerate(whole.values())}
+    texts[10] = "All rights reserved. All rights reserved. x y All rights reserved."
+    half = whole["MIT"].split()
+    texts[11] = " ".join(w for a, b in zip(half, whole["ISC"].split()) for w in (a, b))  # woven into each other: no stretch of either
+    table = spark.createDataFrame([*license_scan.TEMPLATES, (None, "x y z"), ("none", None)], "license string, text string")
+    docs = documents(spark, [(i, t, "a") for i, t in texts.items()])
+    rows = [(r["doc_id"], r["license"], r["coverage"]) for r in license_scan.license_scan(docs).collect()]
+    got = defaultdict(list)
+    for d, n, _ in rows:
+        got[d].append(n)
+    assert [got[i] for i in range(4)] == [[n] for n in whole] and got[10] == ["all-rights-reserved"] * 3 and 11 not in got
+    assert all(c == 1 for _, _, c in rows)
+    assert sorted((r["doc_id"], r["license"], r["coverage"]) for r in license_scan.license_scan(docs, templates=table).collect()) == sorted(rows)
+    assert license_scan.license_scan(docs, templates=table.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        license_scan.license_scan(docs, templates=table, most_words=10)
+
+
+def test_language_masks_against_sets():
+    """Counts by the bit-sliced filter, corrected, against plain sets of each language's grams."""
+    np, r = language_id.np, random.Random(4)
+    sets = {k: {r.getrandbits(63) for _ in range(4000)} for k in range(5)}
+    shared = {r.getrandbits(63) for _ in range(500)}
+    for k in (0, 3):
+        sets[k] |= shared
+    grams = np.array([g for s in sets.values() for g in s], np.int64)
+    of = np.array([k for k, s in sets.items() for _ in s], np.int64)
+    model = language_id.Model([str(k) for k in sets], grams, of)
+    a, b, c = language_id._cells(grams.view(np.uint64))
+    masks = (model.table[a] & model.table[b] & model.table[c])[:, 0]
+    for k, s in sets.items():
+        hit = (masks >> np.uint64(k) & np.uint64(1)).astype(bool)
+        want = np.array([int(g) in s for g in grams])
+        assert (hit[want]).all() and (hit & ~want).mean() < 0.001
+    text = "the quick brown fox jumps over the lazy dog and runs away"
+    h = np.concatenate([x for x, _ in language_id._grams([text])])
+    half = language_id.Model(["x", "y"], np.concatenate([h, h[::2]]).view(np.int64), np.array([0] * len(h) + [1] * len(h[::2])))
+    assert half.predict([text]) == (["x"], [1.0])
+
+
 def test_html_extraction(spark, sf_dir):
     model = html_extraction.trained()
     page = '<html><head><title>no</title><script>var a="</p>"</script></head><body><nav><a href=/>Menu</a></nav><div class="sidebar"><p>Other stories that you may like to read.</p></div><article><h1>A title</h1><p>First &amp; <b>main</b> text,  with\nspaces.<p>Second&nbsp;part, it goes on for a while.</article><div class=comments><p>I do not agree with this at all, says a reader.</p></div><footer>&copy; 2024 all of it'
