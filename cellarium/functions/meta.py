@@ -108,6 +108,10 @@ class GridMeta:
         one = g.level0_length if isinstance(g, Cartesian) else (1.0, 1.0, 1.0)
         return tuple(s + n * d for s, n, d in zip(self.start, self.length, one))
 
+    def reset_geometry(self) -> GridMeta:
+        """The same grid with unit cubes from the origin."""
+        return replace(self, geometry=NoGeometry())
+
     def with_(self, **changes) -> GridMeta:
         return replace(self, **changes)
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import mapping
 from ..plans.grid import CORE, Grid
 from ..plans.shared import settle, small
+from .lookup import existing_at_point
 from .neighbors import neighbors_of, probes, with_places
 
 _INDEX = ("ix", "iy", "iz")
@@ -165,6 +166,11 @@ def adapt(
     return Adapted(new, born, none.select("cell") if gone is None else gone.select("cell"), none if refined is None else refined, none if gone is None else gone.drop("group"))
 
 
+def requests_at(grid: Grid, points: DataFrame, x: str = "x", y: str = "y", z: str = "z") -> DataFrame:
+    """cell: the existing cells around points, each once, to refine, merge or keep them; points outside the grid are passed over."""
+    return existing_at_point(grid, points.select(x, y, z), x, y, z).filter("cell <> 0").select("cell").distinct()
+
+
 def load_cells(grid: Grid, wanted: DataFrame | list[int]) -> Grid:
     """From a grid of level 0, refine until the listed cells exist. Ids that are no cell's are passed over."""
     meta = grid.meta

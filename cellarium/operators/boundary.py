@@ -31,31 +31,36 @@ def exchange(grid: Grid, hood=DEFAULT) -> DataFrame:
     return rows.select(F.explode(both).alias("e")).select("e.*").distinct()
 
 
-def boundary_local(grid: Grid, hood=DEFAULT) -> DataFrame:
-    """Cells with a neighbor (either way) in another part."""
-    return grid.cells.join(exchange(grid, hood).select("cell"), "cell", "left_semi")
+def _sorted(df: DataFrame, ordered: bool, *by: str) -> DataFrame:
+    return df.orderBy(*by) if ordered else df
 
 
-def inner_cells(grid: Grid, hood=DEFAULT) -> DataFrame:
-    return grid.cells.join(exchange(grid, hood).select("cell"), "cell", "left_anti")
+def boundary_local(grid: Grid, hood=DEFAULT, ordered: bool = False) -> DataFrame:
+    """Cells with a neighbor (either way) in another part. ordered: by id, as in the others below."""
+    return _sorted(grid.cells.join(exchange(grid, hood).select("cell"), "cell", "left_semi"), ordered, "cell")
+
+
+def inner_cells(grid: Grid, hood=DEFAULT, ordered: bool = False) -> DataFrame:
+    return _sorted(grid.cells.join(exchange(grid, hood).select("cell"), "cell", "left_anti"), ordered, "cell")
 
 
 outer_cells = boundary_local
 
 
-def boundary_remote(grid: Grid, hood=DEFAULT) -> DataFrame:
+def boundary_remote(grid: Grid, hood=DEFAULT, ordered: bool = False) -> DataFrame:
     """to_part and the cells of other parts at its boundary."""
-    return exchange(grid, hood).select("to_part", "cell")
+    return _sorted(exchange(grid, hood).select("to_part", "cell"), ordered, "to_part", "cell")
 
 
-def local_cells(grid: Grid, part: int) -> DataFrame:
-    return grid.cells.filter(F.col("part") == part)
+def local_cells(grid: Grid, part: int, ordered: bool = False) -> DataFrame:
+    return _sorted(grid.cells.filter(F.col("part") == part), ordered, "cell")
 
 
-def send_lists(grid: Grid, hood=DEFAULT, as_read: bool = True) -> DataFrame:
-    """from_part, to_part, cell. as_read: only the cells in a neighborhood of the receiver's cells, which is what an update of copies sends."""
+def send_lists(grid: Grid, hood=DEFAULT, as_read: bool = True, ordered: bool = False) -> DataFrame:
+    """from_part, to_part, cell. as_read: only the cells in a neighborhood of the receiver's cells, which is what an update of copies sends. ordered: by sender and receiver, then id, the order in which both ends go through a list."""
     rows = across(grid, hood).select(F.col("nbr").alias("cell"), F.col("n_part").alias("from_part"), F.col("part").alias("to_part")).distinct()
-    return rows if as_read else exchange(grid, hood).select("cell", F.col("part").alias("from_part"), "to_part")
+    rows = rows if as_read else exchange(grid, hood).select("cell", F.col("part").alias("from_part"), "to_part")
+    return _sorted(rows, ordered, "from_part", "to_part", "cell")
 
 
 def update_counts(grid: Grid, hood=DEFAULT) -> DataFrame:

@@ -74,8 +74,12 @@ def _cut_in_boxes(cells: DataFrame, along: Column) -> DataFrame:
     return share.withColumn("__new_lo", F.when(left, F.col("__lo")).otherwise(F.col("__lo") + F.col("__left"))).withColumn("__n", F.when(left, F.col("__left")).otherwise(F.col("__n") - F.col("__left"))).drop("__lo", "__part", "__left_share").withColumnRenamed("__new_lo", "__lo")
 
 
-def partition(grid: Grid, parts: int, method: str = "RCB", seed: int = 0, levels: tuple[tuple[int, str], ...] = ()) -> Grid:
-    """grid with new owners. HIER: levels is ((groups, method), (parts in a group, method)); the inner cut follows the space-filling curve within each group."""
+def partition(grid: Grid, parts: int, method: str = "RCB", seed: int = 0, levels: tuple[tuple[int, str], ...] = (), options: Options | None = None) -> Grid:
+    """grid with new owners. HIER: levels is ((groups, method), (parts in a group, method), ...); inner cuts follow the space-filling curve within each group. options: its levels, if it has any, make the method HIER, with the method that each names as LB_METHOD; its option RANDOM_SEED is the seed."""
+    if options is not None:
+        seed = int(options.options.get("RANDOM_SEED", seed))
+        if options.levels:
+            method, levels = "HIER", options.hierarchy(parts)
     method = method.upper()
     if method in ("GRAPH", "HYPERGRAPH"):
         raise NotImplementedError("graph and hypergraph partitioning are not offered; HSFC keeps neighbors together")
@@ -94,18 +98,22 @@ def partition(grid: Grid, parts: int, method: str = "RCB", seed: int = 0, levels
     elif method in ("RCB", "RIB"):
         placed = _bisect(grid, grid.cells, parts, method == "RIB")
     else:
-        (outer, outer_method), (inner, _) = levels
-        grouped = partition(Grid(grid.meta, grid.cells.withColumn("pin", F.lit(None).cast("int")), leaves=grid.leaves, uniform=grid.uniform), outer, outer_method, seed)
+        (outer, outer_method), *inner = levels
+        if outer * math.prod(n for n, _ in inner) != parts:
+            raise ValueError("the levels' parts don't make up all parts")
+        free = Grid(grid.meta, grid.cells.withColumn("pin", F.lit(None).cast("int")), leaves=grid.leaves, uniform=grid.uniform)
+        placed = partition(free, outer, outer_method, seed).cells.withColumn("__group", F.col("part"))
+        for n, _ in inner:
+            placed = _cut(placed, key, n, ("__group",)).withColumn("__group", F.col("__group") * n + F.col("__part")).drop("__part")
         pins = grid.cells.select("cell", F.col("pin").alias("__pin"))
-        placed = _cut(grouped.cells.withColumnRenamed("part", "__group"), key, inner, ("__group",)).withColumn("__part", F.col("__group") * inner + F.col("__part"))
-        placed = placed.join(pins, "cell").withColumn("pin", F.col("__pin")).withColumn("part", F.col("__group"))
+        placed = placed.withColumnRenamed("__group", "__part").join(pins, "cell").withColumn("pin", F.col("__pin"))
     owner = F.coalesce(F.col("pin"), F.col("__part")).cast("int")
     return grid.with_cells(placed.withColumn("part", owner).select(*columns))
 
 
-def balance_load(grid: Grid, parts: int, method: str = "RCB", seed: int = 0, levels: tuple = ()) -> Grid:
+def balance_load(grid: Grid, parts: int, method: str = "RCB", seed: int = 0, levels: tuple = (), options: Options | None = None) -> Grid:
     """New owners; weights are used and then forgotten, pins stay."""
-    return (lambda g: g.with_columns({"weight": F.lit(1.0)}))(partition(grid, parts, method, seed, levels)).settled()
+    return partition(grid, parts, method, seed, levels, options).with_columns({"weight": F.lit(1.0)}).settled()
 
 
 def moved(before: Grid, after: Grid) -> DataFrame:
@@ -167,6 +175,16 @@ class Options:
     def remove_from_level(self, level: int, name: str) -> None:
         self.levels[level][1].pop(name, None)
 
+    def hierarchy(self, parts: int) -> tuple[tuple[int, str], ...]:
+        """((groups, method), (groups in each, method), ...) of so many parts: a level's number is how many parts it keeps together, the last level's the rest."""
+        out, left = [], parts
+        for size, named in self.levels:
+            if left % size:
+                raise ValueError(f"{left} parts can't be cut into groups of {size}")
+            out.append((left // size, named.get("LB_METHOD", "RCB")))
+            left = size
+        return (*out, (left, "HSFC")) if left > 1 else tuple(out)
+
     def names(self, level: int) -> list[str]:
         return sorted(self.levels[level][1])
 

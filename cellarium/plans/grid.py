@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import mapping
 from ..functions.meta import GridMeta, hood_offsets
-from .shared import settle, small
+from .shared import numbered, settle, small
 
 #: Columns that every grid has.
 CORE = ("cell", "lvl", "ix", "iy", "iz", "len", "part", "weight", "pin")
@@ -40,11 +40,17 @@ class Grid:
     # --- construction ----------------------------------------------------------------------------------------------
 
     @staticmethod
-    def level0(spark: SparkSession, meta: GridMeta, parts: int = 1) -> Grid:
-        """All cells of level 0, in contiguous blocks of ids per part; the first parts have one fewer if they can't be equal."""
+    def level0(spark: SparkSession, meta: GridMeta, parts: int = 1, order: str = "id") -> Grid:
+        """All cells of level 0, in contiguous blocks per part of their ids or (order "curve") of their places on the space-filling curve; the first parts have one fewer if they can't be equal."""
         n = meta.level0_cells
         cells = spark.range(1, n + 1).select(F.col("id").alias("cell"))
-        return Grid.of(meta, cells.withColumn("part", block_part(F.col("cell") - 1, n, parts)), leaves=n, uniform=True)
+        if order == "id":
+            return Grid.of(meta, cells.withColumn("part", block_part(F.col("cell") - 1, n, parts)), leaves=n, uniform=True)
+        if order != "curve":
+            raise ValueError(f"unknown order {order}")
+        key = mapping.z_order(tuple(mapping.shr(F.col(c), meta.max_level) for c in ("ix", "iy", "iz")))
+        placed = numbered(mapping.with_place(cells, meta), key, F.col("cell"))
+        return Grid.of(meta, placed.select("cell", block_part(F.col("n"), n, parts).alias("part")), leaves=n, uniform=True)
 
     @staticmethod
     def of(meta: GridMeta, cells: DataFrame, leaves: int | None = None, uniform: bool = False) -> Grid:
@@ -92,10 +98,6 @@ class Grid:
     def remove_hood(self, name) -> Grid:
         return _replace(self, hoods={k: v for k, v in self.hoods.items() if k != name})
 
-    def hood_frame(self, hood=DEFAULT) -> DataFrame:
-        rows = [(i, *o) for i, o in enumerate(self.offsets(hood))]
-        return self.cells.sparkSession.createDataFrame(rows, "ord int, hx int, hy int, hz int")
-
     # --- cells -----------------------------------------------------------------------------------------------------
 
     @cached_property

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -558,18 +559,6 @@ def partition_pins(spark, sf_dir):
     return P.partition(grid, 5, "BLOCK").cells.select("cell", "part")
 
 
-@query()
-def partition_bisection(spark, sf_dir):
-    """Parts of recursive and inertial bisection and of a two-level partition: sizes, and how many neighbor pairs they cut."""
-    grid = one_level(spark, sf_dir)
-    out = None
-    for method, levels in (("RCB", ()), ("RIB", ()), ("HIER", ((2, "RCB"), (3, "HSFC")))):
-        parted = P.partition(grid, 6, method, levels=levels).settled()
-        rows = S.balance(parted).withColumn("method", F.lit(method))
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
 @query(f"WITH {leaves_sql()}, o AS (SELECT cell, part, CAST(floor((row_number() OVER (ORDER BY cell) - 0.5) / count(*) OVER () * 5) AS INTEGER) AS p FROM leaf) SELECT cell, part AS from_part, p AS to_part FROM o WHERE part <> p")
 def balance_moves(spark, sf_dir):
     grid = one_level(spark, sf_dir)
@@ -665,23 +654,152 @@ SPEED = GridMeta((100, 200, 300), 13, geometry=Cartesian((0.0, 0.0, 0.0), (1.0,
 EVEN = SPEED.with_(geometry=Stretched.of(SPEED.geometry, SPEED.length))
 
 
-@query()
+@query(
+    "WITH c AS (SELECT (range - 1) % 100 AS x, (range - 1) // 100 % 200 AS y, (range - 1) // 20000 AS z FROM range(1, 1000001)) "
+    "SELECT 1.0::DOUBLE AS length_x, 1.1::DOUBLE AS length_y, 1.2::DOUBLE AS length_z, round(avg(x + 0.5::DOUBLE), 6) AS center_x, round(avg((y + 0.5::DOUBLE) * 1.1::DOUBLE), 6) AS center_y, round(avg((z + 0.5::DOUBLE) * 1.2::DOUBLE), 6) AS center_z FROM c"
+)
 def geometry_averages(spark, sf_dir):
-    return W.geometry_averages(spark, SPEED, 1_000_000)
+    averages = W.geometry_averages(spark, SPEED, 1_000_000)
+    return averages.select(*[F.round(c, 6).alias(c) for c in averages.columns])
+
 
+def _life_sql(steps: int) -> str:
+    """CTEs n and s1 .. s<steps>: the states of the unrefined automaton; s0 is given."""
+    turns = [f"s{k + 1} AS (SELECT a.cell, CASE WHEN w = 3 THEN 1 WHEN w = 2 THEN a.alive ELSE 0 END AS alive FROM s{k} a JOIN (SELECT n.cell, sum(b.alive) AS w FROM n JOIN s{k} b ON b.cell = n.nbr GROUP BY n.cell) USING (cell))" for k in range(steps)]
+    return f"n AS ({O.near(FLAT, 'flat')}), " + ", ".join(turns)
 
-@query()
+
+@query(
+    f"WITH flat AS ({O.placed(FLAT, 'SELECT range AS cell FROM range(1, 118)')}), s0 AS (SELECT cell, CAST(cell IN (SELECT 1 + p_partkey * 7 % 117 FROM part GROUP BY 1 HAVING count(*) % 2 = 1) AS INTEGER) AS alive FROM flat), {_life_sql(3)}, {leaves_sql()} SELECT leaf.cell, CAST(s3.alive AS INTEGER) AS alive FROM leaf JOIN s3 ON s3.cell = {O.ancestor(M1, 'leaf.cell', '0')}"
+)
 def life_steps_refined(spark, sf_dir):
-    """Three steps on a refined grid, as many as on the unrefined one: cells that differ (none)."""
-    flat = W.life(_alive(spark, sf_dir, Grid.level0(spark, FLAT)), 3).cells.select(F.col("cell").alias("l0"), F.col("alive").alias("flat"))
-    fine = W.life(_alive(spark, sf_dir, one_level(spark, sf_dir)), 3, refined=True).cells
-    return fine.select(mapping.level0_parent(M1, F.col("cell")).alias("l0"), "alive").join(flat, "l0").agg(F.count(F.lit(1)).alias("leaves"), F.sum((F.col("alive") != F.col("flat")).cast("long")).alias("different"))
+    """Three steps on a refined grid: every leaf has what its ancestor has after three steps on the unrefined one."""
+    return W.life(_alive(spark, sf_dir, one_level(spark, sf_dir)), 3, refined=True).cells.select("cell", "alive")
 
 
-@query()
+@query(f"WITH {_FLOW_STATE} SELECT CAST(round(sum(d) * 0.05 * 0.05 * 0.05 * 1e9) AS BIGINT) AS mass, CAST(400 * 8 AS BIGINT) AS volume, true AS refined FROM s")
 def advection_adaptive(spark, sf_dir):
-    """Ten steps with adaptation every fifth: mass stays, levels follow the hump."""
+    """Three steps, with adaptation after the second: the mass is the start's, the leaves (of 8 smallest cells at level 0) tile the grid, and some are refined."""
     meta = GridMeta((20, 20, 1), 1, (True, True, False), 1, FLOW.geometry)
-    grid = W.advection(W.advection_start(Grid.level0(spark, meta)), 0.35, adapt_every=5)
+    grid = W.advection(W.advection_start(Grid.level0(spark, meta)), 0.3, adapt_every=2)
     volume = F.col("length_x") * F.col("length_y") * F.col("length_z")
-    return grid.cells.groupBy("lvl").agg(F.count(F.lit(1)).alias("cells"), F.round(F.sum(F.col("density") * volume), 9).alias("mass"))
+    return grid.cells.agg(F.round(F.sum(F.col("density") * volume) * 1e9).cast("long").alias("mass"), F.sum(F.col("len") * F.col("len") * F.col("len")).alias("volume"), (F.max("lvl") > 0).alias("refined"))
+
+
+# --- what nothing above asks for -------------------------------------------------------------------------------------
+
+
+@query(f"SELECT 13 AS x, 3 AS y, 3 AS z, 1 AS max_level, CAST({M1.last_cell} AS BIGINT) AS last_cell, 20 AS largest_level, -1.5::DOUBLE AS start_x, 1.0::DOUBLE AS end_x, 2.375::DOUBLE AS end_z, 0.5::DOUBLE AS length_x")
+def grid_description(spark, sf_dir):
+    """Lengths, levels, ids and corners as metadata gives them. 117 * (8^20 - 1) / 7 * 8 fits 63 bits, one level more doesn't."""
+    largest = GridMeta((1, 1, 1), -1)
+    row = (*M1.length, M1.max_level, M1.last_cell, largest.max_level, DYADIC.start[0], DYADIC.end[0], DYADIC.end[2], DYADIC.geometry.level0_length[0])
+    return spark.createDataFrame([row], "x int, y int, z int, max_level int, last_cell long, largest_level int, start_x double, end_x double, end_z double, length_x double")
+
+
+@query(f"WITH {leaves_sql()} SELECT cell, lvl, part, 1.0::DOUBLE AS weight, cell * 2 AS twice FROM leaf")
+def copied_structure(spark, sf_dir):
+    """The same cells and owners with other data; ids twice, as a derived item would give them."""
+    return one_level(spark, sf_dir).with_columns({"old": F.lit("x")}).copy_structure({"twice": F.col("cell") * 2}).cells.select("cell", "lvl", "part", "weight", "twice")
+
+
+@query(_with_level(f"SELECT okey, {_X} // 8 AS ix, {_Y} // 8 AS iy, {_Z} // 8 AS iz FROM i"))
+def level0_places(spark, sf_dir):
+    ids = _ids(spark, sf_dir, IDS)
+    return ids.select("okey", *[v.alias(c) for c, v in zip(("ix", "iy", "iz"), geometry.level0_start_index(IDS, F.col("cell")))])
+
+
+BALANCES = GridMeta((4, 4, 1), 2, (False, True, False), geometry=Cartesian((-1024.0, -1024.0, 0.0), (4096.0, 4096.0, 1.0)))
+
+
+def _at_level(level: int) -> str:
+    """The cell of a level around (a, a wrapped, 0.5): the smallest cells are 1024 wide and 0.25 high."""
+    return O.cell(BALANCES, ("ix", "iy", "2"), str(level))
+
+
+@query(f"SELECT c_custkey, {_at_level(0)} AS l0, {_at_level(1)} AS l1, {_at_level(2)} AS l2 FROM (SELECT c_custkey, CAST(floor((a + 1024) / 1024) AS BIGINT) AS ix, CAST(floor((CASE WHEN a < -1024 THEN a + 16384 ELSE a END + 1024) / 1024) AS BIGINT) AS iy FROM (SELECT c_custkey, CAST(c_acctbal AS DOUBLE) * 2 AS a FROM customer) WHERE a BETWEEN -1024 AND 15359)")
+def cells_of_points_at_level(spark, sf_dir):
+    points = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", (F.col("c_acctbal").cast("double") * 2).alias("a")).filter("a between -1024 and 15359")
+    return points.select("c_custkey", *[geometry.cell_at_point(BALANCES, F.lit(k), (F.col("a"), F.col("a"), F.lit(0.5))).alias(f"l{k}") for k in range(3)])
+
+
+@query(f"WITH {leaves_sql()} SELECT cell, lvl, part FROM leaf WHERE cell IN (1, 39, 117, 130, 500, 1000)")
+def cells_by_id(spark, sf_dir):
+    grid = one_level(spark, sf_dir)
+    return reduce(DataFrame.unionByName, [grid[c] for c in (1, 39, 117, 130, 500, 1000)]).select("cell", "lvl", "part")
+
+
+@query(f"{MASKS} SELECT cell, part FROM leaf JOIN m USING (cell) WHERE part = 1 AND mask IN (4, 12)")
+def cells_by_exact_neighbor_type(spark, sf_dir):
+    grid = one_level(spark, sf_dir).add_hood("cross", CROSS)
+    return L.get_cells(grid, 1, [L.REMOTE_OF, L.REMOTE_OF | L.REMOTE_TO], exact=True, hood="cross", ordered=True).select("cell", "part")
+
+
+@query(f"WITH {leaves_sql()} SELECT cell FROM leaf WHERE {O.ancestor(M1, 'cell', '0')} BETWEEN 40 AND 78")
+def cells_overlapping_part(spark, sf_dir):
+    """Leaves whose ancestor of level 0 belongs to the second of three blocks."""
+    grid = one_level(spark, sf_dir)
+    return L.overlapping_part(grid, grid.cells.select("cell"), 1, Grid.level0(spark, FLAT, 3))
+
+
+@query(f"WITH k AS (SELECT cell, {' + '.join(f'((i{a} >> {b} & 1) << {3 * b + d})' for d, a in enumerate('xyz') for b in range(4))} AS z FROM ({O.placed(FLAT, 'SELECT range AS cell FROM range(1, 118)')})), o AS (SELECT cell, row_number() OVER (ORDER BY z, cell) - 1 AS r FROM k) SELECT cell, CAST(CASE WHEN r < 32 THEN r // 16 ELSE 2 + (r - 32) // 17 END AS INTEGER) AS part FROM o")
+def level0_along_curve(spark, sf_dir):
+    return Grid.level0(spark, FLAT, 7, "curve").cells.select("cell", "part")
+
+
+_POINTS = "SELECT DISTINCT 1 + CAST(n_nationkey % 13 AS BIGINT) + CAST(n_regionkey % 3 AS BIGINT) * 13 AS cell FROM nation"
+
+
+@query(f"WITH r AS ({_POINTS}) SELECT range AS cell, 0 AS lvl FROM range(1, 118) WHERE range NOT IN (SELECT cell FROM r) UNION ALL SELECT cell, 1 FROM ({O.children(M1, 'SELECT cell FROM r')})")
+def refine_at_points(spark, sf_dir):
+    """Cells around points are refined; a point outside asks for nothing."""
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    points = nation.select((F.col("n_nationkey") % 13 * 1.0 + 0.5).alias("x"), (F.col("n_regionkey") % 3 * 1.0 + 0.25).alias("y"), F.lit(0.75).alias("z"))
+    points = points.unionByName(spark.range(1).select(F.lit(-1.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z")))
+    grid = Grid.level0(spark, M1)
+    return A.adapt(grid, refine=A.requests_at(grid, points)).grid.cells.select("cell", "lvl")
+
+
+_DEALT = f"c AS (SELECT {O.cell(M0, ('ix', 'iy', 'iz'), '0')} AS cell, sum(qty)::BIGINT AS qty FROM ({items_sql(M0)}) GROUP BY 1), f AS (SELECT range AS cell, coalesce(qty, 0) AS qty FROM range(1, 118) LEFT JOIN c ON c.cell = range)"
+
+
+@query(f"WITH {_DEALT} SELECT 'refined' AS step, k.cell, f.qty / 8.0::DOUBLE AS qty FROM ({O.children(M1, 'SELECT unnest([1, 20, 60, 61])::BIGINT AS cell')}) k JOIN f ON f.cell = k.parent UNION ALL SELECT 'merged', cell, CAST(qty AS DOUBLE) FROM f WHERE cell IN (1, 60, 61)")
+def prolong_and_restrict(spark, sf_dir):
+    """Children get an eighth of their parent's quantity; what merges again has its children's sum. One of the groups is kept."""
+    sums = binned(items(spark, sf_dir, M0), M0, at()).groupBy("cell").agg(F.sum("qty").alias("s"))
+    flat = Grid.level0(spark, M1)
+    flat = flat.with_cells(settle(flat.cells.join(sums, "cell", "left").withColumn("qty", F.coalesce("s", F.lit(0)).cast("double")).drop("s")))
+    fine = A.adapt(flat, refine=[1, 20, 60, 61], prolong={"qty": F.col("qty") / 8})
+    born = fine.new.join(fine.grid.cells, "cell").select(F.lit("refined").alias("step"), "cell", "qty")
+    back = A.adapt(fine.grid, unrefine=fine.new, dont_unrefine=fine.grid.cells.filter("lvl = 1 and ix = 12 and iy = 2 and iz = 0"), restrict={"qty": F.sum("qty")})
+    merged = back.grid.cells.filter("lvl = 0 and cell in (1, 20, 60, 61)").select(F.lit("merged").alias("step"), "cell", "qty")
+    return born.unionByName(merged)
+
+
+@query(f"{leaf_counts_sql()}, {FACES_SQL}, d AS (SELECT f.cell, max(abs(a.n - b.n)::DOUBLE / (least(a.n, b.n) + 8)) AS diff FROM f JOIN cells a ON a.cell = f.cell JOIN cells b ON b.cell = f.nbr GROUP BY f.cell) SELECT cell, CASE WHEN diff > (lvl + 1) * 4 THEN 'refine' WHEN diff >= (lvl + 1) * 4 * 0.25 THEN 'dont_unrefine' ELSE 'unrefine' END AS request FROM d JOIN leaf USING (cell) WHERE diff > (lvl + 1) * 4 OR lvl > 0")
+def requests_by_difference(spark, sf_dir):
+    grid = with_counts(one_level(spark, sf_dir), items(spark, sf_dir, M1))
+    asked = A.adaptation_requests(grid, settle(S.max_difference(grid, "n", 8)), 4.0, 0.25)
+    out = None
+    for kind, ids in asked.items():
+        rows = ids.select("cell", F.lit(kind).alias("request"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query(f"WITH {leaves_sql()} SELECT m AS method, 6 AS parts, count(*) AS cells, true AS even, true AS nested FROM leaf CROSS JOIN (SELECT unnest(['RCB', 'RIB', 'HIER', 'OPTIONS']) AS m) GROUP BY m")
+def partition_bisection(spark, sf_dir):
+    """Recursive and inertial bisection and hierarchies, given as levels and as options: six parts, whose sizes differ by at most three cells, and in hierarchies parts 3k to 3k + 2 make up half k of the outer cut."""
+    grid = one_level(spark, sf_dir)
+    options = P.Options()
+    options.add_level(3)
+    options.set_in_level(0, "LB_METHOD", "RCB")
+    halves = P.partition(grid, 2, "RCB").cells.select("cell", F.col("part").alias("half"))
+    out = None
+    for method, how in (("RCB", {"method": "RCB"}), ("RIB", {"method": "RIB"}), ("HIER", {"method": "HIER", "levels": ((2, "RCB"), (3, "HSFC"))}), ("OPTIONS", {"options": options})):
+        cells = P.partition(grid, 6, **how).cells.join(halves, "cell")
+        wrong = F.sum((F.floor(F.col("part") / 3) != F.col("half")).cast("int")) if method in ("HIER", "OPTIONS") else F.lit(0)
+        sizes = cells.groupBy("part").agg(F.count(F.lit(1)).alias("n"), wrong.alias("wrong"))
+        rows = sizes.agg(F.count(F.lit(1)).cast("int").alias("parts"), F.sum("n").alias("cells"), (F.max("n") - F.min("n") <= 3).alias("even"), (F.sum("wrong") == 0).alias("nested")).withColumn("method", F.lit(method))
+        out = rows if out is None else out.unionByName(rows)
+    return out.select("method", "parts", "cells", "even", "nested")

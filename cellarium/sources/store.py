@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry
 from ..functions.meta import Cartesian, GridMeta, NoGeometry, Stretched
 from ..plans.grid import Grid
-from ..plans.shared import settle
+from ..plans.shared import numbered, settle
 
 # --- Parquet -------------------------------------------------------------------------------------------------------
 
@@ -240,18 +240,9 @@ def read_binary(spark: SparkSession, path: str, columns: dict[str, str] | None =
 # --- VTK -----------------------------------------------------------------------------------------------------------
 
 
-def numbered(cells: DataFrame) -> DataFrame:
-    """cells with n, their place (from 0) by id: range partitions are counted, then rows within each."""
-    parts = settle(cells.repartitionByRange("cell").withColumn("__p", F.spark_partition_id()))
-    counts = parts.groupBy("__p").agg(F.count(F.lit(1)).alias("c"))
-    base = counts.select("__p", F.coalesce(F.sum("c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("b"))
-    own = Window.partitionBy("__p").orderBy("cell")
-    return parts.join(F.broadcast(base), "__p").withColumn("n", F.col("b") + F.row_number().over(own) - 1).drop("__p", "b")
-
-
 def vtk_lines(grid: Grid, scalars: tuple[str, ...] = ()) -> DataFrame:
     """section, n, k, line of a legacy VTK file; in their order the lines are the file. Eight points and a voxel (type 11) per cell, cells by id; scalars are columns written as cell data."""
-    cells = numbered(grid.cells)
+    cells = numbered(grid.cells, F.col("cell"))
     low, high = geometry.minimum(grid.meta, F.col("cell")), geometry.maximum(grid.meta, F.col("cell"))
     cells = cells.withColumns({**{"a" + c: v for c, v in zip("xyz", low)}, **{"b" + c: v for c, v in zip("xyz", high)}})
     total = cells.count()

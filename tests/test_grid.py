@@ -198,6 +198,9 @@ def test_partition_refuses_and_options(spark):
     assert o.names(0) == ["IMBALANCE_TOL"] and o.value(0, "IMBALANCE_TOL") == "1.1" and o.value(0, "x") is None
     with pytest.raises(ValueError):
         o.set("method", "x")
+    assert o.hierarchy(24) == ((2, "RCB"), (12, "HSFC"))
+    with pytest.raises(ValueError):
+        o.hierarchy(13)
     parts = ids(partition.partition(grid, 4, "RCB").cells.groupBy("part").count(), "part", "count")
     assert parts == [(0, 4), (1, 4), (2, 4), (3, 4)]
 
