@@ -2,7 +2,7 @@
 
 STAGES are (name, function) pairs. A function takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next one's docs; all but the last return the columns of documents, the last a row per document with how many
-words the mix takes of it and these words with their places in the mix's shards. Nothing below catches errors of what it imports.
+words the mix takes of it. run() can also write the mixed text itself. Nothing below catches errors of what it imports.
 
 Edge cases. Null texts and texts without letters go at the first stage; null ids, languages and sources stay (a null source is a source of
 its own). Of rows that repeat, one stays. An empty table gives an empty result. Further columns pass through all stages but the last,
@@ -17,7 +17,7 @@ from cellarium.llm.common import materialise
 from cellarium.llm.decontamination import decontaminate
 from cellarium.llm.exact_dedup import exact_dedup
 from cellarium.llm.language_id import predictor, train_on_documents
-from cellarium.llm.mixing import mix_documents
+from cellarium.llm.mixing import mix, mix_text
 from cellarium.llm.near_dedup import near_dedup
 
 #: Texts of which a smaller share of n-grams is of the predicted language are rejected, as are those without letters.
@@ -42,7 +42,7 @@ def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mix_documents(docs)
+    return mix(docs)
 
 
 STAGES = [("language_id", languages), ("exact_dedup", exact), ("near_dedup", near), ("decontamination", benchmarks), ("mixing", mixture)]
@@ -51,8 +51,11 @@ STAGES = [("language_id", languages), ("exact_dedup", exact), ("near_dedup", nea
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, mixed: str | None = None) -> DataFrame:
+    """The last stage's rows. mixed: a folder for the mix's text by shard and slot, as Parquet; its draws are those of the last stage."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name)
+    if mixed is not None:
+        mix_text(docs).write.parquet(mixed)
     return STAGES[-1][1](spark, docs, sf_dir)
