@@ -739,3 +739,20 @@ def test_pipeline_stages(spark, sf_dir, tmp_path):
             docs, before = out, out.count()
         else:
             assert out.count() == before
+
+
+def test_pipeline_edges(spark, odd, sf_dir, tmp_path):
+    """Nulls, ties, repeated rows, a very long text and clashing columns through all stages, with the mixed text; then an empty table."""
+    import corpus_pipeline as p
+
+    real = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    docs = odd.select(*real.columns, *[c for c in odd.columns if c not in real.columns]).unionByName(real.withColumn("doc_id", F.col("doc_id") + 1000), allowMissingColumns=True)
+    for name, table in (("some", docs), ("none", docs.limit(0))):
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.read.parquet(f"{sf_dir}/benchmark.parquet").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    got = p.run(spark, f"{tmp_path}/some", f"{tmp_path}/mixed").collect()
+    ids = Counter(r["doc_id"] for r in got)
+    assert ids[4] == 1 and not {1, 2, 3, 5, 9} & set(ids) and set(ids.values()) == {1} and len(ids) > 30
+    mixed = spark.read.parquet(f"{tmp_path}/mixed").collect()
+    assert sum(r["n_words"] for r in mixed) == sum(r["taken"] for r in got) and {d for r in mixed for d in r["doc_ids"]} == {r["doc_id"] for r in got if r["taken"]}
+    assert p.run(spark, f"{tmp_path}/none").count() == 0
