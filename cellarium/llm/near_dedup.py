@@ -45,7 +45,6 @@ from pyspark.sql import functions as F
 
 from .common import drop_rows, materialise, small_batches, text_of
 from .graph import components
-from .tokens import words
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 3
@@ -61,29 +60,53 @@ _U = np.uint64
 _ODD = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
-class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > 100_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
-
-
-_seen = _Hashes()
-
-
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> _U(30))) * _U(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> _U(27))) * _U(0x94D049BB133111EB)
     return h ^ (h >> _U(31))
 
 
+@cache
+def _word_letters() -> np.ndarray:
+    """Whether a code point stands in words, as in tokens.WORD."""
+    return np.array([(c := chr(i)).isalnum() or c == "_" for i in range(0x110000)])
+
+
+#: Odd, so it has an inverse modulo 2^64. PART: code points that are looked at together, up to the end of a word.
+_BASE, PART = _ODD[0], 1 << 16
+
+
+@cache
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of _BASE and of its inverse."""
+    base = int(_BASE)
+    return tuple(np.cumprod(np.concatenate(([_U(1)], np.full((1 << bits) - 1, x, _U))), dtype=_U) for x in (base, pow(base, -1, 1 << 64)))
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """Hashes of a text's lower-case words in their order. A word's is the sum of its code points times powers of _BASE, taken from running sums over the text."""
+    codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = _word_letters()[codes]
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    starts, ends = edges[::2], edges[1::2]
+    out, k = [np.zeros(0, _U)], 0
+    while k < len(starts):
+        first = starts[k]
+        j = max(k + 1, int(np.searchsorted(ends, first + PART, "right")))
+        a, b, part = starts[k:j] - first, ends[k:j] - first, codes[first : ends[j - 1]].astype(_U) + _U(1)
+        power, inverse = _powers(max(12, len(part).bit_length()))
+        sums = np.concatenate(([_U(0)], np.cumsum(part * power[: len(part)], dtype=_U)))
+        out.append(_mix((sums[b] - sums[a]) * inverse[a] + (b - a).astype(_U) * _ODD[3]))
+        k = j
+    return np.concatenate(out)
+
+
 def occurrences(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """Hashes of a text's shingles in their order, repeats included."""
-    ws = words(text or "")
-    if not ws:
-        return np.zeros(0, _U)
-    h, n = np.fromiter(map(_seen.__getitem__, ws), _U, len(ws)), min(size, len(ws))
+    h = word_hashes(text)
+    if not len(h):
+        return h
+    n = min(size, len(h))
     out = np.full(len(h) - n + 1, n, _U)
     for i in range(n):
         out = (out ^ h[i : len(h) - n + 1 + i]) * _ODD[i % 5]

@@ -550,6 +550,18 @@ def test_link_between_texts_of_two_leaders(spark, strangers, rounds):
     assert len({got.get(n, n) for n in nodes[:4]}) == 1 and len({got.get(n, n) for n in nodes}) == 1 + strangers
 
 
+def test_word_hashes_tell_words_apart():
+    """The same hashes for the same words as tokens.words finds them, wherever they stand, and different ones for different words."""
+    texts = [words_of(1, 5000), "", " \n", "Ünï_cöde İstanbul ß ǅ x1 1x \U00020000\U00020001 日本語 e\u0301 a-b.c", "x" * 200_000 + " y", "a " * 50_000, words_of(2, 40_000), "\ud800 z"]
+    seen = {}
+    for t in texts:
+        ws, h = tokens.words(t), near_dedup.word_hashes(t)
+        assert len(ws) == len(h)
+        for w, x in zip(ws, h.tolist()):
+            assert seen.setdefault(w, x) == x
+    assert len(set(seen.values())) == len(seen) > 5000 and len(near_dedup.word_hashes(None)) == 0
+
+
 def test_sampling_estimates_similarity():
     class One:
         documents = 10
