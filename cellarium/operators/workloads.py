@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, mapping
@@ -217,6 +217,33 @@ def poisson_failsafe(system: System, max_iterations: int = 1000, stop_change: fl
     return state.select("cell", "solution"), change, turn
 
 
+#: Cells of a line that are summed together, at least.
+STRETCH = 1024
+
+
+def poisson_line(line: DataFrame, dx: float) -> DataFrame:
+    """index, solution of a periodic line of cells of length dx, solved directly. line: index (0 to n - 1, each once) and rhs, of which the mean is taken off; the solution is 0 in the last cell.
+
+    The second difference unrolls to dx * dx * (slope * (i + 1) + i * s - t): s and t are the sums of rhs and of index times rhs over the cells before i, slope makes
+    the ends meet. Sums are taken by stretches, then within each, so no task holds the line.
+    """
+    rhs = F.col("rhs").cast("double")
+    n, mean, turned = line.agg(F.count(F.lit(1)), F.avg(rhs), F.sum((F.col("index") + 1) * rhs)).first()
+    if not n:
+        return line.select(F.col("index").cast("long").alias("index"), rhs.alias("solution"))
+    slope = (turned - mean * (n * (n + 1) / 2)) / n
+    width = max(STRETCH, -(-n // int(line.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    i = F.col("index")
+    rows = line.select(i.cast("long").alias("index"), (rhs - mean).alias("f")).withColumns({"g": i * F.col("f"), "__range": F.expr(f"index div {width}")})
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("__range").orderBy("index").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("__range").agg(F.sum("f").alias("f"), F.sum("g").alias("g"))
+    sums = sums.select("__range", *[F.coalesce(F.sum(c).over(before), F.lit(0.0)).alias(f"{c}0") for c in "fg"])
+    s, t = (F.col(f"{c}0") + F.coalesce(F.sum(c).over(own), F.lit(0.0)) for c in "fg")
+    solution = F.when(i == n - 1, 0.0).otherwise(dx * dx * (slope * (i + 1) + i * s - t))
+    return rows.join(F.broadcast(sums), "__range").select("index", solution.alias("solution"))  # sums: at most a row per shuffle partition
+
+
 # --- particles -----------------------------------------------------------------------------------------------------
 
 

@@ -637,6 +637,24 @@ def poisson_solve(spark, sf_dir):
     return solution.select("cell", F.round((F.col("solution") - mean) * 1000000).cast("long").alias("solution"))
 
 
+@query(
+    "WITH d AS (SELECT CAST(o_orderdate AS DATE) - (SELECT min(CAST(o_orderdate AS DATE)) FROM orders) AS i FROM orders), k AS (SELECT i, count(*) AS r FROM d GROUP BY i), "
+    "a AS (SELECT unnest(range(0, (SELECT max(i) + 1 FROM d))) AS i), c AS (SELECT a.i, coalesce(r, 0)::DOUBLE AS r FROM a LEFT JOIN k ON a.i = k.i), "
+    "f AS (SELECT i, r - avg(r) OVER () AS f, count(*) OVER () AS n FROM c), "
+    "p AS (SELECT i, n, sum((i + 1) * f) OVER () / n AS w, coalesce(sum(f) OVER b, 0) AS s, coalesce(sum(i * f) OVER b, 0) AS t FROM f WINDOW b AS (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) "
+    "SELECT i AS day, CAST(round(CASE WHEN i = n - 1 THEN 0 ELSE (w * (i + 1) + i * s - t) / n / n END * 1000000) AS BIGINT) AS solution FROM p"
+)
+def poisson_line(spark, sf_dir):
+    """Orders per day as the right side on a line of one cell per day."""
+    days = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.col("o_orderdate").cast("date").alias("d")).agg(F.count(F.lit(1)).alias("r"))
+    days = settle(days)
+    first, last = days.agg(F.min("d"), F.max("d")).first()
+    n = (last - first).days + 1 if first else 0
+    counted = days.select(F.datediff("d", F.lit(first)).cast("long").alias("index"), "r")
+    line = spark.range(n).withColumnRenamed("id", "index").join(counted, "index", "left").select("index", F.coalesce("r", F.lit(0)).alias("rhs"))
+    return W.poisson_line(line, 1 / max(n, 1)).select(F.col("index").alias("day"), F.round(F.col("solution") * 1000000).cast("long").alias("solution"))
+
+
 BOX = GridMeta((3, 1, 1), 0, (True, True, True))
 
 

@@ -1,5 +1,6 @@
 """Small exact cases, a plain walk as an oracle for neighbors, and files."""
 
+import math
 import random
 
 import pytest
@@ -227,6 +228,27 @@ def test_poisson_with_boundary_and_skipped(spark):
     assert change > 0 and swept.count() == 6
 
 
+@pytest.mark.parametrize("n", (1, 2, 7, 3000))
+def test_poisson_line(spark, n):
+    """The periodic second difference is the right side less its mean; the last cell is 0."""
+    rhs = [math.sin(3.0 * i) + i % 5 for i in range(n)]
+    line = spark.createDataFrame(list(enumerate(rhs)), "index long, rhs double").repartition(3)
+    u = [x for _, x in ids(workloads.poisson_line(line, 0.5), "index", "solution")]
+    mean = sum(rhs) / n
+    assert len(u) == n and u[-1] == 0
+    assert all(abs(u[(i + 1) % n] - 2 * u[i] + u[i - 1] - 0.25 * (rhs[i] - mean)) < 1e-7 for i in range(n))
+    assert workloads.poisson_line(line.filter("false"), 0.5).count() == 0
+
+
+def test_poisson_line_as_iterated(spark):
+    meta = GridMeta((8, 1, 1), 0, (True, False, False), 0)
+    grid = Grid.level0(spark, meta).with_columns({"rhs": F.sin(F.col("cell") * (math.pi / 4)), "solution": F.lit(0.0)})
+    solution, _, _ = workloads.poisson_solve(workloads.poisson_system(grid), 20, stop_residual=1e-12)
+    got = [x for _, x in ids(solution, "cell", "solution")]
+    line = workloads.poisson_line(grid.cells.select((F.col("cell") - 1).alias("index"), "rhs"), 1.0)
+    assert all(abs(a - got[-1] - b) < 1e-6 for a, (_, b) in zip(got, ids(line, "index", "solution")))
+
+
 def test_stream_of_points(spark, tmp_path):
     from cellarium.streaming.binned import cell_stream, windowed_cells
 
