@@ -6,7 +6,7 @@ document's seeds are joined with. A hit gives an item and a diagonal, on which t
 longest stretch in which at least `identity` of the words match is the overlap. It counts if it has at least `min_words` matches, or `identity` of an item too
 short for that (at least `least` words).
 
-A benchmark of up to `block_words` words is one block: its table is broadcast, and documents are scanned in place. A
+A benchmark of up to `block_words` words (an item counts as one more, 16 letters as one at least) is one block: its table is broadcast, and documents are scanned in place. A
 larger one, of any size, is joined by a shuffle (`_joined`): the seeds of its items are a written table; a Bloom filter over them, of fixed
 size, is broadcast; one scan of the documents gives the seeds that pass the filter, which meet the table by hash. A text's seeds
 spread over all hashes, so long texts and copies are no hot key; a seed that many items have (a common phrase) is joined by
@@ -244,8 +244,9 @@ _OUT = ("doc_start", "item_start", "n_words", "n_matched")
 
 
 def _large(benchmark: DataFrame, item_text: str, block_words: int) -> bool:
-    n = benchmark.agg(F.sum(F.regexp_count(text_of(item_text), F.lit(r"\S+")))).first()[0] or 0
-    return n > block_words
+    """Whether a benchmark is more than one block. Every item counts as a word more, and 16 letters as a word at least, so a block's rows and letters are bounded as well."""
+    text = text_of(item_text)
+    return (benchmark.agg(F.sum(F.greatest(F.regexp_count(text, F.lit(r"(?U)\w+")), F.length(text) / 16) + 1)).first()[0] or 0) > block_words
 
 
 def contaminated(
