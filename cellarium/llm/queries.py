@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .clustering import OP13_SQL, op13
 from .decontamination import op4
 from .exact_dedup import OP8_SQL, op8
 from .html_extraction import op6
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_exact_dedup": op8,
     "op9_token_counts": op9,
     "op10_url_filter": op10,
+    "op13_clustering": op13,
 }
 SQL = {
     "op1_line_dedup": OP1_SQL,
     "op8_exact_dedup": OP8_SQL,
     "op10_url_filter": OP10_SQL,
+    "op13_clustering": OP13_SQL,
 }
