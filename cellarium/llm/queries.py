@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .clustering import OP13_SQL, op13
+from .conversations import op12
 from .decontamination import op4
 from .exact_dedup import OP8_SQL, op8
 from .html_extraction import op6
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_exact_dedup": op8,
     "op9_token_counts": op9,
     "op10_url_filter": op10,
+    "op12_conversation_repair": op12,
     "op13_clustering": op13,
 }
 SQL = {
