@@ -12,6 +12,7 @@ from .license_scan import op5
 from .line_dedup import OP1_SQL, op1
 from .mixing import op2
 from .near_dedup import op7
+from .pii import op11
 from .token_counts import op9
 from .url_filter import OP10_SQL, op10
 
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_exact_dedup": op8,
     "op9_token_counts": op9,
     "op10_url_filter": op10,
+    "op11_pii": op11,
     "op12_conversation_repair": op12,
     "op13_clustering": op13,
 }
