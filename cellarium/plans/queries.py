@@ -596,6 +596,15 @@ def binary_round_trip(spark, sf_dir):
     return store.read_binary(spark, path, {"n": "q", "qty": "q"}, 8)[0].cells.select("cell", "lvl", "n", "qty")
 
 
+@query(f"{leaf_counts_sql()} SELECT cell, lvl, n FROM cells WHERE cell BETWEEN 60 AND 500 AND n > 2")
+def grid_file_range(spark, sf_dir):
+    """Of a saved grid, a range of ids: only that part of the file is read, and of its columns one."""
+    path = f"{_folder(spark)}.bin"
+    store.write_binary(with_counts(one_level(spark, sf_dir), items(spark, sf_dir, M1)), path, {"n": "q", "qty": "q"})
+    rows = store.open_binary(spark, path).rows({"n": "q", "qty": "q"}, ("cell", "n")).filter("cell between 60 and 500 and n > 2")
+    return rows.select("cell", mapping.level_of(M1, F.col("cell")).alias("lvl"), "n")
+
+
 FLOW = GridMeta((20, 20, 1), 0, (True, True, False), 0, Cartesian((0.0, 0.0, 0.0), (0.05, 0.05, 0.05)))
 _FLOW_CELLS = "SELECT range AS cell, (range - 1) % 20 AS ix, (range - 1) // 20 AS iy FROM range(1, 401)"
 _FLOW_STATE = f"s AS (SELECT cell, ix, iy, 0.25 * (1 + cos(pi() * least(sqrt(pow(x - 0.25, 2) + pow(y - 0.5, 2)), 0.15) / 0.15)) AS d, 0.5 - y AS vx, x - 0.5 AS vy FROM (SELECT *, ix * 0.05 + 0.025 AS x, iy * 0.05 + 0.025 AS y FROM ({_FLOW_CELLS})))"

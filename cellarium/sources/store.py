@@ -5,19 +5,23 @@ from __future__ import annotations
 import json
 import re
 import struct
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry
-from ..functions.meta import Cartesian, GridMeta, NoGeometry, Stretched
+from ..functions.meta import GridMeta
 from ..plans.grid import Grid
 from ..plans.shared import numbered, settle
+from . import gridfile
+from .layout import parse_preamble, preamble, read_head
 
 # --- Parquet -------------------------------------------------------------------------------------------------------
 
@@ -39,53 +43,6 @@ def load(spark: SparkSession, path: str) -> tuple[Grid, str]:
 
 # --- binary --------------------------------------------------------------------------------------------------------
 
-# fixed values: the layout of the binary file
-MAGIC = 0x1234567890ABCDEF
-GEOMETRY_ID = {"none": 0, "cartesian": 1, "stretched": 2}
-
-
-def preamble(meta: GridMeta, header: bytes = b"") -> bytes:
-    """Everything before the number of cells: header, endianness, lengths and largest level, neighborhood length, periodicity, geometry."""
-    g = meta.geometry
-    out = header + struct.pack("<Q3Qi", MAGIC, *meta.length, meta.max_level) + struct.pack("<I3B", meta.hood, *map(int, meta.periodic)) + struct.pack("<i", GEOMETRY_ID[g.kind])
-    if isinstance(g, Cartesian):
-        out += struct.pack("<6d", *g.start, *g.level0_length)
-    elif isinstance(g, Stretched):
-        out += struct.pack("<3Q", *map(len, g.edges)) + b"".join(struct.pack(f"<{len(e)}d", *e) for e in g.edges)
-    return out
-
-
-def parse_preamble(data: bytes, at: int = 0) -> tuple[GridMeta, int]:
-    magic, x, y, z, level = struct.unpack_from("<Q3Qi", data, at)
-    if magic != MAGIC:
-        raise ValueError("wrong byte order, or no grid at this offset")
-    at += 36
-    hood, px, py, pz = struct.unpack_from("<I3B", data, at)
-    at += 7
-    (kind,) = struct.unpack_from("<i", data, at)
-    at += 4
-    shape = NoGeometry()
-    if kind == GEOMETRY_ID["cartesian"]:
-        v = struct.unpack_from("<6d", data, at)
-        shape, at = Cartesian(v[:3], v[3:]), at + 48
-    elif kind == GEOMETRY_ID["stretched"]:
-        sizes = struct.unpack_from("<3Q", data, at)
-        at, edges = at + 24, []
-        for n in sizes:
-            edges.append(struct.unpack_from(f"<{n}d", data, at))
-            at += 8 * n
-        shape = Stretched(tuple(edges))
-    elif kind != 0:
-        raise ValueError(f"unknown geometry {kind}")
-    return GridMeta((x, y, z), level, (bool(px), bool(py), bool(pz)), hood, shape), at
-
-
-#: Struct codes of cell data by Spark type.
-_KIND = {"q": "long", "d": "double", "i": "int"}
-#: Bytes of one piece that passes the driver, and cells of one range that a task reads.
-PIECE, RANGE = 1 << 20, 1 << 17
-
-
 def _packer(code: str):
     def pack(*columns: pd.Series) -> pd.Series:
         return pd.Series([struct.pack("<" + code, *row) for row in zip(*columns)])
@@ -98,59 +55,52 @@ def packed(columns: dict[str, str]) -> Column:
     return _packer("".join(columns.values()))(*[F.col(c) for c in columns])
 
 
-def _file(spark: SparkSession, path: str):
-    """Hadoop's file system and path of a name; one without a scheme is of the default file system, for reading as for writing."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs, fs.makeQualified(at)
-
-
-def _joined(rows: DataFrame, body: Column) -> DataFrame:
-    """piece: the bytes of many rows in one, in the order of the rows' partitions; each task joins its own rows."""
+def _pieces(rows: DataFrame, table: int, first: int) -> DataFrame:
+    """at, bytes: pieces of the table of cells and of the data. rows: cell and data in the file's order within partitions, and for each partition how many cells (rank) and bytes (base) are before it."""
 
-    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank = at = None
         for batch in batches:
-            for x in batch["b"]:
-                held.append(bytes(x))
-                size += len(held[-1])
-                if size >= PIECE:
-                    yield pd.DataFrame({"piece": [b"".join(held)]})
-                    held, size = [], 0
-        if held:
-            yield pd.DataFrame({"piece": [b"".join(held)]})
+            if not batch.num_rows:
+                continue
+            if rank is None:
+                rank, at = batch.column("rank")[0].as_py(), first + batch.column("base")[0].as_py()
+            data = batch.column("data").to_pylist()
+            ends = at + np.cumsum([len(x) for x in data])
+            entries = np.stack([np.asarray(batch.column("cell")), np.append([at], ends[:-1])], 1).astype("<u8")
+            yield pa.RecordBatch.from_pydict({"at": [table + 16 * rank], "bytes": [entries.tobytes()]})
+            yield pa.RecordBatch.from_pydict({"at": [int(at)], "bytes": [b"".join(data)]})
+            rank, at = rank + len(data), int(ends[-1])
 
-    return rows.select(body.alias("b")).mapInPandas(join, "piece binary")
+    return rows.select("cell", "data", "rank", "base").mapInArrow(run, "at long, bytes binary")
 
 
 def write_binary(grid: Grid, path: str, columns: dict[str, str] | None = None, data: Column | None = None, header: bytes = b"", cells: DataFrame | None = None, offset: int = 0) -> None:
-    """One file at a path of any file system that Spark writes: preamble, number of cells, (id, offset) of each, data. Cells ascend. Data is columns, packed, or a binary expression of any length per cell. cells: write only these. offset: where the grid starts at least; a shorter header is padded with zeros.
+    """One file: preamble, number of cells, (id, offset) of each, data. Cells ascend. Data is columns, packed, or a binary expression of any length per cell. cells: write only these. offset: where the grid starts at least; a shorter header is padded with zeros.
 
-    Offsets come from a prefix sum in two steps, and tasks join the bytes of their rows into pieces of about a megabyte. The format is one stream, so the pieces pass the driver one by one; Parquet is the parallel way."""
+    Offsets come from a prefix sum in two steps; tasks then write the bytes of their rows at their places (see gridfile), so nothing but a row per partition reaches the driver."""
     spark = grid.cells.sparkSession
     source = grid.cells if cells is None else grid.cells.join(cells.select("cell").distinct(), "cell", "left_semi")
     body = data if data is not None else packed(columns) if columns else F.lit(b"")
     rows = settle(source.select("cell", F.coalesce(body, F.lit(b"")).alias("data")).repartitionByRange("cell").sortWithinPartitions("cell").withColumn("__p", F.spark_partition_id()))
     sums = rows.groupBy("__p").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("data")).alias("bytes"))
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select("__p", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("base"))
-    n = sums.agg(F.sum("n")).first()[0] or 0
-    start = preamble(grid.meta, header.ljust(offset, b"\0"))
-    first = len(start) + 8 + 16 * n
-    own = Window.partitionBy("__p").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    base = settle(sums.select("__p", "n", "bytes", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(k) for c, k in (("n", "rank"), ("bytes", "base"))]))
+    n, size = base.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    start = preamble(grid.meta, header.ljust(offset, b"\0")) + struct.pack("<Q", n)
+    first = len(start) + 16 * n
     # a row per partition is broadcast; partitions stay where they are
-    table = rows.join(F.broadcast(base), "__p").select("__p", "cell", (F.lit(first) + F.col("base") + F.coalesce(F.sum(F.length("data")).over(own), F.lit(0))).alias("at"))
-    table = settle(table.repartitionByRange("cell").sortWithinPartitions("cell"))
-    little = lambda c: F.unhex(F.concat(*[F.substring(F.lpad(F.hex(F.col(c)), 16, "0"), 15 - 2 * i, 2) for i in range(8)]))
-    fs, target = _file(spark, path)
-    out = fs.create(target, True)
-    try:
-        out.write(bytearray(start + struct.pack("<Q", n)))
-        for pieces in (_joined(table, F.concat(little("cell"), little("at"))), _joined(rows, F.col("data"))):
-            for r in pieces.toLocalIterator():
-                out.write(r["piece"])
-    finally:
-        out.close()
+    pieces = _pieces(rows.join(F.broadcast(base.drop("n", "bytes")), "__p"), len(start), first)
+    pieces = pieces.unionByName(spark.createDataFrame([(0, bytearray(start))], "at long, bytes binary"))
+    gridfile.register(spark)
+    name = _qualified(spark, path)
+    pieces.write.format(gridfile.NAME).option("path", name).option("length", first + size).option("token", uuid.uuid4().hex).mode("overwrite").save()
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The name that tasks open: one without a scheme is of the default file system, for reading as for writing."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return re.sub("^file:/+", "file:///", at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toUri().toString())
 
 
 @dataclass(frozen=True)
@@ -161,74 +111,39 @@ class BinaryFile:
     path: str
     meta: GridMeta
     header: bytes
-    #: Cells in the file, where their table starts, and the file's length.
+    #: Cells in the file.
     cells: int
-    table: int
-    length: int
-
-    def _rows(self, schema: str, read) -> DataFrame:
-        n, table, length, path = self.cells, self.table, self.length, self.path
-        starts = self.spark.range(0, n, RANGE, max(1, -(-n // RANGE))).select("id")
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            fs, name = FileSystem.from_uri(path)
-            with fs.open_input_file(name) as f:
-                for batch in batches:
-                    for a in batch["id"]:
-                        b = min(n, int(a) + RANGE)
-                        more = 1 if b < n else 0  # where the next cell's data starts
-                        index = np.frombuffer(f.read_at(16 * (b - int(a) + more), table + 16 * int(a)), "<u8").reshape(-1, 2).astype(np.int64)
-                        yield read(f, index[: b - int(a), 0], np.append(index[:, 1], [] if more else [length]).astype(np.int64))
-
-        return starts.mapInPandas(run, schema)
+    #: Whether ids ascend, as in files written here; only then do filters on ids spare ranges.
+    ascending: bool = True
+
+    def rows(self, columns: dict[str, str] | None = None, names: tuple[str, ...] | None = None) -> DataFrame:
+        """cell and columns unpacked or, without them, data as bytes. names: only these of them; without any but cell no data is read."""
+        reader = self.spark.read.format(gridfile.NAME).option("headerLength", len(self.header)).option("sorted", str(self.ascending).lower())
+        if columns:
+            reader = reader.option("columns", ",".join(f"{c}:{k}" for c, k in columns.items()))
+        if names is not None:
+            kinds = {"cell": "long", "data": "binary", **{c: gridfile.KIND[k] for c, k in (columns or {}).items()}}
+            reader = reader.schema(", ".join(f"`{c}` {kinds[c]}" for c in names))
+        return reader.load(self.path)
 
     def structure(self) -> Grid:
         """The grid without data, from the table of cells alone."""
-        return Grid.of(self.meta, self._rows("cell long", lambda f, ids, at: pd.DataFrame({"cell": ids})), self.cells)
-
-    def load(self, columns: dict[str, str] | None = None) -> Grid:
-        """The grid with columns unpacked or, without them, data as bytes."""
-        code = "<" + "".join((columns or {}).values())
-        schema = "cell long" + ("".join(f", {c} {_KIND[k]}" for c, k in columns.items()) if columns else ", data binary")
-
-        def read(f, ids: np.ndarray, at: np.ndarray) -> pd.DataFrame:
-            if not columns:
-                return pd.DataFrame({"cell": ids, "data": [f.read_at(int(b - a), int(a)) for a, b in zip(at, at[1:])]})
-            size = struct.calcsize(code)
-            low, high = int(at[:-1].min()), int(at[:-1].max()) + size
-            content = f.read_at(high - low, low)
-            values = [struct.unpack_from(code, content, int(a) - low) for a in at[:-1]]
-            return pd.DataFrame({"cell": ids, **{c: [v[k] for v in values] for k, c in enumerate(columns)}})
-
-        return Grid.of(self.meta, self._rows(schema, read), self.cells)
-
-
-def open_binary(spark: SparkSession, path: str, header_length: int = 0) -> BinaryFile:
-    """Reads the preamble, however many edges a stretched geometry has; cells and data stay in the file. Tasks open the file by its qualified name, so it must be in a store that all executors reach."""
-    fs, at = _file(spark, path)
-    length, stream = fs.getFileStatus(at).getLen(), fs.open(at)
-    to_bytes = spark._jvm.org.apache.commons.io.IOUtils.toByteArray
-    held = bytearray()
-
-    def upto(n: int) -> bytes:
-        if n > length:
-            raise ValueError("the file ends within its preamble")
-        while len(held) < n:
-            held.extend(to_bytes(stream, min(PIECE, n - len(held))))
-        return bytes(held)
-
-    try:
-        fixed = header_length + 47
-        (kind,) = struct.unpack_from("<i", upto(fixed), fixed - 4)
-        whole = fixed + (48 if kind == GEOMETRY_ID["cartesian"] else 0)
-        if kind == GEOMETRY_ID["stretched"]:
-            whole = fixed + 24 + 8 * sum(struct.unpack_from("<3Q", upto(fixed + 24), fixed))
-        content = upto(whole + 8)
-    finally:
-        stream.close()
-    meta, end = parse_preamble(content, header_length)
-    (n,) = struct.unpack_from("<Q", content, end)
-    return BinaryFile(spark, re.sub("^file:/+", "file:///", at.toUri().toString()), meta, content[:header_length], n, end + 8, length)
+        return Grid.of(self.meta, self.rows(names=("cell",)), self.cells)
+
+    def load(self, columns: dict[str, str] | None = None, where: Column | None = None) -> Grid:
+        """The grid with columns unpacked or, without them, data as bytes. where: a condition on the rows; one on the cell's id decides which ranges of the file are read."""
+        rows = self.rows(columns)
+        return Grid.of(self.meta, rows if where is None else rows.filter(where), self.cells if where is None else None)
+
+
+def open_binary(spark: SparkSession, path: str, header_length: int = 0, ascending: bool = True) -> BinaryFile:
+    """Reads the preamble, however many edges a stretched geometry has; cells and data stay in the file. Tasks open the file by its qualified name, so it must be in a store that all executors reach by pyarrow's file systems."""
+    gridfile.register(spark)
+    name = _qualified(spark, path)
+    fs, at = FileSystem.from_uri(name)
+    with fs.open_input_file(at) as f:
+        meta, header, n, _ = read_head(lambda k: f.read_at(k, 0), f.size(), header_length)
+    return BinaryFile(spark, name, meta, header, n, ascending)
 
 
 def read_binary(spark: SparkSession, path: str, columns: dict[str, str] | None = None, header_length: int = 0) -> tuple[Grid, bytes]:
