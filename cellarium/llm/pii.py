@@ -7,10 +7,11 @@ spans of the first whatever was replaced, joined or dropped in between:
 
 * `letters`: full-width forms, look-alike letters, digits of any script, dots, hyphens, spaces and at signs of Unicode become ASCII; characters
   without width disappear;
-* `digits`: where four or more digits, or three or more dots between numbers, are spelled out in a row (dashes and a plus may stand among them, spelled as well),
-  words become characters, and the space between them goes;
+* `numerals`: the letters O and l among digits become 0 and 1;
+* `digits`: where four or more digits, two of seven or more, or three or more dots between numbers, are spelled out in a row (dashes, brackets and a plus may stand
+  among them, spelled as well), words become characters, and the space between them goes;
 * `signs`: `[at]`, `(at)`, `{dot}` and the like become `@` and `.`, bare ` at ` and ` dot ` only as `name at host dot domain` with a known
-  last part.
+  last part, and ` at ` before plain dots only behind a name with a digit or sign in it.
 
 A match on the copy counts where something inside it was changed and no base span of its kind covers it; base spans always stay. A text in
 which no transducer finds anything to change (one scan of a character class each) is read once.
@@ -137,6 +138,9 @@ WIDTHLESS = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 def _letters() -> tuple[dict[str, str], re.Pattern]:
     table = {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
     table |= {chr(c): str(unicodedata.digit(chr(c))) for c in range(0x80, 0x20000) if unicodedata.category(chr(c)) == "Nd"}
+    # circled and mathematical letters and digits
+    plain = {chr(c): unicodedata.normalize("NFKC", chr(c)) for r in (range(0x2460, 0x2500), range(0x1D400, 0x1D800)) for c in r}
+    table |= {c: n for c, n in plain.items() if len(n) == 1 and n.isascii() and n.isalnum()}
     table |= LOOK_ALIKE | dict.fromkeys(SPACES, " ") | dict.fromkeys(WIDTHLESS, "")
     return table, re.compile("[" + "".join(map(re.escape, table)) + "]")
 
@@ -149,14 +153,24 @@ def letters(t: Traced) -> Traced:
     return t.replaced(edits)
 
 
-DIGITS = {"zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+_MIXED = re.compile(r"(?<![A-Za-z0-9])(?=[OolI]*[0-9])(?=[0-9]*[OolI])[0-9OolI]{2,}(?![A-Za-z0-9])")
+_AS_DIGIT = str.maketrans("OolI", "0011")
+
+
+def numerals(t: Traced) -> Traced:
+    """O and l among digits, of which there are at least as many."""
+    found = [m for m in _MIXED.finditer(t.text) if 2 * sum(map(str.isdigit, m.group())) >= len(m.group())]
+    return t.replaced([(m.start() + i, m.start() + i + 1, x.translate(_AS_DIGIT)) for m in found for i, x in enumerate(m.group()) if not x.isdigit()])
+
+
+DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _SIGNS = {"dot": ".", "point": ".", "dash": "-", "hyphen": "-", "plus": "+"}
-_ITEM = r"(?:(?:zero|one|two|three|four|five|six|seven|eight|nine|dot|point|dash|hyphen|plus)(?![A-Za-z0-9])|[0-9]++(?![A-Za-z]))"
-_SPELLED = re.compile(rf"(?<![A-Za-z0-9]){_ITEM}(?:[\x20\t]{{0,3}}[\x20\t,.-][\x20\t]{{0,3}}{_ITEM})++", re.I)
+_ITEM = rf"(?:(?:{'|'.join((*DIGITS, *_SIGNS))})(?![A-Za-z0-9])|[0-9]++(?![A-Za-z]))"
+_SPELLED = re.compile(rf"(?<![A-Za-z0-9]){_ITEM}(?:[\x20\t,.()-]{{1,5}}{_ITEM})++", re.I)
 _ITEMS = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]+")
-_SPELLED_WORD = re.compile(r"(?<![A-Za-z])(?:zero|one|two|three|four|five|six|seven|eight|nine|dot|point)(?![A-Za-z])", re.I)
-#: Spelled digits, or else spelled dots, from which a run counts.
-LEAST_DIGITS, LEAST_DOTS = 4, 3
+_SPELLED_WORD = re.compile(rf"(?<![A-Za-z])(?:{'|'.join(DIGITS)}|dot|point)(?![A-Za-z])", re.I)
+#: Digits spelled out, digits of any form if two are spelled out, or else spelled dots, from which a run counts.
+LEAST_DIGITS, LEAST_MIXED, LEAST_DOTS = 4, 7, 3
 
 
 def digits(t: Traced) -> Traced:
@@ -164,7 +178,8 @@ def digits(t: Traced) -> Traced:
     for run in _SPELLED.finditer(t.text) if _SPELLED_WORD.search(t.text) else ():
         items = [(m.start() + run.start(), m.end() + run.start(), m.group()) for m in _ITEMS.finditer(run.group())]
         new = [DIGITS.get(x.lower()) or _SIGNS.get(x.lower()) for _, _, x in items]
-        if sum(n is not None and n.isdigit() for n in new) < LEAST_DIGITS and new.count(".") < LEAST_DOTS:
+        words = sum(n is not None and n.isdigit() for n in new)
+        if words < LEAST_DIGITS and new.count(".") < LEAST_DOTS and not (words >= 2 and words + sum(len(x) for _, _, x in items if x.isdigit()) >= LEAST_MIXED):
             continue
         for i, ((a, b, x), n) in enumerate(zip(items, new)):
             if n is not None:
@@ -181,6 +196,8 @@ TLD = "com|org|net|edu|gov|info|io|co|biz|dev|app|ai|me|us|uk|de|fr|es|it|nl|ch|
 _OPEN, _CLOSE = r"[\x20\t]{0,3}[\[({<][\x20\t]{0,3}", r"[\x20\t]{0,3}[\])}>][\x20\t]{0,3}"
 _BRACKETED = re.compile(rf"{_OPEN}(at|dot|@|\.|point){_CLOSE}", re.I)
 _BARE = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:\.|[\x20\t]{{1,3}}dot[\x20\t]{{1,3}})[A-Za-z0-9_%+-]+){{0,3}}([\x20\t]{{1,3}}at[\x20\t]{{1,3}})(?!(?:the|an?|this|that|our|your|my|his|her|its|their|one)[\x20\t])[A-Za-z0-9-]+(?:(?:\.|[\x20\t]{{1,3}}dot[\x20\t]{{1,3}})[A-Za-z0-9-]+){{0,3}}?[\x20\t]{{1,3}}dot[\x20\t]{{1,3}}(?:{TLD})(?:(?:\.|[\x20\t]{{1,3}}dot[\x20\t]{{1,3}})(?:{TLD}))?(?![A-Za-z0-9-])", re.I)
+_NAMED = re.compile(rf"(?<![A-Za-z0-9._%+-])(?=[A-Za-z]*[0-9._%+-])(?=[0-9._%+-]*[A-Za-z])[A-Za-z0-9._%+-]{{2,64}}([\x20\t]{{1,3}}at[\x20\t]{{1,3}})(?:[A-Za-z0-9-]+\.){{1,5}}(?:{TLD})(?![A-Za-z0-9-])", re.I)
+_AT = re.compile(r"[\x20\t]at[\x20\t]{1,3}[A-Za-z0-9-]+\.[A-Za-z]", re.I)
 _DOT = re.compile(r"[\x20\t]{1,3}dot[\x20\t]{1,3}", re.I)
 _AT_DOT = re.compile(r"[\x20\t]at[\x20\t]{1,3}[A-Za-z0-9. \t-]{1,200}?[\x20\t]dot[\x20\t]", re.I)
 _BRACKET = re.compile(r"[\[({<][\x20\t]{0,3}(?:at|dot|@|\.|point)[\x20\t]{0,3}[\])}>]", re.I)
@@ -199,10 +216,15 @@ def signs(t: Traced) -> Traced:
             dots = [(d.start(), d.end(), ".") for lo, hi in ((m.start(), a), (b, m.end())) for d in _DOT.finditer(t.text, lo, hi)]
             edits += sorted([*dots, (a, b, "@")])
             done = m.end()
+    t, edits, done = t.replaced(edits), [], 0
+    for near in _AT.finditer(t.text):
+        for m in _NAMED.finditer(t.text, max(done, near.start() - 70), min(len(t.text), near.end() + 200)) if near.start() >= done else ():
+            edits.append((*m.span(1), "@"))
+            done = m.end()
     return t.replaced(edits)
 
 
-TRANSDUCERS = (letters, digits, signs)
+TRANSDUCERS = (letters, numerals, digits, signs)
 
 
 def spans(text: str) -> list[tuple[str, int, int, str, bool]]:
