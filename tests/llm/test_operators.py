@@ -704,10 +704,46 @@ def test_rollup_writers_at_once(spark, tmp_path):
     listed = two.listing()
     two.listing = lambda: listed
     assert one.compact() and not two.compact() and total() == [(3, 13)]
-    name = f"{path}/markers/{one._marker('z')}"
-    one._fs.create(one._path(name)).close()
-    assert not one.committed("z") and not one.commit("z", batch(2)) and total() == [(3, 13)]
-    assert one.recover("z") and not one.recover("w") and one.commit("z", batch(2)) and total() == [(4, 15)]
+    assert [one.commit(b, batch(50)) for b in "wxy"] == [False] * 3  # folded names stay taken
+
+
+@pytest.mark.parametrize("content", ["", "abc", "abc\nen"])
+def test_rollup_half_markers_lose_nothing(spark, tmp_path, monkeypatch, content):
+    """A writer that dies between creating its marker and the marker's last byte: the batch is not committed, and sending it again raises until it is recovered."""
+    monkeypatch.setattr(token_counts, "PATIENCE", 0.3)
+    store = token_counts.Rollup(spark, f"file://{tmp_path}/rollup")
+    batch = lambda n: spark.createDataFrame([("insert", "a", "en", "t", n, None)], "op string, source string, lang string, tokenizer string, tokens long, old_tokens long")
+    total = lambda: [(r["documents"], r["tokens"]) for r in store.totals().collect()]
+    assert store.commit("w", batch(1))
+    out = store._fs.create(store._path(f"{store.path}/markers/{store._marker('z')}"))
+    out.write(bytearray(content.encode()))
+    out.close()
+    assert not store.committed("z") and total() == [(1, 1)]
+    with pytest.raises(RuntimeError, match="recover"):
+        store.commit("z", batch(2))
+    with pytest.raises(RuntimeError, match="recover"):  # the same where it shows only after the sums were written
+        store._put(store._sums([]), store._marker("z"))
+    assert store.recover("z") and not store.recover("w") and store.commit("z", batch(2)) and total() == [(2, 3)]
+
+
+def test_rollup_reads_few_markers(spark, tmp_path):
+    """After compactions a listing opens what was committed since, and one compaction; a compaction that died before it moved markers is finished by the next."""
+    store = token_counts.Rollup(spark, f"file://{tmp_path}/rollup")
+    batch = lambda n: spark.createDataFrame([("insert", "a", "en", "t", n, None)], "op string, source string, lang string, tokenizer string, tokens long, old_tokens long")
+    total = lambda: [(r["documents"], r["tokens"]) for r in store.totals().collect()]
+    read, opened = store._read, []
+    store._read = lambda name, folder="markers": (opened.append(name), read(name, folder))[1]
+    shelve, n = store._shelve, 0
+    for generation in range(3):
+        for _ in range(3):
+            n += 1
+            assert store.commit(f"b{n}", batch(1))
+        store._shelve = (lambda names: None) if generation == 1 else shelve
+        assert store.compact() and total() == [(n, n)]
+    opened.clear()
+    assert total() == [(n, n)] and len(set(opened)) == 1
+    assert not store.compact() and [store.commit(f"b{k}", batch(5)) for k in range(1, n + 1)] == [False] * n and total() == [(n, n)]
+    assert store._fs.listStatus(store._path(f"{store.path}/markers")).__len__() == 1
 
 
 def test_url_patterns_of_any_depth(spark):
