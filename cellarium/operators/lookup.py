@@ -4,29 +4,34 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import geometry, mapping
+from ..functions import curve, geometry, mapping
 from ..plans.grid import DEFAULT, Grid
-from ..plans.shared import small
+from ..plans.shared import SMALL_ROWS, settle, small
 from .neighbors import neighbors_of
 
 #: Bits of a neighbor type: a cell in this one's neighborhood that is local, one that has this in its neighborhood and is local, and both for other owners.
 LOCAL_OF, LOCAL_TO, REMOTE_OF, REMOTE_TO = 1, 2, 4, 8
 
 
-def existing_at_indices(grid: Grid, points: DataFrame, index: tuple[Column, Column, Column], lo: int = 0, hi: int | None = None, name: str = "cell", tiled: bool = True) -> DataFrame:
+def existing_at_indices(grid: Grid, points: DataFrame, index: tuple[Column, Column, Column], lo: int = 0, hi: int | None = None, name: str = "cell", tiled: bool = True, by: str | None = None) -> DataFrame:
     """points with the finest existing cell of levels lo to hi around the indices; 0 if there is none.
 
-    Where the leaves tile the grid and all levels are asked for, exactly one of a point's candidates exists: an equi-join on exploded
-    candidates, that a hot cell's points can be split in. Otherwise one left join per level, finest first."""
+    by: "intervals" (see at_intervals) or "candidates"; default: candidates where the leaves are few enough to be broadcast, else intervals. Of candidates, where the leaves tile the grid
+    and all levels are asked for, exactly one per point exists: an equi-join on exploded candidates; otherwise one left join per level, finest first."""
     hi = grid.meta.max_level if hi is None else hi
     if lo > hi:
         return points.withColumn(name, F.lit(0).cast("long"))
     ids = {k: F.coalesce(mapping.cell_at(grid.meta, index, F.lit(k)), F.lit(0).cast("long")) for k in range(lo, hi + 1)}
     if grid.uniform:
         return points.withColumn(name, ids[0] if lo == 0 else F.lit(0).cast("long"))
+    if by not in (None, "intervals", "candidates"):
+        raise ValueError(f"unknown way {by}")
+    few = grid.leaves is not None and grid.leaves <= SMALL_ROWS
+    if by == "intervals" or by is None and not few and not curve.shift(grid.meta):
+        return at_intervals(grid, points, index, lo, hi, name)
     leaf = grid.ids
     if tiled and lo == 0 and hi == grid.meta.max_level:
         # one more candidate, 0, stands for points outside the grid, so they need no branch of their own
@@ -42,6 +47,52 @@ def existing_at_indices(grid: Grid, points: DataFrame, index: tuple[Column, Colu
     return out.drop(*found, *[f"__try{k}" for k in range(lo, hi + 1)])
 
 
+#: Points of one block from which on they are dealt to several tasks.
+HOT_POINTS = 1_000_000
+
+
+def at_intervals(grid: Grid, points: DataFrame, index: tuple[Column, Column, Column], lo: int = 0, hi: int | None = None, name: str = "cell", block_level: int = 0) -> DataFrame:
+    """points with the existing cell of levels lo to hi around the indices; 0 if there is none.
+
+    Leaves hold disjoint intervals of the space-filling curve, so a point's cell is that which starts last at or before its key, if it reaches as far. Leaves and points meet by
+    blocks (cells of block_level, on which leaves of smaller levels are repeated) and are read once in the order of keys: one shuffle and one sort, however
+    many levels there are. A block with more than HOT_POINTS points is dealt to several tasks, each with the block's leaves; points outside the grid are dealt out
+    too."""
+    meta = grid.meta
+    hi = meta.max_level if hi is None else hi
+    if curve.shift(meta):
+        raise ValueError("indices of this grid are too long for keys; look candidates up instead")
+    inside = F.lit(True)
+    for i, n in zip(index, meta.extent):
+        inside = inside & (i >= 0) & (i < n)
+    down = 3 * (meta.max_level - block_level)
+    row = F.monotonically_increasing_id()
+    mine = points.withColumns({"__key": F.when(inside, curve.key(meta, index)), "__row": row}).withColumn("__block", mapping.shr(F.col("__key"), down))
+    # blocks with many points, at most one per HOT_POINTS of them
+    hot = settle(mine.filter("__block is not null").groupBy("__block").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_POINTS).select("__block", F.ceil(F.col("n") / HOT_POINTS).alias("__deals")))
+    n = hot.count()
+    hot = small(hot, n)
+    leaf = grid.cells.filter(F.col("lvl").between(lo, hi)).select(F.col("cell").alias("__cell"), "lvl", curve.key(meta, (F.col("ix"), F.col("iy"), F.col("iz"))).alias("__key"))
+    leaf = leaf.withColumn("__last", F.col("__key") + curve.keys_of_level(meta, F.col("lvl")) - 1)
+    blocks = F.sequence(mapping.shr(F.col("__key"), down), mapping.shr(F.col("__last"), down))
+    leaf = leaf.select("__cell", "__key", "__last", F.explode(blocks).alias("__block"))
+    # a leaf that began in an earlier block begins anew in this one
+    leaf = leaf.withColumn("__key", F.greatest("__key", mapping.shl(F.col("__block"), F.lit(down))))
+    if n:
+        mine = mine.join(hot, "__block", "left").withColumn("__deal", F.coalesce(F.pmod("__row", "__deals"), F.lit(0).cast("long")))
+        leaf = leaf.join(hot, "__block", "left").withColumn("__deal", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("__deals", F.lit(1)) - 1))).drop("__deals")
+        mine = mine.drop("__deals")
+    else:
+        mine, leaf = mine.withColumn("__deal", F.lit(0).cast("long")), leaf.withColumn("__deal", F.lit(0).cast("long"))
+    mine = mine.withColumn("__block", F.coalesce("__block", -1 - F.pmod("__row", F.lit(1024)))).drop("__row")
+    both = leaf.withColumn("__point", F.lit(0)).unionByName(mine.withColumn("__point", F.lit(1)), True)
+    before = Window.partitionBy("__block", "__deal").orderBy("__key", "__point").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.last(F.when(F.col("__point") == 0, F.struct("__cell", "__last")), True).over(before)
+    found = both.withColumn("__found", last).filter("__point = 1")
+    cell = F.when(F.col("__key") <= F.col("__found.__last"), F.col("__found.__cell"))
+    return found.withColumn("__cell", F.coalesce(cell, F.lit(0).cast("long"))).select(*[F.col(f"`{c}`") for c in points.columns if c != name], F.col("__cell").alias(name))
+
+
 def existing_at_point(grid: Grid, points: DataFrame, x: str = "x", y: str = "y", z: str = "z", name: str = "cell") -> DataFrame:
     """points with the smallest existing cell around each; 0 outside the grid."""
     index = geometry.indices_at(grid.meta, (F.col(x), F.col(y), F.col(z)))
@@ -51,9 +102,11 @@ def existing_at_point(grid: Grid, points: DataFrame, x: str = "x", y: str = "y",
 
 
 def cells_in_box(grid: Grid, low: tuple[int, int, int], high: tuple[int, int, int], lo: int = 0, hi: int | None = None) -> DataFrame:
-    """Leaves of levels lo to hi that overlap a box of indices (both ends in it), each once; order by iz, iy, ix for the scan order."""
+    """Leaves of levels lo to hi that overlap a box of indices (both ends in it), each once; order by iz, iy, ix for the scan order. Where cells have their place on the curve (column key, see store.save_on_curve), the box is also given as ranges of it, so that a scan of a sorted table skips what is outside."""
     hi = grid.meta.max_level if hi is None else hi
-    box = F.col("lvl").between(lo, hi)
+    box = F.lit(False) if any(a > b for a, b in zip(low, high)) else F.col("lvl").between(lo, hi)
+    if "key" in grid.cells.columns:
+        box = curve.in_intervals(F.col("key"), curve.box_intervals(grid.meta, low, high)) & box
     for axis, a, b in zip(("ix", "iy", "iz"), low, high):
         box = box & (F.col(axis) <= b) & (F.col(axis) + F.col("len") > a)
     return grid.cells.filter(box)

@@ -83,9 +83,9 @@ def leaves_sql(meta: GridMeta = M1) -> str:
     return f"{rows}, ids AS ({ids}), leaf AS ({O.placed(meta, 'SELECT cell FROM ids', ', CAST(cell % 3 AS INTEGER) AS part')})"
 
 
-def with_counts(grid: Grid, df: DataFrame) -> Grid:
+def with_counts(grid: Grid, df: DataFrame, by: str | None = None) -> Grid:
     """Rows and quantity per leaf, 0 where there are none."""
-    sums = sums_per_leaf(grid, df, at(), {"n": F.lit(1), "qty": F.col("qty")})
+    sums = sums_per_leaf(grid, df, at(), {"n": F.lit(1), "qty": F.col("qty")}, by)
     joined = grid.cells.join(sums, "cell", "left")
     return grid.with_cells(settle(joined.withColumns({"n": F.coalesce("n", F.lit(0)), "qty": F.coalesce("qty", F.lit(0))})))
 
@@ -237,7 +237,8 @@ def bin_points_to_cells(spark, sf_dir):
 
 @query(f"{leaf_counts_sql()} SELECT cell, lvl, n, qty FROM cells WHERE n > 0")
 def bin_points_adaptive(spark, sf_dir):
-    return with_counts(one_level(spark, sf_dir), items(spark, sf_dir, M1)).cells.filter("n > 0").select("cell", "lvl", "n", "qty")
+    """Points meet leaves as intervals of the space-filling curve."""
+    return with_counts(one_level(spark, sf_dir), items(spark, sf_dir, M1), "intervals").cells.filter("n > 0").select("cell", "lvl", "n", "qty")
 
 
 @query(f"WITH {leaves_sql()} SELECT x, y, z, CAST(coalesce(l.cell, 0) AS BIGINT) AS cell FROM (SELECT DISTINCT CAST(l_linenumber AS DOUBLE) * 2 AS x, CAST(l_linenumber AS DOUBLE) / 2 AS y, CAST(l_linenumber AS DOUBLE) / 4 AS z FROM lineitem) p LEFT JOIN leaf l ON p.x * 2 >= l.ix AND p.x * 2 < l.ix + l.len AND p.y * 2 >= l.iy AND p.y * 2 < l.iy + l.len AND p.z * 2 >= l.iz AND p.z * 2 < l.iz + l.len")
@@ -249,7 +250,7 @@ def existing_cell_at_point(spark, sf_dir):
 
 @query(f"WITH {leaves_sql()} SELECT p.ix, p.iy, p.iz, CAST(coalesce(max(l.cell), 0) AS BIGINT) AS cell FROM (SELECT DISTINCT ix, iy, iz FROM pts) p LEFT JOIN leaf l ON l.lvl = 1 AND p.ix >= l.ix AND p.ix < l.ix + l.len AND p.iy >= l.iy AND p.iy < l.iy + l.len AND p.iz >= l.iz AND p.iz < l.iz + l.len GROUP BY 1, 2, 3")
 def existing_cell_in_levels(spark, sf_dir):
-    return L.existing_at_indices(one_level(spark, sf_dir), items(spark, sf_dir, M1).select("ix", "iy", "iz").distinct(), at(), 1, 1)
+    return L.existing_at_indices(one_level(spark, sf_dir), items(spark, sf_dir, M1).select("ix", "iy", "iz").distinct(), at(), 1, 1, by="intervals")
 
 
 @query(f"WITH {leaves_sql()} SELECT cell, lvl FROM leaf WHERE ix <= 9 AND ix + len > 4 AND iy <= 3 AND iy + len > 1 AND iz <= 5 AND iz + len > 0 AND lvl BETWEEN 0 AND 1")
@@ -257,6 +258,21 @@ def box_query(spark, sf_dir):
     return L.cells_in_box(one_level(spark, sf_dir), (4, 1, 0), (9, 3, 5)).select("cell", "lvl")
 
 
+@query(f"{leaf_counts_sql()} SELECT cell, lvl, n FROM cells WHERE ix <= 17 AND ix + len > 12 AND iy <= 4 AND iy + len > 2 AND iz <= 1 AND iz + len > 0")
+def box_query_on_curve(spark, sf_dir):
+    """The same over a grid that is saved along the space-filling curve: only files and row groups that can meet the box are read."""
+    path = _folder(spark)
+    store.save_on_curve(with_counts(one_level(spark, sf_dir), items(spark, sf_dir, M1)), path, files=8)
+    return L.cells_in_box(store.load(spark, path)[0], (12, 2, 0), (17, 4, 1)).select("cell", "lvl", "n")
+
+
+@query(f"WITH {leaves_sql()} SELECT p.okey, p.line, CAST(coalesce(l.cell, 0) AS BIGINT) AS cell FROM (SELECT *, ix * 2 - 6 AS jx FROM pts) p LEFT JOIN leaf l ON p.jx >= l.ix AND p.jx < l.ix + l.len AND p.iy >= l.iy AND p.iy < l.iy + l.len AND p.iz >= l.iz AND p.iz < l.iz + l.len")
+def leaves_of_rows(spark, sf_dir):
+    """The leaf of every row itself, hot leaves and rows outside the grid included."""
+    rows = items(spark, sf_dir, M1).withColumn("ix", F.col("ix") * 2 - 6)
+    return L.at_intervals(one_level(spark, sf_dir), rows, at(), block_level=1).select("okey", "line", "cell")
+
+
 @query(
     f"WITH {leaves_sql()}, i AS (SELECT range AS cell FROM range(0, 1100)), p AS (SELECT cell, nullif({O.level(M1, 'cell')}, -1) AS lvl FROM i) SELECT p.cell, CAST(CASE WHEN p.lvl = 1 AND {O.cell(M1, O.index(M1, 'p.cell', 'p.lvl'), '0')} IN (SELECT cell FROM ids) THEN {O.cell(M1, O.index(M1, 'p.cell', 'p.lvl'), '0')} WHEN p.cell IN (SELECT cell FROM ids) THEN p.cell ELSE 0 END AS BIGINT) AS parent, CAST(CASE WHEN p.lvl = 0 AND {O.cell(M1, O.index(M1, 'p.cell', '0'), '1')} IN (SELECT cell FROM ids) THEN {O.cell(M1, O.index(M1, 'p.cell', '0'), '1')} WHEN p.cell IN (SELECT cell FROM ids) THEN p.cell ELSE 0 END AS BIGINT) AS child, CAST(coalesce((SELECT part FROM leaf WHERE leaf.cell = p.cell), -1) AS INTEGER) AS part FROM p"
 )

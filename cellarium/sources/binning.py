@@ -18,15 +18,15 @@ def binned(df: DataFrame, meta: GridMeta, index: tuple[Column, Column, Column],
     return df.withColumn(name, mapping.cell_at(meta, index, F.lit(meta.max_level if level is None else level)))
 
 
-def to_leaves(grid: Grid, df: DataFrame, index: tuple[Column, Column, Column], name: str = "cell") -> DataFrame:
-    return existing_at_indices(grid, df, index, name=name)
+def to_leaves(grid: Grid, df: DataFrame, index: tuple[Column, Column, Column], name: str = "cell", by: str | None = None) -> DataFrame:
+    return existing_at_indices(grid, df, index, name=name, by=by)
 
 
-def sums_per_leaf(grid: Grid, df: DataFrame, index: tuple[Column, Column, Column], sums: dict[str, Column]) -> DataFrame:
+def sums_per_leaf(grid: Grid, df: DataFrame, index: tuple[Column, Column, Column], sums: dict[str, Column], by: str | None = None) -> DataFrame:
     """cell and sums over the rows of each leaf (cell 0: rows outside the grid). Rows are summed by lattice point before they are looked up, so what is joined does not grow with the table."""
     names = ("ix", "iy", "iz")
     points = df.groupBy(*[i.alias(n) for n, i in zip(names, index)]).agg(*[F.sum(v).alias(k) for k, v in sums.items()])
-    return to_leaves(grid, points, tuple(F.col(n) for n in names)).groupBy("cell").agg(*[F.sum(k).alias(k) for k in sums])
+    return to_leaves(grid, points, tuple(F.col(n) for n in names), by=by).groupBy("cell").agg(*[F.sum(k).alias(k) for k in sums])
 
 
 def refined_by_count(grid: Grid, df: DataFrame, index: tuple[Column, Column, Column], dense: Column) -> Grid:
