@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import cache
+from functools import cache, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -135,22 +135,27 @@ WIDTHLESS = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 
 
 @cache
-def _letters() -> tuple[dict[str, str], re.Pattern]:
+def _letters() -> dict[str, str]:
     table = {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
     table |= {chr(c): str(unicodedata.digit(chr(c))) for c in range(0x80, 0x20000) if unicodedata.category(chr(c)) == "Nd"}
     # circled and mathematical letters and digits
     plain = {chr(c): unicodedata.normalize("NFKC", chr(c)) for r in (range(0x2460, 0x2500), range(0x1D400, 0x1D800)) for c in r}
     table |= {c: n for c, n in plain.items() if len(n) == 1 and n.isascii() and n.isalnum()}
     table |= LOOK_ALIKE | dict.fromkeys(SPACES, " ") | dict.fromkeys(WIDTHLESS, "")
-    return table, re.compile("[" + "".join(map(re.escape, table)) + "]")
+    return table
+
+
+@lru_cache(1024)
+def _any_of(characters: frozenset[str]) -> re.Pattern:
+    return re.compile("[" + "".join(map(re.escape, sorted(characters))) + "]")
 
 
 def letters(t: Traced) -> Traced:
     if t.text.isascii():
         return t
-    table, found = _letters()
-    edits = [(m.start(), m.end(), table[m.group()]) for m in found.finditer(t.text)]
-    return t.replaced(edits)
+    table = _letters()
+    there = table.keys() & set(t.text)  # of many a text none; a class of all of them would be slow to search for
+    return t.replaced([(m.start(), m.end(), table[m.group()]) for m in _any_of(frozenset(there)).finditer(t.text)]) if there else t
 
 
 _MIXED = re.compile(r"(?<![A-Za-z0-9])(?=[OolI]*[0-9])(?=[0-9]*[OolI])[0-9OolI]{2,}(?![A-Za-z0-9])")
