@@ -102,9 +102,11 @@ def leaf_counts_sql(meta: GridMeta = M1) -> str:
 IDS = GridMeta((5, 4, 3), 3)
 
 
-@query(f"WITH c AS ({O.placed(M1, 'SELECT range AS cell FROM range(1, 118)')}) SELECT *, CAST(CASE WHEN cell - 1 < 32 THEN (cell - 1) // 16 ELSE 2 + (cell - 33) // 17 END AS INTEGER) AS part FROM c")
+@query(f"WITH c AS ({O.placed(M1, 'SELECT range AS cell FROM range(1, 118)')}), r AS (SELECT {O.cell(M1, ('ix', 'iy', 'iz'), '0')} AS cell, count(*) AS n FROM ({items_sql(M1)}) GROUP BY 1) SELECT c.*, CAST(CASE WHEN c.cell - 1 < 32 THEN (c.cell - 1) // 16 ELSE 2 + (c.cell - 33) // 17 END AS INTEGER) AS part, coalesce(n, 0) AS n FROM c LEFT JOIN r ON r.cell = c.cell")
 def grid_level0_cells(spark, sf_dir):
-    return Grid.level0(spark, M1, 7).cells.select("cell", "lvl", "ix", "iy", "iz", "len", "part")
+    """Cells of level 0 in blocks, each with its rows."""
+    rows = binned(items(spark, sf_dir, M1), M1, at(), 0).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    return Grid.level0(spark, M1, 7).cells.join(rows, "cell", "left").select("cell", "lvl", "ix", "iy", "iz", "len", "part", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def _ids(spark, sf_dir: str, meta: GridMeta) -> DataFrame:
@@ -286,17 +288,21 @@ FLAT = GridMeta(LENGTH, 0)
 FLAT_LEAF = f"WITH leaf AS ({O.placed(FLAT, 'SELECT range AS cell FROM range(1, 118)')})"
 
 
-@query(f"{FLAT_LEAF} {O.near(FLAT)}")
+@query(f"{FLAT_LEAF}, r AS (SELECT {O.cell(M0, ('ix', 'iy', 'iz'), '0')} AS nbr, count(*) AS n FROM ({items_sql(M0)}) GROUP BY 1) SELECT x.*, coalesce(n, 0) AS n FROM ({O.near(FLAT)}) x LEFT JOIN r USING (nbr)")
 def neighbors_of_uniform(spark, sf_dir):
-    return N.neighbors_of(flat_grid(spark, FLAT))
+    """Neighbor rows of an unrefined grid with the rows in each neighbor."""
+    rows = binned(items(spark, sf_dir, M0), M0, at()).groupBy(F.col("cell").alias("nbr")).agg(F.count(F.lit(1)).alias("n"))
+    return N.neighbors_of(flat_grid(spark, FLAT)).join(rows, "nbr", "left").select("cell", "ord", "nbr", "ox", "oy", "oz", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 WIDE = GridMeta((4, 2, 1), 0, (True, True, True), 2)
 
 
-@query(f"WITH leaf AS ({O.placed(WIDE, 'SELECT range AS cell FROM range(1, 9)')}) {O.near(WIDE)}")
+@query(f"WITH leaf AS ({O.placed(WIDE, 'SELECT range AS cell FROM range(1, 9)')}), r AS (SELECT 1 + c_custkey % 8 AS cell, count(*) AS n FROM customer GROUP BY 1), m AS ({O.near(WIDE)}) SELECT m.cell, m.ord, m.nbr, m.ox, m.oy, m.oz, coalesce(r.n, 0) AS n FROM m LEFT JOIN r ON r.cell = m.nbr")
 def neighbors_of_periodic(spark, sf_dir):
-    return N.neighbors_of(flat_grid(spark, WIDE))
+    """A neighborhood of length two, wider than the grid that wraps around, with the customers in each neighbor."""
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").groupBy((1 + F.col("c_custkey") % 8).alias("nbr")).agg(F.count(F.lit(1)).alias("n"))
+    return N.neighbors_of(flat_grid(spark, WIDE)).join(rows, "nbr", "left").select("cell", "ord", "nbr", "ox", "oy", "oz", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query(f"WITH {leaves_sql()} {O.near(M1)}")
@@ -359,12 +365,14 @@ def boundary_local(spark, sf_dir):
 
 
 ALONG = [(1, 0, 0)]
-BLOCKS = f"WITH leaf AS (SELECT *, CAST(CASE WHEN cell - 1 < 32 THEN (cell - 1) // 16 ELSE 2 + (cell - 33) // 17 END AS INTEGER) AS part FROM ({O.placed(FLAT, 'SELECT range AS cell FROM range(1, 118)')})), n AS (SELECT n.cell, n.nbr FROM ({O.near(FLAT, offsets=ALONG)}) n JOIN leaf a ON a.cell = n.cell JOIN leaf b ON b.cell = n.nbr WHERE a.part <> b.part)"
+BLOCKS = f"WITH {leaves_sql()}, own AS (SELECT * EXCLUDE (part), CAST(({O.ancestor(M1, 'cell', '0')} - 1) // 40 AS INTEGER) AS part FROM leaf), n AS (SELECT n.cell, n.nbr FROM ({O.near(M1, offsets=ALONG)}) n JOIN own a ON a.cell = n.cell JOIN own b ON b.cell = n.nbr WHERE a.part <> b.part)"
 
 
-@query(f"{BLOCKS} SELECT cell, part FROM leaf WHERE cell NOT IN (SELECT cell FROM n UNION SELECT nbr FROM n)")
+@query(f"{BLOCKS} SELECT cell, part FROM own WHERE cell NOT IN (SELECT cell FROM n UNION SELECT nbr FROM n)")
 def boundary_inner(spark, sf_dir):
-    return B.inner_cells(Grid.level0(spark, FLAT, 7).add_hood("along", ALONG), "along").select("cell", "part")
+    """Cells that no other part needs, of three blocks of a refined grid."""
+    grid = one_level(spark, sf_dir).with_columns({"part": mapping.div(mapping.level0_parent(M1, F.col("cell")) - 1, 40).cast("int")})
+    return B.inner_cells(grid.add_hood("along", ALONG), "along").select("cell", "part")
 
 
 @query(f"{NEAR_PARTS} SELECT DISTINCT to_part, cell FROM (SELECT part AS to_part, nbr AS cell FROM x UNION SELECT n_part, cell FROM x)")
@@ -482,13 +490,15 @@ def refine_children(spark, sf_dir):
 
 
 def two_levels(spark, sf_dir: str) -> Grid:
-    """From a grid of level 0, some cells by hand are refined twice; what must follow, follows."""
-    grid = A.adapt(Grid.level0(spark, M2), refine=[1, 20, 60, 61]).grid
+    """Cells of level 0 with over a hundredth of the rows are refined, then a third of their children; what must follow, follows."""
+    grid = one_level(spark, sf_dir, M2)
     chosen = grid.cells.filter("lvl = 1 and (ix + iy + iz) % 3 = 0").select("cell")
     return A.adapt(grid, refine=chosen).grid
 
 
-_P0 = f"l0 AS (SELECT range AS cell FROM range(1, 118)), a1 AS (SELECT cell FROM l0 WHERE cell NOT IN (1, 20, 60, 61) UNION ALL SELECT cell FROM ({O.children(M2, 'SELECT unnest([1, 20, 60, 61])::BIGINT AS cell')})), g1 AS ({O.placed(M2, 'SELECT cell FROM a1')}), c1 AS (SELECT cell FROM g1 WHERE lvl = 1 AND (ix + iy + iz) % 3 = 0)"
+_DENSE2 = f"pts AS ({items_sql(M2)}), r0 AS (SELECT cell FROM (SELECT {O.cell(M2, ('ix', 'iy', 'iz'), '0')} AS cell FROM pts) GROUP BY cell HAVING count(*) * 100 > (SELECT count(*) FROM pts))"
+_ONCE2 = f"a1 AS (SELECT range AS cell FROM range(1, 118) WHERE range NOT IN (SELECT cell FROM r0) UNION ALL SELECT cell FROM ({O.children(M2, 'SELECT cell FROM r0')})), g1 AS ({O.placed(M2, 'SELECT cell FROM a1')})"
+_P0 = f"{_DENSE2}, {_ONCE2}, c1 AS (SELECT cell FROM g1 WHERE lvl = 1 AND (ix + iy + iz) % 3 = 0)"
 _NEAR1 = f"n1 AS (SELECT cell, nbr FROM ({O.near(M2, 'g1')}) UNION SELECT nbr, cell FROM ({O.near(M2, 'g1')}))"
 _INDUCED = "c2 AS (SELECT cell FROM c1 UNION SELECT n1.nbr FROM n1 JOIN g1 a ON a.cell = n1.cell JOIN g1 b ON b.cell = n1.nbr WHERE n1.cell IN (SELECT cell FROM c1) AND b.lvl < a.lvl), c3 AS (SELECT cell FROM c2 UNION SELECT n1.nbr FROM n1 JOIN g1 a ON a.cell = n1.cell JOIN g1 b ON b.cell = n1.nbr WHERE n1.cell IN (SELECT cell FROM c2) AND b.lvl < a.lvl)"
 _TWO = f"{_P0}, {_NEAR1}, {_INDUCED}, a2 AS (SELECT cell FROM a1 WHERE cell NOT IN (SELECT cell FROM c3) UNION ALL SELECT cell FROM ({O.children(M2, 'SELECT cell FROM c3')}))"
@@ -505,13 +515,13 @@ def neighbors_of_two_levels(spark, sf_dir):
 
 
 @query(
-    f"WITH {_P0}, {_NEAR1}, v0 AS (SELECT cell FROM g1 WHERE cell IN (2, 14)), v1 AS (SELECT cell FROM v0 UNION SELECT n1.nbr FROM n1 JOIN g1 a ON a.cell = n1.cell JOIN g1 b ON b.cell = n1.nbr WHERE n1.cell IN (SELECT cell FROM v0) AND b.lvl > a.lvl), w AS (SELECT cell FROM c1 WHERE cell NOT IN (SELECT cell FROM v1)), w2 AS (SELECT cell FROM w UNION SELECT n1.nbr FROM n1 JOIN g1 a ON a.cell = n1.cell JOIN g1 b ON b.cell = n1.nbr WHERE n1.cell IN (SELECT cell FROM w) AND b.lvl < a.lvl) SELECT cell FROM ({O.children(M2, 'SELECT cell FROM w2')})"
+    f"WITH {_P0}, {_NEAR1}, v0 AS (SELECT cell FROM g1 WHERE lvl = 0 AND cell % 7 = 2), v1 AS (SELECT cell FROM v0 UNION SELECT n1.nbr FROM n1 JOIN g1 a ON a.cell = n1.cell JOIN g1 b ON b.cell = n1.nbr WHERE n1.cell IN (SELECT cell FROM v0) AND b.lvl > a.lvl), w AS (SELECT cell FROM c1 WHERE cell NOT IN (SELECT cell FROM v1)), w2 AS (SELECT cell FROM w UNION SELECT n1.nbr FROM n1 JOIN g1 a ON a.cell = n1.cell JOIN g1 b ON b.cell = n1.nbr WHERE n1.cell IN (SELECT cell FROM w) AND b.lvl < a.lvl) SELECT cell FROM ({O.children(M2, 'SELECT cell FROM w2')})"
 )
 def refine_vetoed(spark, sf_dir):
     """New cells where refining some cells is vetoed: finer neighbors of vetoed cells stay whole too."""
-    grid = A.adapt(Grid.level0(spark, M2), refine=[1, 20, 60, 61]).grid
+    grid = one_level(spark, sf_dir, M2)
     chosen = grid.cells.filter("lvl = 1 and (ix + iy + iz) % 3 = 0").select("cell")
-    return A.adapt(grid, refine=chosen, dont_refine=[2, 14]).new
+    return A.adapt(grid, refine=chosen, dont_refine=grid.cells.filter("lvl = 0 and cell % 7 = 2").select("cell")).new
 
 
 _MERGE = (
@@ -539,14 +549,18 @@ def grid_invariants(spark, sf_dir):
     return out
 
 
-WANTED = [200, 1500, 1600, 7000, 10**9]
+_LISTED = f"SELECT DISTINCT s_suppkey * 7919 % {M2.last_cell + 500} AS cell FROM supplier"
 
 
-@query(f"WITH w AS ({O.placed(M2, f'SELECT unnest({WANTED[:-1]})::BIGINT AS cell')}) SELECT w.cell, w.lvl FROM w WHERE lvl >= 0")
+@query(
+    f"WITH want AS (SELECT * FROM ({O.placed(M2, _LISTED)}) WHERE lvl >= 0), r0 AS (SELECT DISTINCT {O.ancestor(M2, 'cell', '0')} AS cell FROM want WHERE lvl > 0), {_ONCE2}, c1 AS (SELECT DISTINCT {O.ancestor(M2, 'cell', '1')} AS cell FROM want WHERE lvl > 1), "
+    f"{_NEAR1}, {_INDUCED}, a2 AS (SELECT cell FROM a1 WHERE cell NOT IN (SELECT cell FROM c3) UNION ALL SELECT cell FROM ({O.children(M2, 'SELECT cell FROM c3')})) SELECT cell, lvl, cell IN (SELECT cell FROM want) AS listed FROM ({O.placed(M2, 'SELECT cell FROM a2')})"
+)
 def load_listed_cells(spark, sf_dir):
-    """Listed cells exist after loading; ids beyond the last are passed over."""
-    grid = A.load_cells(Grid.level0(spark, M2), WANTED)
-    return grid.cells.filter(F.col("cell").isin(WANTED)).select("cell", "lvl")
+    """The grid in which cells listed in a table exist; ids beyond the last are passed over, and listed cells around smaller listed ones are refined."""
+    wanted = spark.read.parquet(f"{sf_dir}/supplier.parquet").select((F.col("s_suppkey") * 7919 % (M2.last_cell + 500)).alias("cell")).distinct()
+    cells = A.load_cells(Grid.level0(spark, M2), wanted).cells
+    return cells.join(F.broadcast(wanted.withColumn("listed", F.lit(True))), "cell", "left").select("cell", "lvl", F.coalesce("listed", F.lit(False)).alias("listed"))
 
 
 # --- F: partitions -------------------------------------------------------------------------------------------------
@@ -584,12 +598,21 @@ def balance_moves(spark, sf_dir):
 # --- H, I: files and workloads ---------------------------------------------------------------------------------------
 
 
-@query(f"WITH leaf AS (SELECT *, row_number() OVER (ORDER BY cell) - 1 AS n FROM ({O.placed(M0, 'SELECT range AS cell FROM range(1, 118)')})) SELECT 1 AS section, n, k, concat_ws(' ', ix + (k & 1), iy + (k >> 1 & 1), iz + (k >> 2)) AS line FROM leaf CROSS JOIN (SELECT CAST(range AS INTEGER) AS k FROM range(8)) UNION ALL SELECT 3, n, 0, concat_ws(' ', 8, n*8, n*8+1, n*8+2, n*8+3, n*8+4, n*8+5, n*8+6, n*8+7) FROM leaf UNION ALL SELECT 5, n, 0, '11' FROM leaf UNION ALL SELECT * FROM (VALUES (0, 0, 0, '# vtk DataFile Version 2.0'), (0, 0, 1, 'leaf cells as voxels'), (0, 0, 2, 'ASCII'), (0, 0, 3, 'DATASET UNSTRUCTURED_GRID'), (0, 0, 4, 'POINTS 936 float'), (2, 0, 0, 'CELLS 117 1053'), (4, 0, 0, 'CELL_TYPES 117')) h")
+_HALVES = ", ".join(f"(i{a} + len * (k >> {d} & 1)) / 2.0::DOUBLE" for d, a in enumerate("xyz"))
+
+
+@query(
+    f"{leaf_counts_sql()}, v AS (SELECT *, row_number() OVER (ORDER BY cell) - 1 AS i FROM cells) SELECT 1 AS section, i AS n, k, concat_ws(' ', {_HALVES}) AS line FROM v CROSS JOIN (SELECT CAST(range AS INTEGER) AS k FROM range(8)) "
+    "UNION ALL SELECT 3, i, 0, concat_ws(' ', 8, i*8, i*8+1, i*8+2, i*8+3, i*8+4, i*8+5, i*8+6, i*8+7) FROM v UNION ALL SELECT 5, i, 0, '11' FROM v UNION ALL SELECT 7, i, 0, CAST(n AS VARCHAR) FROM v "
+    "UNION ALL SELECT section, 0, k, replace(replace(line, '#8', CAST((SELECT count(*) * 8 FROM v) AS VARCHAR)), '#', CAST((SELECT count(*) FROM v) AS VARCHAR)) FROM (VALUES (0, 0, '~ vtk DataFile Version 2.0'), (0, 1, 'leaf cells as voxels'), (0, 2, 'ASCII'), (0, 3, 'DATASET UNSTRUCTURED_GRID'), (0, 4, 'POINTS #8 float'), (4, 0, 'CELL_TYPES #'), (6, 0, 'CELL_DATA #'), (6, 1, 'SCALARS n float 1'), (6, 2, 'LOOKUP_TABLE default')) h(section, k, line) "
+    "UNION ALL SELECT 2, 0, 0, concat('CELLS ', count(*), ' ', count(*) * 9) FROM v"
+)
 def vtk_rows(spark, sf_dir):
-    lines = store.vtk_lines(Grid.level0(spark, M0))
+    """Every line of the file of a refined grid with rows per leaf as cell data; coordinates as numbers, the first heading's sign as ~."""
+    lines = store.vtk_lines(with_counts(one_level(spark, sf_dir), items(spark, sf_dir, M1)), ("n",))
     split = F.split("line", " ")
-    whole = F.when(F.col("section") == 1, F.concat_ws(" ", *[F.element_at(split, i).cast("double").cast("long").cast("string") for i in (1, 2, 3)])).otherwise(F.col("line"))
-    return lines.select("section", "n", "k", whole.alias("line"))
+    number = F.when(F.col("section") == 1, F.concat_ws(" ", *[F.element_at(split, i).cast("double").cast("string") for i in (1, 2, 3)])).otherwise(F.regexp_replace("line", "^#", "~"))
+    return lines.select("section", "n", "k", number.alias("line"))
 
 
 def _folder(spark) -> str:
@@ -732,12 +755,13 @@ def advection_adaptive(spark, sf_dir):
 # --- what nothing above asks for -------------------------------------------------------------------------------------
 
 
-@query(f"SELECT 13 AS x, 3 AS y, 3 AS z, 1 AS max_level, CAST({M1.last_cell} AS BIGINT) AS last_cell, 20 AS largest_level, -1.5::DOUBLE AS start_x, 1.0::DOUBLE AS end_x, 2.375::DOUBLE AS end_z, 0.5::DOUBLE AS length_x")
+@query(f"WITH {leaves_sql()} SELECT 13 AS x, 3 AS y, 3 AS z, 1 AS max_level, CAST({M1.last_cell} AS BIGINT) AS last_cell, 20 AS largest_level, -1.5::DOUBLE AS start_x, 1.0::DOUBLE AS end_x, 2.375::DOUBLE AS end_z, 0.5::DOUBLE AS length_x, CAST(count(*) AS BIGINT) AS leaves, max(lvl) AS finest, max(cell) AS largest_cell, CAST(sum(len * len * len) AS BIGINT) AS volume FROM leaf")
 def grid_description(spark, sf_dir):
-    """Lengths, levels, ids and corners as metadata gives them. 117 * (8^20 - 1) / 7 * 8 fits 63 bits, one level more doesn't."""
+    """Lengths, levels, ids and corners as metadata gives them, beside the leaves of the grid over lineitem. 117 * (8^20 - 1) / 7 * 8 fits 63 bits, one level more doesn't."""
     largest = GridMeta((1, 1, 1), -1)
-    row = (*M1.length, M1.max_level, M1.last_cell, largest.max_level, DYADIC.start[0], DYADIC.end[0], DYADIC.end[2], DYADIC.geometry.level0_length[0])
-    return spark.createDataFrame([row], "x int, y int, z int, max_level int, last_cell long, largest_level int, start_x double, end_x double, end_z double, length_x double")
+    told = {"x": M1.length[0], "y": M1.length[1], "z": M1.length[2], "max_level": M1.max_level, "last_cell": M1.last_cell, "largest_level": largest.max_level, "start_x": DYADIC.start[0], "end_x": DYADIC.end[0], "end_z": DYADIC.end[2], "length_x": DYADIC.geometry.level0_length[0]}
+    leaves = one_level(spark, sf_dir).cells.agg(F.count(F.lit(1)).alias("leaves"), F.max("lvl").alias("finest"), F.max("cell").alias("largest_cell"), F.sum(F.col("len") * F.col("len") * F.col("len")).alias("volume"))
+    return leaves.select(*[F.lit(v).alias(k) if k != "last_cell" else F.lit(v).cast("long").alias(k) for k, v in told.items()], "*")
 
 
 @query(f"WITH {leaves_sql()} SELECT cell, lvl, part, 1.0::DOUBLE AS weight, cell * 2 AS twice FROM leaf")
@@ -760,9 +784,9 @@ def _at_level(level: int) -> str:
     return O.cell(BALANCES, ("ix", "iy", "2"), str(level))
 
 
-@query(f"SELECT c_custkey, {_at_level(0)} AS l0, {_at_level(1)} AS l1, {_at_level(2)} AS l2 FROM (SELECT c_custkey, CAST(floor((a + 1024) / 1024) AS BIGINT) AS ix, CAST(floor((CASE WHEN a < -1024 THEN a + 16384 ELSE a END + 1024) / 1024) AS BIGINT) AS iy FROM (SELECT c_custkey, CAST(c_acctbal AS DOUBLE) * 2 AS a FROM customer) WHERE a BETWEEN -1024 AND 15359)")
+@query(f"SELECT c_custkey, {_at_level(0)} AS l0, {_at_level(1)} AS l1, {_at_level(2)} AS l2 FROM (SELECT c_custkey, CAST(floor((a + 1024) / 1024) AS BIGINT) AS ix, CAST(floor((CASE WHEN a < -1024 THEN a + 16384 ELSE a END + 1024) / 1024) AS BIGINT) AS iy FROM (SELECT c_custkey, CAST(c_acctbal AS DOUBLE) * 2 AS a FROM customer))")
 def cells_of_points_at_level(spark, sf_dir):
-    points = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", (F.col("c_acctbal").cast("double") * 2).alias("a")).filter("a between -1024 and 15359")
+    points = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", (F.col("c_acctbal").cast("double") * 2).alias("a"))
     return points.select("c_custkey", *[geometry.cell_at_point(BALANCES, F.lit(k), (F.col("a"), F.col("a"), F.lit(0.5))).alias(f"l{k}") for k in range(3)])
 
 
@@ -785,9 +809,14 @@ def cells_overlapping_part(spark, sf_dir):
     return L.overlapping_part(grid, grid.cells.select("cell"), 1, Grid.level0(spark, FLAT, 3))
 
 
-@query(f"WITH k AS (SELECT cell, {' + '.join(f'((i{a} >> {b} & 1) << {3 * b + d})' for d, a in enumerate('xyz') for b in range(4))} AS z FROM ({O.placed(FLAT, 'SELECT range AS cell FROM range(1, 118)')})), o AS (SELECT cell, row_number() OVER (ORDER BY z, cell) - 1 AS r FROM k) SELECT cell, CAST(CASE WHEN r < 32 THEN r // 16 ELSE 2 + (r - 32) // 17 END AS INTEGER) AS part FROM o")
+_COUNT0 = f"r AS (SELECT {O.cell(M0, ('ix', 'iy', 'iz'), '0')} AS cell, count(*) AS n FROM ({items_sql(M0)}) GROUP BY 1)"
+
+
+@query(f"WITH k AS (SELECT cell, {' + '.join(f'((i{a} >> {b} & 1) << {3 * b + d})' for d, a in enumerate('xyz') for b in range(4))} AS z FROM ({O.placed(FLAT, 'SELECT range AS cell FROM range(1, 118)')})), o AS (SELECT cell, row_number() OVER (ORDER BY z, cell) - 1 AS r FROM k), {_COUNT0} SELECT o.cell, CAST(CASE WHEN r < 32 THEN r // 16 ELSE 2 + (r - 32) // 17 END AS INTEGER) AS part, coalesce(n, 0) AS n FROM o LEFT JOIN r ON r.cell = o.cell")
 def level0_along_curve(spark, sf_dir):
-    return Grid.level0(spark, FLAT, 7, "curve").cells.select("cell", "part")
+    """Cells dealt along the curve, each with its rows."""
+    rows = binned(items(spark, sf_dir, M0), M0, at()).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    return Grid.level0(spark, FLAT, 7, "curve").cells.join(rows, "cell", "left").select("cell", "part", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 _POINTS = "SELECT DISTINCT 1 + CAST(n_nationkey % 13 AS BIGINT) + CAST(n_regionkey % 3 AS BIGINT) * 13 AS cell FROM nation"

@@ -168,7 +168,8 @@ def read_binary(spark: SparkSession, path: str, columns: dict[str, str] | None =
 
 def vtk_lines(grid: Grid, scalars: tuple[str, ...] = ()) -> DataFrame:
     """section, n, k, line of a legacy VTK file; in their order the lines are the file. Eight points and a voxel (type 11) per cell, cells by id; scalars are columns written as cell data."""
-    cells = numbered(grid.cells, F.col("cell"))
+    # scalars may have any name, also those of columns made here
+    cells = numbered(grid.cells.select("cell", *[F.col(f"`{s}`").cast("string").alias(f"__s{i}") for i, s in enumerate(scalars)]), F.col("cell"))
     low, high = geometry.minimum(grid.meta, F.col("cell")), geometry.maximum(grid.meta, F.col("cell"))
     cells = cells.withColumns({**{"a" + c: v for c, v in zip("xyz", low)}, **{"b" + c: v for c, v in zip("xyz", high)}})
     total = cells.count()
@@ -182,7 +183,7 @@ def vtk_lines(grid: Grid, scalars: tuple[str, ...] = ()) -> DataFrame:
     heads = [(0, f"# vtk DataFile Version 2.0\nleaf cells as voxels\nASCII\nDATASET UNSTRUCTURED_GRID\nPOINTS {total * 8} float"), (2, f"CELLS {total} {total * 9}"), (4, f"CELL_TYPES {total}")]
     for i, s in enumerate(scalars):
         heads.append((6 + 2 * i, (f"CELL_DATA {total}\n" if i == 0 else "") + f"SCALARS {s} float 1\nLOOKUP_TABLE default"))
-        sections.append(cells.select(F.lit(7 + 2 * i).alias("section"), "n", F.lit(0).alias("k"), F.col(s).cast("string").alias("line")))
+        sections.append(cells.select(F.lit(7 + 2 * i).alias("section"), "n", F.lit(0).alias("k"), F.col(f"__s{i}").alias("line")))
     spark = grid.cells.sparkSession
     out = spark.createDataFrame([(s, 0, i, line) for s, text in heads for i, line in enumerate(text.split("\n"))], "section int, n long, k int, line string")
     for s in sections:
