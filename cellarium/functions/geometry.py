@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import json
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .mapping import Index, cell_at, div, indices_of, level_of, shl
@@ -15,12 +18,30 @@ def _level0(meta: GridMeta) -> tuple[float, float, float]:
     return meta.geometry.level0_length if isinstance(meta.geometry, Cartesian) else (1.0, 1.0, 1.0)
 
 
+#: Edges of a dimension from which on they are a table that a plan reads once, not part of its expressions.
+MANY_EDGES = 64
+
+
+def _edges(edges: tuple[float, ...]) -> Column:
+    """The edges as an array: a literal if they are few, else the result of a scalar subquery, which is sent to tasks once and shown by name in plans."""
+    if len(edges) < MANY_EDGES:
+        return F.lit([float(e) for e in edges])
+    table = SparkSession.active().createDataFrame(pa.table({"edges": pa.array([edges], pa.list_(pa.float64()))}))
+    return table.select("edges").scalar()
+
+
 def _edge(edges: tuple[float, ...], k: Column) -> Column:
-    return F.get(F.lit([float(e) for e in edges]), k.cast("int"))
+    return F.get(_edges(edges), k.cast("int"))
+
+
+def _halvings(edges: tuple[float, ...]) -> list[int]:
+    return [1 << b for b in reversed(range(len(edges).bit_length()))]
 
 
 def _up_to(edges: tuple[float, ...], c: Column) -> Column:
-    return F.filter(F.lit([float(x) for x in edges]), lambda x: x <= c)
+    """How many of ascending edges are at most c: bisection, one comparison for each halving. As one expression, so the edges are a constant of it; with_indices needs none."""
+    array = F.lit([float(e) for e in edges]) if len(edges) < MANY_EDGES else F.from_json(F.lit(json.dumps(edges)), "array<double>")
+    return F.aggregate(F.lit(_halvings(edges)), F.lit(0), lambda n, step: F.when(F.get(array, n + step - 1) <= c, n + step).otherwise(n))
 
 
 def _start_of(meta: GridMeta, index: Index) -> tuple[list[Column], list[Column]]:
@@ -95,17 +116,37 @@ def real_coordinate(meta: GridMeta, point: Point) -> Point:
 
 def indices_at(meta: GridMeta, point: Point) -> Index:
     """Indices of the smallest possible cell around a point; null outside. The end of the grid gives an index one past the last."""
-    m, out = 1 << meta.max_level, []
-    for d, c in enumerate(real_coordinate(meta, point)):
-        if isinstance(meta.geometry, Stretched):
-            e = meta.geometry.edges[d]
-            k = F.size(_up_to(e, c)) - 1
-            low = _edge(e, k)
-            inside = F.least(F.floor((c - low) / (_edge(e, k + 1) - low) * m), F.lit(m - 1).cast("long"))
-            out.append(F.when(c.isNotNull(), F.when(k < len(e) - 1, k.cast("long") * m + inside).otherwise(F.lit((len(e) - 1) * m).cast("long"))))
-        else:
-            out.append(F.floor((c - meta.start[d]) / (_level0(meta)[d] / m)).cast("long"))
-    return tuple(out)
+    if isinstance(meta.geometry, Stretched):
+        return tuple(_between(meta, e, c, _up_to(e, c)) for e, c in zip(meta.geometry.edges, real_coordinate(meta, point)))
+    m = 1 << meta.max_level
+    return tuple(F.floor((c - meta.start[d]) / (_level0(meta)[d] / m)).cast("long") for d, c in enumerate(real_coordinate(meta, point)))
+
+
+def _between(meta: GridMeta, e: tuple[float, ...], c: Column, before: Column) -> Column:
+    """The index of a coordinate of which so many edges are at most as large."""
+    m, k = 1 << meta.max_level, before - 1
+    low = _edge(e, k)
+    inside = F.least(F.floor((c - low) / (_edge(e, k + 1) - low) * m), F.lit(m - 1).cast("long"))
+    return F.when(c.isNotNull(), F.when(k < len(e) - 1, k.cast("long") * m + inside).otherwise(F.lit((len(e) - 1) * m).cast("long")))
+
+
+def with_indices(df: DataFrame, meta: GridMeta, point: Point, names: tuple[str, str, str] = ("ix", "iy", "iz")) -> DataFrame:
+    """df with indices_at as columns. Many edges are bisected in generated code, a column per halving, over a table that is read once."""
+    if not isinstance(meta.geometry, Stretched):
+        return df.withColumns(dict(zip(names, indices_at(meta, point))))
+    inside = [f"__c{d}" for d in range(3)]
+    out = df.withColumns(dict(zip(inside, real_coordinate(meta, point))))
+    for d, (e, name) in enumerate(zip(meta.geometry.edges, names)):
+        c = F.col(inside[d])
+        if len(e) < MANY_EDGES:
+            out = out.withColumn(name, _between(meta, e, c, _up_to(e, c)))
+            continue
+        array, n = _edges(e), F.col("__n")
+        out = out.withColumn("__n", F.lit(0))
+        for step in _halvings(e):
+            out = out.withColumn("__n", F.when(F.get(array, n + step - 1) <= c, n + step).otherwise(n))
+        out = out.withColumn(name, _between(meta, e, c, n)).drop("__n")
+    return out.drop(*inside)
 
 
 def cell_at_point(meta: GridMeta, level: Column, point: Point) -> Column:

@@ -108,6 +108,10 @@ class GridMeta:
         one = g.level0_length if isinstance(g, Cartesian) else (1.0, 1.0, 1.0)
         return tuple(s + n * d for s, n, d in zip(self.start, self.length, one))
 
+    def stretched_again(self) -> GridMeta:
+        """The same grid with the edges of a stretched geometry set back to unit cubes from the origin; it stays stretched."""
+        return replace(self, geometry=Stretched(tuple(tuple(float(i) for i in range(n + 1)) for n in self.length)))
+
     def reset_geometry(self) -> GridMeta:
         """The same grid with unit cubes from the origin."""
         return replace(self, geometry=NoGeometry())

@@ -196,6 +196,18 @@ def stretched_geometry(spark, sf_dir):
     return df.select("okey", "line", "ix", "iy", "iz", *[v.alias("c" + a) for a, v in zip("xyz", c)])
 
 
+#: Prices up to 50 000 by one, up to 150 000 by two: 100 001 edges.
+PRICES = GridMeta((100_000, 1, 1), 0, geometry=Stretched((tuple(float(i if i <= 50_000 else 2 * i - 50_000) for i in range(100_001)), (0.0, 1.0), (0.0, 1.0))))
+
+
+@query("SELECT okey, line, CASE WHEN x < 50000 THEN CAST(floor(x) AS BIGINT) WHEN x <= 150000 THEN 50000 + CAST(floor((x - 50000) / 2) AS BIGINT) END AS ix, CASE WHEN x < 50000 THEN floor(x) + 0.5 WHEN x < 150000 THEN 50001 + 2 * floor((x - 50000) / 2) END AS cx FROM (SELECT l_orderkey AS okey, CAST(l_linenumber AS BIGINT) AS line, l_extendedprice AS x FROM lineitem)")
+def stretched_many_edges(spark, sf_dir):
+    """Every price between its edges, found by bisection."""
+    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("okey"), F.col("l_linenumber").cast("long").alias("line"), F.col("l_extendedprice").alias("x"))
+    df = geometry.with_indices(df, PRICES, (F.col("x"), F.lit(0.5), F.lit(0.5)))
+    return df.select("okey", "line", "ix", geometry.center_at(PRICES, F.lit(0), (F.col("ix"), F.lit(0).cast("long"), F.lit(0).cast("long")))[0].alias("cx"))
+
+
 WRAP = GridMeta((4, 4, 4), 0, (True, False, True), geometry=Cartesian((1000.0, -999.0, 0.0), (2500.0, 2500.0, 0.5)))
 
 

@@ -152,6 +152,52 @@ def test_geometries_agree(spark):
     assert {r[3] for r in at(a) if r[1] in (2.5, 1.9)} == {0}
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 40, 200])
+def test_edges_by_bisection(spark, monkeypatch, n):
+    """The cell between a point's edges for any number of them, as literals and as a table: edges, ends, outside, null and NaN."""
+    r = random.Random(n)
+    edges = tuple(sorted({r.uniform(-5, 5) for _ in range(n + 1)}))
+    meta = GridMeta((len(edges) - 1, 1, 1), 1, geometry=Stretched((edges, (0.0, 1.0), (0.0, 1.0))))
+    xs = [*edges, *[(a + b) / 2 for a, b in zip(edges, edges[1:])], edges[0] - 1, edges[-1] + 1, None, float("nan")]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i long, x double")
+
+    def want(x):
+        if x is None or math.isnan(x) or x < edges[0] or x > edges[-1]:
+            return None
+        k = sum(e <= x for e in edges) - 1
+        return 2 * k + (math.floor((x - edges[k]) / (edges[k + 1] - edges[k]) * 2) if k < len(edges) - 1 else 0)
+
+    for many in (1, 10**6):
+        monkeypatch.setattr(geometry, "MANY_EDGES", many)
+        point = (F.col("x"), F.lit(0.5), F.lit(0.5))
+        for got in (df.select("i", geometry.indices_at(meta, point)[0].alias("ix")), geometry.with_indices(df, meta, point)):
+            assert {r["i"]: r["ix"] for r in got.collect()} == {i: want(x) for i, x in enumerate(xs)}
+
+
+def test_stretched_geometry_is_set_back():
+    meta = GridMeta((2, 3, 1), 1, geometry=Stretched(((0.0, 5.0, 6.0), (1.0, 2.0, 3.0, 9.0), (0.0, 0.5))))
+    again = meta.stretched_again()
+    assert again.geometry == Stretched.of(Cartesian(), (2, 3, 1)) and again.start == (0.0, 0.0, 0.0) and again.end == (2.0, 3.0, 1.0)
+    assert again.length == meta.length and again.max_level == 1
+
+
+def test_ordered_lists(spark):
+    """Lists that are asked for in order come in it: cells by id, flags by id, both ends of an exchange by sender, receiver and id."""
+    grid = A.adapt(Grid.level0(spark, GridMeta((4, 3, 2), 1)), refine=[3, 9]).grid
+    grid = grid.with_columns({"part": (F.col("cell") % 3).cast("int")}).settled()
+    grid = grid.with_cells(grid.cells.repartition(5, "ix"))
+    cells = [r["cell"] for r in grid.all_cells(ordered=True).collect()]
+    assert cells == sorted(cells) and len(cells) == 24 + 14
+    for df in (B.boundary_local(grid, ordered=True), B.inner_cells(grid, ordered=True), B.local_cells(grid, 1, ordered=True), lookup.get_cells(grid, 1, [lookup.LOCAL_OF], ordered=True)):
+        got = [r["cell"] for r in df.collect()]
+        assert got == sorted(got)
+    remote = [tuple(r) for r in B.boundary_remote(grid, ordered=True).collect()]
+    assert remote == sorted(remote) and remote
+    for as_read in (True, False):
+        sent = [(r["from_part"], r["to_part"], r["cell"]) for r in B.send_lists(grid, as_read=as_read, ordered=True).collect()]
+        assert sent == sorted(sent) and len(set(sent)) == len(sent) > 0
+
+
 def test_is_neighbor_predicate(spark):
     meta = GridMeta((4, 4, 4), 0, (True, False, False))
     pairs = spark.range(1, 65).withColumnRenamed("id", "a").join(spark.range(1, 65).withColumnRenamed("id", "b"), F.col("a") != F.col("b"))
