@@ -8,7 +8,7 @@ and no search; a uniform grid needs none. Offsets become rows by exploding a lit
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import mapping
@@ -30,8 +30,17 @@ def probes(grid: Grid, cells: DataFrame, offsets, keep: tuple[str, ...] = ()) ->
     return rows.withColumns({"t" + a[1]: F.col(h) * F.col("len") for a, h in zip(_AXES, ("hx", "hy", "hz"))}).drop("hx", "hy", "hz")
 
 
-def neighbors_of(grid: Grid, hood=DEFAULT, cells: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """cell, ord (place of the offset in the neighborhood), nbr and its offset ox, oy, oz in indices, for each of cells (default: all). A larger neighbor is listed once for each offset that reaches it."""
+def _met(rows: DataFrame, leaf: DataFrame, wanted: Column, name: str, within: tuple[str, ...], how: str = "left") -> DataFrame:
+    """rows with the leaf whose id (in leaf's column of that name) is wanted. within: columns that must agree too."""
+    other = leaf.withColumnsRenamed({k: f"__{name}_{k}" for k in within})
+    on = wanted == F.col(name)
+    for k in within:
+        on = on & (F.col(k) == F.col(f"__{name}_{k}"))
+    return rows.join(other, on, how).drop(*[f"__{name}_{k}" for k in within])
+
+
+def neighbors_of(grid: Grid, hood=DEFAULT, cells: DataFrame | None = None, keep: tuple[str, ...] = (), within: tuple[str, ...] = ()) -> DataFrame:
+    """cell, ord (place of the offset in the neighborhood), nbr and its offset ox, oy, oz in indices, for each of cells (default: all). A larger neighbor is listed once for each offset that reaches it. within: columns of cells (kept) and of the grid's leaves that must agree, see blocks."""
     meta = grid.meta
     offsets = grid.offsets(hood)
     source = grid.cells if cells is None else cells
@@ -46,9 +55,9 @@ def neighbors_of(grid: Grid, hood=DEFAULT, cells: DataFrame | None = None, keep:
     big = F.col("len") * 2
     up, down = F.greatest(F.col("lvl") - 1, F.lit(0)), F.least(F.col("lvl") + 1, F.lit(meta.max_level))
     rows = rows.withColumns({"coarse": F.when(F.col("lvl") > 0, mapping.cell_inside(meta, corner, up)), "down": mapping.cell_inside(meta, corner, down)})
-    leaf = grid.ids
-    rows = rows.join(leaf.withColumnRenamed("cell", "is_same"), F.col("same") == F.col("is_same"), "left")
-    rows = rows.join(leaf.withColumnRenamed("cell", "is_coarse"), F.when(F.col("is_same").isNull(), F.col("coarse")) == F.col("is_coarse"), "left")
+    leaf = grid.cells.select("cell", *within) if within else grid.ids
+    rows = _met(rows, leaf.withColumnRenamed("cell", "is_same"), F.col("same"), "is_same", within)
+    rows = _met(rows, leaf.withColumnRenamed("cell", "is_coarse"), F.when(F.col("is_same").isNull(), F.col("coarse")), "is_coarse", within)
 
     same, coarse = F.col("is_same").isNotNull(), F.col("is_coarse").isNotNull()
     whole = same | coarse | (F.col("lvl") >= meta.max_level)
@@ -69,13 +78,13 @@ def neighbors_to(grid: Grid, hood=DEFAULT) -> DataFrame:
     return neighbors_of(grid, hood).select(F.col("nbr").alias("cell"), F.col("cell").alias("nbr")).distinct()
 
 
-def with_places(grid: Grid, neigh: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
+def with_places(grid: Grid, neigh: DataFrame, columns: tuple[str, ...] = (), within: tuple[str, ...] = ()) -> DataFrame:
     """neigh with the neighbor's length nlen and level nlvl, which follow from its id without a join, and columns of the neighbor (as n_<name>), which need one."""
     level = mapping.level_of(grid.meta, F.col("nbr"))
     neigh = neigh.withColumns({"nlvl": level, "nlen": mapping.length_in_indices(grid.meta, level)})
     if columns:
-        other = small(grid.cells.select(F.col("cell").alias("nbr"), *[F.col(c).alias(f"n_{c}") for c in columns]), grid.leaves)
-        neigh = neigh.join(other, "nbr")
+        other = small(grid.cells.select(F.col("cell").alias("nbr"), *within, *[F.col(c).alias(f"n_{c}") for c in columns]), grid.leaves)
+        neigh = neigh.join(other, ["nbr", *within])
     return neigh
 
 

@@ -20,8 +20,10 @@ from ..operators import neighbors as N
 from ..operators import partition as P
 from ..operators import stencil as S
 from ..operators import workloads as W
+from ..operators.blocks import blocked_stencil
 from ..sources import store
 from ..sources.binning import binned, refined_by_count, sums_per_leaf
+from ..streaming.pyramid import DeltaPyramid
 from . import oracle as O
 from .grid import Grid
 from .shared import settle
@@ -48,10 +50,10 @@ ROUND = GridMeta(LENGTH, 1, (True, True, False))
 
 
 def items(spark, sf_dir: str, meta: GridMeta) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_quantity", "l_discount", "l_tax", "l_linenumber", "l_orderkey")
+    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_quantity", "l_discount", "l_tax", "l_linenumber", "l_orderkey", "l_returnflag")
     step = 1 << (2 - meta.max_level)
     at = [F.col("l_quantity").cast("long") - 1, F.round(F.col("l_discount") * 100).cast("long"), F.round(F.col("l_tax") * 100).cast("long")]
-    return df.select(*[mapping.div(c, step).alias(n) for c, n in zip(at, ("ix", "iy", "iz"))], F.col("l_quantity").cast("long").alias("qty"), F.col("l_linenumber").cast("long").alias("line"), F.col("l_orderkey").alias("okey"))
+    return df.select(*[mapping.div(c, step).alias(n) for c, n in zip(at, ("ix", "iy", "iz"))], F.col("l_quantity").cast("long").alias("qty"), F.col("l_linenumber").cast("long").alias("line"), F.col("l_orderkey").alias("okey"), F.col("l_returnflag").alias("flag"))
 
 
 def items_sql(meta: GridMeta) -> str:
@@ -431,6 +433,14 @@ def stencil_sum(spark, sf_dir):
     return S.stencil(grid, {"neighbors": F.count(F.lit(1)), "rows_around": F.sum("n_n"), "qty_around": F.sum("n_qty"), "shift": F.sum("ox")}, ("n", "qty"))
 
 
+@query(f"{leaf_counts_sql(ROUND)}, n AS ({O.near(ROUND)}) SELECT n.cell, count(*) AS neighbors, CAST(sum(c.n) AS BIGINT) AS rows_around, max(n.oz) AS above FROM n JOIN cells c ON c.cell = n.nbr GROUP BY n.cell")
+def stencil_by_blocks(spark, sf_dir):
+    """Leaves are shuffled once, by block, with copies of those at borders; all joins and sums stay within blocks."""
+    grid = one_level(spark, sf_dir, ROUND)
+    grid = with_counts(Grid(ROUND, grid.cells), items(spark, sf_dir, ROUND))
+    return blocked_stencil(grid, {"neighbors": F.count(F.lit(1)), "rows_around": F.sum("n_n"), "above": F.max("oz")}, ("n",), side=2)
+
+
 @query(f"{leaf_counts_sql()}, {FACES_SQL} SELECT f.cell, max(abs(a.n - b.n)::DOUBLE / (least(a.n, b.n) + 8)) AS max_diff FROM f JOIN cells a ON a.cell = f.cell JOIN cells b ON b.cell = f.nbr GROUP BY f.cell")
 def stencil_max_diff(spark, sf_dir):
     grid = with_counts(one_level(spark, sf_dir), items(spark, sf_dir, M1))
@@ -491,6 +501,50 @@ def restrict_average(spark, sf_dir):
     return S.pyramid(with_counts(one_level(spark, sf_dir), items(spark, sf_dir, M1)), {"n": F.avg("n")}, 0)
 
 
+_LEVELS = "SELECT {l0} AS cell, 0 AS lvl, count(*) AS n, CAST(sum(qty) AS BIGINT) AS qty FROM {rows} GROUP BY 1 UNION ALL SELECT {l1}, 1, count(*), CAST(sum(qty) AS BIGINT) FROM {rows} WHERE {l0} IN (SELECT cell FROM r0) GROUP BY 1"
+
+
+def _levels(meta: GridMeta, rows: str) -> str:
+    """The sums of a grid whose cells in r0 are refined, level by level."""
+    return _LEVELS.format(l0=O.cell(meta, ("ix", "iy", "iz"), "0"), l1=O.cell(meta, ("ix", "iy", "iz"), "1"), rows=rows)
+
+
+@query(f"WITH {leaves_sql()}, kept AS (SELECT p.* FROM (SELECT *, l_returnflag AS flag FROM (SELECT lineitem.*, {items_sql(M1).split('SELECT ', 1)[1].rsplit(' FROM lineitem', 1)[0]} FROM lineitem)) p WHERE flag <> 'R') {_levels(M1, 'kept')}")
+def pyramid_by_deltas(spark, sf_dir):
+    """All rows in three batches, then a batch that takes returned ones away, one batch sent twice and a compaction between: the sums are those of a recount."""
+    grid = one_level(spark, sf_dir)
+    pyramid = DeltaPyramid(spark, _folder(spark), grid, at(), {"n": F.lit(1), "qty": F.col("qty")})
+    rows = items(spark, sf_dir, M1)
+    for batch in (0, 1, 1, 2):
+        pyramid.apply(rows.filter(F.col("okey") % 3 == batch), batch)
+    pyramid.compact()
+    pyramid.apply(rows.filter("flag = 'R'"), 3, -1)
+    return pyramid.totals()
+
+
+EVENTS = GridMeta((16, 4, 4), 1)
+_KINDS = ("click", "error", "purchase", "signup", "view")
+
+
+@query(f"WITH pts AS (SELECT CAST(date_diff('day', TIMESTAMP '2024-01-01', ts) AS BIGINT) AS ix, user_id // 20 AS iy, list_position({list(_KINDS)}, event_type) AS iz, 1 AS qty FROM events), r0 AS (SELECT cell FROM (SELECT {O.cell(EVENTS, ('ix', 'iy', 'iz'), '0')} AS cell FROM pts) GROUP BY cell HAVING count(*) * 100 > (SELECT count(*) FROM pts)), s AS ({_levels(EVENTS, 'pts')}) SELECT cell, lvl, n FROM s WHERE cell <> 0")
+def pyramid_of_stream(spark, sf_dir):
+    """A stream of events by day, user and type, whose batches are added to a pyramid as they come: the sums are those of a recount."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", "user_id", "event_type")
+    index = (F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).cast("long"), mapping.div(F.col("user_id"), 20), F.array_position(F.lit(list(_KINDS)), F.col("event_type")))
+    grid = refined_by_count(Grid.level0(spark, EVENTS), events, index, F.col("n") * 100 > F.col("total"))
+    path = _folder(spark)
+    pyramid = DeltaPyramid(spark, f"{path}/pyramid", grid, index, {"n": F.lit(1)})
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(_stream_folder(spark, events, path))
+    pyramid.follow(stream.select("ts", "user_id", "event_type"), f"{path}/checkpoint", availableNow=True).awaitTermination()
+    return pyramid.totals()
+
+
+def _stream_folder(spark, events: DataFrame, path: str) -> str:
+    """A folder of the table's rows in several files, as a stream would find them."""
+    events.repartition(3).write.parquet(f"{path}/events")
+    return f"{path}/events"
+
+
 # --- E: refinement -------------------------------------------------------------------------------------------------
 
 DEEP = "l1_dense AS (SELECT cell FROM (SELECT {c1} AS cell FROM pts) GROUP BY cell HAVING count(*) * 700 > (SELECT count(*) FROM pts))"
