@@ -10,13 +10,14 @@ neighbor pairs that cross levels, so the loops never read the pairs of equal lev
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import mapping
 from ..plans.grid import CORE, Grid
-from ..plans.shared import settle, small
+from ..plans.shared import SMALL_ROWS, settle, small
 from .lookup import existing_at_point
 from .neighbors import neighbors_of, probes, with_places
 
@@ -33,6 +34,8 @@ class Adapted:
     #: Former rows of cells that were refined or merged away.
     refined_data: DataFrame
     unrefined_data: DataFrame
+    #: The new grid's neighbor pairs of different levels, if the old ones were given.
+    pairs: DataFrame | None = None
 
 
 def _ids(grid: Grid, ids: DataFrame | list[int] | None) -> DataFrame:
@@ -51,6 +54,27 @@ def level_pairs(grid: Grid) -> DataFrame:
     return near.select(F.when(finer, F.col("cell")).otherwise(F.col("nbr")).alias("coarse"), F.when(finer, F.col("nbr")).otherwise(F.col("cell")).alias("fine")).distinct()
 
 
+def level_pairs_of(grid: Grid, cells: DataFrame) -> DataFrame:
+    """Those of level_pairs that some of the grid's leaves (rows of it) are part of: what is in their neighborhoods, and coarser leaves that have them in theirs, which lie around their parents. Finer ones that have a leaf in theirs are in its own."""
+    meta = grid.meta
+    near = with_places(grid, neighbors_of(grid, cells=cells, keep=("lvl",))).filter("lvl <> nlvl")
+    finer = F.col("nlvl") > F.col("lvl")
+    of = near.select(F.when(finer, F.col("cell")).otherwise(F.col("nbr")).alias("coarse"), F.when(finer, F.col("nbr")).otherwise(F.col("cell")).alias("fine"))
+    twice = F.col("len") * 2
+    parents = cells.filter("lvl > 0").select("cell", (F.col("lvl") - 1).alias("lvl"), *[(F.col(c) - F.col(c) % twice).alias(c) for c in _INDEX], twice.alias("len"))
+    around = probes(grid, parents, grid.offsets()).select(mapping.cell_inside(meta, (F.col("wx"), F.col("wy"), F.col("wz")), F.col("lvl")).alias("coarse"), F.col("cell").alias("fine"))
+    return of.union(around.join(grid.ids.withColumnRenamed("cell", "coarse"), "coarse", "left_semi")).distinct()
+
+
+def updated_pairs(pairs: DataFrame, grid: Grid, gone: DataFrame, made: DataFrame) -> DataFrame:
+    """The grid's level_pairs from those before an adaptation: without the pairs of cells that are gone, with those of cells that were made. Neighbors of all other cells are not looked at."""
+    kept = pairs
+    for end in ("coarse", "fine"):
+        kept = kept.join(gone.select(F.col("cell").alias(end)), end, "left_anti")
+    new = grid.cells.join(made.select("cell"), "cell", "left_semi")
+    return kept.select("coarse", "fine").union(level_pairs_of(grid, new))
+
+
 def _spread(start: DataFrame, pairs: DataFrame, source: str, target: str, rounds: int) -> DataFrame:
     """start and all that pairs lead to from it."""
     reached = frontier = settle(start.distinct())
@@ -110,15 +134,16 @@ def adapt(
     dont_unrefine: DataFrame | list[int] | None = None,
     prolong: dict[str, Column] | None = None,
     restrict: dict[str, Column] | None = None,
+    pairs: DataFrame | None = None,
 ) -> Adapted:
-    """prolong: values of new cells as expressions over their parent's row (default: the parent's). restrict: values of merged cells as aggregates over their children's rows (default: null). Children inherit owner, pin and weight; a merged cell gets the owner of its first child and loses pin and weight. Requests for cells that don't exist are passed over; refining at the largest level counts as a veto against merging. What nobody asks for is not planned."""
+    """prolong: values of new cells as expressions over their parent's row (default: the parent's). restrict: values of merged cells as aggregates over their children's rows (default: null). Children inherit owner, pin and weight; a merged cell gets the owner of its first child and loses pin and weight. Requests for cells that don't exist are passed over; refining at the largest level counts as a veto against merging. What nobody asks for is not planned. pairs: the grid's level_pairs if they are at hand, as the result of an earlier adaptation has them; they are kept up to date then."""
     meta = grid.meta
     user = [c for c in grid.cells.columns if c not in CORE]
     cells = grid.cells
     none = cells.limit(0)
     ask = {n: _asked(grid, ids) for n, ids in (("unrefine", unrefine), ("dont_refine", dont_refine), ("dont_unrefine", dont_unrefine))} if meta.max_level else {"unrefine": None}
     if not meta.max_level or refine is None and (ask["unrefine"] is None or grid.uniform):
-        return Adapted(grid, none.select("cell"), none.select("cell"), none, none)
+        return Adapted(grid, none.select("cell"), none.select("cell"), none, none, pairs)
     refined = at_limit = None
     if refine is not None:
         wanted = cells.join(_ids(grid, refine).distinct(), "cell", "left_semi").select("cell", "lvl")
@@ -128,10 +153,10 @@ def adapt(
         if grid.uniform:
             chosen = wanted if veto is None else wanted.join(veto, "cell", "left_anti")
         else:
-            pairs = settle(level_pairs(grid))
+            across = settle(level_pairs(grid)) if pairs is None else pairs
             if veto is not None:
-                wanted = wanted.join(_spread(cells.join(veto, "cell", "left_semi").select("cell"), pairs, "coarse", "fine", meta.max_level), "cell", "left_anti")
-            chosen = _spread(wanted, pairs, "fine", "coarse", meta.max_level)
+                wanted = wanted.join(_spread(cells.join(veto, "cell", "left_semi").select("cell"), across, "coarse", "fine", meta.max_level), "cell", "left_anti")
+            chosen = _spread(wanted, across, "fine", "coarse", meta.max_level)
         chosen = settle(chosen)
         n = chosen.count()
         chosen = small(chosen, n)
@@ -163,7 +188,15 @@ def adapt(
     after = settle(after)
     leaves = grid.leaves + 7 * n if grid.leaves is not None and refined is not None and gone is None else after.count()
     new = Grid(meta, after, grid.hoods, grid.cell_items, grid.neighbor_items, leaves)
-    return Adapted(new, born, none.select("cell") if gone is None else gone.select("cell"), none if refined is None else refined, none if gone is None else gone.drop("group"))
+    if pairs is not None:
+        changed = [(refined, born)] if refined is not None else []
+        if gone is not None:
+            changed.append((gone, up))
+        lost, made_ids = (reduce(DataFrame.union, [x[k].select("cell") for x in changed]) for k in (0, 1))
+        few = refined is not None and gone is None and n <= SMALL_ROWS // 8
+        lost, made_ids = (F.broadcast(lost), F.broadcast(made_ids)) if few else (lost, made_ids)
+        pairs = settle(updated_pairs(pairs, new, lost, made_ids))
+    return Adapted(new, born, none.select("cell") if gone is None else gone.select("cell"), none if refined is None else refined, none if gone is None else gone.drop("group"), pairs)
 
 
 def requests_at(grid: Grid, points: DataFrame, x: str = "x", y: str = "y", z: str = "z") -> DataFrame:
@@ -175,9 +208,11 @@ def load_cells(grid: Grid, wanted: DataFrame | list[int]) -> Grid:
     """From a grid of level 0, refine until the listed cells exist. Ids that are no cell's are passed over."""
     meta = grid.meta
     ids = settle(mapping.with_place(_ids(grid, wanted), meta).filter("lvl >= 0"))
+    pairs = grid.cells.sparkSession.createDataFrame([], "coarse long, fine long") if grid.uniform else None
     for k in range(ids.agg(F.max("lvl")).first()[0] or 0):
         ups = ids.filter(F.col("lvl") > k).select(mapping.ancestor(meta, (F.col("ix"), F.col("iy"), F.col("iz")), k).alias("cell")).distinct()
-        grid = adapt(grid, refine=ups).grid
+        done = adapt(grid, refine=ups, pairs=pairs)
+        grid, pairs = done.grid, done.pairs
     return grid
 
 

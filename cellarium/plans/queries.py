@@ -580,6 +580,17 @@ def neighbors_of_two_levels(spark, sf_dir):
     return N.neighbors_of(two_levels(spark, sf_dir))
 
 
+@query(f"WITH {_TWO}, leaf AS ({O.placed(M2, 'SELECT cell FROM a2')}), p AS (SELECT DISTINCT cell, nbr FROM ({O.near(M2)})) SELECT DISTINCT CASE WHEN a.lvl < b.lvl THEN a.cell ELSE b.cell END AS coarse, CASE WHEN a.lvl < b.lvl THEN b.cell ELSE a.cell END AS fine FROM p JOIN leaf a ON a.cell = p.cell JOIN leaf b ON b.cell = p.nbr WHERE a.lvl <> b.lvl")
+def pairs_by_deltas(spark, sf_dir):
+    """Neighbors of different levels, kept through two adaptations: each looks only around the cells it changed."""
+    none = spark.createDataFrame([], "coarse long, fine long")
+    counts = settle(sums_per_leaf(Grid.level0(spark, M2), items(spark, sf_dir, M2), at(), {"n": F.lit(1)}))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    first = A.adapt(Grid.level0(spark, M2), refine=counts.filter(F.col("n") * 100 > total).select("cell"), pairs=none)
+    chosen = first.grid.cells.filter("lvl = 1 and (ix + iy + iz) % 3 = 0").select("cell")
+    return A.adapt(first.grid, refine=chosen, pairs=first.pairs).pairs.select("coarse", "fine")
+
+
 @query(
     f"WITH {_P0}, {_NEAR1}, v0 AS (SELECT cell FROM g1 WHERE lvl = 0 AND cell % 7 = 2), v1 AS (SELECT cell FROM v0 UNION SELECT n1.nbr FROM n1 JOIN g1 a ON a.cell = n1.cell JOIN g1 b ON b.cell = n1.nbr WHERE n1.cell IN (SELECT cell FROM v0) AND b.lvl > a.lvl), w AS (SELECT cell FROM c1 WHERE cell NOT IN (SELECT cell FROM v1)), w2 AS (SELECT cell FROM w UNION SELECT n1.nbr FROM n1 JOIN g1 a ON a.cell = n1.cell JOIN g1 b ON b.cell = n1.nbr WHERE n1.cell IN (SELECT cell FROM w) AND b.lvl < a.lvl) SELECT cell FROM ({O.children(M2, 'SELECT cell FROM w2')})"
 )

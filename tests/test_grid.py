@@ -131,6 +131,25 @@ def test_refine_and_merge_back(spark):
     assert A.adapt(Grid.level0(spark, GridMeta((2, 1, 1), 0)), refine=[1]).new.count() == 0
 
 
+@pytest.mark.parametrize("hood,periodic,seed", [(1, (True, False, True), 1), (2, (True, False, True), 3), (0, (False, True, False), 4)])
+def test_pairs_kept_by_deltas(spark, hood, periodic, seed):
+    """After each of a sequence of refinements, vetoes and merges the kept pairs are those of a rebuild, and the grids are those without kept pairs."""
+    r = random.Random(seed)
+    grid = Grid.level0(spark, GridMeta((4, 3, 3), 3, periodic, hood))
+    pairs = spark.createDataFrame([], "coarse long, fine long")
+    for turn in range(3):
+        cells = ids(grid.cells, "cell")
+        ask = {"refine": r.sample(cells, min(len(cells), 5)), "dont_refine": r.sample(cells, 2)}
+        if turn > 1:
+            ask["unrefine"] = r.sample(cells, len(cells) // 2)
+        done = A.adapt(grid, pairs=pairs, **ask)
+        if turn > 1:
+            plain = A.adapt(grid, **ask)
+            assert ids(done.grid.cells, "cell") == ids(plain.grid.cells, "cell") and plain.pairs is None
+        assert ids(done.pairs, "coarse", "fine") == ids(A.level_pairs(done.grid), "coarse", "fine")
+        grid, pairs = done.grid, done.pairs
+
+
 def test_load_cells(spark):
     wanted = [9001, 10600, 73000, 37_449_001]
     grid = A.load_cells(Grid.level0(spark, GridMeta((10, 10, 10), 5, hood=2)), wanted)
