@@ -21,7 +21,7 @@ from ..operators import partition as P
 from ..operators import stencil as S
 from ..operators import workloads as W
 from ..operators.blocks import blocked_stencil
-from ..sources import store
+from ..sources import snapshot, store
 from ..sources.binning import binned, refined_by_count, sums_per_leaf
 from ..streaming.pyramid import DeltaPyramid
 from . import oracle as O
@@ -712,6 +712,16 @@ def binary_round_trip(spark, sf_dir):
     return store.read_binary(spark, path, {"n": "q", "qty": "q"}, 8)[0].cells.select("cell", "lvl", "n", "qty")
 
 
+@query(f"{leaf_counts_sql()} SELECT cell, lvl, part, CAST(n AS DOUBLE) AS density, CAST(qty AS DOUBLE) AS vx FROM cells")
+def snapshot_round_trip(spark, sf_dir):
+    path = f"{_folder(spark)}.dc"
+    grid = with_counts(one_level(spark, sf_dir), items(spark, sf_dir, M1))
+    flow = grid.meta.with_(geometry=Cartesian())
+    columns = {"density": F.col("n"), "vx": F.col("qty"), **{c: F.lit(0.0) for c in ("max_diff", "vy", "vz")}}
+    snapshot.write_snapshot(Grid(flow, grid.cells).with_columns(columns), path)
+    return snapshot.read_snapshot(spark, path)[0].cells.select("cell", "lvl", "part", "density", "vx")
+
+
 @query(f"{leaf_counts_sql()} SELECT cell, lvl, n FROM cells WHERE cell BETWEEN 60 AND 500 AND n > 2")
 def grid_file_range(spark, sf_dir):
     """Of a saved grid, a range of ids: only that part of the file is read, and of its columns one."""
