@@ -4,7 +4,8 @@ Every block element is a node with features: tag group, attribute tokens (class,
 and of the elements around it, depth, size and link share of its subtree, words per block and punctuation in it (subtree
 density), its place among its siblings and their sizes, its place in the page. Boosted trees give each node the log-odds that it holds
 or encloses main text. Decoding is hierarchical: a node is kept or goes with its whole subtree, so no node is kept inside one that
-goes; from the leaves up, a subtree stays if its node's log-odds plus those of the subtrees staying in it are above zero.
+goes; from the leaves up, a subtree stays if its node's log-odds plus those of the subtrees staying in it are above zero. Where no text stays, the densest
+prose does (see `densest`): pages whose elements have neither names nor telling tags give the trees little to go by.
 
 The trees are trained on pages made up here by a seeded rule: many page plans, tags, class names and writing
 styles, with the truth known. Training is the same on every machine, takes seconds on the driver, and its
@@ -125,6 +126,38 @@ def decode(nodes: list[Node], margin: np.ndarray) -> list[bool]:
     return keep
 
 
+#: A block of at least so many words, of which links hold at most such a share of the characters, is prose.
+PROSE_WORDS, PROSE_LINKS = 12, 0.3
+_NOT_MAIN = frozenset(("nav", "footer", "aside", "form", "button", "select", "option", "dialog", "header"))
+_HEADINGS = frozenset(TAGS[2])
+
+
+def densest(nodes: list[Node]) -> list[bool]:
+    """Which nodes stay where the trees find nothing, as on pages whose elements have no names to go by: the prose of the element around which most of it stands, and the headings beside it. Nothing that a menu, footer, form or the like encloses, or whose attributes name something else than main text."""
+    n = len(nodes)
+    out = [False] * n
+    barred, inside = [False] * n, [0] * n
+    for i, node in enumerate(nodes):
+        other = any(_GROUPS[k] not in ("main", "head") for t in node.tokens for k in _WORD.get(t, ()))
+        barred[i] = (i > 0 and barred[node.parent]) or node.tag in _NOT_MAIN or other
+    prose = [i for i in range(1, n) if not barred[i] and nodes[i].words >= PROSE_WORDS and nodes[i].linked <= PROSE_LINKS * nodes[i].own]
+    if not prose:
+        return out
+    for i in prose:
+        inside[nodes[i].parent] += nodes[i].words
+    top = max(range(n), key=lambda i: (inside[i], -i))
+    within = [False] * n
+    within[top] = True
+    for i in range(top + 1, n):
+        within[i] = within[nodes[i].parent]
+    for i in prose:
+        out[i] = within[i]
+    for i in range(top + 1, n):
+        if within[i] and nodes[i].tag in _HEADINGS and not barred[i]:
+            out[i] = True
+    return out
+
+
 # --- made-up pages -------------------------------------------------------------------------------------------------
 
 
@@ -267,6 +300,8 @@ def extract(pages: list[str | None], model: Boosted) -> list[str]:
     out = []
     for k, (nodes, texts) in enumerate(parsed):
         keep = decode(nodes, margin[at[k] : at[k + 1]])
+        if texts and not any(keep[i] for i, _ in texts):
+            keep = densest(nodes)
         out.append(" ".join(t for i, t in texts if keep[i]))
     return out
 
