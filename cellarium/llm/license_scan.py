@@ -3,13 +3,14 @@
 Templates are lower-case words. Hashes of their runs of `K` words are winnowed (the least of every `WINDOW`
 neighbouring hashes is a fingerprint) into an inverted index: fingerprint -> template and position. All runs of a
 document are looked up, so any run of K + WINDOW - 1 words that it shares with a template is found. Hits of one template
-whose diagonals lie within the band, that stand close together and go forward in the template are one candidate; where the template begins again, another
-does. A banded alignment of the whole template (match 1, mismatch and gap -1), row by row for all of the band at once, gives the matched words, their share of the template (coverage) and the
+that stand close together and go forward in document and template are chained to one candidate, whose diagonal may drift, as it does where a long name or a sentence stands
+in a license; where the template begins again, another candidate does. Candidates whose hits leave so much of the template without a fingerprint that they can't reach
+`min_coverage` go without being aligned, so repeated phrases are cheap. The band is as wide as a candidate's diagonals and BAND on both sides. A banded alignment of the whole template (match 1, mismatch and gap -1), row by row for all of the band at once, gives the matched words, their share of the template (coverage) and the
 span in the text. Candidates below `min_coverage` are dropped; each occurrence is a row.
 
 Templates are a parameter, a tuple or a DataFrame of license and text; they are broadcast, and of over `most_words` words refused. Documents are scanned in place and never shuffled.
 Edge cases. Null and empty texts have no match; templates of under K words match nothing. Of matches that
-overlap in the text, the one with the highest coverage stays, then the one with most words, then the first template. Very long texts are read whole; repeated rows are each reported. Columns beside id and text are not read, so their names may
+overlap in the text, the one with most matched words stays, then the one with the highest coverage, then the first template: a license with a clause more than another is also that one with an insertion. Very long texts are read whole; repeated rows are each reported. Columns beside id and text are not read, so their names may
 clash with the results'.
 """
 
@@ -27,6 +28,10 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, St
 from .tokens import WORD, SeedIndex, Vocabulary, seed_hashes, words
 
 K, WINDOW, BAND = 3, 2, 8
+#: A candidate's diagonals may drift by a DRIFT-th of the template's words from one hit to the next, and by twice that in all.
+DRIFT = 4
+#: Alignments that are kept while one text is scanned for one template: repeated passages are aligned once.
+KNOWN = 1 << 12
 MATCH = ArrayType(StructType([StructField("license", StringType()), StructField("coverage", DoubleType()), StructField("n_matched", IntegerType()), StructField("start", IntegerType()), StructField("end", IntegerType())]))
 
 # fixed values: the public texts of short licenses, whole, and the notices by which long ones are applied
@@ -74,15 +79,33 @@ def winnow(h: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return np.unique(np.arange(len(view)) + window - 1 - view.argmin(1))
 
 
-def align(template: np.ndarray, doc: np.ndarray, diagonal: int, band: int) -> list[tuple[int, int]]:
-    """Matched (template, document) positions of the best alignment of the whole template near a diagonal (document minus template position). Words before and after it in the document are free."""
-    width, n = 2 * band + 1, len(template)
-    at = np.arange(width)
-    near = np.full(n + width, -1, np.int64)  # the document's words along the band, -1 outside
+def along(template: np.ndarray, doc: np.ndarray, diagonal: int, band: int) -> np.ndarray:
+    """The document's words along a band, -1 outside."""
+    near = np.full(len(template) + 2 * band + 1, -1, np.int64)
     low = diagonal - band
     a, b = max(0, -low), min(len(near), len(doc) - low)
     if a < b:
         near[a:b] = doc[low + a : low + b]
+    return near
+
+
+def align(template: np.ndarray, doc: np.ndarray, diagonal: int, band: int, known: dict[bytes, list[tuple[int, int]]] | None = None) -> list[tuple[int, int]]:
+    """Matched (template, document) positions of the best alignment of the whole template near a diagonal (document minus template position). Words before and after it in the document are free. known: alignments of this template by band and words along it, which this one is looked up in and added to."""
+    near = along(template, doc, diagonal, band)
+    key = near.tobytes()
+    if known is None or key not in known:
+        found = _aligned(template, near, band)
+        if known is None:
+            return [(i, j + diagonal) for i, j in found]
+        if len(known) >= KNOWN:
+            known.clear()
+        known[key] = found
+    return [(i, j + diagonal) for i, j in known[key]]
+
+
+def _aligned(template: np.ndarray, near: np.ndarray, band: int) -> list[tuple[int, int]]:
+    width, n = 2 * band + 1, len(template)
+    at = np.arange(width)
     score, moves = np.zeros(width, np.int64), np.zeros((n, width), np.int8)
     for i in range(n):
         same = near[i : i + width] == template[i]
@@ -98,7 +121,7 @@ def align(template: np.ndarray, doc: np.ndarray, diagonal: int, band: int) -> li
     while i >= 0:
         how = moves[i][b]
         if how == 1:
-            out.append((i, i + diagonal + b - band))
+            out.append((i, i + b - band))
         if how == 3:
             i, b = i - 1, b + 1
         elif how == 4:
@@ -108,6 +131,13 @@ def align(template: np.ndarray, doc: np.ndarray, diagonal: int, band: int) -> li
     return out[::-1]
 
 
+def may_reach(hits: np.ndarray, size: int, coverage: float) -> bool:
+    """Whether a template of so many words can be covered that far where only these of its runs are hit. Where none is, no K + WINDOW - 1 words in a row match, so of so many words one at least is missing."""
+    ends = np.concatenate([[-K], np.unique(hits), [size]])
+    free = np.maximum(0, np.diff(ends) - K)
+    return (free // (K + WINDOW - 1)).sum() <= size - coverage * size
+
+
 class Templates:
     def __init__(self, templates: tuple[tuple[str, str], ...], min_coverage: float):
         self.min_coverage = min_coverage
@@ -123,6 +153,41 @@ class Templates:
             found.append((h[keep], np.full(len(keep), i), at[keep]))
         self.index = SeedIndex(*(np.concatenate(x) for x in zip(*found))) if found else SeedIndex(*[np.zeros(0, k) for k in (np.uint64, np.int64, np.int64)])
 
+    def _groups(self, at: np.ndarray, there: np.ndarray, size: int) -> list[tuple[int, int]]:
+        """Least and largest diagonal of each candidate among one template's hits (places in the document and in the template), without those that can't reach the coverage."""
+        done: list[list[int]] = []
+        # may go on, by last place in the template, the latest of equal ones: last places in document and template, least and largest diagonal, hits
+        open_: dict[int, list[int]] = {}
+        drift = max(BAND, size // DRIFT)
+        for p, q in sorted(zip(at.tolist(), there.tolist())):
+            best, most = None, None
+            for k, g in list(open_.items()):
+                if p - g[0] > size + drift:
+                    del open_[k]
+                elif q > k and p > g[0]:
+                    by = abs(p - q - (g[0] - k))
+                    # the longest chain goes on, less a hit for each word of drift: strays in repeated phrases are short
+                    if by <= drift and max(g[3], p - q) - min(g[2], p - q) <= 2 * drift and (most is None or g[4] - by > most):
+                        best, most = g, g[4] - by
+            if best is not None:
+                del open_[best[1]]
+                best[:] = p, q, min(best[2], p - q), max(best[3], p - q), best[4] + 1
+            else:
+                best = [p, q, p - q, p - q, 1]
+                done.append(best)
+            if q not in open_ or open_[q][4] <= best[4] or p - open_[q][0] > drift:
+                open_[q] = best
+        # an alignment sees the hits of its diagonals only
+        order = np.argsort(at - there, kind="stable")
+        diagonals, places = (at - there)[order], there[order]
+        out = set()
+        for _, _, low, high, _ in done:
+            half = BAND + (high - low + 1) // 2
+            a, b = np.searchsorted(diagonals, [(low + high) // 2 - half, (low + high) // 2 + half + 1])
+            if may_reach(places[a:b], size, self.min_coverage):
+                out.add((low, high))
+        return sorted(out)
+
     def scan(self, text: str | None) -> list[dict]:
         if not text or not len(self.index.hits(*seed_hashes(self.vocabulary.of(words(text)), self.mask))[0]):
             return []
@@ -132,25 +197,15 @@ class Templates:
         found: dict[tuple[int, int, int], dict] = {}
         for t in np.unique(which).tolist():
             template = self.templates[t]
-            own = sorted(zip(at[which == t].tolist(), there[which == t].tolist()))
-            groups: list[int] = []  # diagonals; their number follows the text's length
-            open_: list[list[int]] = []  # of groups that may go on: diagonal, last place in the document and in the template
-            for p, q in own:
-                open_ = [g for g in open_ if p - g[1] <= len(template) + BAND]
-                for g in reversed(open_):
-                    if abs(p - q - g[0]) <= BAND and q > g[2]:
-                        g[1:] = p, q
-                        break
-                else:
-                    groups.append(p - q)
-                    open_.append([p - q, p, q])
-            for diagonal in groups:
-                pairs = align(template, ids, diagonal, BAND)
+            mine, known = which == t, {}
+            for low, high in self._groups(at[mine], there[mine], len(template)):
+                band = BAND + (high - low + 1) // 2
+                pairs = align(template, ids, (low + high) // 2, band, known)
                 if pairs and len(pairs) >= self.min_coverage * len(template):
                     start, end = places[pairs[0][1]][0], places[pairs[-1][1]][1]
                     found[t, start, end] = {"license": self.names[t], "coverage": len(pairs) / len(template), "n_matched": len(pairs), "start": start, "end": end}
         kept: list[tuple[int, int]] = []  # disjoint spans by start; of matches that overlap, the best stays
-        for k in sorted(found, key=lambda k: (-found[k]["coverage"], -found[k]["n_matched"], k)):
+        for k in sorted(found, key=lambda k: (-found[k]["n_matched"], -found[k]["coverage"], k)):
             i = bisect_left(kept, (k[2], -1))
             if not i or kept[i - 1][1] <= k[1]:
                 kept.insert(i, (k[1], k[2]))
