@@ -6,14 +6,16 @@ Graph and hypergraph partitioners have no counterpart here and are refused.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, mapping
 from ..plans.grid import Grid
-from ..plans.shared import settle
+from ..plans.shared import settle, small
 
 METHODS = ("NONE", "BLOCK", "RANDOM", "RCB", "RIB", "HSFC", "HIER")
 #: Option names that belong to the library.
@@ -36,33 +38,48 @@ def _cut(cells: DataFrame, key: Column, parts: int, within: tuple[str, ...] = ()
     return placed.withColumn("__part", F.least(F.floor(middle), F.lit(parts - 1)).cast("int")).drop("__key", "__range", "__run", "__base", "__all")
 
 
+_AXES = ("__x", "__y", "__z")
+_DIRECTION = ("__dx", "__dy", "__dz")
+
+
+def _directions(boxes: DataFrame, inertial: bool) -> DataFrame:
+    """__lo and the direction along which each box is cut: its longest side, the first of equal ones, or its axis of largest inertia. boxes: a row per box with its weight, extents and moments."""
+    side = [F.col("hi" + a) - F.col("lo" + a) for a in _AXES]
+    longest = F.when((side[0] >= side[1]) & (side[0] >= side[2]), 0).when(side[1] >= side[2], 1).otherwise(2)
+    boxes = boxes.withColumns({d: (longest == i).cast("double") for i, d in enumerate(_DIRECTION)})
+    if not inertial:
+        return boxes.select("__lo", *_DIRECTION)
+
+    def axes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = batch[["__lo", *_DIRECTION]].copy()
+            for i, r in enumerate(batch.to_dict("records")):
+                if r["w"]:
+                    mean = np.array([r["m" + a] for a in _AXES]) / r["w"]
+                    spread = np.array([[r["c" + min(a, b) + max(a, b)] for b in _AXES] for a in _AXES]) / r["w"] - np.outer(mean, mean)
+                    vector = np.linalg.eigh(spread)[1][:, -1]
+                    out.loc[out.index[i], list(_DIRECTION)] = vector * (1 if vector[np.abs(vector).argmax()] > 0 else -1)
+            yield out
+
+    return boxes.mapInPandas(axes, "__lo int, " + ", ".join(f"{d} double" for d in _DIRECTION))
+
+
 def _bisect(grid: Grid, cells: DataFrame, parts: int, inertial: bool) -> DataFrame:
-    """Recursive bisection: boxes are cut across their longest side (or their axis of largest inertia) at the weighted median, in proportion to the parts that each half gets. One aggregation per level for all boxes; the driver holds a row per part."""
+    """Recursive bisection: boxes are cut across their longest side (or their axis of largest inertia) at the weighted median, in proportion to the parts that each half gets. One aggregation per level for all boxes, whose directions are a table of a row per box."""
     x, y, z = geometry.center(grid.meta, F.col("cell"))
     cells = settle(cells.withColumns({"__x": x, "__y": y, "__z": z, "__lo": F.lit(0), "__n": F.lit(parts)}))
     for _ in range(max(0, math.ceil(math.log2(max(1, parts))))):
         w = F.col("weight")
-        axes = ("__x", "__y", "__z")
         stats = cells.filter("__n > 1").groupBy("__lo", "__n").agg(
-            F.sum(w).alias("w"), *[F.max(a).alias("hi" + a) for a in axes], *[F.min(a).alias("lo" + a) for a in axes], *[F.sum(w * F.col(a)).alias("m" + a) for a in axes], *[F.sum(w * F.col(a) * F.col(b)).alias("c" + a + b) for i, a in enumerate(axes) for b in axes[i:]]
+            F.sum(w).alias("w"), *[F.max(a).alias("hi" + a) for a in _AXES], *[F.min(a).alias("lo" + a) for a in _AXES], *[F.sum(w * F.col(a)).alias("m" + a) for a in _AXES], *[F.sum(w * F.col(a) * F.col(b)).alias("c" + a + b) for i, a in enumerate(_AXES) for b in _AXES[i:]]
         )
-        boxes = stats.collect()
-        if not boxes:
+        directions = settle(_directions(stats, inertial))
+        if not directions.limit(1).count():
             break
-        direction = {}
-        for r in boxes:
-            if inertial and r["w"]:
-                mean = np.array([r["m" + a] for a in axes]) / r["w"]
-                spread = np.array([[r["c" + min(a, b) + max(a, b)] for b in axes] for a in axes]) / r["w"] - np.outer(mean, mean)
-                vector = np.linalg.eigh(spread)[1][:, -1]
-                direction[r["__lo"]] = (vector * (1 if vector[np.abs(vector).argmax()] > 0 else -1)).tolist()
-            else:
-                sides = [r["hi" + a] - r["lo" + a] for a in axes]
-                direction[r["__lo"]] = [float(i == int(np.argmax(sides))) for i in range(3)]
-        split = F.create_map(*[F.lit(v) for k, d in direction.items() for v in (k, d)])
-        along = sum((F.col(a) * split[F.col("__lo")][i] for i, a in enumerate(axes)), F.lit(0.0))
+        along = sum((F.col(a) * F.col(d) for a, d in zip(_AXES, _DIRECTION)), F.lit(0.0))
         half = (F.col("__n") / 2).cast("int")
-        cut = _cut_in_boxes(cells.filter("__n > 1").withColumn("__left", half), along)
+        boxed = cells.filter("__n > 1").join(small(directions, parts), "__lo").withColumn("__left", half)
+        cut = _cut_in_boxes(boxed.withColumn("__along", along).drop(*_DIRECTION), F.col("__along"))
         rest = cells.filter("__n <= 1")
         cells = settle(cut.select(*rest.columns).unionByName(rest))
     return cells.withColumn("__part", F.col("__lo")).drop("__x", "__y", "__z", "__lo", "__n", "__left")

@@ -946,6 +946,23 @@ def requests_by_difference(spark, sf_dir):
     return out
 
 
+def _rcb_sql(parts: int) -> str:
+    """CTEs b0, b1, ... : boxes (lo, parts left) of cells, each cut across its longest side at the median."""
+    steps = [f"b0 AS (SELECT cell, (ix + len / 2.0::DOUBLE) / 2 AS x, (iy + len / 2.0::DOUBLE) / 2 AS y, (iz + len / 2.0::DOUBLE) / 2 AS z, 0 AS lo, {parts} AS n FROM leaf)"]
+    for k in range(math.ceil(math.log2(parts))):
+        side = {a: f"max({a}) OVER w - min({a}) OVER w" for a in "xyz"}
+        steps.append(f"s{k} AS (SELECT *, CASE WHEN {side['x']} >= {side['y']} AND {side['x']} >= {side['z']} THEN x WHEN {side['y']} >= {side['z']} THEN y ELSE z END AS along FROM b{k} WINDOW w AS (PARTITION BY lo))")
+        steps.append(f"q{k} AS (SELECT *, n > 1 AND floor((row_number() OVER (PARTITION BY lo ORDER BY along, cell) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY lo) * 1048576) < (n // 2) * 1048576.0::DOUBLE / n AS l FROM s{k})")
+        steps.append(f"b{k + 1} AS (SELECT cell, x, y, z, CASE WHEN n = 1 OR l THEN lo ELSE lo + n // 2 END AS lo, CASE WHEN n = 1 THEN 1 WHEN l THEN n // 2 ELSE n - n // 2 END AS n FROM q{k})")
+    return ", ".join(steps)
+
+
+@query(f"WITH {leaves_sql()}, {_rcb_sql(6)} SELECT cell, CAST(lo AS INTEGER) AS part FROM b3")
+def partition_rcb(spark, sf_dir):
+    """Every cell's part by recursive coordinate bisection."""
+    return P.partition(one_level(spark, sf_dir), 6, "RCB").cells.select("cell", "part")
+
+
 @query(f"WITH {leaves_sql()} SELECT m AS method, 6 AS parts, count(*) AS cells, true AS even, true AS nested FROM leaf CROSS JOIN (SELECT unnest(['RCB', 'RIB', 'HIER', 'OPTIONS']) AS m) GROUP BY m")
 def partition_bisection(spark, sf_dir):
     """Recursive and inertial bisection and hierarchies, given as levels and as options: six parts, whose sizes differ by at most three cells, and in hierarchies parts 3k to 3k + 2 make up half k of the outer cut."""

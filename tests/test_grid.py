@@ -271,6 +271,25 @@ def test_partition_refuses_and_options(spark):
     assert parts == [(0, 4), (1, 4), (2, 4), (3, 4)]
 
 
+def test_random_partition(spark):
+    """The same seed gives the same parts, another other ones; all parts are there and none is twice as large as it should be."""
+    grid = Grid.level0(spark, GridMeta((10, 10, 10)))
+    parts = lambda seed: ids(partition.partition(grid, 4, "RANDOM", seed).cells, "cell", "part")
+    one = parts(1)
+    assert one == parts(1) != parts(2)
+    sizes = [sum(p == k for _, p in one) for k in range(4)]
+    assert sum(sizes) == 1000 and all(150 < n < 350 for n in sizes)
+
+
+def test_inertial_bisection(spark):
+    """Cells along a slanted line are cut across it, in order; without weight the longest side counts."""
+    grid = Grid.level0(spark, GridMeta((12, 12, 1)))
+    line = grid.with_cells(grid.cells.filter("ix = iy"))
+    got = partition.partition(line, 4, "RIB").cells.select("ix", "part").collect()
+    order = [r["part"] for r in sorted(got)]
+    assert order in ([0] * 3 + [1] * 3 + [2] * 3 + [3] * 3, [3] * 3 + [2] * 3 + [1] * 3 + [0] * 3)
+
+
 def test_life_patterns(spark):
     meta = GridMeta((15, 15, 1))
     on = {198, 199, 200, 47, 48, 62, 63}  # a blinker and a block
