@@ -339,7 +339,9 @@ CROSS = [(1, 0, 0), (-1, 0, 0), (0, 1, 1)]
 
 @query(f"WITH {leaves_sql()} {O.near(M1, offsets=CROSS)}")
 def neighbors_user_hood(spark, sf_dir):
-    return N.neighbors_of(one_level(spark, sf_dir).add_hood("cross", CROSS), "cross")
+    """A neighborhood whose name was another's before that was removed."""
+    grid = one_level(spark, sf_dir).add_hood("cross", ALONG).remove_hood("cross")
+    return N.neighbors_of(grid.add_hood("cross", CROSS), "cross")
 
 
 FACES_SQL = f"n AS ({O.near(M1, offsets=[(0, 0, -1), (0, -1, 0), (-1, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, 1)])}), f AS (SELECT DISTINCT n.cell, n.nbr, n.ox, n.oy, n.oz, a.len AS len, b.len AS nlen, CASE WHEN ox = a.len THEN 1 WHEN ox = -b.len THEN -1 WHEN oy = a.len THEN 2 WHEN oy = -b.len THEN -2 WHEN oz = a.len THEN 3 WHEN oz = -b.len THEN -3 END AS direction FROM n JOIN leaf a ON a.cell = n.cell JOIN leaf b ON b.cell = n.nbr WHERE CAST(ox > -b.len AND ox < a.len AS INTEGER) + CAST(oy > -b.len AND oy < a.len AS INTEGER) + CAST(oz > -b.len AND oz < a.len AS INTEGER) = 2 AND (ox IN (a.len, -b.len) OR oy IN (a.len, -b.len) OR oz IN (a.len, -b.len)))"
@@ -364,10 +366,10 @@ def neighbors_at_offset(spark, sf_dir):
     return N.neighbors_at_offset(one_level(spark, sf_dir), 1, 0, -1)
 
 
-@query(f"WITH {leaves_sql()}, n AS ({O.near(M1, offsets=CROSS)}), p AS (SELECT DISTINCT cell, nbr FROM n), q AS (SELECT nbr AS cell, cell AS nbr FROM p) SELECT kind, count(*) AS n FROM (SELECT CASE WHEN q.cell IS NULL THEN 'only_of' WHEN n.cell IS NULL THEN 'only_to' ELSE 'both' END AS kind FROM n FULL JOIN q ON n.cell = q.cell AND n.nbr = q.nbr) GROUP BY kind")
+@query(f"WITH {leaves_sql()}, n AS ({O.near(M1, offsets=CROSS)}), p AS (SELECT DISTINCT cell, nbr FROM n), q AS (SELECT nbr AS cell, cell AS nbr FROM p) SELECT kind, count(*) AS n, CAST(sum(far) AS BIGINT) AS far FROM (SELECT coalesce(abs(ox) + abs(oy) + abs(oz), 0) AS far, CASE WHEN q.cell IS NULL THEN 'only_of' WHEN n.cell IS NULL THEN 'only_to' ELSE 'both' END AS kind FROM n FULL JOIN q ON n.cell = q.cell AND n.nbr = q.nbr) GROUP BY kind")
 def neighbor_table(spark, sf_dir):
     grid = one_level(spark, sf_dir).add_hood("cross", CROSS).with_items(neighbor_items={"far": F.abs("ox") + F.abs("oy") + F.abs("oz")})
-    return N.neighbor_table(grid, "cross").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return N.neighbor_table(grid, "cross").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("far").alias("far"))
 
 
 NEAR_PARTS = f"WITH {leaves_sql()}, n AS ({O.near(M1)}), x AS (SELECT DISTINCT n.cell, a.part, n.nbr, b.part AS n_part FROM n JOIN leaf a ON a.cell = n.cell JOIN leaf b ON b.cell = n.nbr WHERE a.part <> b.part)"

@@ -281,6 +281,13 @@ def test_random_partition(spark):
     assert sum(sizes) == 1000 and all(150 < n < 350 for n in sizes)
 
 
+def test_weights_are_used_and_forgotten(spark):
+    grid = Grid.level0(spark, GridMeta((8, 1, 1)))
+    heavy = partition.set_weights(grid, grid.cells.select("cell", F.when(F.col("cell") == 1, 7.0).otherwise(1.0).alias("weight")))
+    done = partition.balance_load(heavy, 2, "BLOCK")
+    assert ids(done.cells, "cell", "part", "weight") == [(c, int(c > 1), 1.0) for c in range(1, 9)]
+
+
 def test_inertial_bisection(spark):
     """Cells along a slanted line are cut across it, in order; without weight the longest side counts."""
     grid = Grid.level0(spark, GridMeta((12, 12, 1)))
