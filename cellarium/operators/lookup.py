@@ -69,7 +69,9 @@ def at_intervals(grid: Grid, points: DataFrame, index: tuple[Column, Column, Col
     row = F.monotonically_increasing_id()
     mine = points.withColumns({"__key": F.when(inside, curve.key(meta, index)), "__row": row}).withColumn("__block", mapping.shr(F.col("__key"), down))
     # blocks with many points, at most one per HOT_POINTS of them
-    hot = settle(mine.filter("__block is not null").groupBy("__block").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_POINTS).select("__block", F.ceil(F.col("n") / HOT_POINTS).alias("__deals")))
+    hot = settle(mine.groupBy("__block").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_POINTS).select("__block", F.ceil(F.col("n") / HOT_POINTS).alias("__deals")))
+    # points outside have no block; a filter before settle would be pushed down to the rows that points are computed from, with the key and all in it
+    hot = hot.filter("__block is not null")
     n = hot.count()
     hot = small(hot, n)
     leaf = grid.cells.filter(F.col("lvl").between(lo, hi)).select(F.col("cell").alias("__cell"), "lvl", curve.key(meta, (F.col("ix"), F.col("iy"), F.col("iz"))).alias("__key"))

@@ -88,6 +88,39 @@ def test_points_by_intervals(spark, grid, monkeypatch, block_level, hot):
         assert pick(a) == pick(b)
 
 
+@pytest.fixture
+def settled_plans(monkeypatch):
+    """Optimized plans of what at_intervals settles."""
+    plans, settle = [], L.settle
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return settle(df)
+
+    monkeypatch.setattr(L, "settle", kept)
+    return plans
+
+
+def costly(spark, n):
+    """Rows with indices that take a while to compute, of which no index names another."""
+    return spark.range(n).select(F.col("id"), *[F.round(F.col("id") % k / 10 * 10).cast("long").alias(c) for c, k in (("ix", 23), ("iy", 13), ("iz", 9))])
+
+
+def test_keys_name_indices_a_few_times(spark, settled_plans, grid):
+    """The pass for hot blocks computes costly indices of rows a few times, not once for each step of the key, also where points are distinct rows."""
+    at = (F.col("ix"), F.col("iy"), F.col("iz"))
+    for points in (costly(spark, 300), costly(spark, 300).select("ix", "iy", "iz").distinct()):
+        L.at_intervals(grid, points, at)
+    assert len(settled_plans) == 2 and all(3 <= plan.count("round(") <= 20 for plan in settled_plans)
+
+
+def test_keys_against_bits(spark):
+    r = random.Random(3)
+    rows = [tuple(r.randrange(1 << r.randint(0, curve.BITS)) for _ in range(3)) for _ in range(500)] + [(0, 0, 0), ((1 << curve.BITS) - 1,) * 3, (0, 127, 128)]
+    out = spark.createDataFrame([*rows, (None, 1, 2)], "ix long, iy long, iz long").select("*", curve.key(META, (F.col("ix"), F.col("iy"), F.col("iz"))).alias("k"))
+    assert all(x["k"] == (None if x["ix"] is None else curve.interleaved(x["ix"], x["iy"], x["iz"])) for x in out.collect())
+
+
 def test_many_leaves_are_looked_up_by_intervals(spark, grid):
     """Where leaves aren't known to be few there is one shuffle, whatever the number of levels."""
     unknown = Grid(META, grid.cells)
