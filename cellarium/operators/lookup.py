@@ -29,8 +29,7 @@ def existing_at_indices(grid: Grid, points: DataFrame, index: tuple[Column, Colu
         return points.withColumn(name, ids[0] if lo == 0 else F.lit(0).cast("long"))
     if by not in (None, "intervals", "candidates"):
         raise ValueError(f"unknown way {by}")
-    few = grid.leaves is not None and grid.leaves <= SMALL_ROWS
-    if by == "intervals" or by is None and not few and not curve.shift(grid.meta):
+    if goes_by_intervals(grid, by):
         return at_intervals(grid, points, index, lo, hi, name)
     leaf = grid.ids
     if tiled and lo == 0 and hi == grid.meta.max_level:
@@ -47,6 +46,12 @@ def existing_at_indices(grid: Grid, points: DataFrame, index: tuple[Column, Colu
     return out.drop(*found, *[f"__try{k}" for k in range(lo, hi + 1)])
 
 
+def goes_by_intervals(grid: Grid, by: str | None = None) -> bool:
+    """Whether existing_at_indices goes by intervals, and so reads its points twice."""
+    few = grid.leaves is not None and grid.leaves <= SMALL_ROWS
+    return not grid.uniform and (by == "intervals" or by is None and not few and not curve.shift(grid.meta))
+
+
 #: Points of one block from which on they are dealt to several tasks.
 HOT_POINTS = 1_000_000
 
@@ -57,7 +62,7 @@ def at_intervals(grid: Grid, points: DataFrame, index: tuple[Column, Column, Col
     Leaves hold disjoint intervals of the space-filling curve, so a point's cell is that which starts last at or before its key, if it reaches as far. Leaves and points meet by
     blocks (cells of block_level, on which leaves of smaller levels are repeated) and are read once in the order of keys: one shuffle and one sort, however
     many levels there are. A block with more than HOT_POINTS points is dealt to several tasks, each with the block's leaves; points outside the grid are dealt out
-    too."""
+    too. Points are read twice, first to count those of each block; settle them before where they are few but come from many rows."""
     meta = grid.meta
     hi = meta.max_level if hi is None else hi
     if curve.shift(meta):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import mapping
 from ..functions.meta import GridMeta
 from ..operators.adapt import adapt
-from ..operators.lookup import existing_at_indices
+from ..operators.lookup import existing_at_indices, goes_by_intervals
 from ..plans.grid import Grid
 from ..plans.shared import settle
 
@@ -23,9 +23,11 @@ def to_leaves(grid: Grid, df: DataFrame, index: tuple[Column, Column, Column], n
 
 
 def sums_per_leaf(grid: Grid, df: DataFrame, index: tuple[Column, Column, Column], sums: dict[str, Column], by: str | None = None) -> DataFrame:
-    """cell and sums over the rows of each leaf (cell 0: rows outside the grid). Rows are summed by lattice point before they are looked up, so what is joined does not grow with the table."""
+    """cell and sums over the rows of each leaf (cell 0: rows outside the grid). Rows are summed by lattice point before they are looked up, so what is joined does not grow with the table, and the table is read once."""
     names = ("ix", "iy", "iz")
     points = df.groupBy(*[i.alias(n) for n, i in zip(names, index)]).agg(*[F.sum(v).alias(k) for k, v in sums.items()])
+    if goes_by_intervals(grid, by):
+        points = settle(points)
     return to_leaves(grid, points, tuple(F.col(n) for n in names), by=by).groupBy("cell").agg(*[F.sum(k).alias(k) for k in sums])
 
 

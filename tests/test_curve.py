@@ -10,6 +10,7 @@ from cellarium.functions import curve
 from cellarium.functions.meta import GridMeta
 from cellarium.operators import adapt as A
 from cellarium.operators import lookup as L
+from cellarium.plans import queries
 from cellarium.plans.grid import Grid
 from cellarium.sources import store
 
@@ -114,6 +115,13 @@ def test_keys_name_indices_a_few_times(spark, settled_plans, grid):
     assert len(settled_plans) == 2 and all(3 <= plan.count("round(") <= 20 for plan in settled_plans)
 
 
+@pytest.mark.parametrize("name", ["stencil_by_blocks"])
+def test_hot_blocks_are_counted_without_the_table(spark, sf_dir, settled_plans, name):
+    """Lattice points of rows are written before they are looked up, so the table isn't read once more for the pass over blocks."""
+    queries.QUERIES[name](spark, sf_dir)
+    assert settled_plans and not any("Relation" in plan for plan in settled_plans)
+
+
 def test_keys_against_bits(spark):
     r = random.Random(3)
     rows = [tuple(r.randrange(1 << r.randint(0, curve.BITS)) for _ in range(3)) for _ in range(500)] + [(0, 0, 0), ((1 << curve.BITS) - 1,) * 3, (0, 127, 128)]
