@@ -266,7 +266,8 @@ def existing_cell_at_point(spark, sf_dir):
 
 @query(f"WITH {leaves_sql()} SELECT p.ix, p.iy, p.iz, CAST(coalesce(max(l.cell), 0) AS BIGINT) AS cell FROM (SELECT DISTINCT ix, iy, iz FROM pts) p LEFT JOIN leaf l ON l.lvl = 1 AND p.ix >= l.ix AND p.ix < l.ix + l.len AND p.iy >= l.iy AND p.iy < l.iy + l.len AND p.iz >= l.iz AND p.iz < l.iz + l.len GROUP BY 1, 2, 3")
 def existing_cell_in_levels(spark, sf_dir):
-    return L.existing_at_indices(one_level(spark, sf_dir), items(spark, sf_dir, M1).select("ix", "iy", "iz").distinct(), at(), 1, 1, by="intervals")
+    points = settle(items(spark, sf_dir, M1).select("ix", "iy", "iz").distinct())
+    return L.existing_at_indices(one_level(spark, sf_dir), points, at(), 1, 1, by="intervals")
 
 
 @query(f"WITH {leaves_sql()} SELECT cell, lvl FROM leaf WHERE ix <= 9 AND ix + len > 4 AND iy <= 3 AND iy + len > 1 AND iz <= 5 AND iz + len > 0 AND lvl BETWEEN 0 AND 1")

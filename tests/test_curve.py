@@ -115,7 +115,7 @@ def test_keys_name_indices_a_few_times(spark, settled_plans, grid):
     assert len(settled_plans) == 2 and all(3 <= plan.count("round(") <= 20 for plan in settled_plans)
 
 
-@pytest.mark.parametrize("name", ["stencil_by_blocks", "bin_points_adaptive"])
+@pytest.mark.parametrize("name", ["stencil_by_blocks", "bin_points_adaptive", "existing_cell_in_levels"])
 def test_hot_blocks_are_counted_without_the_table(spark, sf_dir, settled_plans, name):
     """Lattice points of rows are written before they are looked up, so the table isn't read once more for the pass over blocks."""
     queries.QUERIES[name](spark, sf_dir)
