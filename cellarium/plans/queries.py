@@ -22,7 +22,7 @@ from ..operators import stencil as S
 from ..operators import workloads as W
 from ..operators.blocks import blocked_stencil
 from ..sources import snapshot, store
-from ..sources.binning import binned, refined_by_count, sums_per_leaf
+from ..sources.binning import binned, point_sums_per_leaf, refined_by_count, refined_by_sums, sums_per_leaf, sums_per_point
 from ..streaming.pyramid import DeltaPyramid
 from . import oracle as O
 from .grid import Grid
@@ -72,9 +72,15 @@ def flat_grid(spark, meta: GridMeta) -> Grid:
     return Grid.level0(spark, meta)
 
 
-def one_level(spark, sf_dir: str, meta: GridMeta = M1) -> Grid:
-    """Cells of level 0 with over a hundredth of the rows are refined; owner: id modulo 3."""
-    grid = refined_by_count(Grid.level0(spark, meta), items(spark, sf_dir, meta), at(), F.col("n") * 100 > F.col("total"))
+def lattice(spark, sf_dir: str, meta: GridMeta) -> DataFrame:
+    """Rows and quantity per lattice point, written, so that refining and counting by them read the table once."""
+    return settle(sums_per_point(items(spark, sf_dir, meta), at(), {"n": F.lit(1), "qty": F.col("qty")}))
+
+
+def one_level(spark, sf_dir: str, meta: GridMeta = M1, points: DataFrame | None = None) -> Grid:
+    """Cells of level 0 with over a hundredth of the rows are refined; owner: id modulo 3. points: the lattice if it is at hand."""
+    level0, dense = Grid.level0(spark, meta), F.col("n") * 100 > F.col("total")
+    grid = refined_by_count(level0, items(spark, sf_dir, meta), at(), dense) if points is None else refined_by_sums(level0, point_sums_per_leaf(level0, points), dense)
     return grid.with_columns({"part": (F.col("cell") % 3).cast("int")})
 
 
@@ -85,13 +91,19 @@ def leaves_sql(meta: GridMeta = M1) -> str:
     return f"{rows}, ids AS ({ids}), leaf AS ({O.placed(meta, 'SELECT cell FROM ids', ', CAST(cell % 3 AS INTEGER) AS part')})"
 
 
-def with_counts(grid: Grid, df: DataFrame, by: str | None = None) -> Grid:
-    """Rows and quantity per leaf, 0 where there are none."""
-    sums = sums_per_leaf(grid, df, at(), {"n": F.lit(1), "qty": F.col("qty")}, by)
+def with_counts(grid: Grid, points: DataFrame, by: str | None = None) -> Grid:
+    """Rows and quantity of the lattice per leaf, 0 where there are none."""
+    sums = point_sums_per_leaf(grid, points, by)
     joined = grid.cells.join(sums, "cell", "left")
     return grid.with_cells(settle(joined.withColumns({"n": F.coalesce("n", F.lit(0)), "qty": F.coalesce("qty", F.lit(0))})))
 
 
+def counted_level(spark, sf_dir: str, by: str | None = None) -> Grid:
+    """one_level with rows and quantity per leaf."""
+    points = lattice(spark, sf_dir, M1)
+    return with_counts(one_level(spark, sf_dir, M1, points), points, by)
+
+
 COUNTS = "sums AS (SELECT l.cell, count(*) AS n, sum(p.qty)::BIGINT AS qty FROM pts p JOIN leaf l ON p.ix >= l.ix AND p.ix < l.ix + l.len AND p.iy >= l.iy AND p.iy < l.iy + l.len AND p.iz >= l.iz AND p.iz < l.iz + l.len GROUP BY l.cell), cells AS (SELECT leaf.*, coalesce(n, 0) AS n, coalesce(qty, 0) AS qty FROM leaf LEFT JOIN sums USING (cell))"
 
 
@@ -254,7 +266,7 @@ def bin_points_to_cells(spark, sf_dir):
 @query(f"{leaf_counts_sql()} SELECT cell, lvl, n, qty FROM cells WHERE n > 0")
 def bin_points_adaptive(spark, sf_dir):
     """Points meet leaves as intervals of the space-filling curve."""
-    return with_counts(one_level(spark, sf_dir), items(spark, sf_dir, M1), "intervals").cells.filter("n > 0").select("cell", "lvl", "n", "qty")
+    return counted_level(spark, sf_dir, "intervals").cells.filter("n > 0").select("cell", "lvl", "n", "qty")
 
 
 @query(f"WITH {leaves_sql()} SELECT x, y, z, CAST(coalesce(l.cell, 0) AS BIGINT) AS cell FROM (SELECT DISTINCT CAST(l_linenumber AS DOUBLE) * 2 AS x, CAST(l_linenumber AS DOUBLE) / 2 AS y, CAST(l_linenumber AS DOUBLE) / 4 AS z FROM lineitem) p LEFT JOIN leaf l ON p.x * 2 >= l.ix AND p.x * 2 < l.ix + l.len AND p.y * 2 >= l.iy AND p.y * 2 < l.iy + l.len AND p.z * 2 >= l.iz AND p.z * 2 < l.iz + l.len")
@@ -266,8 +278,8 @@ def existing_cell_at_point(spark, sf_dir):
 
 @query(f"WITH {leaves_sql()} SELECT p.ix, p.iy, p.iz, CAST(coalesce(max(l.cell), 0) AS BIGINT) AS cell FROM (SELECT DISTINCT ix, iy, iz FROM pts) p LEFT JOIN leaf l ON l.lvl = 1 AND p.ix >= l.ix AND p.ix < l.ix + l.len AND p.iy >= l.iy AND p.iy < l.iy + l.len AND p.iz >= l.iz AND p.iz < l.iz + l.len GROUP BY 1, 2, 3")
 def existing_cell_in_levels(spark, sf_dir):
-    points = settle(items(spark, sf_dir, M1).select("ix", "iy", "iz").distinct())
-    return L.existing_at_indices(one_level(spark, sf_dir), points, at(), 1, 1, by="intervals")
+    points = lattice(spark, sf_dir, M1)
+    return L.existing_at_indices(one_level(spark, sf_dir, M1, points), points.select(*at()), at(), 1, 1, by="intervals")
 
 
 @query(f"WITH {leaves_sql()} SELECT cell, lvl FROM leaf WHERE ix <= 9 AND ix + len > 4 AND iy <= 3 AND iy + len > 1 AND iz <= 5 AND iz + len > 0 AND lvl BETWEEN 0 AND 1")
@@ -279,7 +291,7 @@ def box_query(spark, sf_dir):
 def box_query_on_curve(spark, sf_dir):
     """The same over a grid that is saved along the space-filling curve: only files and row groups that can meet the box are read."""
     path = _folder(spark)
-    store.save_on_curve(with_counts(one_level(spark, sf_dir), items(spark, sf_dir, M1)), path, files=8)
+    store.save_on_curve(counted_level(spark, sf_dir), path, files=8)
     return L.cells_in_box(store.load(spark, path)[0], (12, 2, 0), (17, 4, 1)).select("cell", "lvl", "n")
 
 
@@ -432,21 +444,21 @@ def neighbor_parts(spark, sf_dir):
 
 @query(f"{leaf_counts_sql()}, n AS ({O.near(M1)}) SELECT n.cell, count(*) AS neighbors, CAST(sum(c.n) AS BIGINT) AS rows_around, CAST(sum(c.qty) AS BIGINT) AS qty_around, CAST(sum(n.ox) AS BIGINT) AS shift FROM n JOIN cells c ON c.cell = n.nbr GROUP BY n.cell")
 def stencil_sum(spark, sf_dir):
-    grid = with_counts(one_level(spark, sf_dir), items(spark, sf_dir, M1))
+    grid = counted_level(spark, sf_dir)
     return S.stencil(grid, {"neighbors": F.count(F.lit(1)), "rows_around": F.sum("n_n"), "qty_around": F.sum("n_qty"), "shift": F.sum("ox")}, ("n", "qty"))
 
 
 @query(f"{leaf_counts_sql(ROUND)}, n AS ({O.near(ROUND)}) SELECT n.cell, count(*) AS neighbors, CAST(sum(c.n) AS BIGINT) AS rows_around, max(n.oz) AS above FROM n JOIN cells c ON c.cell = n.nbr GROUP BY n.cell")
 def stencil_by_blocks(spark, sf_dir):
     """Leaves are shuffled once, by block, with copies of those at borders; all joins and sums stay within blocks."""
-    grid = one_level(spark, sf_dir, ROUND)
-    grid = with_counts(Grid(ROUND, grid.cells), items(spark, sf_dir, ROUND))
+    points = lattice(spark, sf_dir, ROUND)
+    grid = with_counts(Grid(ROUND, one_level(spark, sf_dir, ROUND, points).cells), points)
     return blocked_stencil(grid, {"neighbors": F.count(F.lit(1)), "rows_around": F.sum("n_n"), "above": F.max("oz")}, ("n",), side=2)
 
 
 @query(f"{leaf_counts_sql()}, {FACES_SQL} SELECT f.cell, max(abs(a.n - b.n)::DOUBLE / (least(a.n, b.n) + 8)) AS max_diff FROM f JOIN cells a ON a.cell = f.cell JOIN cells b ON b.cell = f.nbr GROUP BY f.cell")
 def stencil_max_diff(spark, sf_dir):
-    grid = with_counts(one_level(spark, sf_dir), items(spark, sf_dir, M1))
+    grid = counted_level(spark, sf_dir)
     return S.max_difference(grid, "n", 8)
 
 
@@ -486,7 +498,7 @@ def pnorm(spark, sf_dir):
 
 @query(f"{leaf_counts_sql()}, n AS ({O.near(M1)}), x AS (SELECT DISTINCT a.part, b.part AS o FROM n JOIN leaf a ON a.cell = n.cell JOIN leaf b ON b.cell = n.nbr), l AS (SELECT part, o FROM x UNION SELECT o, part FROM x UNION SELECT part, part FROM leaf), t AS (SELECT part AS o, sum(n) AS s FROM cells GROUP BY part) SELECT part, CAST(sum(s) AS BIGINT) AS total FROM l JOIN t USING (o) GROUP BY part")
 def neighbor_part_sums(spark, sf_dir):
-    return S.neighbor_part_sums(with_counts(one_level(spark, sf_dir), items(spark, sf_dir, M1)), F.col("n"))
+    return S.neighbor_part_sums(counted_level(spark, sf_dir), F.col("n"))
 
 
 @query(f"WITH {leaves_sql()} SELECT part, count(*) AS cells, CAST(count(*) AS DOUBLE) AS weight FROM leaf GROUP BY part")
@@ -496,12 +508,12 @@ def partition_balance(spark, sf_dir):
 
 @query(f"{leaf_counts_sql()} SELECT cell, lvl, CAST(sum(n) AS BIGINT) AS n, CAST(sum(qty) AS BIGINT) AS qty FROM (SELECT {O.ancestor(M1, 'cell', '0')} AS cell, 0 AS lvl, n, qty FROM cells UNION ALL SELECT cell, lvl, n, qty FROM cells WHERE lvl = 1) GROUP BY cell, lvl")
 def level_pyramid(spark, sf_dir):
-    return S.level_pyramid(with_counts(one_level(spark, sf_dir), items(spark, sf_dir, M1)), {"n": F.sum("n"), "qty": F.sum("qty")})
+    return S.level_pyramid(counted_level(spark, sf_dir), {"n": F.sum("n"), "qty": F.sum("qty")})
 
 
 @query(f"{leaf_counts_sql()} SELECT {O.ancestor(M1, 'cell', '0')} AS cell, avg(n) AS n FROM cells WHERE lvl >= 0 GROUP BY 1")
 def restrict_average(spark, sf_dir):
-    return S.pyramid(with_counts(one_level(spark, sf_dir), items(spark, sf_dir, M1)), {"n": F.avg("n")}, 0)
+    return S.pyramid(counted_level(spark, sf_dir), {"n": F.avg("n")}, 0)
 
 
 _LEVELS = "SELECT {l0} AS cell, 0 AS lvl, count(*) AS n, CAST(sum(qty) AS BIGINT) AS qty FROM {rows} GROUP BY 1 UNION ALL SELECT {l1}, 1, count(*), CAST(sum(qty) AS BIGINT) FROM {rows} WHERE {l0} IN (SELECT cell FROM r0) GROUP BY 1"
@@ -656,7 +668,7 @@ _ZKEY = " + ".join(f"(((i{a} >> {b}) & 1) << {3 * b + d})" for d, a in enumerate
 
 @query(f"{leaf_counts_sql()}, o AS (SELECT cell, n + 1 AS w, {_ZKEY} AS z FROM cells), r AS (SELECT cell, w, CAST(sum(w) OVER (ORDER BY z, cell) AS DOUBLE) AS run, CAST(sum(w) OVER () AS DOUBLE) AS total FROM o) SELECT cell, CAST(least(floor((run - w / 2.0::DOUBLE) / total * 6), 5) AS INTEGER) AS part FROM r")
 def partition_weighted(spark, sf_dir):
-    grid = with_counts(one_level(spark, sf_dir), items(spark, sf_dir, M1))
+    grid = counted_level(spark, sf_dir)
     weights = grid.cells.select("cell", (F.col("n") + 1).cast("double").alias("weight"))
     return P.partition(P.set_weights(grid, weights), 6, "HSFC").cells.select("cell", "part")
 
@@ -689,7 +701,7 @@ _HALVES = ", ".join(f"(i{a} + len * (k >> {d} & 1)) / 2.0::DOUBLE" for d, a in e
 )
 def vtk_rows(spark, sf_dir):
     """Every line of the file of a refined grid with rows per leaf as cell data; coordinates as numbers, the first heading's sign as ~."""
-    lines = store.vtk_lines(with_counts(one_level(spark, sf_dir), items(spark, sf_dir, M1)), ("n",))
+    lines = store.vtk_lines(counted_level(spark, sf_dir), ("n",))
     split = F.split("line", " ")
     number = F.when(F.col("section") == 1, F.concat_ws(" ", *[F.element_at(split, i).cast("double").cast("string") for i in (1, 2, 3)])).otherwise(F.regexp_replace("line", "^#", "~"))
     return lines.select("section", "n", "k", number.alias("line"))
@@ -703,14 +715,14 @@ def _folder(spark) -> str:
 @query(f"{leaf_counts_sql()} SELECT cell, lvl, n, qty FROM cells")
 def parquet_round_trip(spark, sf_dir):
     path = _folder(spark)
-    store.save(with_counts(one_level(spark, sf_dir), items(spark, sf_dir, M1)), path, "counts")
+    store.save(counted_level(spark, sf_dir), path, "counts")
     return store.load(spark, path)[0].cells.select("cell", "lvl", "n", "qty")
 
 
 @query(f"{leaf_counts_sql()} SELECT cell, lvl, n, qty FROM cells")
 def binary_round_trip(spark, sf_dir):
     path = f"{_folder(spark)}.bin"
-    grid = with_counts(one_level(spark, sf_dir), items(spark, sf_dir, M1))
+    grid = counted_level(spark, sf_dir)
     store.write_binary(grid, path, {"n": "q", "qty": "q"}, header=b"step 1  ")
     return store.read_binary(spark, path, {"n": "q", "qty": "q"}, 8)[0].cells.select("cell", "lvl", "n", "qty")
 
@@ -718,7 +730,7 @@ def binary_round_trip(spark, sf_dir):
 @query(f"{leaf_counts_sql()} SELECT cell, lvl, part, CAST(n AS DOUBLE) AS density, CAST(qty AS DOUBLE) AS vx FROM cells")
 def snapshot_round_trip(spark, sf_dir):
     path = f"{_folder(spark)}.dc"
-    grid = with_counts(one_level(spark, sf_dir), items(spark, sf_dir, M1))
+    grid = counted_level(spark, sf_dir)
     flow = grid.meta.with_(geometry=Cartesian())
     columns = {"density": F.col("n"), "vx": F.col("qty"), **{c: F.lit(0.0) for c in ("max_diff", "vy", "vz")}}
     snapshot.write_snapshot(Grid(flow, grid.cells).with_columns(columns), path)
@@ -729,7 +741,7 @@ def snapshot_round_trip(spark, sf_dir):
 def grid_file_range(spark, sf_dir):
     """Of a saved grid, a range of ids: only that part of the file is read, and of its columns one."""
     path = f"{_folder(spark)}.bin"
-    store.write_binary(with_counts(one_level(spark, sf_dir), items(spark, sf_dir, M1)), path, {"n": "q", "qty": "q"})
+    store.write_binary(counted_level(spark, sf_dir), path, {"n": "q", "qty": "q"})
     rows = store.open_binary(spark, path).rows({"n": "q", "qty": "q"}, ("cell", "n")).filter("cell between 60 and 500 and n > 2")
     return rows.select("cell", mapping.level_of(M1, F.col("cell")).alias("lvl"), "n")
 
@@ -940,7 +952,7 @@ def prolong_and_restrict(spark, sf_dir):
 
 @query(f"{leaf_counts_sql()}, {FACES_SQL}, d AS (SELECT f.cell, max(abs(a.n - b.n)::DOUBLE / (least(a.n, b.n) + 8)) AS diff FROM f JOIN cells a ON a.cell = f.cell JOIN cells b ON b.cell = f.nbr GROUP BY f.cell) SELECT cell, CASE WHEN diff > (lvl + 1) * 4 THEN 'refine' WHEN diff >= (lvl + 1) * 4 * 0.25 THEN 'dont_unrefine' ELSE 'unrefine' END AS request FROM d JOIN leaf USING (cell) WHERE diff > (lvl + 1) * 4 OR lvl > 0")
 def requests_by_difference(spark, sf_dir):
-    grid = with_counts(one_level(spark, sf_dir), items(spark, sf_dir, M1))
+    grid = counted_level(spark, sf_dir)
     asked = A.adaptation_requests(grid, settle(S.max_difference(grid, "n", 8)), 4.0, 0.25)
     out = None
     for kind, ids in asked.items():

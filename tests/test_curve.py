@@ -12,7 +12,7 @@ from cellarium.operators import adapt as A
 from cellarium.operators import lookup as L
 from cellarium.plans import queries
 from cellarium.plans.grid import Grid
-from cellarium.sources import store
+from cellarium.sources import binning, store
 
 META = GridMeta((5, 3, 2), 2)
 
@@ -122,6 +122,20 @@ def test_hot_blocks_are_counted_without_the_table(spark, sf_dir, settled_plans,
     assert settled_plans and not any("Relation" in plan for plan in settled_plans)
 
 
+@pytest.mark.parametrize("name", ["bin_points_adaptive", "existing_cell_in_levels", "stencil_by_blocks", "stencil_sum"])
+def test_refining_and_counting_read_the_table_once(spark, sf_dir, monkeypatch, name):
+    plans, settle = [], L.settle
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return settle(df)
+
+    for module in (A, L, binning, queries):
+        monkeypatch.setattr(module, "settle", kept)
+    kept(queries.QUERIES[name](spark, sf_dir))
+    assert sum(plan.count("Relation [") for plan in plans) == 1
+
+
 def test_keys_against_bits(spark):
     r = random.Random(3)
     rows = [tuple(r.randrange(1 << r.randint(0, curve.BITS)) for _ in range(3)) for _ in range(500)] + [(0, 0, 0), ((1 << curve.BITS) - 1,) * 3, (0, 127, 128)]
